@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import quality, sharding, urls
+from roadloom.llm import quality, sharding, simhash, urls
 from roadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,9 @@ ORACLES["op3_url_filter"] = urls.oracle()
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shard and slot for every document."""
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return simhash.group_documents(table(spark, sf_dir, "documents"))
