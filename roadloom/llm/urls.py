@@ -81,6 +81,7 @@ def tree(counts: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
         t = t.withColumn("up", F.when(here, F.slice("t", 1, level - 1))).withColumn("child", F.when(here, F.get("t", F.lit(level - 1))))
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         nodes = t.where("child is not null").groupBy("host", "up", "child").agg(*sums).withColumn("lean", 2 * F.col("blocked") >= F.col("labelled"))
+        nodes = landed(nodes, "url-nodes")
         size = nodes.groupBy("host", "up").agg(F.count("*").alias("fan"), F.sum("n").alias("all_n"))
         pool = nodes.groupBy("host", "up", "lean").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
         share = F.try_divide(F.col("all_blocked"), F.col("all_labelled"))
@@ -95,6 +96,7 @@ def tree(counts: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
         )
         swap = F.transform("t", lambda s, i: F.when((i == level - 1) & F.col("to").isNotNull(), F.col("to")).otherwise(s))
         t = t.join(merged, ["host", "up", "child"], "left").withColumn("t", swap).drop("up", "child", "to")
+        t = landed(t, "url-level")  # the next level reads this several times
     return t.withColumnRenamed("t", "template")
 
 
@@ -119,7 +121,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, option
         marks = labels.select(lh.alias("host"), pattern(lp).alias("raw"), F.lit(0).alias("n"), F.lit(1).alias("l"), F.coalesce(F.col("blocked").cast("int"), F.lit(0)).alias("b"))
         evidence = seen.select("host", "raw", F.lit(1).alias("n"), F.lit(0).alias("l"), F.lit(0).alias("b")).unionByName(marks)
     counts = evidence.groupBy("host", "raw").agg(F.sum("n").alias("n"), F.sum("l").alias("labelled"), F.sum("b").alias("blocked"))
-    grown = landed(tree(landed(counts, "url-counts"), o), "url-tree")
+    grown = tree(landed(counts, "url-counts"), o)
     of_host = grown.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
     leaves = grown.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb"))
     weight = o.coverage * F.greatest(F.col("hn"), F.col("hl"))
