@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontam, privacy, quality, sharding, simhash, urls
+from roadloom.llm import decontam, pieces, privacy, quality, sharding, simhash, urls
 from roadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return privacy.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, decoded again."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), carry=["doc_id"])
