@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontam, pieces, privacy, quality, sharding, simhash, urls
+from roadloom.llm import decontam, pieces, privacy, quality, sharding, simhash, tokenfiles, urls
 from roadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, decoded again."""
     return pieces.encoded(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to token files and read back."""
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
