@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontam, pieces, privacy, quality, sharding, simhash, tokenfiles, urls
+from roadloom.llm import decontam, pieces, privacy, quality, sharding, simhash, tokenfiles, topk, urls
 from roadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to token files and read back."""
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op8_topk"] = topk.ORACLE
