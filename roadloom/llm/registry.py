@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontam, pieces, privacy, quality, sharding, simhash, tokenfiles, topk, urls
+from roadloom.llm import decontam, lm, pieces, privacy, quality, sharding, simhash, tokenfiles, topk, urls
 from roadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_topk"] = topk.ORACLE
+
+
+@query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
