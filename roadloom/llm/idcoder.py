@@ -59,7 +59,7 @@ class _Mixture:
 
     def __init__(self, lanes: int) -> None:
         self.base = np.arange(lanes, dtype=np.int64)
-        self.table1, self.table2 = np.zeros(lanes << SLOT_BITS, np.int64), np.zeros(lanes << SLOT_BITS, np.int64)  # id * 4 + confidence
+        self.table1, self.table2 = np.zeros(lanes << SLOT_BITS, np.int32), np.zeros(lanes << SLOT_BITS, np.int32)  # id * 4 + confidence
         start = np.zeros((2, 32), np.int64)  # weights of order 2 and order 1 by state: conf2, conf1, agreement
         for c2 in range(4):
             for c1 in range(4):

@@ -24,12 +24,21 @@ from roadloom.llm import idcoder
 from roadloom.llm.common import landed, scratch
 
 #: The id put after each document; ids of a file; words whose ids a task remembers.
-END, FILE_IDS, CACHE = 2, 4_000_000, 300_000
+END, FILE_IDS, CACHE = 2, 4_000_000, 800_000
 
 #: What splits words here but might not in the tokenizer; texts with it are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
-#: The tokenizer's pieces of a lower-case ASCII word. Fixed pattern.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words whose lower case and pieces are known here: printable ASCII, and Latin letters that are letters in both cases.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: The tokenizer's pieces of a lower-case word of that kind. Fixed pattern.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 as itself, others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
 class _Words(dict):
@@ -37,7 +46,8 @@ class _Words(dict):
 
     def __init__(self, tokenizer, fast: bool) -> None:
         super().__init__()
-        self.tokenizer, self.model, self.fast, self.pieces = tokenizer, tokenizer.model, fast, {}
+        self.tokenizer, self.model, self.fast, self.pieces, self.letters = tokenizer, tokenizer.model, fast, {}, _byte_letters()
+        self.raw = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -45,16 +55,18 @@ class _Words(dict):
     def piece(self, p: str) -> bytes:
         found = self.pieces.get(p)
         if found is None:
-            if len(self.pieces) >= CACHE:
+            if len(self.pieces) >= CACHE // 2:
                 self.pieces.clear()
-            found = self.pieces[p] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p)])
+            letters = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+            found = self.pieces[p] = b"".join([self.raw[t.id] for t in self.model.tokenize(letters)])
         return found
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        if self.fast and word.isascii() and word.isprintable() and "<|" not in word:
-            found = b"".join(map(self.piece, _PIECES.findall(word.lower())))
+        if self.fast and _PLAIN.fullmatch(word) and "<|" not in word:
+            low = word.lower()
+            found = self.piece(low) if low.isalpha() else b"".join(map(self.piece, _PIECES.findall(low)))
         else:
             found = self.whole(word)
         self[word] = found
@@ -74,7 +86,7 @@ class Encoder:
         self.words = _Words(tokenizer, False)
         if self.by_word:
             plain = _Words(tokenizer, True)
-            self.words.fast = all(plain[w] == self.words.whole(w) for w in ("It's", "A-b!!", "12the,ring", "don'T", "a_b...c"))
+            self.words.fast = all(plain[w] == self.words.whole(w) for w in ("It's", "A-b!!", "12the,ring", "don'T", "a_b...c", "ÉÈß,x", "Ŧő"))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers, without an end."""
