@@ -2,7 +2,487 @@
 
 from __future__ import annotations
 
+
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.functions import geo, mesh
+from roadloom.functions import profiles as prof
+from roadloom.operators import boundary, extract, restrict, routing, spatial
+from roadloom.plans import fixtures as fx
+from roadloom.plans import sqltext as q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+_V, _P, _A = fx.duck(fx.VERTICES), fx.duck(fx.POINTS), fx.duck(fx.AREAS)
+#: Edges with their ends' places.
+_E = f"""(select e.*, a.lat as a_lat, a.lon as a_lon, b.lat as b_lat, b.lon as b_lon from ({fx.duck(fx.EDGES)}) e
+    join ({_V}) a on a.vertex_id = e.from_id join ({_V}) b on b.vertex_id = e.to_id)"""
+_REFS, _NODES = fx.duck(fx.REFS), fx.duck(fx.NODES)
+_LEN = f"cast({q.hav('a_lat', 'a_lon', 'b_lat', 'b_lon')} as float)"
+
+#: A ring with a bay, a hole in it, and a box, over the grid.
+RING = [(35.051, 136.602), (35.051, 136.668), (35.118, 136.668), (35.092, 136.641), (35.119, 136.607)]
+HOLE = [(35.062, 136.621), (35.062, 136.649), (35.079, 136.649), (35.079, 136.621)]
+BOX = (35.0601, 136.6201, 35.1003, 136.6502)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _ring(points) -> F.Column:
+    return F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in points])
+
+
+def _box(b=BOX) -> F.Column:
+    return geo.normal_bounds(*b)
+
+
+# Geometry
+
+
+@query(f"select vertex_id, round({q.hav('lat', 'lon', '35.1e0', '136.7e0')}, 6) as dist_m from ({_V})")
+def g1_haversine(spark, sf_dir):
+    return fx.vertices(spark, sf_dir).select("vertex_id", F.round(geo.haversine(F.col("lat"), F.col("lon"), 35.1, 136.7), 6).alias("dist_m"))
+
+
+@query(f"""select point_id, round(lat - 500e0 / 111320e0, 9) as min_lat, round(lon - 500e0 / (111320e0 * cos(radians(lat))), 9) as min_lon,
+    round(lat + 500e0 / 111320e0, 9) as max_lat, round(lon + 500e0 / (111320e0 * cos(radians(lat))), 9) as max_lon from ({_P})""")
+def g2_box_around(spark, sf_dir):
+    b = geo.box_around(F.col("lat"), F.col("lon"), 500.0)
+    return fx.points(spark, sf_dir).select("point_id", *[F.round(b[c], 9).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")])
+
+
+@query(f"""select point_id, edge_id, round({q.seg_dist('lat', 'lon', 'a_lat', 'a_lon', 'b_lat', 'b_lon')}, 6) as dist_m, round({q.seg_t('lat', 'lon', 'a_lat', 'a_lon', 'b_lat', 'b_lon')}, 9) as t
+    from ({_P}) p join {_E} e on e.edge_id % 1000 = p.point_id % 1000""")
+def g3_point_to_segment(spark, sf_dir):
+    e = fx.edges(spark, sf_dir).select("edge_id", "from_point", "to_point", (F.col("edge_id") % 1000).alias("k"))
+    p = fx.points(spark, sf_dir).withColumn("k", F.col("point_id") % 1000).join(e, "k")
+    s = geo.point_to_segment(F.col("lat"), F.col("lon"), *[F.col(f"{x}_point.{c}") for x in ("from", "to") for c in ("lat", "lon")])
+    return p.withColumn("s", s).select("point_id", "edge_id", F.round("s.dist_m", 6).alias("dist_m"), F.round("s.t", 9).alias("t"))
+
+
+@query(f"select vertex_id, {q.in_ring('v.lat', 'v.lon', RING)} as in_ring, {q.in_ring('v.lat', 'v.lon', RING)} and not {q.in_ring('v.lat', 'v.lon', HOLE)} as in_polygon from ({_V}) v")
+def g4_polygon_contains(spark, sf_dir):
+    lat, lon = F.col("lat"), F.col("lon")
+    return fx.vertices(spark, sf_dir).select("vertex_id", geo.ring_contains(_ring(RING), lat, lon).alias("in_ring"), geo.polygon_contains(_ring(RING), F.array(_ring(HOLE)), lat, lon).alias("in_polygon"))
+
+
+def _inside(p: str) -> str:
+    return f"({q.in_ring(f'e.{p}_lat', f'e.{p}_lon', RING)} and not {q.in_ring(f'e.{p}_lat', f'e.{p}_lon', HOLE)})"
+
+
+@query(f"""select edge_id, {_inside('a')} or {_inside('b')} or {q.segments_cross('e.a_lat', 'e.a_lon', 'e.b_lat', 'e.b_lon', RING)}
+    or {q.segments_cross('e.a_lat', 'e.a_lon', 'e.b_lat', 'e.b_lon', HOLE)} as meets from {_E} e""")
+def g6_segment_meets_polygon(spark, sf_dir):
+    return fx.edges(spark, sf_dir).select("edge_id", geo.segment_meets_polygon(_ring(RING), F.array(_ring(HOLE)), F.col("from_point"), F.col("to_point")).alias("meets"))
+
+
+@query(f"""select edge_id, {q.seg_box('a_lat', 'a_lon', 'b_lat', 'b_lon', *[f'{x}e0' for x in BOX])} as meets, a_lat between {BOX[0]}e0 and {BOX[2]}e0 and a_lon between {BOX[1]}e0 and {BOX[3]}e0 as starts_in,
+    least(a_lat, b_lat) <= {BOX[2]}e0 and greatest(a_lat, b_lat) >= {BOX[0]}e0 and least(a_lon, b_lon) <= {BOX[3]}e0 and greatest(a_lon, b_lon) >= {BOX[1]}e0 as boxes_meet from {_E}""")
+def f6_boxes_and_segments(spark, sf_dir):
+    a, b = F.col("from_point"), F.col("to_point")
+    return fx.edges(spark, sf_dir).select("edge_id", geo.segment_meets_box(_box(), a["lat"], a["lon"], b["lat"], b["lon"]).alias("meets"), geo.in_box(a["lat"], a["lon"], _box()).alias("starts_in"), geo.boxes_meet(F.col("box"), _box()).alias("boxes_meet"))
+
+
+@query(f"""select vertex_id, pow(greatest({BOX[0]}e0 - lat, 0e0, lat - {BOX[2]}e0), 2) + pow(greatest({BOX[1]}e0 - lon, 0e0, lon - {BOX[3]}e0), 2) as d2,
+    least(lat, {BOX[0]}e0) as min_lat, greatest(lon, {BOX[3]}e0) as max_lon, lat < {BOX[2]}e0 and lon < {BOX[3]}e0 as valid from ({_V})""")
+def g9_boxes(spark, sf_dir):
+    """Distance from a box, union of boxes, validity of bounds."""
+    lat, lon = F.col("lat"), F.col("lon")
+    own = F.struct(lat.alias("min_lat"), lon.alias("min_lon"), lat.alias("max_lat"), lon.alias("max_lon"))
+    u = geo.box_union(own, _box())
+    raw = F.struct(lat.alias("min_lat"), lon.alias("min_lon"), F.lit(BOX[2]).alias("max_lat"), F.lit(BOX[3]).alias("max_lon"))
+    return fx.vertices(spark, sf_dir).select("vertex_id", geo.box_distance2(lat, lon, _box()).alias("d2"), u["min_lat"].alias("min_lat"), u["max_lon"].alias("max_lon"), geo.valid_bounds(raw).alias("valid"))
+
+
+# Meshes
+
+
+def _mesh_sql(lat: str, lon: str) -> str:
+    r, c = f"cast(floor({lat} * 960e0) as bigint)", f"cast(floor({lon} * 640e0) as bigint)"
+    third = lambda x, n: f"({x} // {8 * n})"
+    base = f"(({third(r, 80)} * 100 + {third(c, 80)} - 100) * 10000 + ({third(r, 1)} % 80 // 10) * 1000 + ({third(c, 1)} % 80 // 10) * 100 + ({third(r, 1)} % 10) * 10 + {third(c, 1)} % 10)"
+    for k in (4, 2, 1):
+        base = f"({base} * 10 + ({r} // {k}) % 2 * 2 + ({c} // {k}) % 2 + 1)"
+    return base
+
+
+@query(f"""with m as (select vertex_id, {_mesh_sql('lat', 'lon')} as mesh6 from ({_V})), l as (select vertex_id, mesh6 // pow(10, k)::bigint as mesh, 6 - k as level from m, range(4) r(k))
+    select vertex_id, mesh, level::int as level, round(min_lat, 9) as min_lat, round(min_lon, 9) as min_lon, round(max_lat, 9) as max_lat from (
+        select *, (y + dy) / 120e0 as min_lat, (x + dx) / 80e0 as min_lon, (y + dy + size) / 120e0 as max_lat from (
+            select *, s[1:2]::int * 80 + s[5]::int * 10 + s[7]::int as y, (s[3:4]::int + 100) * 80 + s[6]::int * 10 + s[8]::int as x, pow(2e0, 3 - level) as size,
+                coalesce(list_sum([case when len(s) >= 8 + i then (s[8 + i]::int - 1) // 2 * pow(2e0, -i) else 0 end for i in [1, 2, 3]]), 0) as dy,
+                coalesce(list_sum([case when len(s) >= 8 + i then (s[8 + i]::int - 1) % 2 * pow(2e0, -i) else 0 end for i in [1, 2, 3]]), 0) as dx
+            from (select *, mesh::varchar as s from l)))""")
+def m2_mesh_codes(spark, sf_dir):
+    """The mesh codes of each vertex at all levels, their level and their bounds."""
+    v = fx.vertices(spark, sf_dir)
+    codes = F.array(*[mesh.code_of_point(F.col("lat"), F.col("lon"), k) for k in (3, 4, 5, 6)])
+    m = v.select("vertex_id", F.explode(codes).alias("mesh")).withColumn("b", mesh.box(F.col("mesh")))
+    return m.select("vertex_id", "mesh", mesh.level(F.col("mesh")).alias("level"), *[F.round(F.col("b")[c], 9).alias(c) for c in ("min_lat", "min_lon", "max_lat")])
+
+
+_AREA_BOX = f"(select area_id, min_lat, min_lon, min_lat + 0.004e0 as max_lat, min_lon + 0.004e0 as max_lon from ({_A}))"
+
+
+@query(f"""select area_id, {_mesh_sql('((i + 0.5e0) / 480e0)', '((j + 0.5e0) / 320e0)')} // 10 as mesh from (
+    select area_id, unnest(generate_series(cast(floor(min_lat * 480e0 + 1e-7) as bigint), cast(ceil(max_lat * 480e0 - 1e-7) as bigint) - 1)) as i, min_lon, max_lon from {_AREA_BOX}) a,
+    lateral (select unnest(generate_series(cast(floor(min_lon * 320e0 + 1e-7) as bigint), cast(ceil(max_lon * 320e0 - 1e-7) as bigint) - 1)) as j)""")
+def m5_meshes_in_bounds(spark, sf_dir):
+    """Every quarter mesh of each area's box."""
+    return mesh.cells(fx.areas(spark, sf_dir)[1].select("area_id", "box"), "box", 5).select("area_id", "mesh")
+
+
+# Profiles
+
+
+def _profile_sql(name: str) -> str:
+    d = prof.definition(name)
+    rule = lambda want: "case highway " + " ".join(f"when '{k}' then {want(v)}" for k, v in d["highway"].items()) + " end"
+    keys = {"access"} & set(d["accessTagKeys"])
+    allow = ", ".join(f"'{k}'" for k, v in d["accessValueMap"].items() if v == "allow")
+    deny = ", ".join(f"'{k}'" for k, v in d["accessValueMap"].items() if v == "deny")
+    base = rule(lambda v: "true" if v["access"] == "yes" else "false")
+    can = f"case when {base} = false then false when access in ({allow}) then true when access in ({deny}) then false else coalesce({base}, false) end" if keys else base
+    high = (d.get("vehicleLimits") or {}).get("maxHeightMeter")
+    if high:
+        can = f"({can}) and not coalesce(case when maxheight like '%ft' then null else cast(split_part(maxheight, ' ', 1) as double) end < {high}e0, false)"
+    tag = "case when maxspeed like '%mph' then cast(split_part(maxspeed, ' ', 1) as double) * 1.609344e0 else try_cast(maxspeed as double) end"
+    speed = f"least(greatest(coalesce({tag}, {rule(lambda v: str(float(v['speedKmh'])) + 'e0')}, {d['fallback']['speedKmh']}e0) * {d['speedMultiplier']}e0, {d['speedBounds']['minKmh']}e0), {d['speedBounds']['maxKmh']}e0)"
+    way = "0" if d["ignoreOneway"] else "case oneway when 'yes' then 1 when '-1' then -1 else 0 end"
+    return f"select '{name}' as profile, edge_id, {can} as can_pass, cast(case when {can} then {speed} else 0 end as float) as speed_kmh, ({can}) and {way} >= 0 as fwd, ({can}) and {way} <= 0 as bwd from {_E}"
+
+
+_BAKED = " union all ".join(map(_profile_sql, prof.BUILT_IN))
+
+
+@query(_BAKED)
+def e1_baked_profiles(spark, sf_dir):
+    """Every built-in profile over every edge."""
+    return fx.baked(spark, sf_dir)
+
+
+def _difficulty_sql(name: str) -> str:
+    d = prof.definition(name)["difficulty"]
+    factor = " ".join(f"when '{k}' then {v['speedFactor']}e0" for k, v in d.items())
+    return f"select '{name}' as profile, area_id, case lower(trim(difficulty_type)) {factor} else 1e0 end as speed_factor, coalesce(lower(trim(difficulty_type)) <> 'landslide', true) as can_pass from ({_A})"
+
+
+@query(" union all ".join(map(_difficulty_sql, prof.BUILT_IN)))
+def e2_difficulties(spark, sf_dir):
+    a = fx.areas(spark, sf_dir)[0]
+    both = F.array(*[F.struct(F.lit(p.name).alias("profile"), p.difficulty(F.col("difficulty_type")).alias("d")) for p in fx.profiles()])
+    return a.select("area_id", F.explode(both).alias("x")).select("x.profile", "area_id", "x.d.speed_factor", "x.d.can_pass")
+
+
+_TEXTS = {"50": 50.0, " 30 mph": 30 * 1.609344, "40 kmh": 40.0, "walk": None, "50mph": None, "": None, "12.5": 12.5, "1e2": 100.0, "50f": None, "70  mph": 70 * 1.609344, "none 50": None}
+_LIMITS = {"8": 8.0, "8 t": 8.0, "3.5t": 3.5, "7 T": 7.0, "9 kg": None, "x": None, "1.2.3": None, "": None, "  4 ": 4.0}
+
+
+def _cases(table: dict) -> str:
+    return " ".join(f"when {k} then {v!r}e0" for k, v in enumerate(table.values()) if v is not None)
+
+
+@query(f"select p_partkey, case p_partkey % {len(_TEXTS)} {_cases(_TEXTS)} end as speed_kmh, case p_partkey % {len(_LIMITS)} {_cases(_LIMITS)} end as weight_t, case p_partkey % 6 when 0 then 1 when 1 then 1 when 2 then 1 when 3 then -1 when 4 then -1 else 0 end as oneway from part")
+def e7_parsed_tags(spark, sf_dir):
+    """Speeds, limits and directions parsed from many spellings."""
+    pick = lambda texts: F.get(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts)).cast("int"))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", prof.parse_maxspeed(pick(list(_TEXTS))).alias("speed_kmh"), prof.parse_limit(pick(list(_LIMITS)), "t").alias("weight_t"), prof.parse_oneway(pick(["yes", "true", "1", "-1", "reverse", "no"])).alias("oneway"))
+
+
+# Extraction
+
+_WAY = "case when way_id % 9 = 0 then null when way_id % 4 = 0 then 'primary' else 'residential' end"
+_ROAD = "way_id % 9 <> 0 and way_id % 10 <> 1 and way_id % 14 <> 2"
+_SIZES = f"(select way_id, node_id, pos, count(*) over (partition by way_id) as n from ({_REFS}) where {_ROAD})"
+_NBOX = (35.05, 136.55, 35.2, 136.7)
+
+
+@query(f"select distinct way_id from ({_REFS}) where {_ROAD}")
+def f2_road_ways(spark, sf_dir):
+    return extract.road_ways(fx.ways(spark, sf_dir)).select("way_id")
+
+
+_IN_BOX = f"select node_id from ({_NODES}) where lat between {_NBOX[0]}e0 and {_NBOX[2]}e0 and lon between {_NBOX[1]}e0 and {_NBOX[3]}e0"
+
+
+@query(f"select distinct way_id from ({_REFS}) where {_ROAD} and node_id in ({_IN_BOX})")
+def f3_ways_touching(spark, sf_dir):
+    """Road ways with a node in a box."""
+    inside = extract.nodes_in(fx.nodes(spark, sf_dir), geo.normal_bounds(*_NBOX))
+    return extract.ways_touching(extract.road_ways(fx.ways(spark, sf_dir)), inside).select("way_id")
+
+
+@query(f"select node_id, round(lat, 9) as lat, round(lon, 9) as lon from ({_NODES}) where node_id in (select node_id from ({_REFS}) where {_ROAD})")
+def f4_needed_nodes(spark, sf_dir):
+    n = extract.needed_nodes(fx.nodes(spark, sf_dir), extract.road_ways(fx.ways(spark, sf_dir)))
+    return n.select("node_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+_USE = f"select node_id, count(*) as uses, bool_or(pos = 0 or pos = n - 1) as is_end from {_SIZES} where n >= 2 group by node_id"
+
+
+@query(_USE)
+def a1_node_usage(spark, sf_dir):
+    return extract.node_usage(extract.road_ways(fx.ways(spark, sf_dir)))
+
+
+_VERTS = f"(select row_number() over (order by node_id) - 1 as vertex_id, node_id as osm_id, lat, lon from ({_NODES}) where node_id in (select node_id from ({_USE}) where is_end or uses >= 2))"
+
+
+@query(f"select vertex_id, osm_id, round(lat, 9) as lat, round(lon, 9) as lon from {_VERTS}")
+def o1_vertices(spark, sf_dir):
+    v = extract.vertices(extract.road_ways(fx.ways(spark, sf_dir)), fx.nodes(spark, sf_dir))
+    return v.select("vertex_id", "osm_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+_SPLIT = f"""(with m as (select r.*, v.osm_id is not null as v from {_SIZES} r left join {_VERTS} v on v.osm_id = r.node_id where n >= 2),
+    k as (select *, sum(v::int) over (partition by way_id order by pos) as part from m),
+    g as (select way_id, part, list(node_id order by pos) as run from k where part > 0 group by all)
+    select way_id, part::bigint as part, run[1] as from_osm, to_osm, run[2:] as shape_refs from (select *, lead(run[1]) over (partition by way_id order by part) as to_osm from g) where to_osm is not null)"""
+
+
+@query(f"select way_id, part, from_osm, to_osm, array_to_string(shape_refs, ',') as shape_refs from {_SPLIT}")
+def t2_split_ways(spark, sf_dir):
+    """Ways cut at vertices, with the refs between."""
+    w = extract.road_ways(fx.ways(spark, sf_dir))
+    s = extract.split_ways(w, extract.vertices(w, fx.nodes(spark, sf_dir)))
+    return s.select("way_id", "part", "from_osm", "to_osm", F.concat_ws(",", F.col("shape_refs").cast("array<string>")).alias("shape_refs"))
+
+
+@query(f"""with p as (select s.way_id, s.part, i, n.lat, n.lon from (select *, unnest(list_concat(list_concat([from_osm], shape_refs), [to_osm])) as node, generate_subscripts(list_concat(list_concat([from_osm], shape_refs), [to_osm]), 1) as i from {_SPLIT}) s join ({_NODES}) n on n.node_id = s.node),
+    d as (select *, lead(lat) over w as lat2, lead(lon) over w as lon2 from p window w as (partition by way_id, part order by i))
+    select way_id, count(distinct part) as n_edges, round(sum({q.hav('lat', 'lon', 'lat2', 'lon2')}), 3) as length_m, round(min(lat), 9) as min_lat, round(max(lon), 9) as max_lon from d group by way_id""")
+def t3_extracted_graph(spark, sf_dir):
+    """The whole extraction: edges of each way, their length and box."""
+    w = extract.road_ways(fx.ways(spark, sf_dir))
+    _, e = extract.graph(w, fx.nodes(spark, sf_dir), renumber=False)
+    line_length = F.sum(F.col("len"))
+    verts = extract.vertices(w, fx.nodes(spark, sf_dir)).select("vertex_id", F.struct("lat", "lon").alias("p"))
+    full = e.join(verts.select(F.col("vertex_id").alias("from_id"), F.col("p").alias("a")), "from_id").join(verts.select(F.col("vertex_id").alias("to_id"), F.col("p").alias("b")), "to_id")
+    full = full.withColumn("len", geo.polyline_length(extract.full_line(F.col("a"), F.col("shape"), F.col("b"))))
+    return full.groupBy("way_id").agg(F.count("*").alias("n_edges"), F.round(line_length, 3).alias("length_m"), F.round(F.min("box.min_lat"), 9).alias("min_lat"), F.round(F.max("box.max_lon"), 9).alias("max_lon"))
+
+
+@query(f"""select edge_id, (case when highway = 'living_street' then 256 else 0 end + case when access = 'private' then 32 else 0 end + case oneway when 'yes' then 4096 when '-1' then 8192 else 0 end)::int as flags, {_LEN} as dist_m from {_E}""")
+def t4_flags_and_lengths(spark, sf_dir):
+    return fx.edges(spark, sf_dir).select("edge_id", extract.edge_flags(F.col("tags")).alias("flags"), "dist_m")
+
+
+@query(f"""with e as (select edge_id, (least(a_lon, b_lon) + greatest(a_lon, b_lon)) * 0.5e0 as x, (least(a_lat, b_lat) + greatest(a_lat, b_lat)) * 0.5e0 as y from {_E}), c as (select count(*) as n, ceil(count(*) / 16e0) as leaves from e),
+    z as (select greatest(16, ceil(n / greatest(1, ceil(sqrt(leaves))))) as size from c), r as (select *, row_number() over (order by x, edge_id) - 1 as rx from e),
+    s as (select edge_id, y, cast(floor(rx / size) as bigint) as strip from r, z), k as (select *, row_number() over (partition by strip order by y, edge_id) - 1 as rank from s)
+    select edge_id, strip, rank, rank // 16 as leaf from k""")
+def w3_packed_order(spark, sf_dir):
+    """Strips and leaves of the packed spatial order."""
+    return extract.packed_order(fx.edges(spark, sf_dir), "edge_id").select("edge_id", "strip", F.col("rank").cast("long").alias("rank"), "leaf")
+
+
+@query(f"select min(lat) as min_lat, min(lon) as min_lon, max(lat) as max_lat, max(lon) as max_lon, count(*) as vertex_count, (select count(*) from {_E}) as edge_count from ({_V})")
+def a4_statistics(spark, sf_dir):
+    return extract.statistics(fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir))
+
+
+_ARCS = f"(select from_id as src, to_id as dst, edge_id, false as reversed from {_E} union all select to_id, from_id, edge_id, true from {_E} where from_id <> to_id)"
+
+
+@query(f"select vertex_id, degree, coalesce(sum(degree) over (order by vertex_id rows between unbounded preceding and 1 preceding), 0)::bigint as first_out from (select v.vertex_id, count(a.src) as degree from ({_V}) v left join {_ARCS} a on a.src = v.vertex_id group by 1)")
+def a5_out_degrees(spark, sf_dir):
+    return extract.out_degrees(fx.edges(spark, sf_dir), fx.vertices(spark, sf_dir))
+
+
+@query(f"select src, dst, edge_id, reversed from {_ARCS}")
+def u1_arcs(spark, sf_dir):
+    return extract.arcs(fx.edges(spark, sf_dir))
+
+
+@query(f"select profile, count(*) as edges, count(*) filter (where can_pass) as passable from ({_BAKED}) group by profile")
+def a8_passable_counts(spark, sf_dir):
+    return extract.passable_counts(fx.baked(spark, sf_dir))
+
+
+# Spatial joins
+
+
+@query(f"""select point_id, edge_id from (select *, lat - 400e0 / 111320e0 as s, lat + 400e0 / 111320e0 as n, lon - 400e0 / (111320e0 * cos(radians(lat))) as w, lon + 400e0 / (111320e0 * cos(radians(lat))) as o from ({_P})) p
+    join {_E} e on least(a_lat, b_lat) <= n and greatest(a_lat, b_lat) >= s and least(a_lon, b_lon) <= o and greatest(a_lon, b_lon) >= w""")
+def j3_box_join(spark, sf_dir):
+    p = fx.points(spark, sf_dir).select("point_id", geo.box_around(F.col("lat"), F.col("lon"), 400.0).alias("around"))
+    return spatial.box_join(p, fx.edges(spark, sf_dir).select("edge_id", "box"), "around", "box").select("point_id", "edge_id")
+
+
+_D2 = "pow(greatest(least(a_lat, b_lat) - lat, 0e0, lat - greatest(a_lat, b_lat)), 2) + pow(greatest(least(a_lon, b_lon) - lon, 0e0, lon - greatest(a_lon, b_lon)), 2)"
+
+
+@query(f"select point_id, edge_id from (select point_id, edge_id, {_D2} as d2 from ({_P}), {_E}) qualify row_number() over (partition by point_id order by d2, edge_id) <= 5")
+def j7_nearest_edges(spark, sf_dir):
+    return spatial.nearest_edges(fx.points(spark, sf_dir), fx.edges(spark, sf_dir), 5).select("point_id", "edge_id")
+
+
+_PASS = f"(select e.* from {_E} e join ({_profile_sql('car')}) b using (edge_id) where b.can_pass)"
+
+
+def _snap_sql(points: str, key: str) -> str:
+    dist, t = q.seg_dist("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon"), q.seg_t("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")
+    return f"""(select {key}, edge_id, dist, t, a_lat + t * (b_lat - a_lat) as s_lat, a_lon + t * (b_lon - a_lon) as s_lon from (
+        select *, {dist} as dist, {t} as t from {points} p join {_PASS} e on abs(lat - a_lat) < 0.02 and abs(lon - a_lon) < 0.02)
+        where dist <= 500 qualify row_number() over (partition by {key} order by dist, edge_id) = 1)"""
+
+
+@query(f"select point_id, edge_id, round(dist, 6) as dist_m, round(s_lat, 8) as lat, round(s_lon, 8) as lon from {_snap_sql(f'({_P})', 'point_id')}")
+def j8_snap(spark, sf_dir):
+    """The nearest road open to cars within 500 m of each point."""
+    s = spatial.snap(fx.points(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car")
+    return s.select("point_id", "edge_id", F.round("dist_m", 6).alias("dist_m"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+
+
+@query(f"select round(min(dist), 6) as least, round((list(dist order by dist))[count(*) // 2 + 1], 6) as median, round(avg(dist), 6) as mean, round(max(dist), 6) as most, count(*) as n from {_snap_sql(f'({_P})', 'point_id')}")
+def a9_snap_distances(spark, sf_dir):
+    s = spatial.snap(fx.points(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car")
+    d = extract.distribution(s, "dist_m")
+    return d.select(*[F.round(c, 6).alias(c) for c in ("least", "median", "mean", "most")], "n")
+
+
+# Restrictions
+
+
+def _cross(p: str, y1: str, x1: str, y2: str, x2: str) -> str:
+    side = lambda ay, ax, by, bx, y, x: f"sign(({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax}))"
+    return f"({side('a_lat', 'a_lon', 'b_lat', 'b_lon', y1, x1)} <> {side('a_lat', 'a_lon', 'b_lat', 'b_lon', y2, x2)} and {side(y1, x1, y2, x2, 'a_lat', 'a_lon')} <> {side(y1, x1, y2, x2, 'b_lat', 'b_lon')})"
+
+
+def _triangle_sql() -> str:
+    pts = [("min_lat", "min_lon"), ("min_lat", "(min_lon + 0.004e0)"), ("(min_lat + 0.004e0)", "(min_lon + 0.0021e0)")]
+    sides = list(zip(pts, [*pts[1:], pts[0]], strict=True))
+    crosses = " or ".join(_cross("", *a, *b) for a, b in sides)
+    turn = lambda a, b, y, x: f"(({b[1]} - {a[1]}) * ({y} - {a[0]}) - ({b[0]} - {a[0]}) * ({x} - {a[1]}) >= 0)"
+    inside = " or ".join("(" + " and ".join(turn(a, b, f"{p}_lat", f"{p}_lon") for a, b in sides) + ")" for p in "ab")
+    return f"({crosses} or {inside})"
+
+
+_HITS = f"""(select area_id, edge_id from ({_A}) s, {_E} e where {q.seg_box('a_lat', 'a_lon', 'b_lat', 'b_lon', 'min_lat', 'min_lon', '(min_lat + 0.004e0)', '(min_lon + 0.004e0)')} and (area_id % 5 <> 3 or {_triangle_sql()}))"""
+
+
+@query(f"select area_id, edge_id from {_HITS}")
+def j4_area_edges(spark, sf_dir):
+    """Edges that each restriction area meets."""
+    return restrict.hits(fx.edges(spark, sf_dir), fx.areas(spark, sf_dir)[1])
+
+
+_FACTOR = " ".join(f"when '{k}' then {v['speedFactor']}e0" for k, v in prof.definition("car")["difficulty"].items())
+_FACTORS = f"""(select edge_id, bool_or(stop) as blocked, case when bool_or(stop) then 0e0 else product(f) end as factor from (
+    select edge_id, kind = 'block' or coalesce(difficulty_type = 'landslide', false) as stop, case when kind = 'block' then 1e0 else case difficulty_type {_FACTOR} else 1e0 end end as f from {_HITS} join ({_A}) a using (area_id)) group by edge_id)"""
+
+
+@query(f"select edge_id, blocked, round(factor, 9) as factor from {_FACTORS}")
+def a6_edge_factors(spark, sf_dir):
+    """Combined speed factor of each restricted edge for cars."""
+    a, s = fx.areas(spark, sf_dir)
+    f = restrict.edge_factors(restrict.hits(fx.edges(spark, sf_dir), s), a, fx.profiles()[0])
+    return f.select("edge_id", "blocked", F.round("factor", 9).alias("factor"))
+
+
+@query(f"select area_id from ({_A}) where min_lat <= {BOX[2]}e0 and min_lat + 0.004e0 >= {BOX[0]}e0 and min_lon <= {BOX[3]}e0 and min_lon + 0.004e0 >= {BOX[1]}e0")
+def j9_areas_in_box(spark, sf_dir):
+    return restrict.areas_in_box(fx.areas(spark, sf_dir)[1], _box())
+
+
+@query(f"select area_id, edge_id from {_HITS} where area_id in (select area_id from ({_A}) where not (area_id % 7 = 0 or coalesce(tag = '3', false)))")
+def r3_after_removals(spark, sf_dir):
+    """Areas added, found on the graph, then some removed by id and by tag."""
+    a, s = fx.areas(spark, sf_dir)
+    live = restrict.Restrictions(spark, a, s).attach(fx.edges(spark, sf_dir))
+    live._keep(live.areas.where(F.col("area_id") % 7 != 0))
+    live.remove_by_tag("3")
+    return live.found
+
+
+# Routes
+
+_CAR = f"(select e.edge_id, e.from_id, e.to_id, b.fwd, b.bwd, {_LEN}::double / (b.speed_kmh::double * 1000e0 / 3600e0) as s from {_E} e join ({_profile_sql('car')}) b using (edge_id) where b.can_pass)"
+
+
+def _sssp(arcs: str, source: int) -> str:
+    return f"""with recursive arcs as (select from_id as src, to_id as dst, s from {arcs} where fwd union all select to_id, from_id, s from {arcs} where bwd),
+    d(v, c) using key (v) as (select {source}::bigint, 0e0 union (select dst, min(d.c + s) from d join arcs on src = d.v left join recurring.d r on r.v = dst where r.c is null or d.c + s < r.c group by dst))"""
+
+
+@query(f"{_sssp(_CAR, 73)} select v as vertex_id, round(c, 6) as seconds from d")
+def n1_reachable(spark, sf_dir):
+    """Least car seconds from vertex 73 to all that it reaches."""
+    g = routing.collect_network(fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car")
+    one = spark.range(73, 74).select(F.col("id").alias("vertex_id"))
+    return routing.reach(g, one).select("vertex_id", F.round("seconds", 6).alias("seconds"))
+
+
+@query(f"{_sssp(_CAR, 73)} select v as vertex_id, round(c, 6) as seconds from d order by round(c, 6) desc, v limit 100")
+def n1_slowest_reachable(spark, sf_dir):
+    """The 100 slowest of them (a top-k report)."""
+    return n1_reachable(spark, sf_dir).orderBy(F.col("seconds").desc(), "vertex_id").limit(100)
+
+
+_CAR_LIMITED = f"(select c.edge_id, from_id, to_id, fwd, bwd, s / coalesce(f.factor, 1e0) as s from {_CAR} c left join {_FACTORS} f using (edge_id) where not coalesce(f.blocked, false))"
+
+
+@query(f"{_sssp(_CAR_LIMITED, 73)} select v as vertex_id, round(c, 6) as seconds from d")
+def n1_reachable_restricted(spark, sf_dir):
+    """The same with all restriction areas in force."""
+    a, s = fx.areas(spark, sf_dir)
+    f = restrict.edge_factors(restrict.hits(fx.edges(spark, sf_dir), s), a, fx.profiles()[0])
+    g = routing.collect_network(fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car", f)
+    return routing.reach(g, spark.range(73, 74).select(F.col("id").alias("vertex_id"))).select("vertex_id", F.round("seconds", 6).alias("seconds"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origin and destination of every supplier point and its neighbour by number."""
+    p = fx.points(spark, sf_dir)
+    n = (F.col("point_id") * 37 + 11) % 100
+    to = p.select(F.col("point_id").alias("k"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    return p.withColumn("k", n).join(to, "k").select(F.col("point_id").alias("req_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), "to_lat", "to_lon")
+
+
+def _route_inputs(spark, sf_dir):
+    return requests(spark, sf_dir), fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car"
+
+
+@query()
+def n6_routes(spark, sf_dir):
+    """Car routes of all requests: length, seconds, points. (Checked against brute force in tests.)"""
+    r = routing.calculate(*_route_inputs(spark, sf_dir))
+    return r.select("req_id", F.round("dist_m", 3).alias("dist_m"), F.round("dur_s", 3).alias("dur_s"), F.size("shape").alias("n_points"), F.size("edges").alias("n_edges"))
+
+
+@query()
+def n7_boundary(spark, sf_dir):
+    """Where those routes leave a box."""
+    ask = requests(spark, sf_dir)
+    r = routing.calculate(*_route_inputs(spark, sf_dir)).join(ask, "req_id").withColumn("bounds", _box())
+    out = boundary.crossing(r)
+    return out.select("req_id", "kind", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("outside_m", 3).alias("outside_m"), F.round("outside_s", 3).alias("outside_s"))
+
+
+
+
+@query(f"""select edge_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[[' || round(a_lon * 1000000)::bigint || ',' || round(a_lat * 1000000)::bigint || '],[' || round(b_lon * 1000000)::bigint || ',' || round(b_lat * 1000000)::bigint || ']]}},"properties":{{"id":' || edge_id || '}}}}' as feature
+    from {_E} where (a_lat between {BOX[0]}e0 and {BOX[2]}e0 and a_lon between {BOX[1]}e0 and {BOX[3]}e0) or (b_lat between {BOX[0]}e0 and {BOX[2]}e0 and b_lon between {BOX[1]}e0 and {BOX[3]}e0)""")
+def k4_road_geojson(spark, sf_dir):
+    """GeoJSON features of the roads with a vertex in a box, in millionths of a degree."""
+    e = fx.edges(spark, sf_dir).where(F.exists("line", lambda p: geo.in_box(p["lat"], p["lon"], _box())))
+    whole = F.transform("line", lambda p: F.array(F.round(p["lon"] * 1000000).cast("long"), F.round(p["lat"] * 1000000).cast("long")))
+    g = F.struct(F.lit("LineString").alias("type"), whole.alias("coordinates"))
+    return e.select("edge_id", F.to_json(F.struct(F.lit("Feature").alias("type"), g.alias("geometry"), F.struct(F.col("edge_id").alias("id")).alias("properties"))).alias("feature"))
+
+
