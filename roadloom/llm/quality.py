@@ -157,7 +157,7 @@ def featured(docs: DataFrame, text: str = "text", carry: list[str] | None = None
 def fit(feats: DataFrame, labels: DataFrame, max_labelled: int = 30_000, **options) -> QualityModel:
     """Learns from rows (doc_id, features) and labels (doc_id, quality).
 
-    Of the labelled rows, at most ``max_labelled`` are used: those whose ids hash lowest.
+    Of the labelled ids, about ``max_labelled`` are used: those whose hash is in the lowest share of that size.
     A document with several labels counts once, by their mean (0.5 and up: 1); null labels
     and ids don't count. Only that bounded sample comes to the driver.
     """
@@ -165,12 +165,13 @@ def fit(feats: DataFrame, labels: DataFrame, max_labelled: int = 30_000, **optio
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("quality"))
     )
-    sample = (
-        feats.join(marks, "doc_id").select("doc_id", "quality", "features")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).toPandas()
-    )
-    x = np.stack(sample["features"].to_numpy()) if len(sample) else np.zeros((0, len(FEATURES)))
-    return fit_pairs(x, sample["quality"].to_numpy(), **options)
+    n = marks.count()
+    share = 1 << 30 if n <= max_labelled else int((1 << 30) * max_labelled / n)
+    some = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)  # about max_labelled rows, whatever n
+    rows = feats.join(some, "doc_id").select("doc_id", "quality", "features").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
+    x = np.array([r["features"] for r in rows], float) if rows else np.zeros((0, len(FEATURES)))
+    return fit_pairs(x, np.array([r["quality"] for r in rows], int), **options)
 
 
 def scored(feats: DataFrame, model: QualityModel) -> DataFrame:
