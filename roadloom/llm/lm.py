@@ -1,7 +1,7 @@
 """Language-model scores of whole documents: corpus counts and a gated recurrent model.
 
-Counts of all training tokens are aggregated over the whole corpus. The ``LISTED`` most
-frequent words (a fixed bound) go to every task; counts of all others stay distributed and meet
+Counts of all training tokens are aggregated over the whole corpus. The most frequent
+words, at most ``LISTED``, go to every task; counts of all others stay distributed and meet
 the documents' remaining words in an equality join. The recurrent model learns from a share of
 the training documents that grows with the corpus: tasks each train a copy on documents of
 about ``SHARD`` tokens, the copies are averaged in blocks of parameters, and a second round starts
@@ -129,10 +129,22 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, listed: int = LISTED) -> Vocabulary:
-    """The ``listed`` most frequent words of a (word, c) table, ties by bytes, and its totals."""
+    """The most frequent words of a (word, c) table, at most ``listed``, and its totals.
+
+    A histogram of counts in bins of a sixteenth of an octave gives the least count whose words, with all
+    more frequent ones, still fit; only those words come to the driver.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(listed).collect()
-    return Vocabulary([bytes(r[0]) for r in top], np.array([r[1] for r in top], np.int64), total, distinct)
+    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.col("bin").desc()).collect()  # at most 16 x 63 rows
+    limit, room = None, listed
+    for r in bins:
+        room -= r["n"]
+        if room < 0:
+            break
+        limit = r["least"]
+    top = counts.where(F.col("c") >= limit).collect() if limit is not None else []
+    top = sorted(((bytes(r["word"]), r["c"]) for r in top), key=lambda r: (-r[1], r[0]))
+    return Vocabulary([w for w, _ in top], np.array([c for _, c in top], np.int64), total, distinct)
 
 
 def _shard(vocab: Vocabulary, flat: np.ndarray, mine: list[str], seed: int) -> tuple[np.ndarray, int]:
