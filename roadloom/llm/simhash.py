@@ -54,13 +54,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with the column ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """``docs`` (or its columns ``carry``) with the column ``name``, the fingerprint as a signed long."""
 
     def rows(texts: list[str]) -> list[pa.Array]:
         return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
 
-    return map_text(docs, text, rows, [T.StructField("fp", T.LongType())], carry)
+    return map_text(docs, text, rows, [T.StructField(name, T.LongType())], carry)
 
 
 def signatures(fps: DataFrame) -> DataFrame:
@@ -245,5 +245,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius
     kept = landed(rows.groupBy("root").agg(first.alias("x")).select("x.id", F.col("x.fp").alias("kept_fp")), "kept")
     if fps.groupBy(id_col).count().where("count > 1").isEmpty():
         return docs.join(kept, docs[id_col].eqNullSafe(kept["id"]), "left_semi")
-    again = fingerprints(docs, text).withColumnRenamed("fp", "__fp")  # ids repeat: a row is told by id and fingerprint
-    return again.join(kept, again[id_col].eqNullSafe(kept["id"]) & (again["__fp"] == kept["kept_fp"]), "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp")
+    again = fingerprints(docs, text, name="__fp")  # ids repeat: a row is told by id and fingerprint
+    return again.join(kept, again[id_col].eqNullSafe(kept["id"]) & (again["__fp"] == kept["kept_fp"]), "left_semi").dropDuplicates([id_col, "__fp"]).select(*docs.columns)
