@@ -127,7 +127,7 @@ class Restrictions:
         if polygon is not None:
             if len(polygon) < 3:
                 raise ValueError("a polygon needs three points")
-            one = self.spark.createDataFrame([(0, [tuple(p) for p in polygon], [[tuple(p) for p in h] for h in holes])], f"shape_no int, outer {POINTS}, holes array<{POINTS}>")
+            one = self.spark.createDataFrame([(0, [tuple(map(float, p)) for p in polygon], [[tuple(map(float, p)) for p in h] for h in holes])], f"shape_no int, outer {POINTS}, holes array<{POINTS}>")
             return one.withColumn("box", geo.box_of(F.col("outer")))
         codes = list(meshes)
         if not codes:

@@ -34,7 +34,8 @@ class PbfError(ValueError):
 
 def frames(f) -> Iterator[tuple[str, int, int]]:
     """(type, offset, length) of each block's body, reading headers only."""
-    at = 0
+    whole = f.seek(0, 2)
+    at = f.seek(0)
     while True:
         raw = f.read(4)
         if not raw:
@@ -58,11 +59,10 @@ def frames(f) -> Iterator[tuple[str, int, int]]:
         if not 0 <= body <= MAX_BLOB:
             raise PbfError(f"a block of {body} bytes")
         at += 4 + size
-        yield kind, at, body
-        f.seek(at + body)
-        if f.tell() != at + body:
+        if at + body > whole:
             raise PbfError("the file ends in a block")
-        at += body
+        yield kind, at, body
+        at = f.seek(at + body)
 
 
 def inflate(blob: bytes) -> bytes:
