@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo, mesh
 from roadloom.functions.profiles import Profile
+from roadloom.operators.lineage import cut
 from roadloom.operators.spatial import box_join
 
 POINTS = "array<struct<lat:double,lon:double>>"
@@ -160,9 +161,9 @@ class Restrictions:
 
     def _changed(self) -> None:
         self.changes += 1
-        if self.changes % self.every == 0 and self.spark.sparkContext.getCheckpointDir():
-            self.areas, self.shapes = self.areas.checkpoint(), self.shapes.checkpoint()
-            self.found = self.found.checkpoint() if self.found is not None else None
+        if self.changes % self.every == 0:
+            self.areas, self.shapes = cut(self.areas), cut(self.shapes)
+            self.found = cut(self.found) if self.found is not None else None
 
     def list_all(self) -> DataFrame:
         """All areas."""

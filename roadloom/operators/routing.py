@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from roadloom.functions.geo import EARTH_RADIUS_M
 from roadloom.operators import spatial
+from roadloom.operators.lineage import cut
 from roadloom.operators.restrict import weighted_seconds
 
 #: Edges of a graph that is broadcast: about 100 bytes each with both directions and few interior points.
@@ -247,14 +248,15 @@ def relax(arcs: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFra
     For graphs too large to broadcast: only vertices whose cost fell go on to the next round; each round is checkpointed.
     """
     spark = arcs.sparkSession
-    best = sources.select(F.col("vertex_id").alias("source"), "vertex_id", F.lit(0.0).alias("seconds")).distinct().checkpoint()
+    arcs = cut(arcs)
+    best = cut(sources.select(F.col("vertex_id").alias("source"), "vertex_id", F.lit(0.0).alias("seconds")).distinct())
     front = best
     for _ in range(rounds):
         step = front.join(arcs, front["vertex_id"] == arcs["src"]).groupBy("source", F.col("dst").alias("vertex_id")).agg(F.min(front["seconds"] + arcs["seconds"]).alias("new"))
-        front = step.join(best, ["source", "vertex_id"], "left").where("seconds is null or new < seconds").select("source", "vertex_id", F.col("new").alias("seconds")).checkpoint()
+        front = cut(step.join(best, ["source", "vertex_id"], "left").where("seconds is null or new < seconds").select("source", "vertex_id", F.col("new").alias("seconds")))
         if front.isEmpty():
             return best
-        best = best.join(front.select("source", "vertex_id"), ["source", "vertex_id"], "left_anti").unionByName(front).checkpoint()
+        best = cut(best.join(front.select("source", "vertex_id"), ["source", "vertex_id"], "left_anti").unionByName(front))
     raise RuntimeError(f"no end after {rounds} rounds on {spark.sparkContext.applicationId}")
 
 

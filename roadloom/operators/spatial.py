@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo
+from roadloom.operators.lineage import cut
 
 #: Degrees of a cell, and the most cells that one box explodes to; larger boxes take the other path.
 CELL, MOST_CELLS = 0.005, 4096
@@ -56,11 +57,12 @@ def nearest_edges(points: DataFrame, edges: DataFrame, k: int, size: float = CEL
 
     The searched square doubles for those points whose k-th candidate lies outside it, until none is left.
     """
+    edges = cut(edges.select("edge_id", "box"))
     total = edges.count()
     k = min(k, total)
     if not k:
         return points.select(point_id).limit(0).withColumns({"edge_id": F.lit(0).cast("long"), "d2": F.lit(0.0)})
-    left, found, reach = points.select(point_id, "lat", "lon"), None, size
+    left, found, reach = cut(points.select(point_id, "lat", "lon")), None, size
     slim = edges.select("edge_id", F.col("box").alias("edge_box"))
     for _ in range(rounds):
         if left.isEmpty():
@@ -69,10 +71,10 @@ def nearest_edges(points: DataFrame, edges: DataFrame, k: int, size: float = CEL
         near = box_join(left.withColumn("square", square), slim, "square", "edge_box", max(size, reach)).withColumn("d2", geo.box_distance2(F.col("lat"), F.col("lon"), F.col("edge_box")))
         near = near.where(F.col("d2") <= reach * reach)
         best = near.groupBy(point_id).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("d2", "edge_id"))), 1, k).alias("best"))
-        done = best.where(F.col("n") >= k)
+        done = cut(best.where(F.col("n") >= k))
         rows = done.select(point_id, F.explode("best").alias("b")).select(point_id, "b.edge_id", "b.d2")
         found = rows if found is None else found.unionByName(rows)
-        left = left.join(done.select(point_id), point_id, "left_anti")
+        left = cut(left.join(done.select(point_id), point_id, "left_anti"))
         reach *= 2
     return found
 
