@@ -1,7 +1,7 @@
 """Personal data: base patterns, and candidate spans judged by gradient-boosted trees.
 
 The base patterns always hold. Beyond them, generators of high recall propose spans that may
-overlap: numbers in groups, written-out addresses, keys and assigned secrets, IPv6, bank and
+overlap: every run of whole groups in a chain of numbers, written-out addresses, keys and assigned secrets, IPv6, bank and
 social numbers. A boosted ensemble of symmetric trees scores each from its format and its
 context; a threshold per kind, calibrated on examples kept from training, selects. Accepted
 spans that touch no base span and no better candidate are added.
@@ -84,6 +84,11 @@ def base_spans(text: str) -> list[Span]:
 
 # Generators: (kind, pattern), on texts with a digit.
 _CHAIN = re.compile(r"(?<![\w.,])[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9])+")
+_GROUP = re.compile(r"[0-9]+")
+_LEFT_GROUP = re.compile(r"([0-9]+)([\x20().\-/]{0,2})$")
+_RIGHT_GROUP = re.compile(r"([\x20().\-/]{0,2})([0-9]+)")
+#: Kinds whose candidates are runs of a chain's groups: only a whole number is right.
+_RUNS = ("card", "phone", "id")
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+=*")
 _HEXES = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
@@ -126,13 +131,21 @@ def candidates(text: str) -> list[Span]:
                 out.add((v.start(1), v.end(1), "secret"))
     if _DIGIT.search(text):
         for m in _CHAIN.finditer(text):
-            n = sum("0" <= c <= "9" for c in m.group())
-            if 7 <= n <= 15:
-                out.add((m.start(), m.end(), "phone"))
-            if 12 <= n <= 19:
-                out.add((m.start(), m.end(), "card"))
-            if 8 <= n <= 12:
-                out.add((m.start(), m.end(), "id"))
+            groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
+            for k, (start, _) in enumerate(groups):
+                while start > m.start() and text[start - 1] in "+(":
+                    start -= 1
+                n = 0
+                for a, b in groups[k : k + 19]:  # at most 19 groups, of a digit or more
+                    n += b - a
+                    if n > 19:
+                        break
+                    if 7 <= n <= 15:
+                        out.add((start, b, "phone"))
+                    if n >= 12:
+                        out.add((start, b, "card"))
+                    if 8 <= n <= 12:
+                        out.add((start, b, "id"))
         out |= {(m.start(), m.end(), "secret") for m in _KEY.finditer(text)}
         if ":" in text:
             out |= {(m.start(), m.end(), "ip") for m in _HEXES.finditer(text)}
@@ -145,7 +158,7 @@ FEATURE_NAMES = (
     *(f"kind_{k}" for k in KINDS), "length", "digits", "digit_share", "upper_share", "lower_share", "hex_share", "entropy",
     "spaces", "hyphens", "dots", "slashes", "parens", "plus", "at_mark", "dot_word", "luhn", "changes", "groups", "longest_group",
     "first_group", "last_group", "groups_334", "groups_324", "groups_4444", "iban_check", "date_like", "prefix_key", "colons",
-    "left_letter", "right_letter", "left_mark", "right_percent", "year_first", *(f"near_{c[0]}" for c in _CONTEXT),
+    "left_letter", "right_letter", "left_mark", "right_percent", "year_first", "left_run", "left_tight", "right_run", "right_tight", *(f"near_{c[0]}" for c in _CONTEXT),
 )
 
 
@@ -169,6 +182,12 @@ def describe(text: str, span: Span) -> list[float]:
     right = [w.lower() for w in _WORD.findall(text[b : b + 16])][:1]
     near = set(left) | set(right)
     before, after = text[a - 1 : a], text[b : b + 1]
+    beside = [0, 0.0, 0, 0.0]  # digits of the groups that the chain goes on with, and whether without a blank
+    if kind in _RUNS:
+        if m := _LEFT_GROUP.search(text, max(0, a - 24), a):
+            beside[:2] = len(m[1]), float(" " not in m[2])
+        if m := _RIGHT_GROUP.match(text, b, b + 24):
+            beside[2:] = len(m[2]), float(" " not in m[1])
     date = bool(re.fullmatch(r"(?:19|20)[0-9]{2}[-/.][01]?[0-9][-/.][0-3]?[0-9]|[0-3]?[0-9][-/.][0-3]?[0-9][-/.](?:19|20)?[0-9]{2}", s))
     return [
         *(float(kind == k) for k in KINDS), n, len(digits), len(digits) / n, sum(c == "u" for c in classes) / n, sum(c == "l" for c in classes) / n,
@@ -177,7 +196,7 @@ def describe(text: str, span: Span) -> list[float]:
         sum(x != y for x, y in zip(classes, classes[1:], strict=False)) / n, len(groups), max(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
         float(groups in ([3, 3, 4], [1, 3, 3, 4])), float(groups == [3, 2, 4]), float(groups == [4, 4, 4, 4]), float(kind == "id" and _iban(s)), float(date),
         float(s.startswith(("AKIA", "ASIA", "ghp_", "sk-", "sk_", "xox", "eyJ"))), s.count(":"), float(before.isalnum()), float(after.isalnum()),
-        float(before in ("=", ":", '"', "'")), float(after in ("%", "°", "€", "$")), float(bool(groups) and groups[0] == 4 and s[:2] in ("19", "20")), *(float(bool(near & set(c))) for c in _CONTEXT),
+        float(before in ("=", ":", '"', "'")), float(after in ("%", "°", "€", "$")), float(bool(groups) and groups[0] == 4 and s[:2] in ("19", "20")), *beside, *(float(bool(near & set(c))) for c in _CONTEXT),
     ]
 
 
@@ -202,7 +221,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         return f"{country}{98 - rest:02d}{body}"
 
     good = {
-        "phone": (lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"00{d(2)} {d(3)} {d(3)} {d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", lambda: f"+{d(2)}/{d(4)}/{d(6)}"),
+        "phone": (lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"00{d(2)} {d(3)} {d(3)} {d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", lambda: f"+{d(2)}/{d(4)}/{d(6)}", lambda: f"+{d(r.choice((1, 2)))} ({d(3)}) {d(3)}-{d(4)}"),
         "card": (card,),
         "id": (lambda: f"{d(3)}-{d(2)}-{d(4)}", iban),
         "secret": (lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + "4", lambda: f"password={key(r.randint(8, 24), hexes)}", lambda: f'token = "{key(40, hexes)}"', lambda: f"secret: {key(r.randint(10, 40))}", lambda: f"api_key={key(32)}", lambda: "ghp_" + key(36), lambda: "sk-" + key(40)),
@@ -216,20 +235,32 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"{word()}-{word()}-{word()}-{word()}{d(1)}", lambda: f"http/{word()}/{word()}/{word()}{d(2)}/{word()}", lambda: f"{word()} at {word()}.{word()}", lambda: f"we met at {word()}.{word()}",
         lambda: f"{d(3)}.{d(3)}.{d(3)}", lambda: f"sku {d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"uuid {key(8, hexes)}-{key(4, hexes)}-{key(4, hexes)}-{key(12, hexes)}", lambda: f"{word()}_{word()}_{word()}_{d(4)}",
         lambda: f"token: {word()}", lambda: f"the password: {word()}{word()}", lambda: f"{d(1)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"km {d(4)} {d(4)}",
+        lambda: " ".join(d(r.randint(1, 6)) for _ in range(r.randint(3, 12))), lambda: r.choice((" ", "/", "-")).join(d(r.randint(2, 4)) for _ in range(r.randint(4, 9))),
     )
+    plain = (lambda: f"20{d(2)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: d(r.randint(1, 8)), lambda: f"{r.randint(1, 255)}.{d(2)}.{d(2)}.{r.randint(1, 255)}")
     xs, ys = [], []
     while len(ys) < n:
         lead, tail = [word() for _ in range(r.randint(2, 5))], [word() for _ in range(3)]
-        wanted, positive = "", r.random() < 0.5
-        if positive:
+        parts: list[tuple[str, str]] = []  # (kind or none, text)
+        if r.random() < 0.5:
             kind = r.choice(list(good))
-            wanted = r.choice(good[kind])()
+            parts.append((kind, r.choice(good[kind])()))
             if r.random() < 0.4:
                 lead.append(r.choice({"phone": _CONTEXT[0], "card": _CONTEXT[1], "secret": _CONTEXT[2], "email": _CONTEXT[3], "ip": _CONTEXT[4], "id": _CONTEXT[5]}[kind]))
-        text = " ".join([*lead, wanted or r.choice(bad)(), *tail]) + "."
-        for span in candidates(text):
-            xs.append(describe(text, span))
-            ys.append(float(positive and span[2] == kind and text[span[0] : span[1]] in wanted and span[1] - span[0] >= 0.4 * len(wanted)))
+            if kind in _RUNS and r.random() < 0.6:  # numbers side by side
+                other = r.choice((kind, kind, "card", "phone", ""))
+                parts.insert(r.randint(0, 1), (other, r.choice(good[other] if other else plain)()))
+        else:
+            parts.append(("", r.choice(bad)()))
+        text, places = " ".join(lead), []
+        for kind, part in parts:
+            places.append((len(text) + 1, len(text) + 1 + len(part), kind))
+            text += " " + part
+        text = " ".join([text, *tail]) + "."
+        for a, b, kind in candidates(text):
+            right = any(k == kind and s <= a and b <= e and (b - a == e - s if k in _RUNS else b - a >= 0.4 * (e - s)) for s, e, k in places)
+            xs.append(describe(text, (a, b, kind)))
+            ys.append(float(right))
     return np.array(xs), np.array(ys)
 
 
@@ -256,7 +287,7 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -40, 40)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.2, l2: float = 2.0, bins: int = 32) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 160, depth: int = 4, rate: float = 0.2, l2: float = 2.0, bins: int = 32) -> Boosted:
     """Gradient boosting of the logistic loss with Newton leaves."""
     grid = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(g, x[:, f], "left") for f, g in enumerate(grid)], 1)  # above cut k: bin > k
@@ -318,7 +349,7 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float = 0
 
 
 @lru_cache(2)
-def trained(n: int = 12_000, seed: int = 20_240) -> Boosted:
+def trained(n: int = 30_000, seed: int = 20_240) -> Boosted:
     """The model: two thirds of the made examples train it, one third calibrates."""
     x, y = examples(n, seed)
     cut = 2 * len(y) // 3

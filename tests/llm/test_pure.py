@@ -181,6 +181,18 @@ def test_boosted_spans():
     assert privacy.find("", model) == ([], []) and privacy.joined([]) == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
 
+def test_numbers_side_by_side():
+    model = privacy.trained()
+    for numbers in (["7536784127813050", "4845168114407329"], ["+1 (826) 555-4081", "190.137.223.204"], ["415-555-2671", "415-555-2672"], ["078-05-1120", "219-09-9999"], ["(826) 555-4081", "(826) 555-4082"]):
+        text = "we have " + " ".join(numbers) + " here"
+        assert [text[a:b] for a, b, _ in privacy.find(text, model)[1]] == numbers
+    chain = "12 345 6789 " * 40
+    runs = {(a, b) for a, b, _ in privacy.candidates(chain)}
+    ends = [(m.start(), m.end()) for m in re.finditer("[0-9]+", chain)]
+    want = {(a, b) for k, (a, _) in enumerate(ends) for _, b in ends[k:] if 7 <= sum(c.isdigit() for c in chain[a:b]) <= 19}
+    assert runs == want
+
+
 def slow_align(a, b, o):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
