@@ -39,12 +39,12 @@ select way_id, pos, case when k % 3 = 0 then k else 1000000 + way_id * 100 + pos
 NODES = """
 select distinct node_id, 35.0e0 + ((node_id * 7919) % 30011) * 0.00001e0 as lat, 136.5e0 + ((node_id * 104729) % 30013) * 0.00001e0 as lon from ({refs}) r"""
 
-#: Restriction commands: each makes one area of a square shape, or a mesh cell.
+#: Restriction commands: every event makes one area.
 AREAS = """
 select event_id as area_id, case event_type when 'error' then 'block' else 'difficulty' end as kind,
     case event_type when 'click' then 'flooding' when 'view' then 'construction' when 'purchase' then 'snow' when 'signup' then 'landslide' else null end as difficulty_type,
     cast(user_id as varchar(20)) as tag, 35.05e0 + ((event_id * 613) % 7400) * 0.00001e0 as min_lat, 136.6e0 + ((event_id * 419) % 7800) * 0.00001e0 as min_lon
-from {events} where event_id % 25 = 3"""
+from {events}"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,8 @@ from roadloom.functions import geo, mesh
 from roadloom.functions.profiles import InvalidProfile, Profile, definition, duplicate_names
 from roadloom.operators import boundary, extract, restrict, routing, spatial
 from roadloom.operators.restrict import Restrictions
+from roadloom.plans import fixtures as fx
+from roadloom.plans import registry
 from roadloom.streaming import restrictions as stream
 
 CAR = Profile.of(definition("car"))
@@ -203,3 +205,15 @@ def test_stream_query(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [(0, 1)]
+
+
+def test_every_event_is_an_area(spark):
+    sf = "/root/testdata/sf0.001"
+    areas, shapes = fx.areas(spark, sf)
+    events = [r[0] for r in fx.table(spark, sf, "events").select("event_id").collect()]
+    assert sorted(r.area_id for r in areas.collect()) == sorted(r.area_id for r in shapes.collect()) == sorted(events)
+    edges = fx.edges(spark, sf).select("edge_id", F.col("line")[0].alias("a"), F.col("line")[1].alias("b"))
+    pairs = shapes.crossJoin(edges).where(restrict.shape_meets_segment(F.col("box"), F.col("outer"), F.col("holes"), F.col("a"), F.col("b")))
+    found = registry.QUERIES["j4_area_edges"](spark, sf)
+    rows = lambda df: sorted((r.area_id, r.edge_id) for r in df.select("area_id", "edge_id").collect())
+    assert rows(found) == rows(pairs)
