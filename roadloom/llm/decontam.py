@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words.
 
 Words are runs of letters, digits and marks, lower-cased. Every n-gram of a test item is
-counted over all documents; an item's seeds are its n-grams found in few documents, and its
-rarest half whatever their counts, so that an item copied everywhere keeps seeds. A document
+counted over all documents; an item's seeds are its n-grams found in few documents, its rarest
+half whatever their counts, and all n-grams with no rare one beside them, so that every part
+of an item copied everywhere has seeds. A document
 holding a seed is aligned with the item around it; copies with words replaced, inserted or
 dropped still align. The score is the alignment's part of the item's self-alignment.
 
@@ -117,7 +118,14 @@ class Items:
         start = np.searchsorted(self.item_of[order], np.arange(len(self.ids)))
         rank[order] = np.arange(len(use)) - start[self.item_of[order]]
         total = np.bincount(self.item_of, minlength=len(self.ids))
-        return (use <= max(3, self.options.rare * docs)) | (2 * rank < total[self.item_of])
+        rare = use <= max(3, self.options.rare * docs)
+        order = np.lexsort((self.place_of, self.item_of))
+        near, item, few = np.zeros(len(use), bool), self.item_of[order], rare[order]
+        for k in range(1, self.options.n):
+            same = item[k:] == item[:-k]
+            near[order[k:][same & few[:-k]]] = True
+            near[order[:-k][same & few[k:]]] = True
+        return rare | (2 * rank < total[self.item_of]) | ~near
 
 
 def align(windows: np.ndarray, items: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:

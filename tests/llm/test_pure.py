@@ -261,3 +261,19 @@ def test_gradients():
         e[i, j] = 1e-5
         slope = -(m.output(h + e, target, klass)[0].sum() - m.output(h - e, target, klass)[0].sum()) / 2e-5
         assert dh[i, j] == pytest.approx(slope, rel=1e-3, abs=1e-6)
+
+
+def test_seeds_of_an_item_copied_everywhere():
+    word = lambda: "".join(R.choice("abcdefghij") for _ in range(7))
+    item = [word() for _ in range(24)]
+    edited = [word() if k in (1, 4, 7, 10) else w for k, w in enumerate(item)]
+    mixed = [word() for _ in range(24)]
+    docs = [" ".join(item + mixed[:12]) for _ in range(8)]
+    docs += [" ".join(item[12:]), " ".join(edited), " ".join(item[:12]), " ".join(mixed[:12]), " ".join(mixed[12:]), " ".join(word() for _ in range(30))]
+    own = decontam.Items.of([(1, " ".join(item)), (2, " ".join(mixed))], decontam.Options())
+    seqs = [own.encode(d) for d in docs]
+    df = np.zeros(len(own.grams), np.int64)
+    for s in seqs:
+        df[np.unique(own.found(s)[0])] += 1
+    found = {(d, own.ids[i]) for d, i, *_ in decontam.matches(own, own.seeds(df, len(docs)), seqs)}
+    assert found == {(d, i) for d in range(8) for i in (1, 2)} | {(8, 1), (9, 1), (10, 1), (11, 2), (12, 2)}
