@@ -2,8 +2,8 @@
 
 Counts of all training tokens are aggregated over the whole corpus. The most frequent
 words, at most ``LISTED``, go to every task; counts of all others stay distributed and meet
-the documents' remaining words in an equality join. The recurrent model learns from a share of
-the training documents that grows with the corpus: tasks each train a copy on documents of
+the documents' remaining words in an equality join. The recurrent model learns from every
+training document: tasks each train a copy on documents of
 about ``SHARD`` tokens, the copies are averaged in blocks of parameters, and a second round starts
 from the average. Scoring carries each document's state through all its windows.
 """
@@ -27,8 +27,8 @@ from roadloom.llm.common import id_remainder, landed
 
 #: Words whose counts every task holds, and words of the model.
 LISTED, MODEL = 65_536, gru.WIDTH * gru.CLASSES
-#: Of the training tokens, the share that trains the model, at least so many; tokens of a copy; rounds; step size.
-SHARE, LEAST, SHARD, ROUNDS, RATE = 1 / 16, 2_000_000, 600_000, 2, 0.2
+#: Tokens of a copy; rounds; step size.
+SHARD, ROUNDS, RATE = 600_000, 2, 0.2
 #: Distinct words of a task's counter, tokens scored together, parameters of an averaging block.
 COUNTER, TOGETHER, CHUNK = 400_000, 2_000_000, 4096
 #: The token after each document; no word is empty.
@@ -179,19 +179,18 @@ def _added(t: pa.Table) -> pa.Table:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text: str = "text") -> gru.Gru:
-    """Trains the model on a share of ``docs``, averaging the copies of all shards after each round."""
+    """Trains the model on all of ``docs``, averaging the copies of all shards after each round."""
     model = vocab.start()
     if not vocab.total:
         return model
-    share = min(1.0, max(SHARE, LEAST / vocab.total))
-    shards = max(1, round(share * vocab.total / SHARD))
+    shards = max(1, round(vocab.total / SHARD))
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(body.cast("binary")), F.lit(3))
-    some = docs.select(key.alias("key"), body).where(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)))
-    some = landed(some.withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards))), "lm-train")
+    every = docs.select(key.alias("key"), body)
+    every = landed(every.withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards))), "lm-train")
     for k in range(ROUNDS):
         held = docs.sparkSession.sparkContext.broadcast((vocab, model.flat()))  # bounded by the model's and the list's sizes
-        copies = some.groupBy("shard").applyInArrow(_learner(held, k), _PARTS)
+        copies = every.groupBy("shard").applyInArrow(_learner(held, k), _PARTS)
         means = copies.groupBy("part", "lot").applyInArrow(_added, _PARTS).groupBy("part").applyInArrow(_added, _PARTS).orderBy("part").collect()  # one model
         if not means:
             break

@@ -221,3 +221,19 @@ def test_pipeline(spark, tmp_path):
         if k == 3:
             assert all(not privacy.base_spans(r.text) for r in out.collect())
     assert out.where("not round_trip").count() == 0 and labels.count() > 0
+
+
+def test_model_learns_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 1 / 16, raising=False)
+    monkeypatch.setattr(lm, "LEAST", 10, raising=False)
+    monkeypatch.setattr(lm, "SHARD", 1000)
+    kept, land = {}, lm.landed
+
+    def recorded(df, name):
+        kept[name] = land(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(lm, "landed", recorded)
+    docs = spark.createDataFrame([(k, f"one two w{k % 7} four") for k in range(400)], "doc_id long, text string")
+    model = lm.fit(docs, lm.vocabulary(lm.count_tokens(docs)))
+    assert kept["lm-train"].count() == 400 and np.isfinite(model.flat()).all()
