@@ -1,7 +1,7 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 DataFrame functions only. Every record hashes to one of thousands of slots for good; only
-the slots' bytes are aggregated, and a map from slots to shards is stored in versions.
+the slots' bytes are aggregated, and a map from slots to shards has versions; `assign` makes it anew and stores none.
 Placing is greedy, largest slot first onto the lightest shard, in one array fold over at most
 ``slots`` elements, a fixed bound. Rebalancing edits the newest version: shards above the mean
 give away just enough slots, which are placed again; all other slots stay.
