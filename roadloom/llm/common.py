@@ -18,18 +18,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset.
+
+    A new one is on this machine, so it is made only where the executors are threads of the driver.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='roadloom-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The application's folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/roadloom-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path not used before, below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path not used before, in the application's folder below the shared one."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def swept(spark: SparkSession) -> None:
+    """Removes every table that this application has landed; results that read them must be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, *taken: str) -> str:
+    """``name``, with underscores added until it equals none of ``taken``, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
