@@ -7,6 +7,10 @@ of an item copied everywhere has seeds. A document
 holding a seed is aligned with the item around it; copies with words replaced, inserted or
 dropped still align. The score is the alignment's part of the item's self-alignment.
 
+A part of a short item identifies nothing, so an item of fewer than ``least`` words matches exactly: a
+document that holds all its words in a row, or, where it is shorter than an n-gram, a document
+that has no other words.
+
 Test items are read in blocks of bounded size (``block_mb``); each block is an index that
 every task holds, and every document meets every block.
 """
@@ -30,8 +34,8 @@ _WORDS = re.compile(r"\w+").findall
 
 @dataclass(frozen=True)
 class Options:
-    """n: words of a seed; rare: largest share of documents of a seed; least: words of an item, shorter
-    ones identify nothing and never match; threshold: least share of the item's self-alignment;
+    """n: words of a seed; rare: largest share of documents of a seed; least: words of an item that is
+    aligned, shorter ones match exactly; threshold: least share of the item's self-alignment;
     match, mismatch, gap: alignment scores; block_mb: test text held by a task at once."""
 
     n: int = 3
@@ -61,24 +65,28 @@ class Items:
     gram_of: np.ndarray = None  # of each use
     item_of: np.ndarray = None
     place_of: np.ndarray = None
-    first_use: np.ndarray = None  # uses of gram g: first_use[g] to first_use[g + 1]
+    whole: dict = field(default_factory=dict)  # items shorter than an n-gram by their word ids
+    exact: list = field(default_factory=list)  # whether an item matches exactly only
 
     @classmethod
     def of(cls, rows: list[tuple], options: Options) -> Items:
         out = cls(options)
         for item_id, text in rows:
             seq = words(text or "")
-            if len(seq) >= max(options.least, options.n):
-                out.ids.append(item_id)
-                out.seqs.append(np.array([out.vocabulary.setdefault(w, len(out.vocabulary)) for w in seq], np.int64))
-        keys = [out.keys(s) for s in out.seqs]
+            if not seq:
+                continue
+            out.seqs.append(np.array([out.vocabulary.setdefault(w, len(out.vocabulary)) for w in seq], np.int64))
+            out.exact.append(len(seq) < max(options.least, options.n))
+            if len(seq) < options.n:
+                out.whole.setdefault(tuple(out.seqs[-1].tolist()), []).append(len(out.ids))
+            out.ids.append(item_id)
+        keys = [out.keys(s)[: 1 if short else None] for s, short in zip(out.seqs, out.exact, strict=True)]
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys]) if keys else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
         out.grams, gram = np.unique(flat, return_inverse=True)
         order = np.argsort(gram, kind="stable")
         out.gram_of, out.item_of, out.place_of = gram[order], item[order], place[order]
-        out.first_use = np.searchsorted(out.gram_of, np.arange(len(out.grams) + 1))
         return out
 
     def keys(self, seq: np.ndarray) -> np.ndarray:
@@ -157,24 +165,34 @@ def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
 
 def matches(items: Items, seed: np.ndarray, seqs: list[np.ndarray], pairs: int = 2048) -> Iterator[tuple[int, int, float, int, int]]:
     """(document's place in ``seqs``, item, score, first word, word after the last) of the best
-    alignment of each pair that reaches the threshold."""
+    alignment of each pair that reaches the threshold; of equal ones, the first in the document."""
     o, tasks = items.options, []
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    seeds = np.flatnonzero(seed)
+    first_use = np.searchsorted(items.gram_of[seeds], np.arange(len(items.grams) + 1))  # of gram g: first_use[g] to first_use[g + 1]
+    short = np.array(items.exact, bool)
     for d, seq in enumerate(seqs):
+        if 0 < len(seq) < o.n:
+            best |= {(d, i): (1.0, 0, len(seq)) for i in items.whole.get(tuple(seq.tolist()), ())}
         g, at = items.found(seq)
         if not len(g):
             continue
-        count = items.first_use[g + 1] - items.first_use[g]
-        use = np.repeat(items.first_use[g], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        count = first_use[g + 1] - first_use[g]
+        use = seeds[np.repeat(first_use[g], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         place = np.repeat(at, count)
-        use, place = use[seed[use]], place[seed[use]]
         item = items.item_of[use]
+        exact = short[item]
+        for i, a in zip(item[exact].tolist(), place[exact].tolist(), strict=True):
+            own = items.seqs[i]
+            if (d, i) not in best and np.array_equal(seq[a : a + len(own)], own):
+                best[d, i] = (1.0, a, a + len(own))
+        use, place, item = use[~exact], place[~exact], item[~exact]
         slack = 4 + np.array([len(items.seqs[i]) // 4 for i in item], np.int64)
         cell = (place - items.place_of[use]) // slack
         for i, c in {(int(i), int(c)) for i, c in zip(item, cell, strict=True)}:
             s = 4 + len(items.seqs[i]) // 4
             first = max(0, (c - 1) * s)
             tasks.append((d, i, first, seq[first : (c + 2) * s + len(items.seqs[i])]))
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     tasks.sort(key=lambda t: (len(t[3]), t[0], t[1], t[2]))
     for k in range(0, len(tasks), pairs):
         some = tasks[k : k + pairs]
@@ -255,8 +273,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options(), i
     """doc_id, item_id, score, first_word, end_word of every document and item that align.
 
     Null and empty texts match nothing; repeated rows each match; items of fewer than
-    ``least`` words never match, nor do items of an empty table; null ids stay; other columns
-    are ignored, whatever their names.
+    ``least`` words match exactly (see above); items without words never match, nor do items of an empty
+    table; equal rows of the benchmark count once; of equally good places in a text the first is given; whole
+    texts are read, however long; null ids stay; other columns are ignored, whatever their names.
     """
     spark, out = docs.sparkSession, None
     for items in blocks(benchmark, options, "item_id", "text"):
@@ -270,7 +289,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options(), i
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that align with no item, all columns kept."""
+    """The rows of ``docs`` that align with no item, all columns kept, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty
+    result; an empty benchmark keeps every row; whole texts are read, however long.
+    """
     out = docs
     for items in blocks(benchmark, options, "item_id", "text"):
         seed = items.seeds(*frequencies(docs, items, text))
