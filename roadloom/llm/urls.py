@@ -1,7 +1,7 @@
 """URL filter: rules first, then a path-template tree with smoothed labelled purity.
 
 DataFrame functions only. Urls of one host form a tree of path segments. Segments with
-digits generalise to wildcards at once; then, level by level from the root, rare children of
+digits generalise to wildcards at once; then, level by level from the root to the deepest path, rare children of
 a node with many children become one wildcard, and labelled children whose share of blocked
 urls doesn't differ significantly from the pooled share of those siblings that lean the same
 way are merged into one (``*block`` or ``*allow``). A template is rejected if its blocked share, smoothed by its host's, reaches one half.
@@ -30,14 +30,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class TreeOptions:
     """Parameters of the tree.
 
-    levels: levels at which branches are merged; below, only patterns generalise.
     fan: a node with more children than this generalises those below ``rare`` of its urls.
     z: children merge if the two-sided test of their share against the pool stays below it.
     prior, coverage, strength: share assumed of an unlabelled url, its weight as a part of
     the host's urls, and the weight of the host's share in a template's.
     """
 
-    levels: int = 3
     fan: int = 12
     rare: float = 0.02
     z: float = 1.96
@@ -74,13 +72,26 @@ def pattern(path: Column) -> Column:
 
 
 def tree(counts: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
-    """From (host, raw, n, labelled, blocked), one row per host and raw pattern, the same with ``template``."""
-    o, t = options, counts.withColumn("t", F.col("raw"))
-    for level in range(1, o.levels + 1):
-        here = F.size("t") >= level
-        t = t.withColumn("up", F.when(here, F.slice("t", 1, level - 1))).withColumn("child", F.when(here, F.get("t", F.lit(level - 1))))
+    """From (host, raw, n, labelled, blocked), one row per host and raw pattern, the same with ``template``.
+
+    A level works on those paths only that reach it and share their start with another; the others are done.
+    A merge can bring paths together whose starts then agree, so this is asked anew at each level.
+    """
+    o, t, done, level = options, counts.withColumn("t", F.col("raw")), None, 0
+    while True:
+        level += 1
+        start = F.when(F.size("t") >= level, F.slice("t", 1, level - 1))
+        t = t.withColumn("up", start)
+        alone = t.where("up is not null").groupBy("host", "up").agg(F.count("*").alias("sharing"))
+        t = landed(t.join(alone, ["host", "up"], "left"), "url-level")
+        settled = t.where("sharing is null or sharing = 1").drop("up", "sharing")
+        done = settled if done is None else done.unionByName(settled)
+        t = t.where("sharing > 1").drop("sharing")
+        if t.isEmpty():
+            break
+        t = t.withColumn("child", F.get("t", F.lit(level - 1)))
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-        nodes = t.where("child is not null").groupBy("host", "up", "child").agg(*sums).withColumn("lean", 2 * F.col("blocked") >= F.col("labelled"))
+        nodes = t.groupBy("host", "up", "child").agg(*sums).withColumn("lean", 2 * F.col("blocked") >= F.col("labelled"))
         nodes = landed(nodes, "url-nodes")
         size = nodes.groupBy("host", "up").agg(F.count("*").alias("fan"), F.sum("n").alias("all_n"))
         pool = nodes.groupBy("host", "up", "lean").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
@@ -96,8 +107,7 @@ def tree(counts: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
         )
         swap = F.transform("t", lambda s, i: F.when((i == level - 1) & F.col("to").isNotNull(), F.col("to")).otherwise(s))
         t = t.join(merged, ["host", "up", "child"], "left").withColumn("t", swap).drop("up", "child", "to")
-        t = landed(t, "url-level")  # the next level reads this several times
-    return t.withColumnRenamed("t", "template")
+    return done.withColumnRenamed("t", "template")
 
 
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, options: TreeOptions = TreeOptions(), id_col: str = "page_id") -> DataFrame:
@@ -134,8 +144,8 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, option
     return out.select(id_col, "host", "path", "rule", said.alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
 
 
-def oracle(options: TreeOptions = TreeOptions(), rules=RULES) -> str:
-    """The same in DuckDB SQL over the view ``pages``."""
+def oracle(options: TreeOptions = TreeOptions(), rules=RULES, levels: int = 8) -> str:
+    """The same in DuckDB SQL over the view ``pages``, written out for paths of up to ``levels`` segments; a deeper one is an error."""
     o = options
     cases = {"rule": "", "ruled": ""}
     for kind, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
@@ -144,7 +154,7 @@ def oracle(options: TreeOptions = TreeOptions(), rules=RULES) -> str:
         cases["rule"] += f" when {fits} then '{text}'"
         cases["ruled"] += f" when {fits} then '{kind}'"
     steps, last = [], "t0"
-    for k in range(1, o.levels + 1):
+    for k in range(1, levels + 1):
         steps.append(f"""
         n{k} as (select host, t[:{k - 1}] as up, t[{k}] as child, sum(n) as n, sum(labelled) as l, sum(blocked) as b, 2 * sum(blocked) >= sum(labelled) as lean from {last} where len(t) >= {k} group by all),
         m{k} as (select *, count(*) over (partition by host, up) > {o.fan} and n < {o.rare}e0 * sum(n) over (partition by host, up) as rare,
@@ -160,7 +170,7 @@ def oracle(options: TreeOptions = TreeOptions(), rules=RULES) -> str:
     hp as (select page_id, translate(raw_host, '{_UPPER}', '{_LOWER}') as host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') as path from h),
     seen as (select *, case{cases['rule']} end as rule, case{cases['ruled']} end as ruled,
         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: case when regexp_matches(s, '[0-9]') then '*' || regexp_extract(s, '\\.[A-Za-z]+$') else s end) as raw from hp),
-    t0 as (select host, raw, raw as t, count(*) as n, count(ruled) as labelled, count(*) filter (where ruled = 'block') as blocked from seen group by all),
+    t0 as (select host, raw, case when len(raw) > {levels} then error('a path is deeper than this SQL') else raw end as t, count(*) as n, count(ruled) as labelled, count(*) filter (where ruled = 'block') as blocked from seen group by all),
     {','.join(steps)},
     oh as (select host, sum(n) as hn, sum(labelled) as hl, sum(blocked) as hb from {last} group by host),
     lv as (select host, t, sum(labelled) as tl, sum(blocked) as tb from {last} group by all),
