@@ -16,6 +16,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import map_text
+from roadloom.llm.common import map_text, unused
 
 #: Kinds in the order of equal starts; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -98,6 +99,7 @@ _AT = re.compile(r"(?:\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20)")
 _AFTER = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,63}){1,4}")
 #: Words before an assigned secret.
 _NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "api key", "auth", "credential")
+_LONGEST_NAME = max(map(len, _NAMES))
 #: Context words, by the feature they make.
 _CONTEXT = (
     ("phone", "tel", "call", "mobile", "fax", "dial"),
@@ -120,13 +122,16 @@ def candidates(text: str) -> list[Span]:
     for m in _AT.finditer(text) if " at " in text or "at)" in text or "at]" in text or "at}" in text else ():
         if tail := _AFTER.match(text, m.end()):
             start = m.start()
-            while start > max(0, m.start() - 64) and text[start - 1] in _LOCAL_CHARS:
+            while start > 0 and text[start - 1] in _LOCAL_CHARS:
                 start -= 1
             if start < m.start():
                 out.add((start, tail.end(), "email"))
     if "=" in text or ":" in text:
         for m in _MARK.finditer(text):
-            name = text[max(0, m.start() - 24) : m.start()].rstrip(" \"'").lower()
+            end = m.start()
+            while end > 0 and text[end - 1] in " \"'":
+                end -= 1
+            name = text[max(0, end - _LONGEST_NAME) : end].lower()
             if name.endswith(_NAMES) and (v := _VALUE.match(text, m.end())):
                 out.add((v.start(1), v.end(1), "secret"))
     if _DIGIT.search(text):
@@ -356,19 +361,49 @@ def trained(n: int = 30_000, seed: int = 20_240) -> Boosted:
     return calibrate(boost(x[:cut], y[:cut]), x[cut:], y[cut:])
 
 
+class _Taken:
+    """Disjoint stretches of a text, by start; adding one that touches another joins them."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts, self.ends = [], []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether a to b overlaps a stretch."""
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        """Adds a stretch that overlaps none."""
+        k = bisect_right(self.ends, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def find(text: str, model: Boosted) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans) of one text, each by start and then kind."""
+    """(base spans, all spans) of one text, each by start and then kind.
+
+    Of accepted candidates that overlap, the likelier one is taken; at ties the longer, then the one that starts first, then by kind's name.
+    """
     base = base_spans(text)
-    proposed = [s for s in candidates(text) if all(s[1] <= b[0] or s[0] >= b[1] for b in base)] if base else candidates(text)
+    held = _Taken(base)
+    proposed = [s for s in candidates(text) if not held.meets(s[0], s[1])]
     if not proposed:
         return base, base
     x = np.array([describe(text, s) for s in proposed])
     p = model.probability(x)
     limit = np.array([model.thresholds[KINDS.index(s[2])] for s in proposed])
     taken: list[Span] = []
+    held = _Taken([])
     for k in sorted(np.flatnonzero(p >= limit).tolist(), key=lambda k: (-p[k], proposed[k][0] - proposed[k][1], proposed[k])):
         s = proposed[k]
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
+        if not held.meets(s[0], s[1]):
+            held.add(s[0], s[1])
             taken.append(s)
     return base, sorted(base + taken, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -394,8 +429,9 @@ def redact(text: str, spans: list[Span]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of ``docs``.
 
-    Places are code points. Null texts count as empty and have no spans; repeated rows and
-    null ids each give a row; other columns are ignored, whatever their names.
+    Places are code points. Null and empty texts have no spans; whole texts are read, however long;
+    repeated rows and null ids each give a row; of overlapping added spans the likelier one is kept (see
+    :func:`find`); an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     model = trained()
 
@@ -409,15 +445,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with all spans of each text replaced; null texts stay null, and ``length``, if there, is set anew."""
+    """``docs`` with all spans of each text replaced, and ``length``, if there, set anew.
+
+    Null texts stay null and keep their length; empty texts stay empty; whole texts are read, however long; repeated rows each
+    stay; an empty table gives an empty result; all other columns stay, whatever their names.
+    """
     model = trained()
+    name = unused("redacted", *docs.columns)
 
     def rows(texts: list[str]) -> list[pa.Array]:
         return [pa.array([redact(t, find(t, model)[1]) for t in texts], pa.string())]
 
-    done = map_text(docs, text, rows, [T.StructField("__redacted", T.StringType())])
-    now = F.when(F.col(text).isNotNull(), F.col("__redacted"))
-    columns = {text: now}
+    done = map_text(docs, text, rows, [T.StructField(name, T.StringType())])
+    known = F.col(text).isNotNull()
+    columns = {text: F.when(known, F.col(name))}
     if length in docs.columns:
-        columns[length] = F.when(F.col(text).isNotNull(), F.length("__redacted").cast(docs.schema[length].dataType)).otherwise(F.col(length))
-    return done.withColumns(columns).select(*docs.columns)
+        columns[length] = F.when(known, F.length(name).cast(docs.schema[length].dataType)).otherwise(F.col(length))
+    return done.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
