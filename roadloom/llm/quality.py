@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import id_remainder, landed, map_text
+from roadloom.llm.common import id_remainder, landed, map_text, unused
 
 #: Features of a text, in order.
 FEATURES = (
@@ -144,22 +144,22 @@ def quantile_threshold(u: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(cut), float(k / len(y))
 
 
-def featured(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with the float array ``features`` of each whole text."""
+def featured(docs: DataFrame, text: str = "text", carry: list[str] | None = None, name: str = "features") -> DataFrame:
+    """``docs`` (or its columns ``carry``) with the float array ``name``: the features of each whole text."""
 
     def rows(texts: list[str]) -> list[pa.Array]:
         flat = np.concatenate([features(t) for t in texts])
         return [pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32), pa.array(flat))]
 
-    return map_text(docs, text, rows, [T.StructField("features", T.ArrayType(T.FloatType()))], carry)
+    return map_text(docs, text, rows, [T.StructField(name, T.ArrayType(T.FloatType()))], carry)
 
 
 def fit(feats: DataFrame, labels: DataFrame, max_labelled: int = 30_000, **options) -> QualityModel:
     """Learns from rows (doc_id, features) and labels (doc_id, quality).
 
     Of the labelled ids, about ``max_labelled`` are used: those whose hash is in the lowest share of that size.
-    A document with several labels counts once, by their mean (0.5 and up: 1); null labels
-    and ids don't count. Only that bounded sample comes to the driver.
+    An id with several labels counts once, by their mean (0.5 and up: 1), and one with several rows by the
+    least of their features; null labels and ids don't count. Only that bounded sample comes to the driver.
     """
     marks = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -168,33 +168,36 @@ def fit(feats: DataFrame, labels: DataFrame, max_labelled: int = 30_000, **optio
     n = marks.count()
     share = 1 << 30 if n <= max_labelled else int((1 << 30) * max_labelled / n)
     some = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)  # about max_labelled rows, whatever n
-    rows = feats.join(some, "doc_id").select("doc_id", "quality", "features").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
+    chosen = feats.select("doc_id", "features").join(some, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features"))
+    rows = chosen.toArrow().to_pylist()  # one row an id
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["features"] for r in rows], float) if rows else np.zeros((0, len(FEATURES)))
     return fit_pairs(x, np.array([r["quality"] for r in rows], int), **options)
 
 
-def scored(feats: DataFrame, model: QualityModel) -> DataFrame:
-    """``feats`` with score (0..1) and predicted (1 if score >= 0.5) instead of its features."""
-    kept = [c for c in feats.columns if c not in ("features", "score", "predicted")]
-    packed = feats.select(F.struct(*kept).alias("row"), "features")
-    schema = T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def scored(feats: DataFrame, model: QualityModel, features: str = "features", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``feats`` with score (0..1) and predicted (1 if score >= 0.5) instead of its features; these win over columns of their names."""
+    kept = [c for c in feats.columns if c not in (features, score, predicted)]
+    packed = feats.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{features}`"))
+    schema = T.StructType([packed.schema["row"], T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 s = model.score(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(float))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["row", score, predicted])
 
-    return packed.mapInArrow(run, schema).select("row.*", "score", "predicted")
+    out = packed.mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], score, predicted)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
     Learns only from rows whose crc32(doc_id as text) mod ``modulus`` isn't ``held``. Null and
-    empty texts get the score of the empty text; repeated rows are scored each; other columns
-    of ``docs`` are ignored, whatever their names; without labels of both kinds all scores are 0.5.
+    empty texts get the score of the empty text; whole texts are read, however long; equal texts get equal scores;
+    repeated rows are scored each; other columns of ``docs`` are ignored, whatever their names; without labels of both
+    kinds all scores are 0.5; an empty table gives an empty result.
     """
     feats = landed(featured(docs, carry=["doc_id"]).withColumn("held_out", id_remainder(F.col("doc_id"), modulus) == held), "quality")
     model = fit(feats.where(~F.col("held_out")), labels, **options)
@@ -202,11 +205,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns kept."""
-    feats = landed(featured(docs, carry=["doc_id"]).withColumn("held_out", id_remainder(F.col("doc_id"), modulus) == held), "quality")
-    model = fit(feats.where(~F.col("held_out")), labels, **options)
+    """The rows of ``docs`` that the classifier accepts, all columns kept, whatever their names.
 
-    def rows(texts: list[str]) -> list[pa.Array]:
-        return [pa.array(model.score(np.stack([features(t) for t in texts]).astype(float)) >= 0.5)]
-
-    return map_text(docs, "text", rows, [T.StructField("__keep", T.BooleanType())]).where("__keep").drop("__keep")
+    Features are computed once and land beside the rows. Null and empty texts are judged as the empty text; whole
+    texts are read, however long; repeated rows stay or go together; without labels of both kinds every row
+    stays (each score is 0.5); an empty table gives an empty result.
+    """
+    names = [unused(n, *docs.columns) for n in ("features", "score", "predicted")]
+    feats = landed(featured(docs, name=names[0]), "quality")
+    known = feats.where(id_remainder(F.col("doc_id"), modulus) != held).select("doc_id", F.col(names[0]).alias("features"))
+    model = fit(known, labels, **options)
+    return scored(feats, model, *names).where(F.col(names[2]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
