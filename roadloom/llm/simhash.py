@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import landed, map_text
+from roadloom.llm.common import landed, map_text, unused
 from roadloom.llm.components import stars
 
 #: Words of a shingle, differing bits of a link, seed of XXH64.
@@ -238,12 +238,23 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component of ``docs``: the one with the smallest id (null ids last)."""
+    """One row of each component of ``docs``, all columns kept, whatever their names: the one with the smallest id (null ids last).
+
+    Rows of equal id and fingerprint are told apart by their text, then by a hash of the other
+    columns, the least first, so that a rerun keeps the same row. Null and empty texts are one
+    component with whatever is near fingerprint zero; an empty table gives an empty result; whole
+    texts are read, however long.
+    """
     fps = landed(fingerprints(docs, text, [id_col]), "fingerprints")
     rows = fps.join(classes(fps, id_col, radius), "fp")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp"))
     kept = landed(rows.groupBy("root").agg(first.alias("x")).select("x.id", F.col("x.fp").alias("kept_fp")), "kept")
     if fps.groupBy(id_col).count().where("count > 1").isEmpty():
         return docs.join(kept, docs[id_col].eqNullSafe(kept["id"]), "left_semi")
-    again = fingerprints(docs, text, name="__fp")  # ids repeat: a row is told by id and fingerprint
-    return again.join(kept, again[id_col].eqNullSafe(kept["id"]) & (again["__fp"] == kept["kept_fp"]), "left_semi").dropDuplicates([id_col, "__fp"]).select(*docs.columns)
+    name = unused("fp", *docs.columns)
+    again = fingerprints(docs, text, name=name)  # ids repeat: a row is told by id and fingerprint
+    again = again.join(kept, again[id_col].eqNullSafe(kept["id"]) & (again[name] == kept["kept_fp"]), "left_semi")
+    plain = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    order = F.struct(F.col(f"`{text}`"), F.xxhash64(*plain))
+    best = again.groupBy(F.col(f"`{id_col}`"), F.col(name)).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
+    return best.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
