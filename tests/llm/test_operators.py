@@ -96,19 +96,43 @@ def test_sharding(spark, docs, none):
     assert max(sizes.values()) - min(sizes.values()) <= 0.01 * sum(sizes.values()) / 8
 
 
-def test_rebalancing_moves_few_slots(spark):
+def test_one_repeated_row_is_spread(spark):
+    rows = spark.range(20_000).selectExpr("7L as doc_id", "'the same text' as text")
+    r = sharding.assign(rows).collect()
+    counts = Counter(x.shard for x in r)
+    assert len(counts) == 8 and max(counts.values()) - min(counts.values()) <= 200
+    assert sorted(x.slot for x in r if x.shard == 3) == list(range(counts[3]))
+
+
+def test_rebalancing_moves_few_slots(spark, tmp_path):
     weights = spark.range(256).selectExpr("id as virtual_slot", "1 as slot_rows", "100 + id % 7 as slot_bytes")
-    old = sharding.first_map(weights, 4)
+    old = sharding.first_map(spark, 4, 256)
     new = sharding.rebalance(old, weights, 5)
     a, b = {r.virtual_slot: r.shard for r in old.collect()}, {r.virtual_slot: r.shard for r in new.collect()}
     moved = {s for s in a if a[s] != b[s]}
-    assert {b[s] for s in moved} == {4} and abs(len(moved) - 256 / 5) <= 6 and {r.version for r in new.collect()} == {2}
+    assert len(moved) < 256 / 5 + 12 and sum(b[s] == 4 for s in moved) > 40 and {r.version for r in new.collect()} == {2} and set(a) == set(b)
     load = Counter()
     for r in weights.collect():
         load[b[r.virtual_slot]] += r.slot_bytes
     assert max(load.values()) - min(load.values()) <= 4 * 106
 
 
+def test_slot_map_has_versions(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(id % 500 as int)) as text")
+    path = str(tmp_path / "map")
+    first = {r.doc_id: r for r in sharding.assign(docs, 4, map_path=path).collect()}
+    again = {r.doc_id: r for r in sharding.assign(docs, 4, map_path=path).collect()}
+    grown = {r.doc_id: r for r in sharding.assign(docs, 5, map_path=path).collect()}
+    assert {r.map_version for r in first.values()} == {2} and {r.map_version for r in grown.values()} == {max(r.map_version for r in again.values()) + 1}
+    assert sum(first[d].shard != again[d].shard for d in first) <= 0.02 * len(first)
+    moved, total = sum(r["size"] for d, r in first.items() if grown[d].shard != again[d].shard), sum(r["size"] for r in first.values())
+    assert 0.19 * total < moved < 0.21 * total and all(grown[d].virtual_slot == first[d].virtual_slot for d in first)
+    sizes = Counter()
+    for r in grown.values():
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == 5 and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 5
+
+
 def test_token_files(spark, docs, none):
     enc = tokenfiles.encoder(tokenfiles.default_tokenizer())
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
@@ -153,12 +177,12 @@ def test_pii(spark, docs, none):
 
 def test_decontamination(spark, docs, none):
     item = "the quick brown fox jumps over that lazy dog again and again"
-    bench = spark.createDataFrame([(1, item), (1, item), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (3, None), (4, "short one"), (5, "")], "item_id long, text string")
-    df = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(70, f"so {item.upper()}! yes", "s"), (70, f"so {item}", "s"), (71, "w1 w2 w3 w4 other w6 w7 w8 w9", "s"), (72, "the fox jumps", "s")], "doc_id long, text string, score string"))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (3, None), (4, "short one"), (5, ""), (6, "five words of a kind")], "item_id long, text string")
+    df = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(70, f"so {item.upper()}! yes", "s"), (70, f"so {item}", "s"), (71, "w1 w2 w3 w4 other w6 w7 w8 w9", "s"), (72, "the fox jumps", "s"), (73, "Short, ONE!", "s"), (74, "a short one more", "s"), (75, "here: five words of a kind.", "s"), (76, "five words of any kind", "s")], "doc_id long, text string, score string"))
     r = decontam.leaks(df, bench).collect()
-    assert sorted((x.doc_id, x.item_id or -1) for x in r) == [(70, 1), (70, 1), (71, -1)] and all(0.4 <= x.score <= 1 for x in r)
+    assert sorted((x.doc_id, x.item_id or -1) for x in r) == [(70, 1), (70, 1), (71, -1), (73, 4), (75, 6)] and all(0.4 <= x.score <= 1 for x in r)
     clean = decontam.keep_clean(df, bench)
-    assert clean.columns == df.columns and clean.count() == len(ROWS) + 1
+    assert clean.columns == df.columns and clean.count() == len(ROWS) + 3
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
@@ -182,6 +206,9 @@ def test_urls(spark):
     marks = spark.createDataFrame([(f"http://h.com/ad/{k}", True) for k in range(9)] + [(f"http://h.com/ok/{k}", False) for k in range(9)], "url string, blocked boolean")
     pages = spark.createDataFrame([(1, "http://h.com/ad/77"), (2, "http://h.com/ok/77"), (3, "http://h.com/new/77")], "page_id long, url string")
     assert {x.page_id: x.verdict for x in urls.judge(pages, (), marks).collect()} == {1: "block", 2: "allow", 3: "allow"}
+    deep = [(f"http://d.com/a/b/c/d/ad{'xyz'[k % 3]}{'pqr'[k // 3]}/z", True) for k in range(9)] + [(f"http://d.com/a/b/c/d/ok{'xyz'[k % 3]}{'pqr'[k // 3]}/z", False) for k in range(9)]
+    r = urls.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(deep)], "page_id long, url string"), (), spark.createDataFrame(deep, "url string, blocked boolean")).collect()
+    assert {(x.page_id < 9, x.template, x.verdict) for x in r} == {(True, "/a/b/c/d/*block/z", "block"), (False, "/a/b/c/d/*allow/z", "allow")}
 
 
 def test_language_model(spark, docs, none):
