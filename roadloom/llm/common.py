@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,32 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and where each text's words begin and end among them.
+
+    Words are runs without ASCII white space; ``lower`` lower-cases A-Z.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    offsets -= offsets[0]
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    if not some.all():
+        words = words.filter(pa.array(some))
+        offsets = np.concatenate([[0], np.cumsum(some)])[offsets]
+    return words, offsets
+
+
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into rows that together have about ``size`` bytes in a column of texts; a longer text is alone."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        spent = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, spent + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_text(
     df: DataFrame,
     text: str,

@@ -1,17 +1,18 @@
 """Adaptive context-mixing range coder for token ids, in independently reset blocks.
 
-The probability of the next id is a mixture: order 2 and order 1 each predict one id, the last
-that followed the same two ids or the same id in this block, and order 0 predicts every id by
-its frequency in the file, which the header holds. (A file's tables are a few tens of MB.) The mixture's weights adapt, in each block
-from the same start, for every joint state of confidence of the two predictions. A range coder
-codes which part of the mixture the id falls in, and, for order 0, where.
+The probability of the next id is a mixture of three predictions. Order 2 and order 1 each predict one id,
+the last that followed the same two ids or the same id in this block. Order 0 predicts
+every id: the header lists the file's ids in bands of equal mass, from the most to the least frequent, and each block
+learns how its own ids fall on the bands. The mixture's weights adapt, in each block from the same start,
+for every joint state of confidence of the two single predictions. One range-coder step codes
+an id: its interval is that of the predictor that hits, or its place in order 0.
 
 Blocks share nothing but the header, so all blocks of a file are coded in lockstep, one id of
-each at a time, with arrays over blocks. Each block has the CRC-32 of its ids.
+each at a time, with arrays over blocks (lanes). Each block has the CRC-32 of its ids.
 
 File format, little-endian: ``RLTC``, version (u16), bytes of the header (u32), CRC-32 of the
 header (u32), header (zlib), payload. Header: block size, documents, ids, blocks, distinct ids
-(5 u64); a null flag (u8), id (i64) and length in ids (u32) per document; id and frequency (u32
+(5 u64); a null flag (u8), id (i64) and length in ids (u32) per document; id, band and frequency in its band (u32
 each) per distinct id; ids, payload bytes and CRC-32 (u32 each) per block.
 """
 
@@ -23,13 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, VERSION = b"RLTC", 1
+MAGIC, VERSION = b"RLTC", 2
 #: Ids of a block.
-BLOCK = 4096
-#: The coder's interval has 48 bits and gives 16 at a time; BOTTOM leaves room for a mixture step and an order-0 step.
-WORD, TOP, BOTTOM, MASK = 16, 1 << 32, 1 << 31, (1 << 48) - 1
-#: Bits of mixture weights and of order-0 frequencies; slots of the prediction tables.
-MIX_BITS, ZERO_BITS, SLOT_BITS = 12, 18, 11
+BLOCK = 1024
+#: The coder's range has between LOW_BITS and LOW_BITS + WORD bits, gives WORD at a time, and is shared out in 2**TOTAL parts.
+WORD, LOW_BITS, TOTAL = 24, 32, 24
+BOTTOM, START, PARTS = 1 << LOW_BITS, (1 << (LOW_BITS + WORD)) - 1, 1 << TOTAL
+#: Order 0: bands, bits of a band's frequencies, and of the shares that a block deals to the bands.
+BANDS, BAND_BITS, SHARE_BITS = 8, 14, 6
+ZERO_BITS = BAND_BITS + 12
+#: Slots of the tables of single predictions, per lane; largest and least weight of one; ids are below LIMIT.
+SLOT_BITS, HIT, MISS, LIMIT = 8, PARTS * 15 // 16 - (1 << 13), 1 << 12, 1 << 29
+#: Steps after which a block deals its shares anew.
+REFRESH = 64
+
+_M1, _M2, _M3 = np.uint32(2_654_435_761), np.uint32(2_246_822_519), np.uint32(3_266_489_917)
+_SHIFT = np.uint32(32 - SLOT_BITS)
 
 
 @dataclass
@@ -41,58 +51,121 @@ class TokenFile:
     ids: np.ndarray
 
 
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, and their frequencies scaled to a total of 2**ZERO_BITS, none zero."""
-    distinct, counts = np.unique(ids, return_counts=True)
-    if not len(distinct):
-        return distinct.astype(np.uint32), counts.astype(np.uint32)
-    total = 1 << ZERO_BITS
-    if len(distinct) > total // 2:
-        raise ValueError("too many distinct ids for a file")
-    scaled = np.maximum(1, counts * (total - len(distinct)) // counts.sum())
-    scaled[scaled.argmax()] += total - scaled.sum()
-    return distinct.astype(np.uint32), scaled.astype(np.uint32)
+@dataclass
+class Bands:
+    """The distinct ids of a file by band: a band's frequencies add up to 2**BAND_BITS, none is zero."""
+
+    ids: np.ndarray
+    band: np.ndarray
+    freq: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Bands:
+        """Ids by falling frequency, cut where the running share of all ids passes a multiple of 1 / BANDS."""
+        distinct, counts = np.unique(ids, return_counts=True)
+        if len(distinct) and int(distinct[-1]) >= LIMIT:
+            raise ValueError(f"ids must be below {LIMIT}")
+        if len(distinct) > BANDS << BAND_BITS:
+            raise ValueError("too many distinct ids for a file")
+        order = np.lexsort((distinct, -counts))
+        distinct, counts = distinct[order], counts[order]
+        before = np.cumsum(counts) - counts
+        band = before * BANDS // max(1, counts.sum())
+        most = 1 << BAND_BITS  # ids that a band can hold
+        for b in range(BANDS - 1, 0, -1):  # too many rare ids spill into the band before
+            mine = np.flatnonzero(band == b)
+            if len(mine) > most:
+                band[mine[: len(mine) - most]] = b - 1
+        freq = np.zeros(len(distinct), np.int64)
+        for b in np.unique(band):
+            mine = np.flatnonzero(band == b)
+            room = (1 << BAND_BITS) - len(mine)
+            freq[mine] = 1 + counts[mine] * room // counts[mine].sum()
+            freq[mine[0]] += (1 << BAND_BITS) - freq[mine].sum()
+        return cls(distinct.astype(np.int64), band, freq)
+
+    def __post_init__(self) -> None:
+        self.ids, self.band, self.freq = (np.asarray(x).astype(np.int64) for x in (self.ids, self.band, self.freq))
+        total = np.cumsum(self.freq) - self.freq
+        at = np.zeros(BANDS, np.int64)
+        for b in np.unique(self.band):
+            at[b] = total[np.flatnonzero(self.band == b)[0]]
+        self.offset = total - at[self.band]
+
+    def place_of(self) -> np.ndarray:
+        """Of each id up to the largest: its place in ``ids``."""
+        out = np.zeros(int(self.ids.max()) + 1, np.int32)
+        out[self.ids] = np.arange(len(self.ids))
+        return out
+
+    def place_at(self) -> np.ndarray:
+        """Of each part of each band: the place in ``ids`` of the id that has it."""
+        out = np.zeros(BANDS << BAND_BITS, np.int32)
+        for b in np.unique(self.band):
+            mine = np.flatnonzero(self.band == b)
+            out[b << BAND_BITS : (b + 1) << BAND_BITS] = np.repeat(mine, self.freq[mine])[: 1 << BAND_BITS]
+        return out
 
 
-class _Mixture:
-    """The model of all blocks in lockstep; coder and decoder make the same calls."""
+class _Model:
+    """The predictions of all blocks in lockstep; coder and decoder make the same calls."""
 
     def __init__(self, lanes: int) -> None:
         self.base = np.arange(lanes, dtype=np.int64)
         self.table1, self.table2 = np.zeros(lanes << SLOT_BITS, np.int32), np.zeros(lanes << SLOT_BITS, np.int32)  # id * 4 + confidence
-        start = np.zeros((2, 32), np.int64)  # weights of order 2 and order 1 by state: conf2, conf1, agreement
+        start = np.zeros(32, np.int64)  # weights of order 2 (upper half) and order 1 by state: conf2, conf1, agreement
         for c2 in range(4):
             for c1 in range(4):
-                start[:, c2 * 8 + c1 * 2] = (6_000 + 13_000 * c2, 4_000 + 5_000 * c1)
-                start[:, c2 * 8 + c1 * 2 + 1] = (12_000 + 12_000 * max(c1, c2), 0)
-        self.w2, self.w1 = np.tile(start[0], lanes), np.tile(start[1], lanes)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+                start[c2 * 8 + c1 * 2] = (PARTS // 16 * (1 + 2 * c2) << 32) + PARTS // 16 * (1 + c1)
+                start[c2 * 8 + c1 * 2 + 1] = (PARTS // 16 * (2 + 3 * max(c1, c2)) << 32) + MISS
+        self.weights = np.tile(start, lanes)
+        self.counts = np.full(lanes * BANDS, 8, np.int64)
         self.narrow(lanes)
+        self.deal()
 
     def narrow(self, n: int) -> None:
         """Keeps the first ``n`` blocks; the tables stay."""
-        self.base, self.last, self.before = self.base[:n], self.last[:n], self.before[:n]
-        self.slots, self.states = self.base << SLOT_BITS, self.base << 5
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids predicted by order 2 and order 1, and their weights out of 2**MIX_BITS, together below it."""
-        slot, mask = self.slots, (1 << SLOT_BITS) - 1
-        self.s1 = slot + ((self.last * 40_503 >> 4) & mask)
-        self.s2 = slot + ((self.last * 31_337 + self.before * 92_821 >> 3) & mask)
-        t1, t2 = self.table1[self.s1], self.table2[self.s2]
-        self.p1, self.p2, self.c1, self.c2 = t1 >> 2, t2 >> 2, t1 & 3, t2 & 3
-        self.state = self.states + (self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2)
-        self.a, self.b = self.w2[self.state], self.w1[self.state]
-        return self.p2, self.p1, (self.a * 4032 >> 16) + 8, (self.b * 4032 >> 16) + 8
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Learns the ids; ``hit1`` only where order 2 missed."""
-        self.w2[self.state] = self.a + (((hit2 * 65_536) - self.a) >> 5)
-        self.w1[self.state] = self.b + (((hit1 * 65_536) - self.b) >> 5)
-        tagged = ids << 2
+        self.base = self.base[:n]
+        self.slots, self.states, self.bands, self.tables = self.base << SLOT_BITS, self.base << 5, self.base * BANDS, self.base << SHARE_BITS
+
+    def deal(self, table: bool = False) -> None:
+        """Shares the bands out by their counts, which then fade; ``table`` also makes the decoder's table of shares."""
+        c = self.counts.reshape(-1, BANDS)
+        shares = 1 + c * ((1 << SHARE_BITS) - BANDS) // c.sum(1, keepdims=True)
+        rows = np.arange(len(c))
+        shares[rows, c.argmax(1)] += (1 << SHARE_BITS) - shares.sum(1)
+        first = np.cumsum(shares, 1) - shares
+        unit = 12 - SHARE_BITS
+        self.dealt = ((first << (BAND_BITS + unit) << 16) + (shares << unit)).reshape(-1)  # where a band begins, and its width
+        if table:
+            marks = np.zeros((len(c), 1 << SHARE_BITS), np.int64)
+            marks[rows[:, None], first[:, 1:]] = 1
+            self.band_at = np.cumsum(marks, 1).reshape(-1)
+        c -= c >> 2
+
+    def slots_of(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table slots, within a lane, of order 1 and order 2 after two ids (u32)."""
+        mixed = last * _M1
+        return mixed >> _SHIFT, (mixed * _M3 + before * _M2) >> _SHIFT
+
+    def predict(self, s1: np.ndarray, s2: np.ndarray) -> None:
+        """Looks up the single predictions and their weights."""
+        self.s1, self.s2 = s1, s2
+        self.t1, self.t2 = self.table1.take(s1), self.table2.take(s2)
+        self.c1, self.c2 = self.t1 & 3, self.t2 & 3
+        self.state = self.states + ((self.c2 << 3) + (self.c1 << 1) + ((self.t1 ^ self.t2) < 4))
+        w = self.weights.take(self.state)
+        self.a, self.b = w >> 32, w & 0xFFFFFFFF
+        self.zero = PARTS - self.a - self.b  # order 0's part
+
+    def update(self, tagged: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, same1: np.ndarray, miss: np.ndarray, band: np.ndarray) -> None:
+        """Learns the ids (``tagged``: times 4); ``hit1`` only where order 2 missed, ``same1`` wherever order 1 was right."""
+        a = self.a + ((hit2 * (HIT - MISS) + MISS - self.a) >> 5)
+        b = self.b + ((hit1 * (HIT - MISS) + MISS - self.b) >> 5)
+        self.weights[self.state] = (a << 32) + b
         self.table2[self.s2] = tagged + np.minimum(self.c2 + 1, 3) * hit2
-        self.table1[self.s1] = tagged + np.minimum(self.c1 + 1, 3) * (self.p1 == ids)
-        self.before, self.last = self.last, ids
+        self.table1[self.s1] = tagged + np.minimum(self.c1 + 1, 3) * same1
+        self.counts[self.bands + band] += miss
 
 
 def _lanes(n: int, block: int) -> np.ndarray:
@@ -100,150 +173,160 @@ def _lanes(n: int, block: int) -> np.ndarray:
     return np.full(-(-n // block), block, np.int64) if n % block == 0 else np.append(np.full(n // block, block, np.int64), n % block)
 
 
-class _Writer:
-    """Range coder states and output of all blocks."""
-
-    def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, MASK, np.int64)
-        self.out, self.at, self.room = np.zeros(lanes * room, ">u2"), np.arange(lanes) * room, room
-
-    def put(self, k, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[k] >> bits
-        self.low[k] += cum * r
-        self.range[k] = freq * r
-
-    def settle(self, n: int) -> None:
-        """Gives out the words that are certain, of the first ``n`` blocks."""
-        low, rng = self.low[:n], self.range[:n]
-        k = np.flatnonzero(((low ^ (low + rng)) < TOP) | (rng < BOTTOM))
-        while len(k):
-            low, rng = self.low[k], self.range[k]
-            rng = np.where((low ^ (low + rng)) >= TOP, -low & (BOTTOM - 1), rng)  # a small range across a carry is cut
-            at = self.at[k]
-            self.out[at] = low >> 32
-            self.at[k] = at + 1
-            low, rng = (low << WORD) & MASK, rng << WORD
-            self.low[k], self.range[k] = low, rng
-            k = k[((low ^ (low + rng)) < TOP) | (rng < BOTTOM)]
-
-    def finish(self) -> list[bytes]:
-        for shift in (32, 16, 0):
-            self.out[self.at] = (self.low >> shift) & 0xFFFF
-            self.at += 1
-        return [self.out[k * self.room : n].tobytes() for k, n in enumerate(self.at.tolist())]
-
-
-class _Reader:
-    """Range decoder states of all blocks."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
-        lanes = len(starts)
-        self.low, self.range, self.code = np.zeros(lanes, np.int64), np.full(lanes, MASK, np.int64), np.zeros(lanes, np.int64)
-        self.data, self.at = np.concatenate([data.astype(np.int64), np.zeros(8, np.int64)]), starts.astype(np.int64)
-        for _ in range(3):
-            self.code = (self.code << WORD) | self.data[self.at]
-            self.at += 1
-
-    def peek(self, k, bits: int) -> np.ndarray:
-        return np.minimum((self.code[k] - self.low[k]) // (self.range[k] >> bits), (1 << bits) - 1)
-
-    def take(self, k, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[k] >> bits
-        self.low[k] += cum * r
-        self.range[k] = freq * r
-
-    def settle(self, n: int) -> None:
-        """Follows the coder's settle."""
-        low, rng = self.low[:n], self.range[:n]
-        k = np.flatnonzero(((low ^ (low + rng)) < TOP) | (rng < BOTTOM))
-        while len(k):
-            low, rng = self.low[k], self.range[k]
-            rng = np.where((low ^ (low + rng)) >= TOP, -low & (BOTTOM - 1), rng)
-            at = self.at[k]
-            self.code[k] = ((self.code[k] << WORD) & MASK) | self.data[np.minimum(at, len(self.data) - 1)]
-            self.at[k] = at + 1
-            low, rng = (low << WORD) & MASK, rng << WORD
-            self.low[k], self.range[k] = low, rng
-            k = k[((low ^ (low + rng)) < TOP) | (rng < BOTTOM)]
-
-
-def code(ids: np.ndarray, distinct: np.ndarray, freq: np.ndarray, block: int = BLOCK) -> list[bytes]:
+def _payloads(words: np.ndarray, counts: np.ndarray, low: np.ndarray) -> list[bytes]:
+    """The bytes of each lane: its words with their carries, then what is left in ``low``."""
+    lanes = len(counts)
+    wide = int(counts.max()) + 3
+    out = np.zeros((lanes, wide), np.int64)
+    out[:, : wide - 3] = words[:, : wide - 3]
+    out[np.arange(wide)[None, :] >= counts[:, None]] = 0
+    rows = np.arange(lanes)
+    out[rows, counts], out[rows, counts + 1], out[rows, counts + 2] = low >> 32, (low >> 8) & 0xFFFFFF, (low & 0xFF) << 16
+    carry = out >> WORD
+    while carry.any():
+        out &= (1 << WORD) - 1
+        out[:, :-1] += carry[:, 1:]
+        carry = out >> WORD
+    raw = np.stack([out >> 16, (out >> 8) & 0xFF, out & 0xFF], 2).astype(np.uint8).reshape(lanes, -1)
+    return [raw[k, : 3 * n + 7].tobytes() for k, n in enumerate(counts.tolist())]
+
+
+def code(ids: np.ndarray, bands: Bands, block: int = BLOCK) -> list[bytes]:
     """The payload of each block."""
     sizes = _lanes(len(ids), block)
     lanes = len(sizes)
     if not lanes:
         return []
-    grid = np.zeros(lanes * block, np.int64)
+    grid = np.zeros(lanes * block, np.uint32)
     grid[: len(ids)] = ids
-    steps = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    f0 = np.zeros(int(distinct.max()) + 1, np.int64)
-    f0[distinct] = freq
-    c0 = np.cumsum(f0) - f0
-    model, writer, live = _Mixture(lanes), _Writer(lanes, block * 3 + 16), lanes
+    steps = np.zeros((block + 2, lanes), np.uint32)  # two zeros stand before each block
+    steps[2:] = grid.reshape(lanes, block).T
+    of_id = bands.place_of()
+    packed = (bands.band << 40) + (bands.offset << 20) + bands.freq
+    model, live = _Model(lanes), lanes
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, START, np.int64)
+    words, counts = np.zeros((lanes, block + 1), np.int32), np.zeros(lanes, np.int64)
+    flat, row = words.reshape(-1), np.arange(lanes) * (block + 1)
     for t in range(int(sizes.max())):
         if live == lanes and sizes[-1] <= t:
             live -= 1
             model.narrow(live)
-        x = steps[t, :live]
-        p2, p1, a, b = model.predict()
-        hit2 = x == p2
-        hit1 = (x == p1) & ~hit2
-        miss = ~(hit2 | hit1)
-        writer.put(slice(0, live), hit1 * a + miss * (a + b), np.where(hit2, a, np.where(hit1, b, (1 << MIX_BITS) - a - b)), MIX_BITS)
-        k = np.flatnonzero(miss)
+            low_last, low, rng = low[live:], low[:live], rng[:live]
+        if t % REFRESH == 0:
+            model.deal()
+        x = steps[t + 2, :live]
+        s1, s2 = model.slots_of(steps[t + 1, :live], steps[t, :live])
+        model.predict(model.slots + s1, model.slots + s2)
+        tagged = (x << np.uint32(2)).view(np.int32)
+        hit2, same1 = (model.t2 ^ tagged) < 4, (model.t1 ^ tagged) < 4
+        hit1 = same1 & ~hit2
+        miss = ~(hit2 | same1)
+        of = packed.take(of_id.take(x))
+        band = of >> 40
+        dealt = model.dealt.take(model.bands + band)
+        width = dealt & 0xFFFF
+        begin = (dealt >> 16) + width * ((of >> 20) & 0xFFFFF)
+        zero = model.zero
+        first = (begin * zero) >> ZERO_BITS
+        size = ((begin + width * (of & 0xFFFFF)) * zero >> ZERO_BITS) - first
+        first += model.a + model.b
+        start = np.where(miss, first, hit1 * model.a)
+        size = np.where(miss, size, np.where(hit2, model.a, model.b))
+        r = rng >> TOTAL
+        low += start * r
+        rng = size * r
+        k = np.flatnonzero(rng < BOTTOM)
         if len(k):
-            y = x[k]
-            writer.put(k, c0[y], f0[y], ZERO_BITS)
-        writer.settle(live)
-        model.update(x, hit2, hit1)
-    return writer.finish()
-
-
-def decode_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, freq: np.ndarray, block: int) -> np.ndarray:
-    """The ids of all blocks, one after another; ``data`` and ``starts`` are in words."""
+            some = low[k]
+            n = counts[k]
+            flat[row[k] + n] = some >> LOW_BITS
+            counts[k] = n + 1
+            low[k] = (some & (BOTTOM - 1)) << WORD
+            rng[k] <<= WORD
+        model.update(tagged, hit2, hit1, same1, miss, band)
+    if live < lanes:
+        low = np.concatenate([low, low_last])
+    return _payloads(words, counts, low)
+
+
+def decode_blocks(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands: Bands, block: int) -> np.ndarray:
+    """The ids of all blocks, one after another; ``raw`` are bytes, ``starts`` the blocks' places in them."""
     lanes = len(sizes)
     if not lanes:
         return np.zeros(0, np.int64)
-    f0 = freq.astype(np.int64)
-    values = np.repeat(distinct.astype(np.int64), f0)
-    first = np.repeat(np.cumsum(f0) - f0, f0)
-    width = np.repeat(f0, f0)
-    model, reader, live = _Mixture(lanes), _Reader(data, starts), lanes
-    out = np.zeros((int(sizes.max()), lanes), np.int64)
+    b = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.int32)
+    triples = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    at, last_at = starts.astype(np.int64), len(triples) - 1
+    word = lambda k: triples.take(np.minimum(at[k] if k is not None else at, last_at)).astype(np.int64)
+    code_ = word(None) << 32
+    at = at + 3
+    code_ |= word(None) << 8
+    at = at + 3
+    code_ |= word(None) >> 16
+    at = at + 1
+    place_at = bands.place_at()
+    packed = (bands.offset << 20) + bands.freq
+    ids_of = bands.ids.astype(np.int32)
+    model, live = _Model(lanes), lanes
+    rng = np.full(lanes, START, np.int64)
+    out = np.zeros((int(sizes.max()) + 2, lanes), np.uint32)
     for t in range(int(sizes.max())):
         if live == lanes and sizes[-1] <= t:
             live -= 1
             model.narrow(live)
-        whole = slice(0, live)
-        p2, p1, a, b = model.predict()
-        v = reader.peek(whole, MIX_BITS)
-        both = a + b
+            code_, rng, at = code_[:live], rng[:live], at[:live]
+        if t % REFRESH == 0:
+            model.deal(True)
+        s1, s2 = model.slots_of(out[t + 1, :live], out[t, :live])
+        model.predict(model.slots + s1, model.slots + s2)
+        a, both, zero = model.a, model.a + model.b, model.zero
+        r = rng >> TOTAL
+        v = np.minimum(_divided(code_, r), PARTS - 1)
         hit2, miss = v < a, v >= both
         hit1 = ~(hit2 | miss)
-        reader.take(whole, hit1 * a + miss * both, np.where(hit2, a, np.where(hit1, b, (1 << MIX_BITS) - both)), MIX_BITS)
-        x = np.where(hit2, p2, p1)
-        k = np.flatnonzero(miss)
+        u = _divided((np.maximum(v - both, 0) + 1 << ZERO_BITS) - 1, zero)
+        band = model.band_at.take(model.tables + (u >> (ZERO_BITS - SHARE_BITS)))
+        dealt = model.dealt.take(model.bands + band)
+        width, begin = dealt & 0xFFFF, dealt >> 16
+        place = place_at.take((band << BAND_BITS) + _divided(u - begin, width))
+        of = packed.take(place)
+        begin += width * (of >> 20)
+        first = (begin * zero) >> ZERO_BITS
+        size = ((begin + width * (of & 0xFFFFF)) * zero >> ZERO_BITS) - first
+        start = np.where(miss, first + both, hit1 * a)
+        size = np.where(miss, size, np.where(hit2, a, model.b))
+        tagged = np.where(miss, ids_of.take(place) << 2, np.where(hit2, model.t2, model.t1) & -4)
+        code_ = code_ - start * r
+        rng = size * r
+        k = np.flatnonzero(rng < BOTTOM)
         if len(k):
-            y = reader.peek(k, ZERO_BITS)
-            reader.take(k, first[y], width[y], ZERO_BITS)
-            x[k] = values[y]
-        reader.settle(live)
-        model.update(x, hit2, hit1)
-        out[t, :live] = x
-    flat = out.T.reshape(-1)
-    return flat if (sizes == sizes[0]).all() else np.concatenate([flat[: (lanes - 1) * block], out[: sizes[-1], -1]])
+            code_[k] = (code_[k] << WORD) | word(k)
+            at[k] += 3
+            rng[k] <<= WORD
+        same1 = (model.t1 ^ tagged) < 4
+        model.update(tagged, hit2, hit1, same1, miss, band)
+        out[t + 2, :live] = (tagged >> 2).view(np.uint32)
+    flat = out[2:].T.reshape(-1).astype(np.int64)
+    return flat if (sizes == sizes[0]).all() else np.concatenate([flat[: (lanes - 1) * block], out[2 : 2 + sizes[-1], -1].astype(np.int64)])
+
+
+def _divided(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x // y of numbers that aren't negative; a damaged file's zeros divide as ones."""
+    return (x.view(np.uint64) // np.maximum(y, 1).view(np.uint64)).view(np.int64)
 
 
 def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A file of documents, whose ids are ``ids`` cut by ``lengths``; a document's id is an integer or None."""
-    distinct, freq = frequencies(ids)
-    payload = code(ids, distinct, freq, block)
+    bands = Bands.of(ids)
+    payload = code(ids, bands, block)
     sizes = _lanes(len(ids), block)
-    crcs = [zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) for k in range(len(sizes))]
+    raw = memoryview(np.asarray(ids).astype("<u4").tobytes())
+    crcs = [zlib.crc32(raw[4 * k * block : 4 * (k + 1) * block]) for k in range(len(sizes))]
     header = zlib.compress(b"".join([
-        struct.pack("<5Q", block, len(doc_ids), len(ids), len(sizes), len(distinct)),
+        struct.pack("<5Q", block, len(doc_ids), len(ids), len(sizes), len(bands.ids)),
         bytes(d is None for d in doc_ids), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(),
-        distinct.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), np.array([len(p) for p in payload], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(),
+        bands.ids.astype("<u4").tobytes(), bands.band.astype("<u4").tobytes(), bands.freq.astype("<u4").tobytes(),
+        sizes.astype("<u4").tobytes(), np.array([len(p) for p in payload], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(),
     ]))
     return b"".join([MAGIC, struct.pack("<HII", VERSION, len(header), zlib.crc32(header)), header, *payload])
 
@@ -268,12 +351,12 @@ def unpack(data: bytes) -> TokenFile:
         return out
 
     null, doc_ids, lengths = column("u1", docs), column("<i8", docs), column("<u4", docs)
-    distinct, freq = column("<u4", kinds), column("<u4", kinds)
+    bands = Bands(column("<u4", kinds), column("<u4", kinds), column("<u4", kinds))
     sizes, room, crcs = column("<u4", blocks), column("<u4", blocks).astype(np.int64), column("<u4", blocks)
     if room.sum() + 14 + n != len(data) or sizes.sum() != total or lengths.sum() != total:
         raise ValueError("the file is cut")
-    body = np.frombuffer(data, ">u2", offset=14 + n)
-    ids = decode_blocks(body, (np.cumsum(room) - room) // 2, sizes.astype(np.int64), distinct, freq, block).astype("<u4")
+    body = np.frombuffer(data, np.uint8, offset=14 + n)
+    ids = decode_blocks(body, np.cumsum(room) - room, sizes.astype(np.int64), bands, block).astype("<u4")
     for k, want in enumerate(crcs.tolist()):
         if zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) != want:
             raise ValueError(f"block {k} is damaged")

@@ -4,10 +4,15 @@ Rows are range-partitioned by id, so that files follow each other in ascending i
 task cuts its rows into files of bounded size, written to the shared folder under a name of
 their own and then moved, so that a repeated task leaves the same files. Where a file starts
 among all ids follows from the files' counts, one row a file.
+
+The tokenizers library encodes. Where the tokenizer file's own settings show that no piece
+spans white space, each distinct word of a batch is encoded once, and a task remembers words
+up to a bound; any other tokenizer encodes whole texts, batch by batch.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -21,17 +26,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm import idcoder
-from roadloom.llm.common import landed, scratch
+from roadloom.llm.common import landed, portions, scratch, split_words
 
 #: The id put after each document; ids of a file; words whose ids a task remembers.
 END, FILE_IDS, CACHE = 2, 4_000_000, 800_000
 
-#: What splits words here but might not in the tokenizer; texts with it are encoded whole.
-_ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
-#: Words whose lower case and pieces are known here: printable ASCII, and Latin letters that are letters in both cases.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
-#: The tokenizer's pieces of a lower-case word of that kind. Fixed pattern.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Bytes of text encoded together.
+TOGETHER = 16 << 20
+#: The settings under which words are encoded alone: what the normaliser may do, and how it splits. Fixed values.
+_NORMALISERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
+_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Letters, apart from ASCII, whose case and pieces are known here: Latin ones that are letters in both cases.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+")
+_ALL_PLAIN = re.compile(f"[!-~\n{_LATIN}]*")
+#: The splitter's pieces of a lower-case word of those letters. Fixed pattern.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\sa-z0-9{_LATIN}]+")
 
 
 def _byte_letters() -> list[str]:
@@ -41,58 +54,102 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class _Words(dict):
-    """Ids of words as bytes, by the tokenizers library; emptied when full, so that its size is bounded."""
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those under which words can be encoded alone, by the rules above."""
+    listed = lambda part, key: [] if part is None else part[key] if part["type"] == "Sequence" else [part]
+    model = settings["model"]
+    return (
+        all(n in _NORMALISERS for n in listed(settings.get("normalizer"), "normalizers"))
+        and {"type": "Lowercase"} in listed(settings.get("normalizer"), "normalizers")
+        and listed(settings.get("pre_tokenizer"), "pretokenizers") == _SPLITTERS
+        and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and settings.get("truncation") is None
+        and all(t["special"] and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in settings.get("added_tokens", ()))
+    )
 
-    def __init__(self, tokenizer, fast: bool) -> None:
-        super().__init__()
-        self.tokenizer, self.model, self.fast, self.pieces, self.letters = tokenizer, tokenizer.model, fast, {}, _byte_letters()
-        self.raw = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+class _Pieces(dict):
+    """Ids of pieces as bytes, by the library's model; emptied when full, so that its size is bounded."""
 
-    def piece(self, p: str) -> bytes:
-        found = self.pieces.get(p)
-        if found is None:
-            if len(self.pieces) >= CACHE // 2:
-                self.pieces.clear()
-            letters = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-            found = self.pieces[p] = b"".join([self.raw[t.id] for t in self.model.tokenize(letters)])
-        return found
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.raw = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE // 2:
             self.clear()
-        if self.fast and _PLAIN.fullmatch(word) and "<|" not in word:
-            low = word.lower()
-            found = self.piece(low) if low.isalpha() else b"".join(map(self.piece, _PIECES.findall(low)))
-        else:
-            found = self.whole(word)
-        self[word] = found
+        letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        raw = self.raw
+        found = self[piece] = b"".join([raw[t.id] for t in self.model.tokenize(letters)])
         return found
 
 
 class Encoder:
-    """Encodes whole texts; words are encoded once where the tokenizer never joins across white space."""
+    """Encodes whole texts, a batch at a time."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        probe = "It's A-b  c.\n12 the,ring ÉÈ x"
-        alone = [i for w in probe.split() for i in tokenizer.encode(w, add_special_tokens=False).ids]
-        self.by_word = alone == tokenizer.encode(probe, add_special_tokens=False).ids
-        self.words = _Words(tokenizer, False)
-        if self.by_word:
-            plain = _Words(tokenizer, True)
-            self.words.fast = all(plain[w] == self.words.whole(w) for w in ("It's", "A-b!!", "12the,ring", "don'T", "a_b...c", "ÉÈß,x", "Ŧő"))
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_spaces(json.load(f))
+        self.words: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers, without an end."""
-        if not self.by_word or _ODD_SPACE.search(text):
-            return self.words.whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit, as the library gives them."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of words without ASCII white space."""
+        if _ALL_PLAIN.fullmatch("\n".join(words)):
+            plain, odd = words, []
+        else:
+            plain = [w for w in words if _PLAIN.fullmatch(w)]
+            odd = [w for w in words if not _PLAIN.fullmatch(w)]
+        tokens = [w for w in plain if "<|" in w]  # may hold an added token
+        if tokens:
+            plain, odd = [w for w in plain if "<|" not in w], odd + tokens
+        pieces, known, split = self.pieces, self.words, _PIECES.findall
+        for word, low in zip(plain, "\n".join(plain).lower().split("\n"), strict=False):
+            known[word] = pieces[low] if low.isalpha() else b"".join([pieces[p] for p in split(low)])
+        if odd:
+            known.update(zip(odd, self.whole(odd), strict=True))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end`` after each, one after another, and how many each text has."""
+        mark = end.to_bytes(4, "little")
+        if not self.by_word:
+            raw = [r + mark for r in self.whole(texts.to_pylist())]
+            return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64)
+        flat, offsets = split_words(texts)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.words
+        need = [w for w in words if w not in known]
+        if len(known) + len(need) > CACHE:
+            known.clear()
+            need = words
+        if need:
+            self._learn(need)
+        raw = [known[w] for w in words]
+        raw.append(mark)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        first = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(raw), "<u4")
+        n = len(texts)
+        ends = offsets[1:] + np.arange(n)
+        entry = np.empty(len(coded) + n, np.int64)
+        is_word = np.ones(len(entry), bool)
+        is_word[ends] = False
+        entry[is_word] = coded.indices.to_numpy()
+        entry[ends] = len(words)
+        size = sizes[entry]
+        before = np.cumsum(size) - size
+        take = np.repeat(first[entry] - before, size)
+        take += np.arange(len(take))
+        total = np.append(before, len(take))
+        return pool[take], np.diff(total[np.append(0, ends + 1)])
 
 
 @lru_cache(2)
@@ -126,31 +183,33 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: st
     order = (F.col("id").asc_nulls_first(), F.col("crc").asc())
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    def put(part: int, seq: int, ids: list, raw: list[bytes]) -> pa.RecordBatch:
-        lengths = np.array([len(r) // 4 for r in raw], np.int64)
-        data = idcoder.pack(ids, lengths, np.frombuffer(b"".join(raw), "<u4").astype(np.int64))
+    def put(part: int, seq: int, ids: list, lengths: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.concatenate(lengths)
+        data = idcoder.pack(ids, sizes, np.concatenate(codes))
         files, root = store(folder)
         files.create_dir(root, recursive=True)
         path = f"{root}/part-{part:06d}-{seq:04d}.tokens"
         with files.open_output_stream(own := f"{root}/_{uuid.uuid4().hex}") as out:
             out.write(data)
         files.move(own, path)
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, path.rsplit("/", 1)[1], len(ids), int(lengths.sum()), len(data))], ["part", "seq", "path", "n_docs", "n_ids", "bytes"])
+        row = (part, seq, path.rsplit("/", 1)[1], len(ids), int(sizes.sum()), len(data))
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "seq", "path", "n_docs", "n_ids", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        ids, raw, end = [], [], END.to_bytes(4, "little")
+        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        ids, lengths, codes, held = [], [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code = enc.encode(t) + end
-                ids.append(i)
-                raw.append(code)
-                held += len(code) // 4
+            for some in portions(batch, 1, TOGETHER):
+                code, sizes = enc.encode(some.column(1), END)
+                ids += some.column(0).to_pylist()
+                lengths.append(sizes)
+                codes.append(code)
+                held += len(code)
                 if held >= file_ids:
-                    yield put(part, seq, ids, raw)
-                    ids, raw, held, seq = [], [], 0, seq + 1
+                    yield put(part, seq, ids, lengths, codes)
+                    ids, lengths, codes, held, seq = [], [], [], 0, seq + 1
         if ids:
-            yield put(part, seq, ids, raw)
+            yield put(part, seq, ids, lengths, codes)
 
     return dealt.select("id", "text").mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long, bytes long")
 
@@ -179,7 +238,8 @@ def read(spark, folder: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of ``docs``, as read back from its token files.
 
-    Null and empty texts have only the end id; repeated rows and null ids each give a row; other
+    Null and empty texts have only the end id; a very long text is one document in one file; repeated rows and null
+    ids each give a row (null ids first, equal ids by their text's checksum); other
     columns are ignored, whatever their names; an empty table writes no file and gives no row.
     """
     spark = docs.sparkSession
