@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: State, embedding, words of a class, classes, hashed inputs of other words.
-HIDDEN, EMBED, WIDTH, CLASSES, BUCKETS = 32, 24, 64, 64, 256
+HIDDEN, EMBED, WIDTH, CLASSES, BUCKETS = 16, 16, 32, 32, 256
 #: Documents side by side and steps of a training window; steps of a scoring window.
 LANES, WINDOW, SCORE_WINDOW = 128, 16, 32
 
@@ -25,6 +25,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _lowered(x: np.ndarray) -> np.ndarray:
+    """``x``, with each row lowered by its largest value where exponentials of ``x`` might leave the range of floats."""
+    top = x.max(1, keepdims=True) if x.size and (x.max() > 40 or x.max(1).min() < -40) else None
+    if top is not None:
+        x -= top
+    return x
+
+
 @dataclass
 class Gru:
     """Parameters; words of the model have ids below ``WIDTH * CLASSES``."""
@@ -61,8 +69,7 @@ class Gru:
     def output(self, h: np.ndarray, target: np.ndarray, klass: np.ndarray, grads: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability (natural) of each row's class, and word where that class has words; with ``grads``, adds gradients and returns that of ``h``."""
         p = self.p
-        x = h @ p["wc"] + p["bc"]
-        x -= x.max(1, keepdims=True)
+        x = _lowered(h @ p["wc"] + p["bc"])
         e = np.exp(x)
         total = e.sum(1)
         rows = np.arange(len(h))
@@ -75,13 +82,12 @@ class Gru:
             grads["wc"] += h.T @ e
             grads["bc"] += e.sum(0)
             dh = e @ p["wc"].T
-        order = np.argsort(klass, kind="stable")
-        cuts = np.searchsorted(klass[order], np.arange(CLASSES + 1))
+        order = np.argsort(klass.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(klass, minlength=CLASSES + 2))[:CLASSES]])
         for c in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[c] : cuts[c + 1]]
             hc, word = h[at], target[at] - c * WIDTH
-            y = hc @ p["wo"][c] + p["bo"][c]
-            y -= y.max(1, keepdims=True)
+            y = _lowered(hc @ p["wo"][c] + p["bo"][c])
             f = np.exp(y)
             s = f.sum(1)
             k = np.arange(len(at))
@@ -135,59 +141,86 @@ def score(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarr
     return result
 
 
+def _added_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of each one's rows."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
 def train(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarray, lengths: np.ndarray, rate: float = 0.1, seed: int = 5) -> tuple[Gru, int]:
-    """One pass of truncated backpropagation over documents of similar length side by side; (model, tokens seen)."""
+    """One pass of truncated backpropagation over documents of similar length side by side; (model, tokens seen).
+
+    Steps are AdaGrad's. What an input adds to the gates is looked up in a table made once a window, and its gradient goes to
+    the embeddings of the window's inputs only.
+    """
     p = {k: v.copy() for k, v in model.p.items()}
     model = Gru(p)
     past = {k: np.full(v.shape, 1e-3, np.float32) for k, v in p.items()}
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
     order, starts = _lengths_down(lengths), np.cumsum(lengths) - lengths
     groups = [order[k : k + LANES] for k in range(0, len(order), LANES)]
     np.random.default_rng(seed).shuffle(groups)
     hz, seen = 2 * HIDDEN, 0
+    dense = [k for k in NAMES if k != "emb"]
+    grads = {k: np.zeros_like(p[k]) for k in dense}
     for group in groups:
         size, first = lengths[group], starts[group]
+        longest = int(size.max())
+        live = np.searchsorted(-size, -np.arange(longest), "left")  # documents longer than t
         h = np.zeros((len(group), HIDDEN), np.float32)
-        for begin in range(0, int(size.max()), WINDOW):
-            kept = []
-            for t in range(begin, min(int(size.max()), begin + WINDOW)):
-                n = int((size > t).sum())
-                at = first[:n] + t
-                x = p["emb"][inputs[at]]
-                gx, gh = x @ p["wx"] + p["bx"], h[:n] @ p["u"]
+        for begin in range(0, longest, WINDOW):
+            kept, carried, u = [], h, p["u"]
+            at = [first[: int(live[t])] + t for t in range(begin, min(longest, begin + WINDOW))]
+            words = np.concatenate([inputs[a] for a in at])
+            used, place = np.unique(words, return_inverse=True)
+            table = p["emb"][used] @ p["wx"] + p["bx"]
+            gates = table[place]
+            done = 0
+            for a in at:
+                n = len(a)
+                gx, old = gates[done : done + n], carried[:n]
+                gh = old @ u
                 zr = _sigmoid(gx[:, :hz] + gh[:, :hz])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
                 c = np.tanh(gx[:, hz:] + r * gh[:, hz:])
-                old = h[:n]
-                h = c + z * (old - c)
-                kept.append((at, x, old, gh, z, r, c, h))
+                carried = c + z * (old - c)
+                kept.append((old, gh[:, hz:], z, r, c, carried))
+                done += n
+            places = np.concatenate(at)
+            seen += done
             for g in grads.values():
                 g[...] = 0
-            places = np.concatenate([k[0] for k in kept])
-            n_tokens = len(places)
-            seen += n_tokens
-            _, dh_all = model.output(np.concatenate([k[7] for k in kept]), targets[places], classes[places], grads, 1 / n_tokens)
-            ends = np.cumsum([len(k[0]) for k in kept])
-            carry = np.zeros((0, HIDDEN), np.float32)
-            for j in range(len(kept) - 1, -1, -1):
-                at, x, old, gh, z, r, c, _ = kept[j]
-                n = len(at)
-                dh = dh_all[ends[j] - n : ends[j]].copy()
+            _, dh_all = model.output(np.concatenate([k[5] for k in kept]), targets[places], classes[places], grads, 1 / done)
+            d_gates, d_state = np.empty((done, 3 * HIDDEN), np.float32), np.empty((done, 3 * HIDDEN), np.float32)
+            carry, end = np.zeros((0, HIDDEN), np.float32), done
+            for old, hn, z, r, c, _ in reversed(kept):
+                n = len(old)
+                dh = dh_all[end - n : end]
                 dh[: len(carry)] += carry
-                dz = dh * (old - c) * z * (1 - z)
                 dc = dh * (1 - z) * (1 - c * c)
-                dr = dc * gh[:, hz:] * r * (1 - r)
-                dgx = np.concatenate([dz, dr, dc], 1)
-                dgh = np.concatenate([dz, dr, dc * r], 1)
-                grads["wx"] += x.T @ dgx
-                grads["bx"] += dgx.sum(0)
-                grads["u"] += old.T @ dgh
-                np.add.at(grads["emb"], inputs[at], dgx @ p["wx"].T)
-                carry = dh * z + dgh @ p["u"].T
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                g, s = d_gates[end - n : end], d_state[end - n : end]
+                g[:, :HIDDEN] = dh * (old - c) * z * (1 - z)
+                g[:, HIDDEN:hz] = dc * hn * r * (1 - r)
+                g[:, hz:] = dc
+                s[:, :hz] = g[:, :hz]
+                s[:, hz:] = dc * r
+                carry = dh * z + s @ u.T
+                end -= n
+            grads["u"] += np.concatenate([k[0] for k in kept]).T @ d_state
+            _, by_word = _added_by(place, d_gates)  # every input of the window occurs, in the order of ``used``
+            grads["wx"] += p["emb"][used].T @ by_word
+            grads["bx"] += by_word.sum(0)
+            d_emb = by_word @ p["wx"].T
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()) + float(np.vdot(d_emb, d_emb)))
             cut = min(1.0, 1.0 / (norm + 1e-9))
-            for k, g in grads.items():
+            for k in dense:
+                g = grads[k]
                 g *= cut
                 past[k] += g * g
                 p[k] -= rate * g / np.sqrt(past[k])
+            d_emb *= cut
+            past["emb"][used] += d_emb * d_emb
+            p["emb"][used] -= rate * d_emb / np.sqrt(past["emb"][used])
+            h = carried
     return model, seen

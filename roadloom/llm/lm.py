@@ -2,17 +2,18 @@
 
 Counts of all training tokens are aggregated over the whole corpus. The most frequent
 words, at most ``LISTED``, go to every task; counts of all others stay distributed and meet
-the documents' remaining words in an equality join. The recurrent model learns from every
-training document: tasks each train a copy on documents of
-about ``SHARD`` tokens, the copies are averaged in blocks of parameters, and a second round starts
-from the average. Scoring carries each document's state through all its windows.
+the documents' remaining words in an equality join. Documents are turned into numbers once.
+
+The recurrent model learns from every training token: each task trains a copy on documents of
+about ``SHARD`` tokens, and the copies are averaged in blocks of parameters, weighted by the tokens they saw; a
+further round, if ``rounds`` asks for one, starts from the average. Scoring carries each document's state through
+all its windows.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,23 +24,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm import gru
-from roadloom.llm.common import id_remainder, landed
+from roadloom.llm.common import id_remainder, landed, portions, split_words
 
 #: Words whose counts every task holds, and words of the model.
 LISTED, MODEL = 65_536, gru.WIDTH * gru.CLASSES
-#: Tokens of a copy; rounds; step size.
-SHARD, ROUNDS, RATE = 600_000, 2, 0.2
-#: Distinct words of a task's counter, tokens scored together, parameters of an averaging block.
-COUNTER, TOGETHER, CHUNK = 400_000, 2_000_000, 4096
+#: Tokens of a copy; rounds over all training tokens; step size.
+SHARD, ROUNDS, RATE = 2_000_000, 1, 0.2
+#: Distinct words of a task's counter, bytes of text and tokens handled together, parameters of an averaging block.
+COUNTER, BYTES, TOGETHER, CHUNK = 400_000, 4 << 20, 1_000_000, 4096
 #: The token after each document; no word is empty.
 END = b""
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words of a text, A-Z lower-cased, and the end."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
-
-
 @dataclass
 class Vocabulary:
     """The listed words by falling count, and the totals of the corpus."""
@@ -80,26 +76,51 @@ class Vocabulary:
     def log_rare(self) -> float:
         return math.log10(self.rare_mass + 0.5 * (self.rare_distinct + 1))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
-        """Places of all tokens (unlisted: the number of words), documents' lengths, documents' unlisted words, and inputs."""
-        get, none = self.place.get, len(self.words)
-        places, lengths, rare, hashes = [], [], [], []
-        for t in texts:
-            ws = tokens(t)
-            ks = [get(w, none) for w in ws]
-            few = [w for w, k in zip(ws, ks, strict=True) if k == none]
-            hashes += [zlib.crc32(w) % gru.BUCKETS for w in few]
-            places.append(np.array(ks, np.int64))
-            lengths.append(len(ks))
-            rare.append(Counter(few))
-        flat = np.concatenate(places) if places else np.zeros(0, np.int64)
-        lengths = np.array(lengths, np.int64)
-        own = self.input[flat]
-        own[flat == none] = MODEL + np.array(hashes, np.int64)
-        inputs = np.empty_like(own)
-        inputs[1:] = own[:-1]
-        inputs[np.cumsum(lengths) - lengths] = MODEL + gru.BUCKETS
-        return flat, lengths, rare, inputs
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], list[list[int]]]:
+        """All texts' codes, one after another, their lengths, and of each text its unlisted words and their counts.
+
+        A listed word's code is its place; any other's is the number of listed words and a bucket.
+        """
+        words, offsets = split_words(texts, lower=True)
+        coded = words.dictionary_encode()
+        names, get, none = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), self.place.get, len(self.words)
+        code = np.array([get(w, -1) for w in names], np.int64)
+        rare = np.flatnonzero(code < 0)
+        code[rare] = [none + zlib.crc32(names[r]) % gru.BUCKETS for r in rare.tolist()]
+        which, n = coded.indices.to_numpy().astype(np.int64), len(texts)
+        ends = offsets[1:] + np.arange(n)
+        codes = np.full(len(which) + n, get(END, none + zlib.crc32(END) % gru.BUCKETS), np.int64)
+        is_word = np.ones(len(codes), bool)
+        is_word[ends] = False
+        codes[is_word] = code[which]
+        lengths = np.diff(offsets) + 1
+        unlisted: list[list[bytes]] = [[] for _ in range(n)]
+        times: list[list[int]] = [[] for _ in range(n)]
+        at = np.flatnonzero(code[which] >= none)
+        who = np.repeat(np.arange(n), np.diff(offsets))[at]
+        pairs, count = np.unique(who * len(names) + which[at], return_counts=True)
+        for pair, c in zip(pairs.tolist(), count.tolist(), strict=True):
+            d, w = divmod(pair, len(names))
+            unlisted[d].append(names[w])
+            times[d].append(c)
+        if END not in self.place:
+            for d in range(n):
+                unlisted[d].append(END)
+                times[d].append(1)
+        return codes, lengths, unlisted, times
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code; that of an unlisted word is the number of listed words."""
+        return np.minimum(codes, len(self.words))
+
+    def inputs(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """What the model reads before each token: the token before it, or the start."""
+        none = len(self.words)
+        own = np.where(codes < none, self.input[np.minimum(codes, none)], MODEL + codes - none)
+        out = np.empty_like(own)
+        out[1:] = own[:-1]
+        out[np.cumsum(lengths) - lengths] = MODEL + gru.BUCKETS
+        return out
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -110,7 +131,7 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c): how often each token occurs in ``docs``; the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
+        tally: dict[bytes, int] = {}
 
         def give() -> Iterator[pa.RecordBatch]:
             words, counts = list(tally), list(tally.values())
@@ -119,8 +140,12 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
             tally.clear()
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                tally.update(tokens(t))
+            for part in portions(batch, 0, BYTES):
+                found = split_words(part.column(0), lower=True)[0].value_counts()
+                names = found.field("values").cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+                get = tally.get
+                tally.update({w: c + get(w, 0) for w, c in zip(names, found.field("counts").to_numpy().tolist(), strict=True)})
+                tally[END] = get(END, 0) + part.num_rows
                 if len(tally) > COUNTER:
                     yield from give()
         yield from give()
@@ -147,12 +172,17 @@ def vocabulary(counts: DataFrame, listed: int = LISTED) -> Vocabulary:
     return Vocabulary([w for w, _ in top], np.array([c for _, c in top], np.int64), total, distinct)
 
 
-def _shard(vocab: Vocabulary, flat: np.ndarray, mine: list[str], seed: int) -> tuple[np.ndarray, int]:
-    places, lengths, _, inputs = vocab.encode(mine)
-    model, seen = gru.train(vocab.start().filled(flat), inputs, vocab.target[places], vocab.klass[places], lengths, RATE, seed)
+def _shard(vocab: Vocabulary, flat: np.ndarray, codes: np.ndarray, lengths: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+    places = vocab.places(codes)
+    model, seen = gru.train(vocab.start().filled(flat), vocab.inputs(codes, lengths), vocab.target[places], vocab.klass[places], lengths, RATE, seed)
     return model.flat(), seen
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list array's values and lengths."""
+    return lists.flatten().to_numpy().astype(np.int64), np.diff(np.asarray(lists.offsets)).astype(np.int64)
+
+
 #: A block of a copy's parameters times the tokens it saw; lots keep the first sums small.
 _PARTS = "part int, lot int, weight long, sums binary"
 
@@ -162,9 +192,9 @@ def _learner(held, k: int):
 
     def learn(t: pa.Table) -> pa.Table:
         words, flat = held.value
-        t = t.sort_by([("key", "ascending"), ("text", "ascending")])
+        t = t.sort_by("uid")
         shard = t.column("shard")[0].as_py()
-        new, seen = _shard(words, flat, t.column("text").to_pylist(), 97 * k + shard)
+        new, seen = _shard(words, flat, *_flat(t.column("codes").combine_chunks()), 97 * k + shard)
         rows = [(new[at : at + CHUNK].astype("<f8") * seen).tobytes() for at in range(0, len(new), CHUNK)]
         n = len(rows)
         return pa.table({"part": pa.array(range(n), pa.int32()), "lot": pa.array([shard % 64] * n, pa.int32()), "weight": pa.array([seen] * n, pa.int64()), "sums": pa.array(rows, pa.binary())})
@@ -178,18 +208,18 @@ def _added(t: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(t.column("part").to_pylist()[:1], pa.int32()), "lot": pa.array([0], pa.int32()), "weight": pa.array([weight], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text: str = "text") -> gru.Gru:
-    """Trains the model on all of ``docs``, averaging the copies of all shards after each round."""
+def fit(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> gru.Gru:
+    """Trains the model on all rows of a landed (uid, codes) table, averaging the copies of all shards after each round.
+
+    A row's shard is a hash of its number, so that equal rows are spread like any others.
+    """
     model = vocab.start()
     if not vocab.total:
         return model
     shards = max(1, round(vocab.total / SHARD))
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(body.cast("binary")), F.lit(3))
-    every = docs.select(key.alias("key"), body)
-    every = landed(every.withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards))), "lm-train")
-    for k in range(ROUNDS):
-        held = docs.sparkSession.sparkContext.broadcast((vocab, model.flat()))  # bounded by the model's and the list's sizes
+    every = coded.select("uid", "codes", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
+    for k in range(rounds):
+        held = coded.sparkSession.sparkContext.broadcast((vocab, model.flat()))  # bounded by the model's and the list's sizes
         copies = every.groupBy("shard").applyInArrow(_learner(held, k), _PARTS)
         means = copies.groupBy("part", "lot").applyInArrow(_added, _PARTS).groupBy("part").applyInArrow(_added, _PARTS).orderBy("part").collect()  # one model
         if not means:
@@ -198,74 +228,91 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text: str =
     return model
 
 
-_HEAD = [
-    T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("log10p", T.DoubleType()),
-    T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType())),
-]
+_CODED = [T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
 
 
-def _scored(docs: DataFrame, vocab: Vocabulary, model: gru.Gru, id_col: str, text: str) -> DataFrame:
-    """Per document: what the listed words and the model give, and its unlisted words."""
-    held = docs.sparkSession.sparkContext.broadcast((vocab, model.flat()))
+def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document, its id in the struct ``row``, its codes, and its unlisted words with their counts."""
+    held = docs.sparkSession.sparkContext.broadcast(vocab)
     packed = docs.select(F.struct(F.col(id_col)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 1, BYTES):
+                codes, lengths, rare, times = held.value.encode(part.column(1))
+                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                columns = [part.column(0), pa.ListArray.from_arrays(ends, pa.array(codes.astype(np.int32))), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", *(f.name for f in _CODED)])
+
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], *_CODED]))
+
+
+_SCORES = "uid long, n_tokens long, known long, base double, log10p double"
+
+
+def _scored(coded: DataFrame, vocab: Vocabulary, model: gru.Gru) -> DataFrame:
+    """Per row of a landed (uid, codes) table, what the listed words and the model give."""
+    held = coded.sparkSession.sparkContext.broadcast((vocab, model.flat()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = held.value
         own = words.start().filled(flat)
         none = len(words.words)
-        wait: list[pa.RecordBatch] = []
-        size = 0
 
-        def give() -> Iterator[pa.RecordBatch]:
+        def give(wait: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(wait).combine_chunks()
-            places, lengths, rare, inputs = words.encode(rows.column(1).to_pylist())
-            logp = gru.score(own, inputs, words.target[places], words.klass[places], lengths) / math.log(10)
+            codes, lengths = _flat(rows.column(1).chunk(0))
+            places = words.places(codes)
+            logp = gru.score(own, words.inputs(codes, lengths), words.target[places], words.klass[places], lengths) / math.log(10)
             who = np.repeat(np.arange(len(lengths)), lengths)
             total = lambda x: np.bincount(who, x, len(lengths))
             logp += total(words.log_listed[places])
-            columns = [
-                rows.column(0).chunk(0), pa.array(lengths), pa.array(total(places < none).astype(np.int64)), pa.array(total(words.log_base[places])), pa.array(logp),
-                pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", *(f.name for f in _HEAD)])
+            columns = [rows.column(0).chunk(0), pa.array(lengths), pa.array(total(places < none).astype(np.int64)), pa.array(total(words.log_base[places])), pa.array(logp)]
+            return pa.RecordBatch.from_arrays(columns, ["uid", "n_tokens", "known", "base", "log10p"])
 
+        wait: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 wait.append(part)
-                size += part.column(1).get_total_buffer_size() * part.num_rows // max(1, batch.num_rows) if part.num_rows else 0
-                if size > 6 * TOGETHER:
-                    yield from give()
+                offsets = part.column(1).offsets
+                size += offsets[len(part)].as_py() - offsets[0].as_py()
+                if size > TOGETHER:
+                    yield give(wait)
                     wait, size = [], 0
-        if any(p.num_rows for p in wait):
-            yield from give()
+        if wait:
+            yield give(wait)
 
-    out = packed.mapInArrow(run, T.StructType([packed.schema["row"], *_HEAD]))
-    return out.select(F.col("row").getField(id_col).alias(id_col), *[f.name for f in _HEAD], F.monotonically_increasing_id().alias("uid"))
+    return coded.select("uid", "codes").mapInArrow(run, _SCORES)
 
 
 def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1, id_col: str = "doc_id", text: str = "text", listed: int = LISTED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
     Learns only from rows whose crc32(doc_id as text) mod ``modulus`` isn't ``held``. Null and empty
-    texts are one end token; repeated rows each count and get a row; null ids count as the
+    texts are one end token; whole texts are scored, however long; repeated rows each count and get a row, and equal
+    texts get equal scores; null ids count as the
     empty id; other columns are ignored, whatever their names; without training rows every
     score and base_score is that of a corpus of no tokens; an empty table gives an empty result.
     """
     train = docs.where(id_remainder(F.col(id_col), modulus) != held)
     counts = landed(count_tokens(train, text), "token-counts")
     vocab = vocabulary(counts, listed)
-    model = fit(train, vocab, id_col, text)
-    head = landed(_scored(docs, vocab, model, id_col, text), "lm-scores")
-    words = head.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    coded = encoded(docs, vocab, id_col, text).withColumn("uid", F.monotonically_increasing_id())
+    coded = landed(coded.withColumn("out", id_remainder(F.col("row").getField(id_col), modulus) == held), "lm-codes")
+    model = fit(coded.where(~F.col("out")), vocab)
+    head = landed(_scored(coded, vocab, model), "lm-scores")
+    words = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     sums = (
         words.join(counts, "word", "left").groupBy("uid")
         .agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_log"), F.sum("times").alias("n_rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     )
-    whole = head.drop("rare", "times").join(sums, "uid", "left").fillna(0, ["rare_log", "n_rare", "rare_known"])
+    whole = coded.select("uid", F.col("row").getField(id_col).alias(id_col), "out").join(head, "uid").join(sums, "uid", "left").fillna(0, ["rare_log", "n_rare", "rare_known"])
+    base = F.col("base") + F.col("rare_log") - F.col("n_tokens") * F.lit(vocab.log_total)
+    score = F.col("log10p") + F.col("rare_log") - F.col("n_rare") * F.lit(vocab.log_rare)
     return whole.select(
-        id_col, (id_remainder(F.col(id_col), modulus) == held).alias("held_out"), "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_log") - F.col("n_tokens") * F.lit(vocab.log_total)).alias("base_score"),
-        (F.col("log10p") + F.col("rare_log") - F.col("n_rare") * F.lit(vocab.log_rare)).alias("score"),
+        id_col, F.col("out").alias("held_out"), "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"),
+        F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
     )
