@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (spaces to the meta symbol, one
-put before the text), the piece transducer (a trie whose final arcs emit a piece and return to
-the start) and byte fallback (a character of no piece emits its UTF-8 bytes' pieces). Each input
-is a linear acceptor composed with them on demand; its output is the shortest path in the
-tropical semiring (min, +).
-
-Unigram models weigh a piece by its negative score. A byte-pair model isn't additive in its
-scores: there an arc weighs one for a piece that may follow the last, and infinity for one that
+Three machines are compiled from a model file, each a table of arcs:
+
+* the normaliser: a first arc that reads nothing and writes the meta symbol, then an arc from a space to the meta
+  symbol, and from any other character to itself;
+* the pieces: a trie whose final arcs write a piece and return to the start;
+* byte fallback: an arc from each byte to its piece; a character that is no piece is read as its UTF-8 bytes.
+
+A text is a linear acceptor. Composed with the normaliser, which is deterministic, it is again linear; the
+composition with pieces and fallback is made on demand, and the output is that of its shortest path in the tropical semiring
+(min, +), found by relaxing arcs until the final state's distance is known.
+
+In a unigram model a piece's arc weighs its negative score. A byte-pair model isn't additive in its
+scores: there a state also holds the last piece, and an arc weighs one for a piece that may follow it, and infinity for one that
 may not, where b may follow a if merging the string ab by the model's priorities gives a, b. A
 sequence whose neighbours may all follow each other is the model's encoding, and there is only
-one, so the single path of finite weight is the shortest. The state holds the last piece.
+one, so a text has one path of finite weight.
 
 No piece spans the meta symbol or a character of no piece, so a text is cut there and each
 distinct cut is composed once, in a cache of bounded size.
@@ -35,6 +40,37 @@ META = "▁"
 CACHE = 400_000
 
 
+#: A label that reads nothing.
+EPSILON = ""
+
+
+class Normaliser:
+    """The normaliser's machine: arcs out of its first state and of the state that loops; other characters copy."""
+
+    def __init__(self, prefix: str, spaces: str) -> None:
+        self.first = {EPSILON: prefix}
+        self.loop = {" ": spaces}
+
+    def compose(self, text: str) -> str:
+        """The output for a text: the arcs are deterministic, so there is one. The empty text is accepted in the first state."""
+        if not text:
+            return ""
+        for label, output in self.loop.items():
+            text = text.replace(label, output)
+        return self.first[EPSILON] + text
+
+
+class Fallback:
+    """The byte machine: an arc of ``weight`` from each byte to its piece, or, in a model without byte pieces, to the unknown piece."""
+
+    def __init__(self, pieces: list[int] | None, unknown: int, weight: float) -> None:
+        self.arcs, self.unknown, self.weight = pieces, unknown, weight
+
+    def compose(self, character: str) -> list[int]:
+        """The output for a character."""
+        return [self.unknown] if self.arcs is None else [self.arcs[b] for b in character.encode("utf-8", "surrogatepass")]
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -48,6 +84,7 @@ class Transducer:
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only the identity normaliser with escaped spaces is compiled")
         self.prefix = META if spec.add_dummy_prefix else ""
+        self.normaliser = Normaliser(self.prefix, META)
         self.additive = proto.trainer_spec.model_type == 1
         kinds = [p.type for p in proto.pieces]
         self.text = [p.piece for p in proto.pieces]
@@ -63,8 +100,7 @@ class Transducer:
             node[""] = k
         if any(META in p.lstrip(META) for p in self.id_of):
             raise ValueError("a piece spans words")
-        worst = min(self.score)
-        self.unk_weight = 10 - worst
+        self.fallback = Fallback(self.bytes, self.unk, 10 - min(self.score))
         #: What each id decodes to; control pieces to nothing, the unknown piece to its surface.
         surface = {2: (proto.trainer_spec.unk_surface or " ⁇ ").encode(), 3: b""}
         self.output = [bytes([int(p[3:5], 16)]) if t == 6 else surface.get(t, p.replace(META, " ").encode()) for p, t in zip(self.text, kinds, strict=True)]
@@ -74,10 +110,6 @@ class Transducer:
         self.loose = loose
         self._runs = re.compile(f"{META}*[^{META}{re.escape(loose)}]+|{META}+|[{re.escape(loose)}]" if loose else f"{META}*[^{META}]+|{META}+")
 
-    def normalise(self, text: str) -> str:
-        """The normaliser's output."""
-        return self.prefix + text.replace(" ", META) if text else ""
-
     def arcs(self, s: str, at: int) -> list[tuple[int, int]]:
         """(end, piece) of the pieces at a place of the input, longest first; without any, the unknown arc (piece -1)."""
         node, out = self.trie, []
@@ -106,69 +138,82 @@ class Transducer:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
     def shortest(self, s: str) -> list[tuple[int, str]]:
-        """The shortest path's (piece, string read) over a normalised string; piece -1: unknown character."""
-        return self._additive(s) if self.additive else self._follow(s)
+        """The shortest path's (piece, string read) over a normalised string; piece -1: fallback.
 
-    def _additive(self, s: str) -> list[tuple[int, str]]:
-        best: list = [(0.0, None, None)] + [(inf, None, None)] * len(s)
+        The generic shortest-distance algorithm: an arc is relaxed when its state leaves the queue. The queue's order
+        doesn't change the result. In a unigram model it goes by position, so that no state is queued twice. In a byte-pair model the last
+        state comes first, and the search ends at the final state, as no second finite path exists.
+        """
+        return self._by_position(s) if self.additive else self._by_depth(s)
+
+    def _by_position(self, s: str) -> list[tuple[int, str]]:
+        distance, back = [0.0] + [inf] * len(s), [(0, 0)] * (len(s) + 1)
         for at in range(len(s)):
-            if best[at][0] < inf:
+            if distance[at] < inf:
                 for end, k in self.arcs(s, at):
-                    w = best[at][0] + (self.unk_weight if k < 0 else -self.score[k])
-                    if w < best[end][0]:
-                        best[end] = (w, at, k)
+                    d = distance[at] + (self.fallback.weight if k < 0 else -self.score[k])
+                    if d < distance[end]:
+                        distance[end], back[end] = d, (at, k)
         path, at = [], len(s)
         while at:
-            _, before, k = best[at]
+            before, k = back[at]
             path.append((k, s[before:at]))
             at = before
         return path[::-1]
 
-    def _follow(self, s: str) -> list[tuple[int, str]]:
-        n, path, tries, dead, follows, arcs = len(s), [], [], set(), self.follows, {}
-        tries.append(iter(self.arcs(s, 0)))
-        at = 0
-        while True:
-            for end, k in tries[-1]:
-                if (end, k) in dead or (path and k >= 0 and path[-1][0] >= 0 and not follows[path[-1][1], s[at:end]]):
+    def _by_depth(self, s: str) -> list[tuple[int, str]]:
+        n, follows = len(s), self.follows
+        start = (0, -2)
+        distance, back, arcs_at = {start: 0.0}, {}, {}
+        queue = [(start, "", iter(self.arcs(s, 0)))]  # states, with the arcs that aren't relaxed yet
+        while queue:
+            state, last, arcs = queue[-1]
+            at, piece = state
+            d = distance[state] + 1.0
+            for end, k in arcs:
+                target = (end, k)
+                if d >= distance.get(target, inf):
                     continue
-                path.append((k, s[at:end]))
-                at = end
+                read = s[at:end]
+                if piece >= 0 and k >= 0 and not follows[last, read]:
+                    continue  # the arc's weight is infinite
+                distance[target], back[target] = d, state
+                if end not in arcs_at:
+                    arcs_at[end] = self.arcs(s, end) if end < n else ()
+                queue.append((target, read, iter(arcs_at[end])))
                 break
             else:
-                tries.pop()
-                k, read = path.pop()
-                dead.add((at, k))
-                at -= len(read)
+                queue.pop()
                 continue
-            if at == n:
-                return path
-            if at not in arcs:
-                arcs[at] = self.arcs(s, at)
-            tries.append(iter(arcs[at]))
+            if end == n:
+                break
+        path, state = [], target
+        while state != start:
+            before = back[state]
+            path.append((state[1], s[before[0] : state[0]]))
+            state = before
+        return path[::-1]
 
     def _cut(self, s: str) -> bytes:
         out: list[int] = []
         for k, read in self.shortest(s) if s else ():
-            if k >= 0:
-                out.append(k)
-            elif self.bytes:
-                out += [self.bytes[b] for b in read.encode("utf-8", "surrogatepass")]
-            elif not out or out[-1] != self.unk:
-                out.append(self.unk)
+            some = [k] if k >= 0 else self.fallback.compose(read)
+            if some != [self.unk] or not out or out[-1] != self.unk:  # neighbouring unknown characters are one piece
+                out += some
         return np.array(out, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        linear = self.normaliser.compose(text)
         if "  " in text or text[0] == " " or META in text or not self.prefix:
-            parts: list[str] = self._runs.findall(self.normalise(text))
-        else:
-            t = META + text.replace(" ", " " + META)
+            parts: list[str] = self._runs.findall(linear)
+        else:  # every meta symbol begins a cut
+            linear = linear.replace(META, " " + META)
             for c in self.loose:
-                t = t.replace(c, f" {c} ")
-            parts = t.split(" ")
+                linear = linear.replace(c, f" {c} ")
+            parts = linear.split(" ")
         return b"".join(map(self.cuts.__getitem__, parts))
 
     def decode(self, ids: bytes) -> str:
@@ -211,8 +256,9 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text",
     ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip (whether decoding gives the text).
 
     ``decoded`` names a further column for the decoded text. Null and empty texts have no ids and decode
-    to the empty text; the meta symbol in a text decodes to a space, so that its row's round_trip is false;
-    repeated rows and null ids each give a row; columns of ``docs`` with the names above are replaced.
+    to the empty text; whole texts are read, however long; at a tie of weights the arc relaxed first wins, longer pieces first (byte-pair models
+    have no ties); the meta symbol in a text decodes to a space, so that its row's round_trip is false;
+    repeated rows and null ids each give a row; an empty table gives an empty result; columns of ``docs`` with the names above are replaced.
     """
     model_file = model_file or default_model()
     new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
