@@ -9,8 +9,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from roadloom.llm import components, decontam, lm, pieces, privacy, quality, registry, sharding, simhash, tokenfiles, topk, urls
+from roadloom.llm import common, components, decontam, gru, lm, pieces, privacy, quality, registry, sharding, simhash, tokenfiles, topk, urls
 
 SF = "/root/testdata/sf0.001"
 LONG = "long words go on " * 8000
@@ -138,7 +139,7 @@ def test_token_files(spark, docs, none):
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
     want, at = [], 0
     for d, t in order:
-        ids = enc.words.whole(t or "") + (2).to_bytes(4, "little")
+        ids = enc.whole([t or ""])[0] + (2).to_bytes(4, "little")
         want.append((d, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     r = tokenfiles.round_trip(docs).collect()
@@ -251,16 +252,54 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_model_learns_from_every_document(spark, monkeypatch):
-    monkeypatch.setattr(lm, "SHARE", 1 / 16, raising=False)
-    monkeypatch.setattr(lm, "LEAST", 10, raising=False)
     monkeypatch.setattr(lm, "SHARD", 1000)
-    kept, land = {}, lm.landed
-
-    def recorded(df, name):
-        kept[name] = land(df, name)
-        return kept[name]
-
-    monkeypatch.setattr(lm, "landed", recorded)
-    docs = spark.createDataFrame([(k, f"one two w{k % 7} four") for k in range(400)], "doc_id long, text string")
-    model = lm.fit(docs, lm.vocabulary(lm.count_tokens(docs)))
-    assert kept["lm-train"].count() == 400 and np.isfinite(model.flat()).all()
+    docs = spark.createDataFrame([(k, f"one two w{k % 7} four") for k in range(400)] + [(7, "same same")] * 100, "doc_id long, text string")
+    vocab = lm.vocabulary(lm.count_tokens(docs))
+    coded = lm.encoded(docs, vocab).withColumn("uid", F.monotonically_increasing_id())
+
+    rows = coded.collect()
+    assert Counter(len(r.codes) for r in rows) == Counter({5: 400, 3: 100}) and vocab.total == 2300
+    shards = Counter(r.n for r in coded.where("size(codes) = 3").selectExpr("pmod(xxhash64(uid), 2) as n").collect())
+    assert len(shards) == 2  # equal rows are spread
+    landed = common.landed(coded, "lm-codes")
+    held = spark.sparkContext.broadcast((vocab, vocab.start().flat()))
+    copies = landed.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(2))).select("uid", "codes", "shard").groupBy("shard").applyInArrow(lm._learner(held, 0), lm._PARTS)
+    assert copies.where("part = 0").agg(F.sum("weight")).first()[0] == vocab.total  # every token is seen
+    model = lm.fit(landed, vocab)
+    assert np.isfinite(model.flat()).all() and not np.array_equal(model.flat(), vocab.start().flat())
+
+
+def test_language_model_score_by_brute_force(spark):
+    """The score is the model's probability of each token, one after another, with words outside it by their share of the counts."""
+    texts = [" ".join(f"w{(k * j) % 11}" for j in range(1, 9)) for k in range(60)] + ["w1 rare1 w2", "never seen before w3", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [(d, t) for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 5 != 1]
+    counts = Counter(w for _, t in train for w in [*t.encode().split(), b""])
+    kept, fit = [], lm.fit
+    try:
+        lm.fit = lambda *a, **k: kept.append((fit(*a, **k), a[1])) or kept[-1][0]
+        got = {r.doc_id: r.score for r in lm.score_documents(docs, listed=8).collect()}
+    finally:
+        lm.fit = fit
+    model, vocab = kept[0]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, h2 = {k: v.astype(float) for k, v in model.p.items()}, 2 * gru.HIDDEN
+    for d, t in enumerate(texts):
+        h, last, total = np.zeros(gru.HIDDEN), lm.MODEL + gru.BUCKETS, 0.0
+        for w in [*t.encode().split(), b""]:
+            gx, gh = p["emb"][last] @ p["wx"] + p["bx"], h @ p["u"]
+            zr = sig(gx[:h2] + gh[:h2])
+            c = np.tanh(gx[h2:] + zr[gru.HIDDEN :] * gh[h2:])
+            h = c + zr[: gru.HIDDEN] * (h - c)
+            soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+            classes = soft(h @ p["wc"] + p["bc"])
+            k = vocab.place.get(w)
+            if k is not None:
+                row = k // gru.WIDTH
+                total += classes[row] + soft(h @ p["wo"][row] + p["bo"][row])[k % gru.WIDTH]
+                last = k
+            else:
+                share = (counts[w] + 0.5) / (vocab.rare_mass + 0.5 * (vocab.rare_distinct + 1))
+                total += classes[gru.CLASSES + 1] + math.log(share)
+                last = lm.MODEL + zlib.crc32(w) % gru.BUCKETS
+        assert got[d] == pytest.approx(total / math.log(10), rel=1e-4)

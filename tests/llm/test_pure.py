@@ -1,11 +1,13 @@
 """The operators' own algorithms, without a cluster, against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -131,11 +133,23 @@ def test_token_files_round_trip_and_damage():
 
 def test_words_encode_like_whole_texts():
     enc = tokenfiles.encoder(tokenfiles.default_tokenizer())
-    assert enc.by_word and enc.words.fast
+    assert enc.by_word
     chars = "abzABZ'sdtmrevl 0129.,!-_|<>$%éÉßñÑŸĳſŉİıÅ×÷²½ªº€日本́  \x1c\x85\t\n😀Σς"
     texts = ["".join(R.choice(chars) for _ in range(R.randint(0, 30))) for _ in range(1500)] + ["<|endoftext|> a<|startoftext|>b", "I'LL 'S s's", ""]
-    for t in texts:
-        assert enc.encode(t) == enc.words.whole(t)
+    whole = enc.whole(texts)
+    for fast in (True, False):  # words by themselves, and whole texts as for any other tokenizer
+        enc.by_word = fast
+        ids, sizes = enc.encode(pa.array(texts), 2)
+        assert ids.tobytes() == b"".join(w + (2).to_bytes(4, "little") for w in whole) and sizes.tolist() == [len(w) // 4 + 1 for w in whole]
+    enc.by_word = True
+
+
+def test_words_are_encoded_alone_only_if_the_settings_say_so():
+    with open(tokenfiles.default_tokenizer(), encoding="utf-8") as f:
+        settings = json.load(f)
+    assert tokenfiles.splits_at_spaces(settings)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Strip"}}, {"model": settings["model"] | {"dropout": 0.1}}, {"truncation": {"max_length": 5}}):
+        assert not tokenfiles.splits_at_spaces(settings | change)
 
 
 def test_top_k_is_exact():
