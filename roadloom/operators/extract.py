@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo
-from roadloom.functions.profiles import Profile
+from roadloom.functions.profiles import Profile, StagedReader
+from roadloom.operators.lineage import landed
 
 #: Edges of a leaf of the packed order.
 LEAF = 16
@@ -66,22 +67,31 @@ def vertex_nodes(ways: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with dense numbers from 0 by unique ``order`` columns.
 
-    Rows are dealt by range; each is numbered in its partition, and a partition's offset is the
-    running count of those before it: no task holds all rows.
+    Rows are dealt by range and sorted, and land once with their partition and place; counts and
+    numbers are both read from that table, so that every use agrees. A partition's offset is
+    the running count of those before it: no task holds all rows.
     """
-    dealt = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    within = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = dealt.groupBy("__p").agg(F.count("*").alias("__c"))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = landed(dealt, "numbered")
+    part = F.shiftrightunsigned("__at", 33).alias("__p")  # the number's upper bits are the partition
+    counts = rows.groupBy(part).agg(F.count("*").alias("__c"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = counts.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
-    return within.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__o") + F.col("__n") - 1).cast("long")).drop("__p", "__n", "__o")
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + place).drop("__p", "__at", "__o")
+
+
+def _sure(lat: Column) -> Column:
+    """A vertex's latitude, or an error where it has none."""
+    missing = F.raise_error(F.concat(F.lit("vertex without coordinates: "), F.col("node_id").cast("string")))
+    return F.when(lat.isNotNull(), lat).otherwise(missing.cast("double"))
 
 
 def vertices(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(vertex_id, osm_id, lat, lon): vertices numbered by node id; a vertex without a node is an error."""
     wanted = vertex_nodes(ways).join(nodes.select("node_id", "lat", "lon"), "node_id", "left")
-    sure = wanted.withColumn("lat", F.when(F.col("lat").isNotNull(), F.col("lat")).otherwise(F.raise_error(F.concat(F.lit("vertex without coordinates: "), F.col("node_id").cast("string"))).cast("double")))
-    return numbered(sure, ["node_id"], "vertex_id").select("vertex_id", F.col("node_id").alias("osm_id"), "lat", "lon")
+    known = wanted.withColumn("lat", _sure(F.col("lat")))
+    return numbered(known, ["node_id"], "vertex_id").select("vertex_id", F.col("node_id").alias("osm_id"), "lat", "lon")
 
 
 def split_ways(ways: DataFrame, verts: DataFrame) -> DataFrame:
@@ -155,26 +165,58 @@ def full_line(from_: Column, shape: Column, to: Column) -> Column:
 
 
 def graph(ways: DataFrame, nodes: DataFrame, renumber: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of road ways and their nodes."""
+    """(vertices, edges) of road ways and their nodes.
+
+    Ways land once. Their refs then meet vertices and nodes in one shuffle by node, and are cut and
+    gathered in one more by way; an edge's ends and interior points come out of its run of refs.
+    Interior refs without a node are left out.
+    """
+    ways = landed(ways.where(F.size("refs") >= 2).select("way_id", "refs", "tags"), "road-ways")
     verts = vertices(ways, nodes)
-    ends = lambda p: verts.select(F.col("osm_id").alias(f"{p}_osm"), F.col("vertex_id").alias(f"{p}_id"), F.struct("lat", "lon").alias(f"{p}_point"))
-    edges = with_shapes(split_ways(ways, verts), nodes).join(ends("from"), "from_osm").join(ends("to"), "to_osm").join(ways.select("way_id", "tags"), "way_id")
-    line = full_line(F.col("from_point"), F.col("shape"), F.col("to_point"))
+    places = nodes.select("node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"))
+    ends = verts.select(F.col("osm_id").alias("node_id"), "vertex_id")
+    refs = ways.select("way_id", F.posexplode("refs").alias("pos", "node_id")).join(places, "node_id", "left").join(ends, "node_id", "left")
+    along = Window.partitionBy("way_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    cut_at = refs.withColumn("part", F.count("vertex_id").over(along)).where("part > 0")
+    point = F.struct("pos", "vertex_id", F.col("n_lat").alias("lat"), F.col("n_lon").alias("lon"))
+    runs = cut_at.groupBy("way_id", "part").agg(F.array_sort(F.collect_list(point)).alias("run"))
+    last = F.lead(F.get("run", F.lit(0))).over(Window.partitionBy("way_id").orderBy("part"))
+    runs = runs.withColumn("last", last).where("last is not null").join(ways.select("way_id", "tags"), "way_id")
+    place = lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))
+    interior = F.filter(F.slice("run", 2, F.size("run")), lambda p: p["lat"].isNotNull())
+    first = F.get("run", F.lit(0))
+    edges = runs.select(
+        F.struct("way_id", "part").alias("edge_key"), "way_id", first["vertex_id"].alias("from_id"), F.col("last.vertex_id").alias("to_id"),
+        F.transform(interior, place).alias("shape"), "tags", place(first).alias("from_point"), place(F.col("last")).alias("to_point"),
+    )
+    edges = edges.withColumn("line", full_line(F.col("from_point"), F.col("shape"), F.col("to_point")))
     edges = edges.select(
-        F.struct("way_id", "part").alias("edge_key"), "way_id", "from_id", "to_id", "shape", "tags", geo.box_of(line).alias("box"), edge_flags(F.col("tags")).alias("flags"), geo.polyline_length(line).cast("float").alias("dist_m"),
+        "edge_key", "way_id", "from_id", "to_id", "shape", "tags",
+        geo.box_of(F.col("line")).alias("box"), edge_flags(F.col("tags")).alias("flags"), geo.polyline_length(F.col("line")).cast("float").alias("dist_m"),
     )
+    edges = landed(edges, "edges")
     return verts, renumbered(edges) if renumber else edges
 
 
 def bake(edges: DataFrame, profiles: list[Profile], key: str = "edge_id") -> DataFrame:
     """(profile, edge, can_pass, speed_kmh, fwd, bwd) of every profile and edge.
 
-    The profiles are a fixed, short list: each edge gives an array of their entries.
+    The profiles are a fixed, short list: each edge gives an array of their entries. Tags are looked up and parsed
+    in a projection of their own, and access in a second, so that no nested condition repeats them.
     """
-    one = lambda p: F.struct(F.lit(p.name).alias("profile"), p.evaluate(F.col("tags")).alias("e"))
-    all_ = edges.select(key, F.explode(F.array(*map(one, profiles))).alias("x"))
-    e, way = F.col("x.e"), F.col("x.e.oneway")
-    return all_.select(F.col("x.profile").alias("profile"), key, e["can_pass"].alias("can_pass"), e["speed_kmh"].alias("speed_kmh"), (e["can_pass"] & (way >= 0)).alias("fwd"), (e["can_pass"] & (way <= 0)).alias("bwd"))
+    read = StagedReader(F.col("tags"))
+    can = {f"can {k}": p.can_pass(read) for k, p in enumerate(profiles)}
+    rest = [(p.name, p.speed_kmh(read), p.direction(read)) for p in profiles]
+    staged = edges.select(key, *[made.alias(name) for name, made in read.stage.items()]).select("*", *[made.alias(name) for name, made in can.items()])
+
+    def entry(k: int) -> Column:
+        name, speed, way = rest[k]
+        open_ = F.col(f"`can {k}`")
+        speed = F.when(open_, speed).otherwise(0.0).cast("float")
+        return F.struct(F.lit(name).alias("profile"), open_.alias("can_pass"), speed.alias("speed_kmh"), (open_ & (way >= 0)).alias("fwd"), (open_ & (way <= 0)).alias("bwd"))
+
+    every = staged.select(key, F.explode(F.array(*map(entry, range(len(profiles))))).alias("x"))
+    return every.select("x.profile", key, "x.can_pass", "x.speed_kmh", "x.fwd", "x.bwd")
 
 
 def graph_bounds(verts: DataFrame, requested: tuple[float, float, float, float] | None = None) -> DataFrame:

@@ -147,6 +147,10 @@ class Restrictions:
         """Removes all areas of exactly this tag."""
         self._keep(self.areas.where(~F.coalesce(F.col("tag") == tag, F.lit(False))))
 
+    def remove_where(self, condition: Column) -> None:
+        """Removes all areas for which a condition on their columns is true."""
+        self._keep(self.areas.where(~F.coalesce(condition, F.lit(False))))
+
     def clear(self) -> None:
         """Removes all areas."""
         self._keep(self.areas.where(F.lit(False)))
@@ -177,6 +181,8 @@ class Restrictions:
         """(edge_id, area_id, difficulty_type) of difficulty areas on edges."""
         return self.found.join(self.areas.where("kind = 'difficulty'"), "area_id").select("edge_id", "area_id", "difficulty_type")
 
-    def factors(self, profile: Profile) -> DataFrame:
-        """Edge factors for a profile; without an attached graph, call :func:`hits` first."""
-        return edge_factors(self.found, self.areas, profile)
+    def factors(self, profile: Profile, edges: DataFrame | None = None) -> DataFrame:
+        """Edge factors for a profile, of the attached graph or, with none attached, of ``edges`` (edge_id, line, box)."""
+        if self.found is None and edges is None:
+            raise ValueError("a graph must be attached, or its edges given")
+        return edge_factors(self.found if edges is None else hits(edges, self.shapes), self.areas, profile)

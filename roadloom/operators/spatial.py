@@ -7,14 +7,17 @@ in the least of them, so no distinct is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo
-from roadloom.operators.lineage import cut
+from roadloom.functions.geo import EARTH_RADIUS_M, METERS_PER_DEGREE
+from roadloom.operators.lineage import cut, landed
 
-#: Degrees of a cell, and the most cells that one box explodes to; larger boxes take the other path.
-CELL, MOST_CELLS = 0.005, 4096
+#: Degrees of a cell, the most cells that one box covers at its level, and how much wider a level's cells are.
+CELL, MOST_CELLS, SCALE = 0.005, 1024, 8
 
 
 def _cell(x, size: float) -> Column:
@@ -34,47 +37,71 @@ def n_cells(box: Column, size: float = CELL) -> Column:
     return span("min_lat", "max_lat") * span("min_lon", "max_lon")
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size: float = CELL) -> DataFrame:
-    """Pairs of rows whose boxes meet; column names of the two sides must differ.
+def _level(box: Column, size: float) -> Column:
+    """The least level from 0 at whose cells (``SCALE`` times wider each) a box covers at most ``MOST_CELLS``."""
+    wide = F.greatest(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"], F.lit(0.0))
+    room = size * (MOST_CELLS**0.5 - 2)
+    return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(wide / room, F.lit(1.0))) / F.log(F.lit(float(SCALE))))).cast("int")
+
+
+def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size: float = CELL, land: bool = True) -> DataFrame:
+    """Pairs of rows whose boxes meet; column names of the two sides must differ; boxes with a null or NaN meet nothing.
 
-    Boxes of more than ``MOST_CELLS`` cells on the left are cut by coarser cells of their own join,
-    level by level, so that a country-wide box doesn't explode to millions of rows.
+    Both sides land first, since their levels are asked for before they are joined; ``land`` is false where they are tables already.
+
+    Each box has a level by its extent, of either side: cells grow ``SCALE``-fold a level, so that none covers
+    more than ``MOST_CELLS``. Boxes of levels i and j meet on the cells of the higher level, so a
+    country-wide area or a ferry's box neither explodes to millions of rows nor meets others there.
     """
-    out, low, scale = None, 0, size
-    widest = left.agg(F.max(n_cells(F.col(left_box), size))).first()[0] or 0
-    while out is None or low < widest:
-        at_level = left if widest <= MOST_CELLS else left.where((n_cells(F.col(left_box), size) > low) & (n_cells(F.col(left_box), size) <= max(low, 1) * MOST_CELLS))
-        cells = with_cells(at_level, left_box, scale).join(with_cells(right, right_box, scale), ["cy", "cx"])
-        first = lambda c: F.greatest(_cell(F.col(left_box)[c], scale), _cell(F.col(right_box)[c], scale))  # noqa: B023, E731
-        met = cells.where((F.col("cy") == first("min_lat")) & (F.col("cx") == first("min_lon")) & geo.boxes_meet(F.col(left_box), F.col(right_box))).drop("cy", "cx")
-        out = met if out is None else out.unionByName(met)
-        low, scale = max(low, 1) * MOST_CELLS, scale * 32
-    return out
-
-
-def nearest_edges(points: DataFrame, edges: DataFrame, k: int, size: float = CELL, point_id: str = "point_id", rounds: int = 24) -> DataFrame:
+    whole = lambda b: F.col(b).isNotNull() & ~F.isnan(sum(F.col(b)[c] for c in ("min_lat", "min_lon", "max_lat", "max_lon")))
+    left = left.where(whole(left_box)).withColumn("__i", _level(F.col(left_box), size))
+    right = right.where(whole(right_box)).withColumn("__j", _level(F.col(right_box), size))
+    if land:
+        left, right = landed(left, "boxes"), landed(right, "boxes")
+    # a few levels a side: the globe has 6 at this width and scale
+    i_levels = sorted(r[0] for r in left.select("__i").distinct().collect())
+    j_levels = sorted(r[0] for r in right.select("__j").distinct().collect())
+    out = None
+    for top in sorted({*i_levels, *j_levels}):
+        wide = size * float(SCALE) ** top
+        first = lambda c, wide=wide: F.greatest(_cell(F.col(left_box)[c], wide), _cell(F.col(right_box)[c], wide))
+        for some, others in ((left.where(F.col("__i") == top), right.where(F.col("__j") <= top)), (left.where(F.col("__i") < top), right.where(F.col("__j") == top))):
+            cells = with_cells(some, left_box, wide).join(with_cells(others, right_box, wide), ["cy", "cx"])
+            met = cells.where((F.col("cy") == first("min_lat")) & (F.col("cx") == first("min_lon")) & geo.boxes_meet(F.col(left_box), F.col(right_box)))
+            out = met if out is None else out.unionByName(met)
+            if len({*i_levels, *j_levels}) == 1:
+                break  # one level: every pair is in the first join
+    if out is None:
+        out = left.join(right, F.lit(False))
+    return out.drop("cy", "cx", "__i", "__j")
+
+
+def nearest_edges(points: DataFrame, edges: DataFrame, k: int, size: float = CELL, point_id: str = "point_id") -> DataFrame:
     """(point, edge_id, d2): the k edges of the least squared distance in degrees from point to box, ties to the smaller id.
 
-    The searched square doubles for those points whose k-th candidate lies outside it, until none is left.
+    The searched square doubles for those points whose k-th candidate lies outside it, until none is left. It ends, for
+    a square that holds every edge finds them all. A point that is null or NaN has no nearest edge and is an error;
+    without edges or points there are no rows.
     """
     edges = cut(edges.select("edge_id", "box"))
     total = edges.count()
     k = min(k, total)
+    point = points.select(point_id, "lat", "lon")
+    sure = F.when(F.isnan("lat") | F.isnan("lon") | F.col("lat").isNull() | F.col("lon").isNull(), F.raise_error(F.lit("a point without a place")).cast("double")).otherwise(F.col("lat"))
+    left = cut(point.withColumn("lat", sure))
+    found = left.select(point_id).limit(0).withColumns({"edge_id": F.lit(0).cast("long"), "d2": F.lit(0.0)})
     if not k:
-        return points.select(point_id).limit(0).withColumns({"edge_id": F.lit(0).cast("long"), "d2": F.lit(0.0)})
-    left, found, reach = cut(points.select(point_id, "lat", "lon")), None, size
-    slim = edges.select("edge_id", F.col("box").alias("edge_box"))
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+        return found
+    reach, slim = size, edges.select("edge_id", F.col("box").alias("edge_box"))
+    while not left.isEmpty():
         square = F.struct((F.col("lat") - reach).alias("min_lat"), (F.col("lon") - reach).alias("min_lon"), (F.col("lat") + reach).alias("max_lat"), (F.col("lon") + reach).alias("max_lon"))
-        near = box_join(left.withColumn("square", square), slim, "square", "edge_box", max(size, reach)).withColumn("d2", geo.box_distance2(F.col("lat"), F.col("lon"), F.col("edge_box")))
-        near = near.where(F.col("d2") <= reach * reach)
-        best = near.groupBy(point_id).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("d2", "edge_id"))), 1, k).alias("best"))
-        done = cut(best.where(F.col("n") >= k))
-        rows = done.select(point_id, F.explode("best").alias("b")).select(point_id, "b.edge_id", "b.d2")
-        found = rows if found is None else found.unionByName(rows)
-        left = cut(left.join(done.select(point_id), point_id, "left_anti"))
+        near = box_join(left.withColumn("square", square), slim, "square", "edge_box", max(size, reach), False).withColumn("d2", geo.box_distance2(F.col("lat"), F.col("lon"), F.col("edge_box")))
+        rank = F.row_number().over(Window.partitionBy(point_id).orderBy("d2", "edge_id"))  # keeps k rows a point before the shuffle
+        best = near.where(F.col("d2") <= reach * reach).select(point_id, "edge_id", "d2").withColumn("r", rank).where(F.col("r") <= k)
+        best = cut(best)
+        done = best.where(F.col("r") == k).select(point_id)
+        found = found.unionByName(best.join(done, point_id, "left_semi").drop("r"))
+        left = cut(left.join(done, point_id, "left_anti"))
         reach *= 2
     return found
 
@@ -96,16 +123,32 @@ def snap(points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, ra
     open_ = baked.where((F.col("profile") == profile) & F.col("can_pass")).select("edge_id")
     roads = edges.join(open_, "edge_id", "left_semi").select("edge_id", "line", F.col("box").alias("edge_box"))
     around = points.select(point_id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("around", geo.box_around(F.col("p_lat"), F.col("p_lon"), radius_m))
-    near = box_join(around, roads, "around", "edge_box", size)
-    n = F.size("line")
-    to = lambda i: geo.point_to_segment(F.col("p_lat"), F.col("p_lon"), F.get("line", i)["lat"], F.get("line", i)["lon"], F.get("line", i + 1)["lat"], F.get("line", i + 1)["lon"])
-    each = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(to(i)["dist_m"].alias("dist_m"), i.alias("seg"), to(i)["lat"].alias("lat"), to(i)["lon"].alias("lon"), to(i)["t"].alias("t")))
-    best = near.where(n >= 2).withColumn("s", F.array_min(each)).select(point_id, "edge_id", "line", "s")
-    pick = best.groupBy(point_id).agg(F.min(F.struct(F.col("s.dist_m").alias("dist_m"), "edge_id", F.col("s.seg").alias("seg"), "s", "line")).alias("x")).where(F.col("x.dist_m") <= radius_m)
-    line, s = F.col("x.line"), F.col("x.s")
+    near = box_join(around, roads, "around", "edge_box", size).where(F.size("line") >= 2)
+    to = lambda s: geo.point_to_segment(F.col("p_lat"), F.col("p_lon"), s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"])
+    each = F.transform(geo.pairs(F.col("line")), lambda s, i: F.struct(to(s).alias("at"), i.alias("seg")))
+    order = F.transform(each, lambda x: F.struct(x["at"]["dist_m"].alias("dist_m"), x["seg"].alias("seg"), x["at"]["lat"].alias("lat"), x["at"]["lon"].alias("lon"), x["at"]["t"].alias("t")))
+    best = near.select(point_id, "edge_id", F.array_min(order).alias("s"))
+    nearest = F.min(F.struct(F.col("s.dist_m").alias("dist_m"), "edge_id", "s")).alias("x")  # edge before segment at ties
+    pick = best.groupBy(point_id).agg(nearest).where(F.col("x.dist_m") <= radius_m).select(point_id, F.col("x.edge_id").alias("edge_id"), F.col("x.s").alias("s"))
+    placed = pick.join(edges.select("edge_id", "line"), "edge_id")
+    line, s = F.col("line"), F.col("s")
     before = geo.polyline_length(F.slice(line, 1, s["seg"] + 1))
     a, b = F.get(line, s["seg"]), F.get(line, s["seg"] + 1)
     along = before + s["t"] * geo.haversine(a["lat"], a["lon"], b["lat"], b["lon"])
     ratio = F.coalesce(F.try_divide(along, geo.polyline_length(line)), F.lit(0.0))
     offset = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.rint(ratio * 65535.0))).cast("int")
-    return pick.select(point_id, F.col("x.edge_id").alias("edge_id"), s["dist_m"].alias("dist_m"), s["lat"].alias("lat"), s["lon"].alias("lon"), offset.alias("offset"))
+    return placed.select(point_id, "edge_id", s["dist_m"].alias("dist_m"), s["lat"].alias("lat"), s["lon"].alias("lon"), offset.alias("offset"))
+
+
+def snap_anywhere(points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, radius_m: float = 500.0, point_id: str = "point_id", size: float = CELL) -> DataFrame:
+    """:func:`snap` without a radius: it grows for those points that have found nothing, until it holds the globe."""
+    edges, left = cut(edges.select("edge_id", "line", "box")), cut(points.select(point_id, "lat", "lon"))
+    found = None
+    while found is None or not left.isEmpty():
+        near = cut(snap(left, edges, baked, profile, radius_m, point_id, max(size, radius_m / METERS_PER_DEGREE)))
+        found = near if found is None else found.unionByName(near)
+        if radius_m > math.pi * EARTH_RADIUS_M:
+            break  # no road is open
+        left = cut(left.join(near.select(point_id), point_id, "left_anti"))
+        radius_m *= 8
+    return found

@@ -1,7 +1,7 @@
 """The driver's tables seen as a road network.
 
 Customers are vertices of a jittered grid 40 wide, joined to their right and lower neighbours;
-orders with their lines are ways; suppliers are points; events are restriction commands.
+orders with their lines are ways, and by themselves requests for routes; suppliers are points; events are restriction commands.
 ``SQL`` holds the derivations, the same text for Spark and DuckDB; table names stand in braces.
 """
 
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.functions import geo
+from roadloom.functions import geo, mesh
 from roadloom.functions.profiles import BUILT_IN, Profile, definition
 from roadloom.operators import extract
+from roadloom.operators.lineage import landed
 
 VERTICES = """
 select v as vertex_id, r as row_no, c as col_no, 35.05e0 + r * 0.002e0 + ((v * 37) % 97) * 0.000005e0 as lat, 136.6e0 + c * 0.002e0 + ((v * 53) % 89) * 0.000005e0 as lon
@@ -39,12 +40,22 @@ select way_id, pos, case when k % 3 = 0 then k else 1000000 + way_id * 100 + pos
 NODES = """
 select distinct node_id, 35.0e0 + ((node_id * 7919) % 30011) * 0.00001e0 as lat, 136.5e0 + ((node_id * 104729) % 30013) * 0.00001e0 as lon from ({refs}) r"""
 
-#: Restriction commands: every event makes one area.
+#: Routes asked for: from beside an order's customer to beside one near it by number.
+REQUESTS = """
+select o_orderkey as req_id, a.lat + ((o_orderkey * 31) % 100) * 0.000004e0 as from_lat, a.lon + ((o_orderkey * 17) % 100) * 0.000004e0 as from_lon,
+    b.lat + ((o_orderkey * 13) % 100) * 0.000004e0 as to_lat, b.lon + ((o_orderkey * 29) % 100) * 0.000004e0 as to_lon
+from (select o_orderkey, o_custkey, n from {orders} join (select count(*) as n from {customer}) c on true) o
+join ({vertices}) a on a.vertex_id = o_custkey join ({vertices}) b on b.vertex_id = (o_custkey + 1 + o_orderkey % 97) % n"""
+
+#: Restriction commands: every event makes one area beside a vertex. Most are boxes; some are triangles in them, some mesh cells.
 AREAS = """
-select event_id as area_id, case event_type when 'error' then 'block' else 'difficulty' end as kind,
+select area_id, kind, difficulty_type, tag, form, case form when 'mesh' then floor(lat * 960e0) / 960e0 else lat end as min_lat, case form when 'mesh' then floor(lon * 640e0) / 640e0 else lon end as min_lon,
+    case form when 'mesh' then (floor(lat * 960e0) + 1e0) / 960e0 else lat + 0.0002e0 end as max_lat, case form when 'mesh' then (floor(lon * 640e0) + 1e0) / 640e0 else lon + 0.0002e0 end as max_lon, lat, lon
+from (select event_id as area_id, case event_type when 'error' then 'block' else 'difficulty' end as kind,
     case event_type when 'click' then 'flooding' when 'view' then 'construction' when 'purchase' then 'snow' when 'signup' then 'landslide' else null end as difficulty_type,
-    cast(user_id as varchar(20)) as tag, 35.05e0 + ((event_id * 613) % 7400) * 0.00001e0 as min_lat, 136.6e0 + ((event_id * 419) % 7800) * 0.00001e0 as min_lon
-from {events}"""
+    cast(user_id as varchar(20)) as tag, case when event_id % 5 = 3 then 'triangle' when event_id % 20 = 7 then 'mesh' else 'box' end as form,
+    v.lat + ((event_id * 419) % 200) * 0.00001e0 as lat, v.lon + ((event_id * 263) % 200) * 0.00001e0 as lon
+    from {events} join (select count(*) as n from {customer}) c on true join ({vertices}) v on v.vertex_id = (event_id * 613) % n) x"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +65,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derivation over the driver's tables that its text names."""
+    sql = sql.replace("{vertices}", VERTICES)
     names = [t for t in ("customer", "supplier", "lineitem", "orders", "events", "part") if "{" + t + "}" in sql]
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names})
 
 
 def duck(sql: str) -> str:
     """The same text for DuckDB."""
-    out = sql.replace("{refs}", REFS)
+    out = sql.replace("{refs}", REFS).replace("{vertices}", VERTICES)
     for t in ("customer", "supplier", "lineitem", "orders", "events", "part"):
         out = out.replace("{" + t + "}", t)
     return out
@@ -117,11 +129,22 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("way_id", "refs", tags("highway", "access", "area").alias("tags"))
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(req_id, from_lat, from_lon, to_lat, to_lon), a row an order."""
+    return derived(spark, sf_dir, REQUESTS)
+
+
 def areas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(areas, shapes): a square of 0.004 degrees each; every fifth is a triangle in it."""
-    a = derived(spark, sf_dir, AREAS)
-    point = lambda dy, dx: F.struct((F.col("min_lat") + dy).alias("lat"), (F.col("min_lon") + dx).alias("lon"))
-    triangle = F.array(point(0.0, 0.0), point(0.0, 0.004), point(0.004, 0.0021))
-    box = F.struct("min_lat", "min_lon", (F.col("min_lat") + 0.004).alias("max_lat"), (F.col("min_lon") + 0.004).alias("max_lon"))
-    shapes = a.select("area_id", F.lit(0).alias("shape_no"), box.alias("box"), F.when(F.col("area_id") % 5 == 3, triangle).alias("outer"), F.lit(None).cast("array<array<struct<lat:double,lon:double>>>").alias("holes"))
+    """(areas, shapes): squares of 0.0002 degrees, triangles in such squares, and mesh cells of level 6."""
+    code = mesh.code_of_point(F.col("lat"), F.col("lon"), 6)
+    a = landed(derived(spark, sf_dir, AREAS).withColumn("code", code), "areas")  # else each use of a box would repeat its making
+    point = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
+    south, west, north, east = (F.col(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon"))
+    triangle = F.array(point(south, west), point(south, east), point(north, west + (east - west) * 0.525))
+    square = F.array(point(south, west), point(south, east), point(north, east), point(north, west))
+    own = F.struct("min_lat", "min_lon", "max_lat", "max_lon")
+    cell = mesh.box(F.col("code"))
+    none = F.lit(None).cast("array<array<struct<lat:double,lon:double>>>")
+    shapes = a.select("area_id", F.lit(0).alias("shape_no"), F.when(F.col("form") == "mesh", cell).otherwise(own).alias("box"), F.when(F.col("form") == "triangle", triangle).when(F.col("form") == "box", square).alias("outer"), none.alias("holes"))
+    shapes = landed(shapes, "shapes")
     return a.select("area_id", "kind", "difficulty_type", "tag"), shapes

@@ -12,7 +12,9 @@ from roadloom.functions import geo, mesh
 from roadloom.functions import profiles as prof
 from roadloom.operators import boundary, extract, restrict, routing, spatial
 from roadloom.plans import fixtures as fx
+from roadloom.plans import trips
 from roadloom.plans import sqltext as q
+from roadloom.sources import documents, gml, odrg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,10 +68,11 @@ def g2_box_around(spark, sf_dir):
 
 
 @query(f"""select point_id, edge_id, round({q.seg_dist('lat', 'lon', 'a_lat', 'a_lon', 'b_lat', 'b_lon')}, 6) as dist_m, round({q.seg_t('lat', 'lon', 'a_lat', 'a_lon', 'b_lat', 'b_lon')}, 9) as t
-    from ({_P}) p join {_E} e on e.edge_id % 1000 = p.point_id % 1000""")
+    from ({_P}) p join {_E} e on e.edge_id % (select count(*) from supplier) = p.point_id""")
 def g3_point_to_segment(spark, sf_dir):
-    e = fx.edges(spark, sf_dir).select("edge_id", "from_point", "to_point", (F.col("edge_id") % 1000).alias("k"))
-    p = fx.points(spark, sf_dir).withColumn("k", F.col("point_id") % 1000).join(e, "k")
+    p = fx.points(spark, sf_dir)
+    e = fx.edges(spark, sf_dir).select("edge_id", "from_point", "to_point", (F.col("edge_id") % p.count()).alias("point_id"))
+    p = p.join(e, "point_id")
     s = geo.point_to_segment(F.col("lat"), F.col("lon"), *[F.col(f"{x}_point.{c}") for x in ("from", "to") for c in ("lat", "lon")])
     return p.withColumn("s", s).select("point_id", "edge_id", F.round("s.dist_m", 6).alias("dist_m"), F.round("s.t", 9).alias("t"))
 
@@ -135,7 +138,7 @@ def m2_mesh_codes(spark, sf_dir):
     return m.select("vertex_id", "mesh", mesh.level(F.col("mesh")).alias("level"), *[F.round(F.col("b")[c], 9).alias(c) for c in ("min_lat", "min_lon", "max_lat")])
 
 
-_AREA_BOX = f"(select area_id, min_lat, min_lon, min_lat + 0.004e0 as max_lat, min_lon + 0.004e0 as max_lon from ({_A}))"
+_AREA_BOX = f"(select area_id, min_lat, min_lon, max_lat, max_lon from ({_A}))"
 
 
 @query(f"""select area_id, {_mesh_sql('((i + 0.5e0) / 480e0)', '((j + 0.5e0) / 320e0)')} // 10 as mesh from (
@@ -268,13 +271,13 @@ def t2_split_ways(spark, sf_dir):
     select way_id, count(distinct part) as n_edges, round(sum({q.hav('lat', 'lon', 'lat2', 'lon2')}), 3) as length_m, round(min(lat), 9) as min_lat, round(max(lon), 9) as max_lon from d group by way_id""")
 def t3_extracted_graph(spark, sf_dir):
     """The whole extraction: edges of each way, their length and box."""
-    w = extract.road_ways(fx.ways(spark, sf_dir))
-    _, e = extract.graph(w, fx.nodes(spark, sf_dir), renumber=False)
-    line_length = F.sum(F.col("len"))
-    verts = extract.vertices(w, fx.nodes(spark, sf_dir)).select("vertex_id", F.struct("lat", "lon").alias("p"))
-    full = e.join(verts.select(F.col("vertex_id").alias("from_id"), F.col("p").alias("a")), "from_id").join(verts.select(F.col("vertex_id").alias("to_id"), F.col("p").alias("b")), "to_id")
-    full = full.withColumn("len", geo.polyline_length(extract.full_line(F.col("a"), F.col("shape"), F.col("b"))))
-    return full.groupBy("way_id").agg(F.count("*").alias("n_edges"), F.round(line_length, 3).alias("length_m"), F.round(F.min("box.min_lat"), 9).alias("min_lat"), F.round(F.max("box.max_lon"), 9).alias("max_lon"))
+    verts, e = extract.graph(extract.road_ways(fx.ways(spark, sf_dir)), fx.nodes(spark, sf_dir), renumber=False)
+    end = lambda p, at: verts.select(F.col("vertex_id").alias(f"{p}_id"), F.struct("lat", "lon").alias(at))
+    full = e.join(end("from", "a"), "from_id").join(end("to", "b"), "to_id")
+    line = extract.full_line(F.col("a"), F.col("shape"), F.col("b"))
+    return full.withColumn("len", geo.polyline_length(line)).groupBy("way_id").agg(
+        F.count("*").alias("n_edges"), F.round(F.sum("len"), 3).alias("length_m"), F.round(F.min("box.min_lat"), 9).alias("min_lat"), F.round(F.max("box.max_lon"), 9).alias("max_lon"),
+    )
 
 
 @query(f"""select edge_id, (case when highway = 'living_street' then 256 else 0 end + case when access = 'private' then 32 else 0 end + case oneway when 'yes' then 4096 when '-1' then 8192 else 0 end)::int as flags, {_LEN} as dist_m from {_E}""")
@@ -365,7 +368,7 @@ def _cross(p: str, y1: str, x1: str, y2: str, x2: str) -> str:
 
 
 def _triangle_sql() -> str:
-    pts = [("min_lat", "min_lon"), ("min_lat", "(min_lon + 0.004e0)"), ("(min_lat + 0.004e0)", "(min_lon + 0.0021e0)")]
+    pts = [("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", "(min_lon + (max_lon - min_lon) * 0.525e0)")]
     sides = list(zip(pts, [*pts[1:], pts[0]], strict=True))
     crosses = " or ".join(_cross("", *a, *b) for a, b in sides)
     turn = lambda a, b, y, x: f"(({b[1]} - {a[1]}) * ({y} - {a[0]}) - ({b[0]} - {a[0]}) * ({x} - {a[1]}) >= 0)"
@@ -373,7 +376,9 @@ def _triangle_sql() -> str:
     return f"({crosses} or {inside})"
 
 
-_HITS = f"""(select area_id, edge_id from ({_A}) s, {_E} e where {q.seg_box('a_lat', 'a_lon', 'b_lat', 'b_lon', 'min_lat', 'min_lon', '(min_lat + 0.004e0)', '(min_lon + 0.004e0)')} and (area_id % 5 <> 3 or {_triangle_sql()}))"""
+_NEAR = "least(a_lat, b_lat) <= max_lat and greatest(a_lat, b_lat) >= min_lat and least(a_lon, b_lon) <= max_lon and greatest(a_lon, b_lon) >= min_lon"
+_HITS = f"""(select area_id, edge_id from (select s.*, e.edge_id, a_lat, a_lon, b_lat, b_lon from ({_A}) s join {_E} e on {_NEAR})
+    where {q.seg_box('a_lat', 'a_lon', 'b_lat', 'b_lon', 'min_lat', 'min_lon', 'max_lat', 'max_lon')} and (form <> 'triangle' or {_triangle_sql()}))"""
 
 
 @query(f"select area_id, edge_id from {_HITS}")
@@ -395,17 +400,34 @@ def a6_edge_factors(spark, sf_dir):
     return f.select("edge_id", "blocked", F.round("factor", 9).alias("factor"))
 
 
-@query(f"select area_id from ({_A}) where min_lat <= {BOX[2]}e0 and min_lat + 0.004e0 >= {BOX[0]}e0 and min_lon <= {BOX[3]}e0 and min_lon + 0.004e0 >= {BOX[1]}e0")
+@query(f"select area_id from ({_A}) where min_lat <= {BOX[2]}e0 and max_lat >= {BOX[0]}e0 and min_lon <= {BOX[3]}e0 and max_lon >= {BOX[1]}e0")
 def j9_areas_in_box(spark, sf_dir):
     return restrict.areas_in_box(fx.areas(spark, sf_dir)[1], _box())
 
 
+#: A long segment across the grid.
+SLANT = ((35.0503, 136.6011), (35.1203, 136.6789))
+
+
+def _slant_sql() -> str:
+    (y1, x1), (y2, x2) = ((f"{a}e0", f"{b}e0") for a, b in SLANT)
+    text = f"{q.seg_box(y1, x1, y2, x2, 'min_lat', 'min_lon', 'max_lat', 'max_lon')} and (form <> 'triangle' or {_triangle_sql()})"
+    return text.replace("a_lat", y1).replace("a_lon", x1).replace("b_lat", y2).replace("b_lon", x2)
+
+
+@query(f"select area_id from ({_A}) where {_slant_sql()}")
+def j9_areas_on_segment(spark, sf_dir):
+    """Areas that a long segment meets."""
+    a, b = (F.struct(F.lit(y).alias("lat"), F.lit(x).alias("lon")) for y, x in SLANT)
+    return restrict.areas_on_segment(fx.areas(spark, sf_dir)[1], a, b)
+
+
 @query(f"select area_id, edge_id from {_HITS} where area_id in (select area_id from ({_A}) where not (area_id % 7 = 0 or coalesce(tag = '3', false)))")
 def r3_after_removals(spark, sf_dir):
     """Areas added, found on the graph, then some removed by id and by tag."""
     a, s = fx.areas(spark, sf_dir)
     live = restrict.Restrictions(spark, a, s).attach(fx.edges(spark, sf_dir))
-    live._keep(live.areas.where(F.col("area_id") % 7 != 0))
+    live.remove_where(F.col("area_id") % 7 == 0)
     live.remove_by_tag("3")
     return live.found
 
@@ -416,16 +438,20 @@ _CAR = f"(select e.edge_id, e.from_id, e.to_id, b.fwd, b.bwd, {_LEN}::double / (
 
 
 def _sssp(arcs: str, source: int) -> str:
-    return f"""with recursive arcs as (select from_id as src, to_id as dst, s from {arcs} where fwd union all select to_id, from_id, s from {arcs} where bwd),
+    return f"""with recursive e as materialized (select * from {arcs}), arcs as materialized (select from_id as src, to_id as dst, s from e where fwd union all select to_id, from_id, s from e where bwd),
     d(v, c) using key (v) as (select {source}::bigint, 0e0 union (select dst, min(d.c + s) from d join arcs on src = d.v left join recurring.d r on r.v = dst where r.c is null or d.c + s < r.c group by dst))"""
 
 
+def _reached(spark, sf_dir, factors=None) -> DataFrame:
+    folder = routing.stored(fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car", factors)
+    one = spark.range(73, 74).select(F.col("id").alias("vertex_id"))
+    return routing.reach(folder, one).select("vertex_id", F.round("seconds", 6).alias("seconds"))
+
+
 @query(f"{_sssp(_CAR, 73)} select v as vertex_id, round(c, 6) as seconds from d")
 def n1_reachable(spark, sf_dir):
     """Least car seconds from vertex 73 to all that it reaches."""
-    g = routing.collect_network(fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car")
-    one = spark.range(73, 74).select(F.col("id").alias("vertex_id"))
-    return routing.reach(g, one).select("vertex_id", F.round("seconds", 6).alias("seconds"))
+    return _reached(spark, sf_dir)
 
 
 @query(f"{_sssp(_CAR, 73)} select v as vertex_id, round(c, 6) as seconds from d order by round(c, 6) desc, v limit 100")
@@ -437,52 +463,272 @@ def n1_slowest_reachable(spark, sf_dir):
 _CAR_LIMITED = f"(select c.edge_id, from_id, to_id, fwd, bwd, s / coalesce(f.factor, 1e0) as s from {_CAR} c left join {_FACTORS} f using (edge_id) where not coalesce(f.blocked, false))"
 
 
+def car_factors(spark, sf_dir) -> DataFrame:
+    """The factors of all areas on the edges, for cars."""
+    a, s = fx.areas(spark, sf_dir)
+    return restrict.edge_factors(restrict.hits(fx.edges(spark, sf_dir), s), a, fx.profiles()[0])
+
+
 @query(f"{_sssp(_CAR_LIMITED, 73)} select v as vertex_id, round(c, 6) as seconds from d")
 def n1_reachable_restricted(spark, sf_dir):
     """The same with all restriction areas in force."""
-    a, s = fx.areas(spark, sf_dir)
-    f = restrict.edge_factors(restrict.hits(fx.edges(spark, sf_dir), s), a, fx.profiles()[0])
-    g = routing.collect_network(fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car", f)
-    return routing.reach(g, spark.range(73, 74).select(F.col("id").alias("vertex_id"))).select("vertex_id", F.round("seconds", 6).alias("seconds"))
+    return _reached(spark, sf_dir, car_factors(spark, sf_dir))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Origin and destination of every supplier point and its neighbour by number."""
-    p = fx.points(spark, sf_dir)
-    n = (F.col("point_id") * 37 + 11) % 100
-    to = p.select(F.col("point_id").alias("k"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
-    return p.withColumn("k", n).join(to, "k").select(F.col("point_id").alias("req_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), "to_lat", "to_lon")
+@query(f"{_sssp(_CAR, 73)} select v as vertex_id, round(c, 6) as seconds from d")
+def n1_relaxed(spark, sf_dir):
+    """The same costs by rounds of joins, as for graphs that no worker can hold."""
+    arcs = routing.weighted_arcs(fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car")
+    return routing.relax(arcs, spark.range(73, 74).select(F.col("id").alias("vertex_id"))).select("vertex_id", F.round("seconds", 6).alias("seconds"))
+
+
+_ASK = fx.duck(fx.REQUESTS)
+
+
+def _routes_sql(arcs: str) -> str:
+    """Each request's least seconds: its ends snapped, costs between all vertices, and the same-edge case."""
+    ends = [f"(select req_id as id, {p}_lat as lat, {p}_lon as lon from ({_ASK}))" for p in ("from", "to")]
+    part = "(case when t is null then 0e0 else round_even(t * 65535e0, 0) / 65535e0 end)"
+    return f"""with recursive e as materialized (select edge_id, from_id, to_id, fwd, bwd, s from {arcs}),
+    sn as (select id, edge_id, {part} as f from {_snap_sql(ends[0], 'id')}), tn as (select id, edge_id, {part} as t from {_snap_sql(ends[1], 'id')}),
+    r as (select sn.id as req_id, f, t, a.edge_id = b.edge_id as same, a.from_id as sf, a.to_id as st, a.s as ss, a.fwd as sfw, a.bwd as sbw, b.from_id as tf, b.to_id as tt, b.s as ts, b.fwd as tfw, b.bwd as tbw
+        from sn join tn on sn.id = tn.id join e a on a.edge_id = sn.edge_id join e b on b.edge_id = tn.edge_id),
+    lead as (select req_id, st as u, (1e0 - f) * ss as c from r where sfw union all select req_id, sf, f * ss from r where sbw),
+    tail as (select req_id, tf as v, t * ts as c from r where tfw union all select req_id, tt, (1e0 - t) * ts from r where tbw),
+    arcs as materialized (select from_id as src, to_id as dst, s from e where fwd union all select to_id, from_id, s from e where bwd),
+    d(u, v, c) using key (u, v) as (select distinct u, u, 0e0 from lead union (select d.u, dst, min(d.c + s) from d join arcs on src = d.v left join recurring.d r on r.u = d.u and r.v = dst where r.c is null or d.c + s < r.c group by d.u, dst)),
+    w as (select lead.req_id, lead.c + d.c + tail.c as c from lead join tail on lead.req_id = tail.req_id join d on d.u = lead.u and d.v = tail.v
+        union all select req_id, case when f = t then 0e0 else abs(t - f) * ss end from r where same and (f = t or (t > f and sfw) or (t < f and sbw)))
+    select req_id, round(min(c), 4) as dur_s from w group by req_id"""
 
 
 def _route_inputs(spark, sf_dir):
-    return requests(spark, sf_dir), fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car"
+    return fx.requests(spark, sf_dir), fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car"
 
 
-@query()
+@query(_routes_sql(_CAR))
 def n6_routes(spark, sf_dir):
-    """Car routes of all requests: length, seconds, points. (Checked against brute force in tests.)"""
+    """Car routes of all requests: their seconds."""
+    return routing.calculate(*_route_inputs(spark, sf_dir)).select("req_id", F.round("dur_s", 4).alias("dur_s"))
+
+
+@query(_routes_sql(_CAR_LIMITED))
+def n6_routes_restricted(spark, sf_dir):
+    """The same with all restriction areas in force."""
+    return routing.calculate(*_route_inputs(spark, sf_dir), car_factors(spark, sf_dir)).select("req_id", F.round("dur_s", 4).alias("dur_s"))
+
+
+@query(f"select count(*) as routes, count(*) as ends_right, count(*) as times_right, count(*) as lengths_right from ({_routes_sql(_CAR)})")
+def w1_cumulative(spark, sf_dir):
+    """How many of those routes' shapes start and end at 0 s and at their duration, rise all along, and are as long as their edges."""
     r = routing.calculate(*_route_inputs(spark, sf_dir))
-    return r.select("req_id", F.round("dist_m", 3).alias("dist_m"), F.round("dur_s", 3).alias("dur_s"), F.size("shape").alias("n_points"), F.size("edges").alias("n_edges"))
+    rising = F.forall(F.zip_with(F.slice("cum_s", 1, F.size("cum_s") - 1), F.slice("cum_s", 2, F.size("cum_s")), lambda a, b: a <= b + 1e-9), lambda ok: ok)
+    ends = (F.get("cum_s", F.lit(0)) == 0) & (F.abs(F.get("cum_s", F.size("cum_s") - 1) - F.col("dur_s")) < 1e-6) & (F.size("cum_s") == F.size("shape"))
+    long = F.abs(geo.polyline_length(F.col("shape")) - F.col("dist_m")) < 1 + 1e-3 * F.col("dist_m")
+    return r.agg(F.count("*").alias("routes"), F.count_if(ends).alias("ends_right"), F.count_if(rising).alias("times_right"), F.count_if(long).alias("lengths_right"))
+
+
+_LINEAR = "(select way_id, pos, n, n * 7e0 as total from (select way_id, pos, count(*) over (partition by way_id) as n from ({refs})))"
+
+
+@query(f"select way_id, pos, round(case when n = 1 or pos = n - 1 then total else total * pos / (n - 1) end, 9) as seconds from {_LINEAR.replace('{refs}', _REFS)}")
+def w2_linear_seconds(spark, sf_dir):
+    """Seconds at each node of a way of which only the total is known."""
+    w = fx.ways(spark, sf_dir).select("way_id", "refs", (F.size("refs") * 7.0).alias("total"))
+    at = w.select("way_id", F.posexplode(routing.linear_cumulative(F.col("refs"), F.col("total"))).alias("pos", "seconds"))
+    return at.select("way_id", F.col("pos").cast("long").alias("pos"), F.round("seconds", 9).alias("seconds"))
+
+
+def _inside_sql(p: str) -> str:
+    return f"({p}_lat between {BOX[0]}e0 and {BOX[2]}e0 and {p}_lon between {BOX[1]}e0 and {BOX[3]}e0)"
 
 
 @query()
-def n7_boundary(spark, sf_dir):
-    """Where those routes leave a box."""
-    ask = requests(spark, sf_dir)
-    r = routing.calculate(*_route_inputs(spark, sf_dir)).join(ask, "req_id").withColumn("bounds", _box())
+def n7_crossings(spark, sf_dir):
+    """Where those routes leave a box, and what is left of them outside. (Checked by proportion in tests.)"""
+    r = routing.calculate(*_route_inputs(spark, sf_dir)).join(fx.requests(spark, sf_dir), "req_id").withColumn("bounds", _box())
     out = boundary.crossing(r)
     return out.select("req_id", "kind", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("outside_m", 3).alias("outside_m"), F.round("outside_s", 3).alias("outside_s"))
 
 
+@query(f"""with sides as materialized (select req_id, case when {_inside_sql('from')} and not {_inside_sql('to')} then 1 when {_inside_sql('to')} and not {_inside_sql('from')} then 2 else 3 end as k from ({_ASK})),
+    found as materialized ({_routes_sql(_CAR)})
+    select req_id, ['b_outside', 'a_outside', 'other'][k] as side from sides where req_id in (select req_id from found)""")
+def n7_boundary(spark, sf_dir):
+    """Which end of each route lies outside a box. (Where it leaves, and what is left, is checked by proportion in tests.)"""
+    r = routing.calculate(*_route_inputs(spark, sf_dir)).join(fx.requests(spark, sf_dir), "req_id").withColumn("bounds", _box())
+    out = boundary.crossing(r)
+    crossed = F.col("kind").isin("a_outside", "b_outside")
+    # a route whose ends lie across the box's edge from each other is never of another kind, unless its snapped start lies outside
+    from_in, to_in = geo.in_box(F.col("from_lat"), F.col("from_lon"), F.col("bounds")), geo.in_box(F.col("to_lat"), F.col("to_lon"), F.col("bounds"))
+    side = F.when(crossed, F.col("kind")).when((F.col("kind") == "route_error") & (from_in != to_in), F.when(from_in, "b_outside").otherwise("a_outside")).otherwise("other")
+    return out.select("req_id", side.alias("side"))
+
+
+# Documents
+
+
+_POINT = lambda p: f"'[' || round({p}_lon * 1000000)::bigint || ',' || round({p}_lat * 1000000)::bigint || ']'"
+_BOTH_IN = " or ".join(f"({p}_lat between {BOX[0]}e0 and {BOX[2]}e0 and {p}_lon between {BOX[1]}e0 and {BOX[3]}e0)" for p in "ab")
+
+
+def _micro(feature: F.Column, kind: str) -> F.Column:
+    """A feature's coordinates in millionths of a degree, as both engines write whole numbers alike."""
+    deep = {"LineString": "array<array<double>>", "Polygon": "array<array<array<double>>>"}[kind]
+    c = F.from_json(feature, f"geometry struct<type:string,coordinates:{deep}>")["geometry"]["coordinates"]
+    point = lambda p: F.transform(p, lambda x: F.round(x * 1000000).cast("long"))
+    return F.to_json(F.transform(c, point) if kind == "LineString" else F.transform(c, lambda r: F.transform(r, point)))
 
 
-@query(f"""select edge_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[[' || round(a_lon * 1000000)::bigint || ',' || round(a_lat * 1000000)::bigint || '],[' || round(b_lon * 1000000)::bigint || ',' || round(b_lat * 1000000)::bigint || ']]}},"properties":{{"id":' || edge_id || '}}}}' as feature
-    from {_E} where (a_lat between {BOX[0]}e0 and {BOX[2]}e0 and a_lon between {BOX[1]}e0 and {BOX[3]}e0) or (b_lat between {BOX[0]}e0 and {BOX[2]}e0 and b_lon between {BOX[1]}e0 and {BOX[3]}e0)""")
+@query(f"select edge_id, '[' || {_POINT('a')} || ',' || {_POINT('b')} || ']' as line, 'LineString' as kind, edge_id as id from {_E} where {_BOTH_IN}")
 def k4_road_geojson(spark, sf_dir):
-    """GeoJSON features of the roads with a vertex in a box, in millionths of a degree."""
-    e = fx.edges(spark, sf_dir).where(F.exists("line", lambda p: geo.in_box(p["lat"], p["lon"], _box())))
-    whole = F.transform("line", lambda p: F.array(F.round(p["lon"] * 1000000).cast("long"), F.round(p["lat"] * 1000000).cast("long")))
-    g = F.struct(F.lit("LineString").alias("type"), whole.alias("coordinates"))
-    return e.select("edge_id", F.to_json(F.struct(F.lit("Feature").alias("type"), g.alias("geometry"), F.struct(F.col("edge_id").alias("id")).alias("properties"))).alias("feature"))
+    """GeoJSON features of the roads with a vertex in a box, read back."""
+    f = documents.road_features(fx.edges(spark, sf_dir), _box())
+    return f.select("edge_id", _micro(F.col("feature"), "LineString").alias("line"), F.get_json_object("feature", "$.geometry.type").alias("kind"), F.get_json_object("feature", "$.properties.id").cast("long").alias("id"))
+
+
+@query(f"select count(*) as n, count(*) as right_ends from ({_routes_sql(_CAR)})")
+def k6_route_geojson(spark, sf_dir):
+    """GeoJSON features of all routes, and how many have their request, at least two points and a duration."""
+    f = documents.route_features(routing.calculate(*_route_inputs(spark, sf_dir)))
+    get = lambda p: F.get_json_object("feature", p)
+    right = (get("$.properties.req_id").cast("long") == F.col("req_id")) & get("$.geometry.coordinates[1][1]").isNotNull() & (get("$.properties.dur_s").cast("double") >= 0)
+    return f.agg(F.count("*").alias("n"), F.count_if(right).alias("right_ends"))
+
+
+_CORNER = lambda y, x: f"'[' || round({x} * 1000000)::bigint || ',' || round({y} * 1000000)::bigint || ']'"
+_SQUARE = " || ',' || ".join(_CORNER(y, x) for y, x in (("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", "max_lon"), ("max_lat", "min_lon"), ("min_lat", "min_lon")))
+_TIP = "(min_lon + (max_lon - min_lon) * 0.525e0)"
+_THREE = " || ',' || ".join(_CORNER(y, x) for y, x in (("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", _TIP), ("min_lat", "min_lon")))
+
+
+@query(f"select area_id, case form when 'triangle' then '[[' || {_THREE} || ']]' else '[[' || {_SQUARE} || ']]' end as rings, kind, difficulty_type, tag from ({_A})")
+def k8_area_geojson(spark, sf_dir):
+    """GeoJSON features of all restriction areas, read back."""
+    f = documents.area_features(*fx.areas(spark, sf_dir))
+    get = lambda p: F.get_json_object("feature", f"$.properties.{p}").alias(p)
+    return f.select("area_id", _micro(F.col("feature"), "Polygon").alias("rings"), get("kind"), get("difficulty_type"), get("tag"))
+
+
+#: A box of a few hundred mesh cells.
+_FEW = (35.05, 136.6, 35.1, 136.65)
+
+
+@query(f"""select ({_mesh_sql('((i + 0.5e0) / 120e0)', '((j + 0.5e0) / 80e0)')} // 1000)::bigint as mesh, round(i / 120e0 * 1000000)::bigint as south, round((j + 1) / 80e0 * 1000000)::bigint as east
+    from generate_series(floor({_FEW[0]}e0 * 120e0 + 1e-7)::bigint, ceil({_FEW[2]}e0 * 120e0 - 1e-7)::bigint - 1) a(i), generate_series(floor({_FEW[1]}e0 * 80e0 + 1e-7)::bigint, ceil({_FEW[3]}e0 * 80e0 - 1e-7)::bigint - 1) b(j)""")
+def k9_mesh_geojson(spark, sf_dir):
+    """GeoJSON features of the third meshes in a box, read back."""
+    f = documents.mesh_features(spark, _FEW, 3)
+    at = lambda p: F.round(F.get_json_object("feature", f"$.geometry.coordinates{p}").cast("double") * 1000000).cast("long")
+    return f.select(F.get_json_object("feature", "$.properties.mesh").cast("long").alias("mesh"), at("[0][0][1]").alias("south"), at("[0][1][0]").alias("east"))
+
+
+# Sources and sinks: bytes are written from the tables, read back, and compared
+
+
+@query(f"select node_id, round(lat, 7) as lat, round(lon, 7) as lon from ({_NODES})")
+def s8_extract_nodes(spark, sf_dir):
+    """Nodes written as a map extract, plain and dense blocks in turn, and read back."""
+    folder = trips.extract_files(fx.nodes(spark, sf_dir), fx.ways(spark, sf_dir))
+    return trips.load(spark, folder, "node").select(F.col("id").alias("node_id"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+@query(f"select way_id, array_to_string(list(node_id order by pos), ',') as refs, {_WAY} as highway from ({_REFS}) group by way_id")
+def s10_extract_ways(spark, sf_dir):
+    """Ways written as a map extract and read back."""
+    folder = trips.extract_files(fx.nodes(spark, sf_dir), fx.ways(spark, sf_dir))
+    w = trips.load(spark, folder, "way")
+    return w.select(F.col("id").alias("way_id"), F.concat_ws(",", F.col("refs").cast("array<string>")).alias("refs"), F.element_at("tags", F.lit("highway")).alias("highway"))
+
+
+@query(f"select way_id as id, count(*)::int as members, min(node_id) as first_ref from ({_REFS}) group by way_id")
+def s11_extract_relations(spark, sf_dir):
+    """Each way's nodes as a relation's members, written as a map extract and read back."""
+    folder = trips.extract_files(fx.nodes(spark, sf_dir), fx.ways(spark, sf_dir))
+    r = trips.load(spark, folder, "relation")
+    return r.select("id", F.size("members").alias("members"), F.array_min(F.transform("members", lambda m: m["member_id"])).alias("first_ref"))
+
+
+def _graph_file(spark, sf_dir) -> str:
+    edges = fx.edges(spark, sf_dir).withColumn("flags", extract.edge_flags(F.col("tags")))
+    return trips.graph_file(fx.vertices(spark, sf_dir), edges, fx.baked(spark, sf_dir, "car", "truck"))
+
+
+@query(f"select vertex_id, lat, lon from ({_V})")
+def s17_graph_file_vertices(spark, sf_dir):
+    """Vertices of a graph file, written and read back."""
+    return odrg.read(spark, _graph_file(spark, sf_dir), "vertex").drop("path")
+
+
+@query(f"""select from_id, to_id, (case when highway = 'living_street' then 256 else 0 end + case when access = 'private' then 32 else 0 end + case oneway when 'yes' then 4096 when '-1' then 8192 else 0 end)::int as flags,
+    least(a_lat, b_lat) as south, greatest(a_lon, b_lon) as east from {_E}""")
+def s17_graph_file_edges(spark, sf_dir):
+    """Edges of a graph file, written in the tree's order and read back."""
+    e = odrg.read(spark, _graph_file(spark, sf_dir), "edge")
+    return e.select("from_id", "to_id", "flags", F.col("box.min_lat").alias("south"), F.col("box.max_lon").alias("east"))
+
+
+@query(f"select profile, can_pass, fwd, bwd, speed_kmh, count(*) as edges from ({_BAKED}) where profile in ('car', 'truck') group by all")
+def s18_graph_file_baked(spark, sf_dir):
+    """Baked profiles of a graph file, counted."""
+    b = odrg.read(spark, _graph_file(spark, sf_dir), "baked")
+    return b.groupBy("profile", "can_pass", "fwd", "bwd", "speed_kmh").agg(F.count("*").alias("edges"))
+
+
+_GML_KIND = "case when area_id % 2 = 0 then ' steep ' else 'flat' end"
+
+
+@query(f"select area_id, case form when 'triangle' then 3 else 4 end as points, round(min_lat, 9) as south, round(max_lat, 9) as north, {_GML_KIND} as slope, 1 as holes from ({_A}) where area_id % 2 = 0 union all "
+       f"select area_id, case form when 'triangle' then 3 else 4 end, round(min_lat, 9), round(max_lat, 9), {_GML_KIND}, 0 from ({_A}) where area_id % 2 = 1")
+def s21_gml_features(spark, sf_dir):
+    """All areas written as hazard-map documents, some with a hole, and read back; attribute values are kept as they are."""
+    a, s = fx.areas(spark, sf_dir)
+    g = gml.read(spark, trips.gml_files(a.join(s, "area_id")))
+    lats = F.transform("outer", lambda p: p["lat"])
+    return g.select(
+        F.element_at("attrs", F.lit("area")).cast("long").alias("area_id"), F.size("outer").alias("points"), F.round(F.array_min(lats), 9).alias("south"), F.round(F.array_max(lats), 9).alias("north"),
+        F.element_at("attrs", F.lit("slope")).alias("slope"), F.size("holes").alias("holes"),
+    )
+
+
+@query(f"select kind, difficulty_type, tag, form <> 'mesh' as has_polygon, count(*) as n, round(sum(min_lat), 6) as south from ({_A}) group by all")
+def k7_restriction_documents(spark, sf_dir):
+    """All areas saved as restriction documents, a document a task, and loaded again from the files."""
+    a, s = fx.areas(spark, sf_dir)
+    folder = trips.restriction_files(documents.restriction_items(a, s))
+    areas, shapes = documents.read_restrictions(spark, folder)
+    both = areas.join(shapes, "area_id")
+    return both.groupBy("kind", "difficulty_type", "tag", F.col("outer").isNotNull().alias("has_polygon")).agg(F.count("*").alias("n"), F.round(F.sum("box.min_lat"), 6).alias("south"))
+
+
+@query(f"""select tag, count(*) as areas from ({_A}) where not (kind = 'block' and area_id % 3 = 0) group by tag""")
+def r4_listed_after_changes(spark, sf_dir):
+    """Areas listed by tag, after bulk adds of blocks and difficulties and a removal."""
+    a, s = fx.areas(spark, sf_dir)
+    live = restrict.Restrictions(spark, a.where("kind = 'block'"), s.join(a.where("kind = 'block'"), "area_id", "left_semi"))
+    hard = a.where("kind = 'difficulty'")
+    live.add_tables(hard, s.join(hard, "area_id", "left_semi"))
+    live.remove_where((F.col("kind") == "block") & (F.col("area_id") % 3 == 0))
+    return live.list_all().groupBy("tag").agg(F.count("*").alias("areas"))
+
+
+@query(f"select edge_id, count(*) as areas from {_HITS} join ({_A}) a using (area_id) where kind = 'difficulty' group by edge_id")
+def r9_difficulties_by_edge(spark, sf_dir):
+    """How many difficulty areas each edge has, from an attached graph."""
+    live = restrict.Restrictions(spark, *fx.areas(spark, sf_dir)).attach(fx.edges(spark, sf_dir))
+    return live.difficulties().groupBy("edge_id").agg(F.count("*").alias("areas"))
+
+
+@query(f"select edge_id, blocked, round(factor, 9) as factor from {_FACTORS}")
+def j5_detached_factors(spark, sf_dir):
+    """The factors of all edges from a set of areas that has no graph attached."""
+    live = restrict.Restrictions(spark, *fx.areas(spark, sf_dir))
+    f = live.factors(fx.profiles()[0], fx.edges(spark, sf_dir))
+    return f.select("edge_id", "blocked", F.round("factor", 9).alias("factor"))
 
 
+@query(f"select point_id, edge_id, round(dist, 6) as dist_m from (select point_id, edge_id, {q.seg_dist('lat', 'lon', 'a_lat', 'a_lon', 'b_lat', 'b_lon')} as dist from ({_P}) p, {_PASS} e) qualify row_number() over (partition by point_id order by dist, edge_id) = 1")
+def a10_nearest_without_radius(spark, sf_dir):
+    """The nearest road open to cars of each point, however far."""
+    s = spatial.snap_anywhere(fx.points(spark, sf_dir), fx.edges(spark, sf_dir), fx.baked(spark, sf_dir, "car"), "car")
+    return s.select("point_id", "edge_id", F.round("dist_m", 6).alias("dist_m"))

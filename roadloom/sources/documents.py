@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo, mesh
 from roadloom.operators import restrict
+from roadloom.operators.lineage import landed
 from roadloom.operators.restrict import Restrictions
 
 #: Version 1 has outer rings only; version 2, ours, keeps holes.
@@ -79,6 +83,39 @@ def load_restrictions(live: Restrictions, text: str) -> int:
     return len(items)
 
 
+def read_restrictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(areas, shapes) of one or many restriction documents, a document a row, read on executors; a wrong item is an error."""
+    kinds = f"area_id string, kind string, difficulty_type string, tag string, meshes array<long>, outer {restrict.POINTS}, holes array<{restrict.POINTS}>"
+    ring = lambda r: [{"lat": a, "lon": o} for a, o in r]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                items = parse_restrictions(content.decode("utf-8"))
+                rows = [
+                    {
+                        "area_id": hashlib.sha256(f"{name}/{k}".encode()).hexdigest(), "kind": i["kind"], "difficulty_type": i["type"], "tag": i["tag"],
+                        "meshes": i["meshes"], "outer": ring(i["outer"]) if i["outer"] else None, "holes": [ring(h) for h in i["holes"]],
+                    }
+                    for k, i in enumerate(items)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ITEMS)
+
+    found = landed(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kinds), "restrictions")
+    areas = found.select("area_id", "kind", "difficulty_type", "tag")
+    polygons = found.where("outer is not null").select("area_id", F.lit(0).alias("shape_no"), geo.box_of(F.col("outer")).alias("box"), "outer", "holes")
+    cells = found.where("meshes is not null").select("area_id", F.posexplode("meshes").alias("shape_no", "mesh"))
+    box = mesh.box(F.col("mesh"))
+    sure = F.when(box.isNotNull(), box).otherwise(F.raise_error("not a mesh code").cast(box_type()))
+    none = F.lit(None)
+    meshes = cells.select("area_id", "shape_no", sure.alias("box"), none.cast(restrict.POINTS).alias("outer"), none.cast(f"array<{restrict.POINTS}>").alias("holes"))
+    return areas, polygons.unionByName(meshes)
+
+
+_RING = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
+_ITEMS = pa.schema([("area_id", pa.string()), ("kind", pa.string()), ("difficulty_type", pa.string()), ("tag", pa.string()), ("meshes", pa.list_(pa.int64())), ("outer", _RING), ("holes", pa.list_(_RING))])
+
+
 def box_type() -> str:
     """The type of a box."""
     return "struct<min_lat:double,min_lon:double,max_lat:double,max_lon:double>"

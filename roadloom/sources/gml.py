@@ -103,7 +103,7 @@ class _Parser:
         elif self.kind == "feature" and self.depth == 2 and self.name:
             value = "".join(self.text)
             if value and not value.isspace():
-                self.attrs[self.name] = value.strip()
+                self.attrs[self.name] = value
             self.name = self.text = None
 
 

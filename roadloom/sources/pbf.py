@@ -1,7 +1,8 @@
 """Map extracts in the blocked protobuf format, as a Spark data source.
 
 ``spark.read.format("roadloom_pbf").option("entity", "node" | "way" | "relation").load(path)``.
-The driver walks the block headers only; every input partition is a run of blocks, read and
+A path is a file or a folder of ``.pbf`` files, in any store that Arrow knows.
+The driver walks the block headers only; every input partition is a run of a file's blocks, read and
 decoded on an executor. Kinds that aren't asked for are skipped undecoded.
 """
 
@@ -15,6 +16,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from roadloom.sources import store
 from roadloom.sources.wire import WireError, fields, packed, packed_signed, signed, varint, zigzag
 
 #: Fixed limits and features of the format.
@@ -34,8 +36,9 @@ class PbfError(ValueError):
 
 def frames(f) -> Iterator[tuple[str, int, int]]:
     """(type, offset, length) of each block's body, reading headers only."""
-    whole = f.seek(0, 2)
-    at = f.seek(0)
+    f.seek(0, 2)
+    whole, at = f.tell(), 0
+    f.seek(0)
     while True:
         raw = f.read(4)
         if not raw:
@@ -62,7 +65,8 @@ def frames(f) -> Iterator[tuple[str, int, int]]:
         if at + body > whole:
             raise PbfError("the file ends in a block")
         yield kind, at, body
-        at = f.seek(at + body)
+        at += body
+        f.seek(at)
 
 
 def inflate(blob: bytes) -> bytes:
@@ -118,7 +122,7 @@ class Header:
 
 def _index(path: str) -> tuple[Header, list[tuple[int, int]]]:
     blocks, header = [], None
-    with open(path, "rb") as f:
+    with store.opened(path) as f:
         for k, (kind, at, size) in enumerate(frames(f)):
             if kind == "OSMHeader":
                 if k:
@@ -258,6 +262,7 @@ def _relation(data: bytes, strings) -> tuple:
 
 @dataclass
 class _Run(InputPartition):
+    path: str
     blocks: list
 
 
@@ -266,17 +271,21 @@ class _Reader(DataSourceReader):
         self.path, self.entity, self.run_bytes = path, entity, run_bytes
 
     def partitions(self):
-        runs, size = [[]], 0
-        for b in _index(self.path)[1]:
-            if size > self.run_bytes:
-                runs.append([])
-                size = 0
-            runs[-1].append(b)
-            size += b[1]
-        return [_Run(r) for r in runs]
+        runs = []
+        for path in store.listed(self.path, ".pbf"):
+            size = self.run_bytes + 1
+            for b in _index(path)[1]:
+                if size > self.run_bytes:
+                    runs.append(_Run(path, []))
+                    size = 0
+                runs[-1].blocks.append(b)
+                size += b[1]
+        return runs or [_Run("", [])]
 
     def read(self, partition):
-        with open(self.path, "rb") as f:
+        if not partition.blocks:
+            return
+        with store.opened(partition.path) as f:
             for at, size in partition.blocks:
                 f.seek(at)
                 yield from block(inflate(f.read(size)), self.entity)
@@ -296,7 +305,7 @@ class PbfSource(DataSource):
         return SCHEMAS[entity]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"].removeprefix("file://"), self.options.get("entity", "node"), int(self.options.get("run_bytes", 32 << 20)))
+        return _Reader(self.options["path"], self.options.get("entity", "node"), int(self.options.get("run_bytes", 32 << 20)))
 
 
 def read_header(path: str) -> Header:

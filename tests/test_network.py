@@ -117,14 +117,82 @@ def test_search_against_brute_force(spark):
         assert (got is None) == (want == math.inf) and (got is None or got[0] == pytest.approx(want))
         assert got is None or got[1] == pytest.approx(10 * got[0])
     one = spark.createDataFrame([(3,)], "vertex_id long")
-    fast = {r.vertex_id: round(r.seconds, 9) for r in routing.reach(g, one).collect()}
+    folder = routing.stored(verts, edges, baked, "car")
+    fast = {r.vertex_id: round(r.seconds, 9) for r in routing.reach(folder, one).collect()}
     slow = {r.vertex_id: round(r.seconds, 9) for r in routing.relax(routing.weighted_arcs(edges, baked, "car"), one).collect()}
     assert fast == slow
+    ends = [(k, r.randrange(40), r.randrange(65536), 35.0, 136.0, r.randrange(40), r.randrange(65536), 35.1, 136.1) for k in range(80)]
+    ends += [(80 + k, k, 100, 35.0, 136.0, k, 100 + 99 * (k % 3), 35.1, 136.1) for k in range(20)]
+    snapped = spark.createDataFrame(ends, "req_id long, s_edge long, s_offset int, s_lat double, s_lon double, t_edge long, t_offset int, t_lat double, t_lon double")
+    shaped = edges.withColumn("shape", F.when(F.col("edge_id") % 2 == 0, F.array(*[F.struct(F.lit(35.02 + k / 50).alias("lat"), F.lit(136.03).alias("lon")) for k in range(2)])).otherwise(F.col("shape")))
+    folder = routing.stored(verts, shaped, baked, "car")
+    a = {x.req_id: x for x in routing.routes(snapped, folder).collect()}
+    b = {x.req_id: x for x in routing.routes_by_joins(snapped, verts, shaped, baked, "car").collect()}
+    assert set(a) == set(b) and len(a) > 50
+    for k, x in a.items():
+        y = b[k]
+        assert x.dur_s == pytest.approx(y.dur_s) and x.dist_m == pytest.approx(y.dist_m) and x.edges == y.edges
+        assert x.shape == y.shape and x.cum_s == pytest.approx(y.cum_s)
+
+
+def test_dense_numbers_over_many_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        n = 1_500_000
+        wide = spark.range(n).select(((F.col("id") * 7_919) % n).alias("k"), F.repeat(F.col("id").cast("string"), 6).alias("payload"))
+        out = extract.numbered(wide, ["k"], "n")
+        assert out.where("n = k").count() == n  # dense from 0, in order
+        again = out.select("k", F.col("n").alias("m")).join(out.select("k", "n"), "k")
+        assert again.where("n <> m").isEmpty() and again.count() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_extracted_graph_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    ways, nodes = extract.road_ways(fx.ways(spark, sf)), fx.nodes(spark, sf)
+    verts, edges = extract.graph(ways, nodes)
+    place = {r.node_id: (r.lat, r.lon) for r in nodes.collect()}
+    uses, lines = {}, [r.refs for r in ways.collect() if len(r.refs) >= 2]
+    for refs in lines:
+        for k, x in enumerate(refs):
+            n, end = uses.get(x, (0, False))
+            uses[x] = (n + 1, end or k in (0, len(refs) - 1))
+    number = {x: k for k, x in enumerate(sorted(x for x, (n, end) in uses.items() if end or n > 1))}
+    want = []
+    for refs in lines:
+        at = [k for k, x in enumerate(refs) if x in number]
+        want += [(number[refs[a]], number[refs[b]], tuple(place[x] for x in refs[a + 1 : b])) for a, b in zip(at, at[1:])]
+    got = edges.collect()
+    assert sorted((r.from_id, r.to_id, tuple((p.lat, p.lon) for p in r.shape)) for r in got) == sorted(want)
+    assert sorted(r.edge_id for r in got) == list(range(len(want)))
+    assert {(r.vertex_id, r.osm_id) for r in verts.collect()} == {(k, x) for x, k in number.items()}
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    r = random.Random(6)
+
+    def boxes(n, name):
+        rows = []
+        for k in range(n):
+            size = r.choice([0.0, 0.001, 0.05, 0.4, 3.0, 40.0])
+            y, x = r.uniform(-60, 60), r.uniform(-120, 120)
+            if r.random() < 0.7:
+                y, x = 35 + r.random(), 136 + r.random()
+            rows.append((k, (y, x, y + size * r.random(), x + size * r.random())))
+        return spark.createDataFrame(rows, f"{name} long, {name}_box struct<min_lat:double,min_lon:double,max_lat:double,max_lon:double>")
+
+    a, b = boxes(150, "a"), boxes(150, "b")
+    found = sorted((x.a, x.b) for x in spatial.box_join(a, b, "a_box", "b_box").collect())
+    assert found == sorted((x.a, x.b) for x in a.crossJoin(b).where(geo.boxes_meet(F.col("a_box"), F.col("b_box"))).collect()) and len(found) > 100
+    assert spatial.box_join(a.limit(0), b, "a_box", "b_box").count() == 0
 
 
 def test_boundary(spark):
     shape = [(35.05, 135.05 + 0.01 * k) for k in range(10)]
-    def one(a, b, points=shape, box=(35.0, 135.0, 35.1, 135.1)):
+
+    def one(a, b, points=shape, box=(34.9, 134.95, 35.2, 135.1)):
         df = spark.createDataFrame([(*a, *b, points, [90.0 * k for k in range(len(points))])], f"from_lat double, from_lon double, to_lat double, to_lon double, shape {restrict.POINTS}, cum_s array<double>")
         return boundary.crossing(df.withColumn("bounds", F.struct(*[F.lit(v).alias(n) for v, n in zip(box, ("min_lat", "min_lon", "max_lat", "max_lon"))]))).collect()[0]
     r = one(shape[0], shape[-1])
@@ -185,6 +253,13 @@ def test_snap_edges(spark):
     assert len(s) == 1 and s[0].edge_id == 0 and abs(s[0].offset - 32768) <= 1 and s[0].dist_m == pytest.approx(111.195, rel=1e-3)
     assert spatial.snap(p, edges, baked, "").count() == 0 and spatial.snap(p, edges, baked, "none").count() == 0 and spatial.snap(p, edges, baked, "car", 0).count() == 0
     assert spatial.nearest_edges(p, edges, 2).groupBy("point_id").count().collect()[0]["count"] == 2
+    for some, roads in ((p.limit(0), edges), (p, edges.limit(0))):
+        none = spatial.nearest_edges(some, roads, 2)
+        assert none.columns == ["point_id", "edge_id", "d2"] and none.count() == 0
+    with pytest.raises(Exception, match="without a place"):
+        spatial.nearest_edges(spark.createDataFrame([(1, float("nan"), 1.0)], "point_id long, lat double, lon double"), edges, 1).count()
+    far = {r.point_id: r.edge_id for r in spatial.snap_anywhere(p, edges, baked, "car").collect()}
+    assert far == {1: 0, 2: 0} and spatial.snap_anywhere(p, edges, baked, "none").count() == 0
 
 
 def test_stream_of_commands(spark):
@@ -213,6 +288,8 @@ def test_every_event_is_an_area(spark):
     events = [r[0] for r in fx.table(spark, sf, "events").select("event_id").collect()]
     assert sorted(r.area_id for r in areas.collect()) == sorted(r.area_id for r in shapes.collect()) == sorted(events)
     edges = fx.edges(spark, sf).select("edge_id", F.col("line")[0].alias("a"), F.col("line")[1].alias("b"))
+    kinds = {r.kind: r.n for r in areas.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"block", "difficulty"} and shapes.where("outer is null and box.max_lat - box.min_lat > 0.001").count() > 0  # mesh cells
     pairs = shapes.crossJoin(edges).where(restrict.shape_meets_segment(F.col("box"), F.col("outer"), F.col("holes"), F.col("a"), F.col("b")))
     found = registry.QUERIES["j4_area_edges"](spark, sf)
     rows = lambda df: sorted((r.area_id, r.edge_id) for r in df.select("area_id", "edge_id").collect())

@@ -153,6 +153,7 @@ def test_gml(spark, tmp_path):
     (tmp_path / "a.xml").write_text(GML)
     r = gml.read(spark, str(tmp_path / "a.xml")).collect()
     assert len(r) == 1 and len(r[0].outer) == 4 and len(r[0].holes) == 1 and r[0].attrs == {"rank": "4"}
+    assert gml.parse(GML.replace("<rank>4<", "<rank> 4 <"))[0][2] == {"rank": " 4 "}  # values are kept as they are
     for bad in (GML.replace("#c2", "#c9"), GML.replace("#s1", "#s9"), GML.replace("35.01 ", ""), "<r>", "<!DOCTYPE r><r/>"):
         with pytest.raises(gml.GmlError):
             gml.parse(bad)
