@@ -1,9 +1,7 @@
-"""Helpers shared by the text operators: shared folders, ids, Arrow mapping."""
+"""Helpers shared by the text operators: tables in the shared folder, ids, words, Arrow mapping."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,43 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadloom.operators.lineage import landed, scratch, shared_dir, swept
+
+__all__ = ["SPACES", "WORD", "id_remainder", "landed", "map_text", "portions", "scratch", "shared_dir", "split_words", "swept", "table", "unused"]
+
 #: White space of the contracts: space and the controls from tab to carriage return.
 SPACES = " \t\n\v\f\r"
 #: A word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset.
-
-    A new one is on this machine, so it is made only where the executors are threads of the driver.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='roadloom-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _own_dir(spark: SparkSession) -> str:
-    """The application's folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/roadloom-{spark.sparkContext.applicationId}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path not used before, in the application's folder below the shared one."""
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def swept(spark: SparkSession) -> None:
-    """Removes every table that this application has landed; results that read them must be written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(name: str, *taken: str) -> str:
     """``name``, with underscores added until it equals none of ``taken``, whatever their case."""
     used = {t.lower() for t in taken}
@@ -58,16 +29,6 @@ def unused(name: str, *taken: str) -> str:
     return name
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
-
-    Cuts the lineage: what follows survives the loss of any executor.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
