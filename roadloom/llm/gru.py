@@ -16,7 +16,7 @@ import numpy as np
 #: State, embedding, words of a class, classes, hashed inputs of other words.
 HIDDEN, EMBED, WIDTH, CLASSES, BUCKETS = 16, 16, 32, 32, 256
 #: Documents side by side and steps of a training window; steps of a scoring window.
-LANES, WINDOW, SCORE_WINDOW = 128, 16, 32
+LANES, WINDOW, SCORE_WINDOW = 256, 16, 32
 
 NAMES = ("emb", "wx", "bx", "u", "wc", "bc", "wo", "bo")
 
@@ -141,12 +141,14 @@ def score(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarr
     return result
 
 
-def _added_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and the sum of each one's rows."""
-    order = np.argsort(key, kind="stable")
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The distinct keys, which of them each key is, and the sorting order with the places where a new key begins."""
+    order = np.argsort(key.astype(np.uint16) if WIDTH * CLASSES + BUCKETS < 65_535 else key, kind="stable")  # 16 bits are sorted by radix
     sorted_ = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return sorted_[starts], np.add.reduceat(rows[order], starts, axis=0)
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return sorted_[new], place, (order, np.flatnonzero(new))
 
 
 def train(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarray, lengths: np.ndarray, rate: float = 0.1, seed: int = 5) -> tuple[Gru, int]:
@@ -173,7 +175,7 @@ def train(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarr
             kept, carried, u = [], h, p["u"]
             at = [first[: int(live[t])] + t for t in range(begin, min(longest, begin + WINDOW))]
             words = np.concatenate([inputs[a] for a in at])
-            used, place = np.unique(words, return_inverse=True)
+            used, place, (order_, starts_) = _grouped(words)
             table = p["emb"][used] @ p["wx"] + p["bx"]
             gates = table[place]
             done = 0
@@ -208,7 +210,7 @@ def train(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarr
                 carry = dh * z + s @ u.T
                 end -= n
             grads["u"] += np.concatenate([k[0] for k in kept]).T @ d_state
-            _, by_word = _added_by(place, d_gates)  # every input of the window occurs, in the order of ``used``
+            by_word = np.add.reduceat(d_gates[order_], starts_, axis=0)  # in the order of ``used``
             grads["wx"] += p["emb"][used].T @ by_word
             grads["bx"] += by_word.sum(0)
             d_emb = by_word @ p["wx"].T

@@ -76,38 +76,31 @@ class Vocabulary:
     def log_rare(self) -> float:
         return math.log10(self.rare_mass + 0.5 * (self.rare_distinct + 1))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], list[list[int]]]:
-        """All texts' codes, one after another, their lengths, and of each text its unlisted words and their counts.
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+        """All texts' codes, one after another, their lengths, and lists of each text's unlisted words and of their counts.
 
         A listed word's code is its place; any other's is the number of listed words and a bucket.
         """
         words, offsets = split_words(texts, lower=True)
+        n, none, get = len(texts), len(self.words), self.place.get
+        words = pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())])
         coded = words.dictionary_encode()
-        names, get, none = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), self.place.get, len(self.words)
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = np.array([get(w, -1) for w in names], np.int64)
         rare = np.flatnonzero(code < 0)
         code[rare] = [none + zlib.crc32(names[r]) % gru.BUCKETS for r in rare.tolist()]
-        which, n = coded.indices.to_numpy().astype(np.int64), len(texts)
+        which = coded.indices.to_numpy().astype(np.int64)
         ends = offsets[1:] + np.arange(n)
-        codes = np.full(len(which) + n, get(END, none + zlib.crc32(END) % gru.BUCKETS), np.int64)
-        is_word = np.ones(len(codes), bool)
+        entry = np.full(len(which) - 1 + n, which[-1])
+        is_word = np.ones(len(entry), bool)
         is_word[ends] = False
-        codes[is_word] = code[which]
-        lengths = np.diff(offsets) + 1
-        unlisted: list[list[bytes]] = [[] for _ in range(n)]
-        times: list[list[int]] = [[] for _ in range(n)]
-        at = np.flatnonzero(code[which] >= none)
-        who = np.repeat(np.arange(n), np.diff(offsets))[at]
-        pairs, count = np.unique(who * len(names) + which[at], return_counts=True)
-        for pair, c in zip(pairs.tolist(), count.tolist(), strict=True):
-            d, w = divmod(pair, len(names))
-            unlisted[d].append(names[w])
-            times[d].append(c)
-        if END not in self.place:
-            for d in range(n):
-                unlisted[d].append(END)
-                times[d].append(1)
-        return codes, lengths, unlisted, times
+        entry[is_word] = which[:-1]
+        codes, lengths = code[entry], np.diff(offsets) + 1
+        at = np.flatnonzero(codes >= none)
+        pairs, times = np.unique(np.repeat(np.arange(n), lengths)[at] * len(names) + entry[at], return_counts=True)
+        cuts = pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(names)).astype(np.int32))
+        unlisted = coded.dictionary.take(pa.array(pairs % len(names)))
+        return codes, lengths, pa.ListArray.from_arrays(cuts, unlisted), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64)))
 
     def places(self, codes: np.ndarray) -> np.ndarray:
         """The place of each code; that of an unlisted word is the number of listed words."""
@@ -241,7 +234,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text: st
             for part in portions(batch, 1, BYTES):
                 codes, lengths, rare, times = held.value.encode(part.column(1))
                 ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                columns = [part.column(0), pa.ListArray.from_arrays(ends, pa.array(codes.astype(np.int32))), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                columns = [part.column(0), pa.ListArray.from_arrays(ends, pa.array(codes.astype(np.int32))), rare, times]
                 yield pa.RecordBatch.from_arrays(columns, ["row", *(f.name for f in _CODED)])
 
     return packed.mapInArrow(run, T.StructType([packed.schema["row"], *_CODED]))
