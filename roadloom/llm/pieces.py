@@ -17,13 +17,12 @@ may not, where b may follow a if merging the string ab by the model's priorities
 sequence whose neighbours may all follow each other is the model's encoding, and there is only
 one, so a text has one path of finite weight.
 
-No piece spans the meta symbol or a character of no piece, so a text is cut there and each
-distinct cut is composed once, in a cache of bounded size.
+A piece never spans two neighbouring characters that no piece holds side by side, so a text is cut between such, and
+each distinct cut of a batch is composed once, in a cache of bounded size.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadloom.llm.common import portions
+
 META = "▁"
-#: Cached cuts and pair weights of a task.
-CACHE = 400_000
+#: Cached cuts and pair weights of a task; bytes of text encoded together.
+CACHE, TOGETHER = 400_000, 2 << 20
 
 
 #: A label that reads nothing.
@@ -98,30 +99,42 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = k
-        if any(META in p.lstrip(META) for p in self.id_of):
-            raise ValueError("a piece spans words")
         self.fallback = Fallback(self.bytes, self.unk, 10 - min(self.score))
         #: What each id decodes to; control pieces to nothing, the unknown piece to its surface.
         surface = {2: (proto.trainer_spec.unk_surface or " ⁇ ").encode(), 3: b""}
         self.output = [bytes([int(p[3:5], 16)]) if t == 6 else surface.get(t, p.replace(META, " ").encode()) for p, t in zip(self.text, kinds, strict=True)]
         self.cuts = _Cache(self._cut)
         self.follows = _Cache(self._follows)
-        loose = "".join(sorted(c for c in "\n\r\t" if c not in self.id_of and not any(c in p for p in self.id_of)))
-        self.loose = loose
-        self._runs = re.compile(f"{META}*[^{META}{re.escape(loose)}]+|{META}+|[{re.escape(loose)}]" if loose else f"{META}*[^{META}]+|{META}+")
+        self._compile_cuts()
+
+    def _compile_cuts(self) -> None:
+        """Which characters may be neighbours in a piece: classes of characters, and a table of pairs of classes."""
+        letters = sorted({c for p in self.id_of for c in p if len(p) > 1})
+        self.classes = np.zeros(0x110000, np.uint16)  # 0: a character of no longer piece
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = {c: k for k, c in enumerate(letters, 1)}
+        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for p in self.id_of:
+            for a, b in zip(p, p[1:], strict=False):
+                self.joined[number[a], number[b]] = True
+        if not self.bytes:  # neighbouring unknown characters become one piece
+            self.joined[0, 0] = True
 
     def arcs(self, s: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the pieces at a place of the input, longest first; without any, the unknown arc (piece -1)."""
-        node, out = self.trie, []
-        for end in range(at, len(s)):
-            node = node.get(s[end])
+        """(end, piece) of the pieces at a place of the input, longest first; without any, the fallback arc (piece -1)."""
+        node, out, end = self.trie, [], at
+        for c in s[at:]:
+            node = node.get(c)
             if node is None:
                 break
+            end += 1
             if "" in node:
-                out.append((end + 1, node[""]))
-        if not any(end == at + 1 for end, _ in out) and s[at] not in self.id_of:
-            out.insert(0, (at + 1, -1))
-        return out[::-1]
+                out.append((end, node[""]))
+        if not out or out[0][0] != at + 1:
+            if s[at] not in self.id_of:
+                out.insert(0, (at + 1, -1))
+        out.reverse()
+        return out
 
     def _follows(self, pair: tuple[str, str]) -> bool:
         """Whether merging a + b by priority ends in a, b."""
@@ -202,19 +215,43 @@ class Transducer:
                 out += some
         return np.array(out, "<u4").tobytes()
 
+    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The cuts of the normaliser's outputs, one after another, and how many each text has."""
+        linear = [self.normaliser.compose(t) for t in texts]
+        whole = "".join(linear)
+        if not whole:
+            return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = self.classes[points]
+        begins = np.ones(len(points), bool)
+        begins[1:] = ~self.joined[kinds[:-1], kinds[1:]]
+        starts = np.cumsum([0, *map(len, linear)])
+        begins[starts[:-1][starts[:-1] < len(points)]] = True
+        at = np.flatnonzero(begins)
+        width = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
+        place = np.append(0, np.cumsum(width))[np.append(at, len(points))]
+        small = place[-1] < 1 << 31
+        data = pa.py_buffer(whole.encode("utf-8", "surrogatepass"))
+        kind, offsets = (pa.string(), place.astype(np.int32)) if small else (pa.large_string(), place.astype(np.int64))
+        counts = np.diff(np.searchsorted(at, starts))
+        return pa.Array.from_buffers(kind, len(at), [None, pa.py_buffer(offsets), data]), counts
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has."""
+        cuts, counts = self.cut(texts)
+        coded = cuts.dictionary_encode()
+        found = list(map(self.cuts.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        pool, which = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
+        first, size = (np.cumsum(sizes) - sizes).take(which), sizes.take(which)
+        total = np.append(0, np.cumsum(size))
+        take = np.repeat(first - total[:-1], size)
+        take += np.arange(len(take))
+        return pool.take(take), np.diff(total[np.append(0, np.cumsum(counts))])
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        linear = self.normaliser.compose(text)
-        if "  " in text or text[0] == " " or META in text or not self.prefix:
-            parts: list[str] = self._runs.findall(linear)
-        else:  # every meta symbol begins a cut
-            linear = linear.replace(META, " " + META)
-            for c in self.loose:
-                linear = linear.replace(c, f" {c} ")
-            parts = linear.split(" ")
-        return b"".join(map(self.cuts.__getitem__, parts))
+        return self.encode_batch([text])[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; what isn't UTF-8 becomes replacement characters."""
@@ -270,13 +307,13 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text",
         machine = transducer(model_file)
         low, high = (min(machine.bytes), max(machine.bytes)) if machine.bytes else (1, 0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in portions(batch, 1, TOGETHER):
                 texts = part.column(1).to_pylist()
-                raw = [machine.encode(t) for t in texts]
+                flat, sizes = machine.encode_batch(texts)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                whole = flat.tobytes()
+                raw = [whole[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 back = [machine.decode(r) for r in raw]
-                flat = np.frombuffer(b"".join(raw), "<u4")
-                ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
                 bytes_before = np.concatenate([[0], np.cumsum((flat >= low) & (flat <= high))])
                 columns = [
                     part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32))), pa.array(np.diff(ends)), pa.array(np.diff(bytes_before[ends])),
