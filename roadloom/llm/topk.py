@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import landed, scratch
-from roadloom.llm.tokenfiles import store
+from roadloom.sources import store
 
-#: Components of a block, and its most rows; queries read at once; values of a segment; the falling cuts of impact, as parts of the largest.
-COMPONENTS, ROWS, QUERIES, STEP, CUTS = 1 << 22, 4096, 1024, 2, (0.5, 0.25, 0.12, 0.05, 0.0)
+#: Components of a block, and its most rows; queries read at once; values of a segment; the falling cuts of impact, as parts of the largest;
+#: the part of a block's rows, one in so many, that it is cheaper to score than to process further segments for.
+COMPONENTS, ROWS, QUERIES, STEP, CUTS, FEW = 1 << 22, 4096, 1024, 2, (0.08, 0.02, 0.0), 2
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -51,14 +52,16 @@ class ImpactIndex:
         self.processed = self.postings = 0  # of all queries so far
         if not self.small:
             return
-        self.exact, self.most = x.astype(float), float(np.abs(x).max())
+        self.most = float(np.abs(x).max())
+        self.exact = x.astype(np.float32 if self.most**2 * self.d < 1 << 24 else float)  # sums of products are exact
         level = np.floor_divide(x, step)
         self.low, self.high = level.min(0), level.max(0)
         level -= self.low
         order = np.argsort(level, axis=0, kind="stable")
-        self.rows = np.ascontiguousarray(order.T)  # postings of each dimension, by value
-        self.level = np.ascontiguousarray(np.take_along_axis(level, order, 0).T).astype(float)
         self.span = (self.high - self.low).astype(float)
+        self.rows = list(np.ascontiguousarray(order.T))  # postings of each dimension, by value
+        self.level = list(np.ascontiguousarray(np.take_along_axis(level, order, 0).T).astype(float))
+        self.fall = [top - x for top, x in zip(self.span.tolist(), self.level, strict=True)]
         width = int(self.span.max()) + 2
         counts = np.stack([np.bincount(level[:, k] + 1, minlength=width + 1) for k in range(self.d)])
         self.first = np.cumsum(counts, 1)  # where a segment's postings begin
@@ -73,7 +76,8 @@ class ImpactIndex:
         worst = np.where(up, q * (self.low * self.step), q * (self.high * self.step + self.step - 1)).sum()
         slack = float(np.abs(q).sum()) * (self.step - 1)
         top = w * self.span
-        total, few = np.zeros(self.n), max(4 * k, self.n // 32)
+        total, few = np.zeros(self.n), max(4 * k, self.n // FEW)
+        scaled = (w * self.bits).tolist()
         done = np.zeros(self.d, np.int64)  # levels of each dimension already processed, from its best
         self.postings += self.n * self.d
         dims = np.arange(self.d)
@@ -83,15 +87,12 @@ class ImpactIndex:
             above = np.where(w > 0, self.span - np.floor(t / np.maximum(w, 1e-9)), 0).clip(0, None).astype(np.int64)  # levels whose impact is over t
             a = np.where(up, self.first[dims, (self.span - above).astype(np.int64) + 1], self.first[dims, done])
             b = np.where(up, self.first[dims, (self.span - done).astype(np.int64) + 1], self.first[dims, above])
-            new = np.flatnonzero(b > a)
-            if len(new):
-                ends = list(zip(new.tolist(), a[new].tolist(), b[new].tolist(), strict=True))
-                rows = np.concatenate([self.rows[d, i:j] for d, i, j in ends])
-                gain = np.concatenate([self.level[d, i:j] if up[d] else self.span[d] - self.level[d, i:j] for d, i, j in ends])
-                gain *= np.repeat(w[new] * self.bits, (b - a)[new])
-                gain += 1.0
-                total += np.bincount(rows, gain, self.n)
-                self.processed += len(rows)
+            for d, i, j, rising, weight in zip(range(self.d), a.tolist(), b.tolist(), up.tolist(), scaled, strict=True):
+                if j > i:  # the postings of this dimension's new segments
+                    gain = self.level[d][i:j] * weight if rising else self.fall[d][i:j] * weight
+                    gain += 1.0
+                    total += np.bincount(self.rows[d][i:j], gain, self.n)
+                    self.processed += j - i
             done = above
             reached = np.floor_divide(total, self.bits)
             seen = total - reached * self.bits  # dimensions that have reached a row
@@ -112,7 +113,13 @@ class ImpactIndex:
             rows = np.arange(self.n)
         if spare:
             rows = rows[~own[rows]]
-        exact = (self.exact[rows] @ q.astype(float)).astype(np.int64) if plain else self.x[rows].astype(object) @ q.astype(object)
+        thin = plain and self.exact.dtype == np.float32 and float(np.abs(q).max(initial=0)) * self.most * self.d < 1 << 24
+        if thin:
+            exact = (self.exact[rows] @ q.astype(np.float32)).astype(np.int64)
+        elif plain:
+            exact = (self.x[rows].astype(float) @ q.astype(float)).astype(np.int64)
+        else:
+            exact = self.x[rows].astype(object) @ q.astype(object)
         if len(rows) and floor > -np.inf:
             keep = np.asarray(exact >= floor, bool)
             rows, exact = rows[keep], exact[keep]
@@ -206,13 +213,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id
         t = t.sort_by("uid").combine_chunks()
         ids, uids = t.column("id").to_pylist(), t.column("uid").to_numpy()
         index, tie = ImpactIndex(_dense(t.column("v").combine_chunks(), width, scale)), _ties(ids)
-        files, root = store(folder)
-        from pyarrow import fs
-
-        parts = sorted(f.path for f in files.get_file_info(fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet"))
         found = []
-        for part in parts:
-            for batch in pq.ParquetFile(files.open_input_file(part)).iter_batches(queries):
+        for part in store.listed(folder, ".parquet"):
+            for batch in pq.ParquetFile(store.opened(part)).iter_batches(queries):
                 found.append(_answers(index, ids, uids, tie, batch, width, scale, k))
         return pa.concat_tables(found) if found else pa.table({c: pa.array([], pa.bool_() if c == "none" else pa.int64()) for c in _HITS})
 
