@@ -187,6 +187,84 @@ def test_decontamination(spark, docs, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
+#: Columns that bear the names which the stages use inside, and a map and an array.
+CLASH = "doc_id long, text string, n_chars int, keep string, __keep string, fp string, __fp string, features string, Score string, predicted string, redacted string, __redacted string, hits string, row string, m map<string,int>, a array<int>"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(d, t, -1, *[f"own {d}"] * 11, {"k": 1}, [2]) for d, t in ROWS]
+    df = spark.createDataFrame(rows, CLASH).repartition(2)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    stages = (lambda x: quality.keep_good(x, labels.limit(0)), simhash.keep_one, lambda x: decontam.keep_clean(x, bench), privacy.redacted)
+    for stage in stages:
+        out = stage(df)
+        assert out.dtypes == df.dtypes and 0 < out.count() <= len(ROWS)
+        assert all(r.keep == r["__keep"] == r.fp == r["__redacted"] == r.features == f"own {r.doc_id}" and r.m == {"k": 1} for r in out.collect())
+        empty = stage(df.limit(0))
+        assert empty.dtypes == df.dtypes and empty.count() == 0
+    assert quality.keep_good(df, labels.limit(0)).count() == len(ROWS)
+    assert decontam.keep_clean(df, bench.limit(0)).count() == len(ROWS) and decontam.keep_clean(df, bench).count() == len(ROWS) - 1
+    assert sorted(r.text or "" for r in privacy.redacted(df).where("doc_id = 6").collect()) == ["mail [EMAIL] now"] * 2
+
+
+def test_equal_ids_keep_the_same_row(spark):
+    rows = [(7, "alpha beta gamma delta", k) for k in range(20)] + [(7, "alpha  beta gamma delta", 50)]
+    kept = {tuple(simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(n)).collect()[0]) for n in (1, 3, 7)}
+    assert len(kept) == 1 and kept.pop()[1] == "alpha  beta gamma delta"
+
+
+def test_quality_by_brute_force(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in quality.score_documents(documents, labels, pairs=4000, rounds=20).collect()}
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    known = sorted(d for d in texts if d in marks and not held(d))
+    model = quality.fit_pairs(np.array([quality.features(texts[d]) for d in known], float), np.array([marks[d] for d in known]), pairs=4000, rounds=20)
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        want = float(model.score(np.array([quality.features(t)], float))[0])
+        assert got[d].score == pytest.approx(want, abs=1e-6) and got[d].predicted == (want >= 0.5) and got[d].held_out == held(d)
+    out = [d for d in texts if d in marks and held(d)]
+    assert np.mean([got[d].predicted == marks[d] for d in out]) > 0.8
+
+
+def test_decontamination_by_brute_force(spark):
+    documents, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(documents, bench).collect()}
+    o, want = decontam.Options(), {}
+    texts = {r.doc_id: decontam.words(r.text or "") for r in documents.collect()}
+    for item in bench.collect():
+        words = decontam.words(item.text or "")
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        seq = np.array([[number[w] for w in words]])
+        for d, t in texts.items():
+            near = np.array([[number.get(w, -1) for w in t]]) if t else np.full((1, 1), -1)
+            if (near >= 0).sum() * o.match >= o.threshold * o.match * len(words):  # too few words in common can't reach the threshold
+                score, _ = decontam.align(near, seq, o)
+                if score[0] >= o.threshold * o.match * len(words):
+                    want[d, item.item_id] = score[0] / (o.match * len(words))
+    assert set(got) == set(want) and len(want) > 0 and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_added_spans_by_brute_force(spark):
+    model = privacy.trained()
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["call 415-555-2671 or (826) 555-4081 4485 2753 4485 2753 a.b (at) c (dot) de " * 3]
+    for t in texts:
+        base = privacy.base_spans(t)
+        apart = lambda s, others: all(s[1] <= o[0] or s[0] >= o[1] for o in others)
+        some = [s for s in privacy.candidates(t) if apart(s, base)]
+        p = [float(model.probability(np.array([privacy.describe(t, s)]))[0]) for s in some]
+        good = [k for k, s in enumerate(some) if p[k] >= model.thresholds[privacy.KINDS.index(s[2])]]
+        taken = []
+        for k in sorted(good, key=lambda k: (-p[k], some[k][0] - some[k][1], some[k])):
+            if apart(some[k], taken):
+                taken.append(some[k])
+        assert privacy.find(t, model)[1] == sorted(base + taken, key=lambda s: (s[0], privacy.KINDS.index(s[2])))
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
