@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import portions
+from roadloom.llm.common import portions, without_gc
 
 META = "▁"
-#: Cached cuts and pair weights of a task; bytes of text encoded together.
-CACHE, TOGETHER = 400_000, 2 << 20
+#: Cached cuts and pair weights of a task; bytes of text encoded together. (A cut and its ids take about 200 bytes, a pair 270.)
+CUTS, PAIRS, TOGETHER = 250_000, 120_000, 1 << 20
 
 
 #: A label that reads nothing.
@@ -103,8 +103,8 @@ class Transducer:
         #: What each id decodes to; control pieces to nothing, the unknown piece to its surface.
         surface = {2: (proto.trainer_spec.unk_surface or " ⁇ ").encode(), 3: b""}
         self.output = [bytes([int(p[3:5], 16)]) if t == 6 else surface.get(t, p.replace(META, " ").encode()) for p, t in zip(self.text, kinds, strict=True)]
-        self.cuts = _Cache(self._cut)
-        self.follows = _Cache(self._follows)
+        self.cuts = _Cache(self._cut, CUTS)
+        self.follows = _Cache(self._follows, PAIRS)
         self._compile_cuts()
 
     def _compile_cuts(self) -> None:
@@ -236,6 +236,7 @@ class Transducer:
         counts = np.diff(np.searchsorted(at, starts))
         return pa.Array.from_buffers(kind, len(at), [None, pa.py_buffer(offsets), data]), counts
 
+    @without_gc
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each text has."""
         cuts, counts = self.cut(texts)
@@ -264,7 +265,7 @@ class Transducer:
 class _Cache(dict):
     """Values of a function; emptied when full, so that its size is bounded."""
 
-    def __init__(self, fn, limit: int = CACHE) -> None:
+    def __init__(self, fn, limit: int) -> None:
         super().__init__()
         self.fn, self.limit = fn, limit
 
@@ -288,7 +289,9 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text", carry: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+def encoded(
+    docs: DataFrame, model_file: str | None = None, text: str = "text", carry: list[str] | None = None, decoded: str | None = None,
+) -> DataFrame:
     """``docs`` (or its columns ``carry``) with ids (array of int), n_tokens, n_bytes (byte pieces),
     ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip (whether decoding gives the text).
 
@@ -298,10 +301,16 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text",
     repeated rows and null ids each give a row; an empty table gives an empty result; columns of ``docs`` with the names above are replaced.
     """
     model_file = model_file or default_model()
-    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    new = [
+        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()),
+    ]
     new += [T.StructField(decoded, T.StringType())] if decoded else []
     kept = [c for c in (docs.columns if carry is None else carry) if c not in {f.name for f in new}]
-    packed = docs.select(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    packed = docs.select(
+        F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in kept]).alias("row"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)
@@ -316,7 +325,9 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text",
                 back = [machine.decode(r) for r in raw]
                 bytes_before = np.concatenate([[0], np.cumsum((flat >= low) & (flat <= high))])
                 columns = [
-                    part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32))), pa.array(np.diff(ends)), pa.array(np.diff(bytes_before[ends])),
+                    part.column(0), pa.ListArray.from_arrays(
+                        pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32)),
+                    ), pa.array(np.diff(ends)), pa.array(np.diff(bytes_before[ends])),
                     pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([a == b for a, b in zip(texts, back, strict=True)]), *([pa.array(back, pa.string())] if decoded else []),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["row", *(f.name for f in new)])
