@@ -34,7 +34,7 @@ BOTTOM, START, PARTS = 1 << LOW_BITS, (1 << (LOW_BITS + WORD)) - 1, 1 << TOTAL
 BANDS, BAND_BITS, SHARE_BITS = 8, 14, 6
 ZERO_BITS = BAND_BITS + 12
 #: Slots of the tables of single predictions, per lane; largest and least weight of one; ids are below LIMIT.
-SLOT_BITS, HIT, MISS, LIMIT = 8, PARTS * 15 // 16 - (1 << 13), 1 << 12, 1 << 29
+SLOT_BITS, HIT, MISS, LIMIT = 7, PARTS * 15 // 16 - (1 << 13), 1 << 12, 1 << 29
 #: Steps after which a block deals its shares anew.
 REFRESH = 64
 
@@ -62,7 +62,12 @@ class Bands:
     @classmethod
     def of(cls, ids: np.ndarray) -> Bands:
         """Ids by falling frequency, cut where the running share of all ids passes a multiple of 1 / BANDS."""
-        distinct, counts = np.unique(ids, return_counts=True)
+        if len(ids) and int(np.max(ids)) < 1 << 22:
+            every = np.bincount(ids)
+            distinct = np.flatnonzero(every)
+            counts = every[distinct]
+        else:
+            distinct, counts = np.unique(ids, return_counts=True)
         if len(distinct) and int(distinct[-1]) >= LIMIT:
             raise ValueError(f"ids must be below {LIMIT}")
         if len(distinct) > BANDS << BAND_BITS:
@@ -92,12 +97,6 @@ class Bands:
             at[b] = total[np.flatnonzero(self.band == b)[0]]
         self.offset = total - at[self.band]
 
-    def place_of(self) -> np.ndarray:
-        """Of each id up to the largest: its place in ``ids``."""
-        out = np.zeros(int(self.ids.max()) + 1, np.int32)
-        out[self.ids] = np.arange(len(self.ids))
-        return out
-
     def place_at(self) -> np.ndarray:
         """Of each part of each band: the place in ``ids`` of the id that has it."""
         out = np.zeros(BANDS << BAND_BITS, np.int32)
@@ -178,7 +177,7 @@ def _payloads(words: np.ndarray, counts: np.ndarray, low: np.ndarray) -> list[by
     lanes = len(counts)
     wide = int(counts.max()) + 3
     out = np.zeros((lanes, wide), np.int64)
-    out[:, : wide - 3] = words[:, : wide - 3]
+    out[:, : wide - 3] = words[: wide - 3].T
     out[np.arange(wide)[None, :] >= counts[:, None]] = 0
     rows = np.arange(lanes)
     out[rows, counts], out[rows, counts + 1], out[rows, counts + 2] = low >> 32, (low >> 8) & 0xFFFFFF, (low & 0xFF) << 16
@@ -201,12 +200,18 @@ def code(ids: np.ndarray, bands: Bands, block: int = BLOCK) -> list[bytes]:
     grid[: len(ids)] = ids
     steps = np.zeros((block + 2, lanes), np.uint32)  # two zeros stand before each block
     steps[2:] = grid.reshape(lanes, block).T
-    of_id = bands.place_of()
     packed = (bands.band << 40) + (bands.offset << 20) + bands.freq
+    dense = int(bands.ids.max()) < 1 << 22
+    if dense:
+        of_id = np.zeros(int(bands.ids.max()) + 1, np.int64)
+        of_id[bands.ids] = packed
+    else:  # ids far apart are looked up by search
+        order = np.argsort(bands.ids)
+        sorted_ids, of_id = bands.ids[order], packed[order]
     model, live = _Model(lanes), lanes
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, START, np.int64)
-    words, counts = np.zeros((lanes, block + 1), np.int32), np.zeros(lanes, np.int64)
-    flat, row = words.reshape(-1), np.arange(lanes) * (block + 1)
+    words, counts = np.zeros((block + 1, lanes), np.int32), np.zeros(lanes, np.int64)  # lanes give words at about the same pace
+    flat = words.reshape(-1)
     for t in range(int(sizes.max())):
         if live == lanes and sizes[-1] <= t:
             live -= 1
@@ -221,7 +226,7 @@ def code(ids: np.ndarray, bands: Bands, block: int = BLOCK) -> list[bytes]:
         hit2, same1 = (model.t2 ^ tagged) < 4, (model.t1 ^ tagged) < 4
         hit1 = same1 & ~hit2
         miss = ~(hit2 | same1)
-        of = packed.take(of_id.take(x))
+        of = of_id.take(x if dense else np.searchsorted(sorted_ids, x))
         band = of >> 40
         dealt = model.dealt.take(model.bands + band)
         width = dealt & 0xFFFF
@@ -239,7 +244,7 @@ def code(ids: np.ndarray, bands: Bands, block: int = BLOCK) -> list[bytes]:
         if len(k):
             some = low[k]
             n = counts[k]
-            flat[row[k] + n] = some >> LOW_BITS
+            flat[n * lanes + k] = some >> LOW_BITS
             counts[k] = n + 1
             low[k] = (some & (BOTTOM - 1)) << WORD
             rng[k] <<= WORD

@@ -6,33 +6,36 @@ their own and then moved, so that a repeated task leaves the same files. Where a
 among all ids follows from the files' counts, one row a file.
 
 The tokenizers library encodes. Where the tokenizer file's own settings show that no piece
-spans white space, each distinct word of a batch is encoded once, and a task remembers words
+spans white space, each distinct word of a batch is encoded once, its new pieces in batches, and a task remembers pieces
 up to a bound; any other tokenizer encodes whole texts, batch by batch.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm import idcoder
-from roadloom.llm.common import landed, portions, scratch, split_words
+from roadloom.llm.common import landed, portions, scratch, split_words, without_gc
+from roadloom.sources import store
 
-#: The id put after each document; ids of a file; words whose ids a task remembers.
-END, FILE_IDS, CACHE = 2, 4_000_000, 800_000
+#: The id put after each document; ids of a file; pieces whose ids a task remembers, at about 200 bytes each.
+END, FILE_IDS, CACHE = 2, 4_000_000, 900_000
 
-#: Bytes of text encoded together.
-TOGETHER = 16 << 20
+#: Bytes of text encoded together, and words whose ids are gathered at once.
+TOGETHER, GATHER = 6 << 20, 1 << 16
 #: The settings under which words are encoded alone: what the normaliser may do, and how it splits. Fixed values.
 _NORMALISERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
 _SPLITTERS = [
@@ -59,7 +62,8 @@ def splits_at_spaces(settings: dict) -> bool:
     listed = lambda part, key: [] if part is None else part[key] if part["type"] == "Sequence" else [part]
     model = settings["model"]
     return (
-        all(n in _NORMALISERS for n in listed(settings.get("normalizer"), "normalizers"))
+        bool(model.get("end_of_word_suffix"))
+        and all(n in _NORMALISERS for n in listed(settings.get("normalizer"), "normalizers"))
         and {"type": "Lowercase"} in listed(settings.get("normalizer"), "normalizers")
         and listed(settings.get("pre_tokenizer"), "pretokenizers") == _SPLITTERS
         and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and settings.get("truncation") is None
@@ -71,17 +75,33 @@ class _Pieces(dict):
     """Ids of pieces as bytes, by the library's model; emptied when full, so that its size is bounded."""
 
     def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.model, self.letters = tokenizer.model, _byte_letters()
-        self.raw = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE // 2:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__({"": b""})
+        self.spelling, self.suffix = dict(enumerate(_byte_letters())), tokenizer.model.end_of_word_suffix
+        self.model = Tokenizer(tokenizer.model)  # the same merges on pieces that are split and spelt already
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        names = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
+        self.last = np.array([bool(self.suffix) and n.endswith(self.suffix) for n in names])  # ids that end a piece
+
+    def learn(self, *pieces: list[str]) -> None:
+        """Remembers the ids of all of ``pieces``."""
+        known = self.__contains__
+        new = list({p for some in pieces for p in filterfalse(known, some)})
+        if len(self) + len(new) > CACHE:
             self.clear()
-        letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        raw = self.raw
-        found = self[piece] = b"".join([raw[t.id] for t in self.model.tokenize(letters)])
-        return found
+            self[""] = b""
+            new = list({p for some in pieces for p in filterfalse(known, some)})
+        spell = self.spelling
+        spelt = [p if p.isascii() else p.encode().decode("latin-1").translate(spell) for p in new]
+        lists = [" ".join(spelt[at : at + 2000]) for at in range(0, len(spelt), 2000)]
+        found = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(lists, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new) or (len(ids) and ends[-1] != len(ids)):
+            raise ValueError("a piece's last id doesn't tell its end")
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 class Encoder:
@@ -93,68 +113,72 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_word = splits_at_spaces(json.load(f))
-        self.words: dict[str, bytes] = {}
-        self.pieces = _Pieces(self.tokenizer)
+        self.pieces = _Pieces(self.tokenizer) if self.by_word else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit, as the library gives them."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remembers the ids of words without ASCII white space."""
-        if _ALL_PLAIN.fullmatch("\n".join(words)):
-            plain, odd = words, []
-        else:
-            plain = [w for w in words if _PLAIN.fullmatch(w)]
-            odd = [w for w in words if not _PLAIN.fullmatch(w)]
-        tokens = [w for w in plain if "<|" in w]  # may hold an added token
-        if tokens:
-            plain, odd = [w for w in plain if "<|" not in w], odd + tokens
-        pieces, known, split = self.pieces, self.words, _PIECES.findall
-        for word, low in zip(plain, "\n".join(plain).lower().split("\n"), strict=False):
-            known[word] = pieces[low] if low.isalpha() else b"".join([pieces[p] for p in split(low)])
-        if odd:
-            known.update(zip(odd, self.whole(odd), strict=True))
-
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of many distinct words."""
+        joined, odd, every = "\n".join(words), [], words
+        if not _ALL_PLAIN.fullmatch(joined) or "<|" in joined:  # other letters, or what may be an added token
+            odd = [k for k, w in enumerate(words) if not _PLAIN.fullmatch(w) or "<|" in w]
+            every = list(words)
+            for k in odd:
+                every[k] = ""
+            joined = "\n".join(every)
+        low = joined.lower().split("\n")
+        mixed = [k for k, w in enumerate(low) if not w.isalpha()]
+        parts = [_PIECES.findall(low[k]) for k in mixed]
+        for k in mixed:
+            low[k] = ""
+        pieces = self.pieces
+        pieces.learn(low, list(chain.from_iterable(parts)))
+        get = pieces.__getitem__
+        out = list(map(get, low))
+        for k, p in zip(mixed, parts, strict=True):
+            out[k] = b"".join(map(get, p))
+        for k, ids in zip(odd, self.whole([words[k] for k in odd]), strict=True):
+            out[k] = ids
+        return out
+
+    @without_gc
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end`` after each, one after another, and how many each text has."""
         mark = end.to_bytes(4, "little")
         if not self.by_word:
             raw = [r + mark for r in self.whole(texts.to_pylist())]
             return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64)
-        flat, offsets = split_words(texts)
+        marked = pc.any(pc.match_substring(texts, "<|")).as_py()  # added tokens are told by their case
+        flat, offsets = split_words(texts, lower=not marked)
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = self.words
-        need = [w for w in words if w not in known]
-        if len(known) + len(need) > CACHE:
-            known.clear()
-            need = words
-        if need:
-            self._learn(need)
-        raw = [known[w] for w in words]
+        raw = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()) if len(flat) else []
         raw.append(mark)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
         first = np.cumsum(sizes) - sizes
-        pool = np.frombuffer(b"".join(raw), "<u4")
-        n = len(texts)
+        pool, n = np.frombuffer(b"".join(raw), "<u4"), len(texts)
         ends = offsets[1:] + np.arange(n)
-        entry = np.empty(len(coded) + n, np.int64)
+        entry = np.full(len(flat) + n, len(raw) - 1, np.int32)  # of each word, and of each text's end, its place in ``raw``
         is_word = np.ones(len(entry), bool)
         is_word[ends] = False
         entry[is_word] = coded.indices.to_numpy()
-        entry[ends] = len(words)
-        size = sizes[entry]
-        before = np.cumsum(size) - size
-        take = np.repeat(first[entry] - before, size)
-        take += np.arange(len(take))
-        total = np.append(before, len(take))
-        return pool[take], np.diff(total[np.append(0, ends + 1)])
+        size, codes = np.empty(len(entry), np.int64), []
+        for at in range(0, len(entry), GATHER):  # in steps that stay in the processor's cache
+            some = entry[at : at + GATHER]
+            mine = size[at : at + GATHER] = sizes.take(some)
+            total = np.cumsum(mine)
+            take = np.repeat(first.take(some) - (total - mine), mine)
+            take += np.arange(len(take))
+            codes.append(pool.take(take))
+        lengths = np.add.reduceat(size, np.append(0, ends[:-1] + 1)) if n else np.zeros(0, np.int64)
+        return (np.concatenate(codes) if codes else np.zeros(0, "<u4")), lengths
 
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """The encoder of a tokenizer file, one a process."""
+    """The encoder of a tokenizer file, one a process; a task is one core, so the library makes no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
@@ -165,14 +189,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def store(folder: str):
-    """(file system, path) of a folder in any store that Arrow knows."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+def write(
+    docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS,
+) -> DataFrame:
     """Writes ``docs`` as token files below ``folder``; returns (part, seq, path, n_docs, n_ids, bytes), a row a file.
 
     Documents go in ascending id order, null ids first, equal ids by their text's crc. Null texts count as empty.
@@ -186,13 +205,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: st
     def put(part: int, seq: int, ids: list, lengths: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.concatenate(lengths)
         data = idcoder.pack(ids, sizes, np.concatenate(codes))
-        files, root = store(folder)
-        files.create_dir(root, recursive=True)
-        path = f"{root}/part-{part:06d}-{seq:04d}.tokens"
-        with files.open_output_stream(own := f"{root}/_{uuid.uuid4().hex}") as out:
-            out.write(data)
-        files.move(own, path)
-        row = (part, seq, path.rsplit("/", 1)[1], len(ids), int(sizes.sum()), len(data))
+        name = f"part-{part:06d}-{seq:04d}.tokens"
+        store.written(folder, name, data)
+        row = (part, seq, name, len(ids), int(sizes.sum()), len(data))
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "seq", "path", "n_docs", "n_ids", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +243,10 @@ def read(spark, folder: str) -> DataFrame:
                 name = batch.column(0)[k].as_py().rsplit("/", 1)[1]
                 n = len(crcs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.array(f.doc_ids, pa.int64()), pa.array(at[:-1]), pa.array(f.lengths), pa.array(crcs, pa.int64())],
+                    [
+                        pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.array(f.doc_ids, pa.int64()), pa.array(at[:-1]),
+                        pa.array(f.lengths), pa.array(crcs, pa.int64()),
+                    ],
                     ["path", "place", "id", "at", "n_tokens", "ids_crc32"],
                 )
 
