@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,10 @@ from pyspark.sql import types as T
 
 from roadloom.operators.lineage import landed, scratch, shared_dir, swept
 
-__all__ = ["SPACES", "WORD", "id_remainder", "landed", "map_text", "portions", "scratch", "shared_dir", "split_words", "swept", "table", "unused"]
+__all__ = [
+    "SPACES", "WORD", "id_remainder", "landed", "map_text", "portions", "scratch", "shared_dir", "split_words", "swept", "table", "unused",
+    "without_gc",
+]
 
 #: White space of the contracts: space and the controls from tab to carriage return.
 SPACES = " \t\n\v\f\r"
@@ -39,6 +44,22 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def without_gc(fn: Callable) -> Callable:
+    """``fn`` with the search for cycles paused: making many small lists would start it again and again."""
+
+    @wraps(fn)
+    def run(*args, **kwargs):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return fn(*args, **kwargs)
+        finally:
+            if was:
+                gc.enable()
+
+    return run
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, one after another, and where each text's words begin and end among them.
 

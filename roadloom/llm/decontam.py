@@ -253,7 +253,10 @@ _FIELDS = [T.StructField("hits", T.ArrayType(T.StructType([
 def _aligned(docs: DataFrame, items: Items, seed: np.ndarray, text: str, carry: list[str]) -> DataFrame:
     """``docs``' columns ``carry`` in the struct ``row``, and the array ``hits`` of the block's matches."""
     held = docs.sparkSession.sparkContext.broadcast((items, seed))
-    packed = docs.select(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    packed = docs.select(
+        F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in carry]).alias("row"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
     kind = pa.struct([("item", pa.int32()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +283,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options(), i
     spark, out = docs.sparkSession, None
     for items in blocks(benchmark, options, "item_id", "text"):
         seed = items.seeds(*frequencies(docs, items, text))
-        names = spark.createDataFrame([(k, v) for k, v in enumerate(items.ids)], T.StructType([T.StructField("item", T.IntegerType()), benchmark.schema["item_id"]]))
+        names = spark.createDataFrame(
+            [(k, v) for k, v in enumerate(items.ids)], T.StructType([T.StructField("item", T.IntegerType()), benchmark.schema["item_id"]]),
+        )
         found = _aligned(docs, items, seed, text, [id_col]).select(F.col(f"row.{id_col}").alias(id_col), F.explode("hits").alias("hit"))
         part = found.select(id_col, "hit.*").join(F.broadcast(names), "item")  # a block's items
         part = part.select(id_col, "item_id", F.round("score", 6).alias("score"), "first_word", "end_word")

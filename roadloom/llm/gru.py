@@ -52,7 +52,9 @@ class Gru:
         return cls({
             "emb": f(rng.normal(0, 0.3, (inputs, EMBED))), "wx": f(rng.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN))), "bx": f(np.concatenate([np.ones(HIDDEN), np.zeros(2 * HIDDEN)])),
             "u": f(rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN))), "wc": np.zeros((HIDDEN, CLASSES + 2), np.float32), "bc": f(np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -30.0) - np.log(max(1.0, mass.sum()))),
-            "wo": np.zeros((CLASSES, HIDDEN, WIDTH), np.float32), "bo": f(np.where(grid > 0, np.log(np.maximum(grid, 1e-9)), -1e4) - np.log(np.maximum(1, grid.sum(1, keepdims=True)))),
+            "wo": np.zeros((CLASSES, HIDDEN, WIDTH), np.float32), "bo": f(np.where(
+                grid > 0, np.log(np.maximum(grid, 1e-9)), -1e4,
+            ) - np.log(np.maximum(1, grid.sum(1, keepdims=True)))),
         })
 
     def flat(self) -> np.ndarray:
@@ -66,7 +68,9 @@ class Gru:
             at += n
         return Gru(out)
 
-    def output(self, h: np.ndarray, target: np.ndarray, klass: np.ndarray, grads: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
+    def output(
+        self, h: np.ndarray, target: np.ndarray, klass: np.ndarray, grads: dict | None = None, scale: float = 1.0,
+    ) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability (natural) of each row's class, and word where that class has words; with ``grads``, adds gradients and returns that of ``h``."""
         p = self.p
         x = _lowered(h @ p["wc"] + p["bc"])
@@ -151,7 +155,9 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray,
     return sorted_[new], place, (order, np.flatnonzero(new))
 
 
-def train(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarray, lengths: np.ndarray, rate: float = 0.1, seed: int = 5) -> tuple[Gru, int]:
+def train(
+    model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarray, lengths: np.ndarray, rate: float = 0.1, seed: int = 5,
+) -> tuple[Gru, int]:
     """One pass of truncated backpropagation over documents of similar length side by side; (model, tokens seen).
 
     Steps are AdaGrad's. What an input adds to the gates is looked up in a table made once a window, and its gradient goes to

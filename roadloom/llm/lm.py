@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm import gru
-from roadloom.llm.common import id_remainder, landed, portions, split_words
+from roadloom.llm.common import id_remainder, landed, portions, split_words, without_gc
 
 #: Words whose counts every task holds, and words of the model.
 LISTED, MODEL = 65_536, gru.WIDTH * gru.CLASSES
@@ -76,6 +76,7 @@ class Vocabulary:
     def log_rare(self) -> float:
         return math.log10(self.rare_mass + 0.5 * (self.rare_distinct + 1))
 
+    @without_gc
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
         """All texts' codes, one after another, their lengths, and lists of each text's unlisted words and of their counts.
 
@@ -129,7 +130,9 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
         def give() -> Iterator[pa.RecordBatch]:
             words, counts = list(tally), list(tally.values())
             for at in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], ["word", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], ["word", "c"],
+                )
             tally.clear()
 
         for batch in batches:
@@ -153,7 +156,9 @@ def vocabulary(counts: DataFrame, listed: int = LISTED) -> Vocabulary:
     more frequent ones, still fit; only those words come to the driver.
     """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.col("bin").desc()).collect()  # at most 16 x 63 rows
+    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(
+        F.count("*").alias("n"), F.min("c").alias("least"),
+    ).orderBy(F.col("bin").desc()).collect()  # at most 16 x 63 rows
     limit, room = None, listed
     for r in bins:
         room -= r["n"]
@@ -190,7 +195,10 @@ def _learner(held, k: int):
         new, seen = _shard(words, flat, *_flat(t.column("codes").combine_chunks()), 97 * k + shard)
         rows = [(new[at : at + CHUNK].astype("<f8") * seen).tobytes() for at in range(0, len(new), CHUNK)]
         n = len(rows)
-        return pa.table({"part": pa.array(range(n), pa.int32()), "lot": pa.array([shard % 64] * n, pa.int32()), "weight": pa.array([seen] * n, pa.int64()), "sums": pa.array(rows, pa.binary())})
+        return pa.table({
+            "part": pa.array(range(n), pa.int32()), "lot": pa.array([shard % 64] * n, pa.int32()),
+            "weight": pa.array([seen] * n, pa.int64()), "sums": pa.array(rows, pa.binary()),
+        })
 
     return learn
 
@@ -198,7 +206,10 @@ def _learner(held, k: int):
 def _added(t: pa.Table) -> pa.Table:
     total = sum((np.frombuffer(s, "<f8") for s in t.column("sums").to_pylist()), np.zeros(1))
     weight = sum(t.column("weight").to_pylist())
-    return pa.table({"part": pa.array(t.column("part").to_pylist()[:1], pa.int32()), "lot": pa.array([0], pa.int32()), "weight": pa.array([weight], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({
+        "part": pa.array(t.column("part").to_pylist()[:1], pa.int32()), "lot": pa.array([0], pa.int32()),
+        "weight": pa.array([weight], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()),
+    })
 
 
 def fit(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> gru.Gru:
@@ -221,7 +232,10 @@ def fit(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> gru.Gru:
     return model
 
 
-_CODED = [T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
+_CODED = [
+    T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.BinaryType())),
+    T.StructField("times", T.ArrayType(T.LongType())),
+]
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,7 +274,10 @@ def _scored(coded: DataFrame, vocab: Vocabulary, model: gru.Gru) -> DataFrame:
             who = np.repeat(np.arange(len(lengths)), lengths)
             total = lambda x: np.bincount(who, x, len(lengths))
             logp += total(words.log_listed[places])
-            columns = [rows.column(0).chunk(0), pa.array(lengths), pa.array(total(places < none).astype(np.int64)), pa.array(total(words.log_base[places])), pa.array(logp)]
+            columns = [
+                rows.column(0).chunk(0), pa.array(lengths), pa.array(total(places < none).astype(np.int64)),
+                pa.array(total(words.log_base[places])), pa.array(logp),
+            ]
             return pa.RecordBatch.from_arrays(columns, ["uid", "n_tokens", "known", "base", "log10p"])
 
         wait: list[pa.RecordBatch] = []
@@ -296,13 +313,20 @@ def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1, id_col: st
     coded = landed(coded.withColumn("out", id_remainder(F.col("row").getField(id_col), modulus) == held), "lm-codes")
     model = fit(coded.where(~F.col("out")), vocab)
     head = landed(_scored(coded, vocab, model), "lm-scores")
-    words = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    words = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+        "uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"),
+    )
     c = F.coalesce(F.col("c"), F.lit(0))
     sums = (
         words.join(counts, "word", "left").groupBy("uid")
-        .agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_log"), F.sum("times").alias("n_rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+        .agg(
+            F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_log"), F.sum("times").alias("n_rare"),
+            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        )
     )
-    whole = coded.select("uid", F.col("row").getField(id_col).alias(id_col), "out").join(head, "uid").join(sums, "uid", "left").fillna(0, ["rare_log", "n_rare", "rare_known"])
+    whole = coded.select(
+        "uid", F.col("row").getField(id_col).alias(id_col), "out",
+    ).join(head, "uid").join(sums, "uid", "left").fillna(0, ["rare_log", "n_rare", "rare_known"])
     base = F.col("base") + F.col("rare_log") - F.col("n_tokens") * F.lit(vocab.log_total)
     score = F.col("log10p") + F.col("rare_log") - F.col("n_rare") * F.lit(vocab.log_rare)
     return whole.select(

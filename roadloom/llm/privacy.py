@@ -251,7 +251,10 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             kind = r.choice(list(good))
             parts.append((kind, r.choice(good[kind])()))
             if r.random() < 0.4:
-                lead.append(r.choice({"phone": _CONTEXT[0], "card": _CONTEXT[1], "secret": _CONTEXT[2], "email": _CONTEXT[3], "ip": _CONTEXT[4], "id": _CONTEXT[5]}[kind]))
+                lead.append(r.choice({
+                    "phone": _CONTEXT[0], "card": _CONTEXT[1], "secret": _CONTEXT[2], "email": _CONTEXT[3], "ip": _CONTEXT[4],
+                    "id": _CONTEXT[5],
+                }[kind]))
             if kind in _RUNS and r.random() < 0.6:  # numbers side by side
                 other = r.choice((kind, kind, "card", "phone", ""))
                 parts.insert(r.randint(0, 1), (other, r.choice(good[other] if other else plain)()))
@@ -440,7 +443,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:4]]
         return [*counts, pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found]), pa.array([joined(s) for _, s in found])]
 
-    fields = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    fields = [
+        *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]), T.StructField("base_sha256", T.StringType()),
+        T.StructField("spans", T.StringType()),
+    ]
     return map_text(docs, text, rows, fields, [id_col])
 
 

@@ -168,7 +168,9 @@ def fit(feats: DataFrame, labels: DataFrame, max_labelled: int = 30_000, **optio
     n = marks.count()
     share = 1 << 30 if n <= max_labelled else int((1 << 30) * max_labelled / n)
     some = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)  # about max_labelled rows, whatever n
-    chosen = feats.select("doc_id", "features").join(some, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features"))
+    chosen = feats.select("doc_id", "features").join(some, "doc_id").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.min("features").alias("features"),
+    )
     rows = chosen.toArrow().to_pylist()  # one row an id
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["features"] for r in rows], float) if rows else np.zeros((0, len(FEATURES)))

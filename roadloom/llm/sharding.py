@@ -35,7 +35,9 @@ def sized(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text: str
     """
     raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     size = (F.octet_length(raw).cast("long") + 1).alias("size")
-    groups = docs.select(F.col(id_col).alias("id"), size, F.crc32(raw).alias("text_crc32")).groupBy("id", "size", "text_crc32").agg(F.count("*").alias("times"))
+    groups = docs.select(
+        F.col(id_col).alias("id"), size, F.crc32(raw).alias("text_crc32"),
+    ).groupBy("id", "size", "text_crc32").agg(F.count("*").alias("times"))
     runs = groups.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / float(RUN)))))
     dealt = runs.repartition("id", "size", "text_crc32", "run")
     last = F.least(F.col("times"), (F.col("run") + 1) * RUN) - 1
@@ -82,7 +84,9 @@ def rebalance(old: DataFrame, weights: DataFrame, shards: int) -> DataFrame:
     smallest slots up to its surplus (equal ones: the lowest first).
     """
     latest = newest(old)
-    held = latest.join(weights.select("virtual_slot", "slot_bytes"), "virtual_slot", "left").withColumn("slot_bytes", F.coalesce("slot_bytes", F.lit(0)))
+    held = latest.join(
+        weights.select("virtual_slot", "slot_bytes"), "virtual_slot", "left",
+    ).withColumn("slot_bytes", F.coalesce("slot_bytes", F.lit(0)))
     mean = weights.agg((F.coalesce(F.sum("slot_bytes"), F.lit(0)) / F.lit(float(shards))).alias("mean"))
     by_shard = Window.partitionBy("shard")
     given = F.sum("slot_bytes").over(by_shard.orderBy("slot_bytes", "virtual_slot").rowsBetween(Window.unboundedPreceding, 0))
@@ -137,7 +141,9 @@ class SlotMap:
         return newest(self.versions())
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text: str = "text", map_path: str | None = None) -> DataFrame:
+def assign(
+    docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text: str = "text", map_path: str | None = None,
+) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of every row.
 
     The law is ``bytes``: the shards' sizes are near equal. ``map_path`` names the folder of the map's

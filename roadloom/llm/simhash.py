@@ -146,7 +146,9 @@ def _rows(a=(), b=(), sig=None, f=(), block=0) -> pa.RecordBatch:
     n, m = len(a), len(f)
     none = lambda k: pa.nulls(k, pa.int64())
     whole = lambda x: pa.array(np.asarray(x).view(np.int64))
-    columns = [whole(a), whole(b), none(n), none(n), pa.nulls(n, pa.int32())] if n or not m else [none(m), none(m), pa.array(np.full(m, sig)), whole(f), pa.array(np.full(m, block, np.int32))]
+    columns = [whole(a), whole(b), none(n), none(n), pa.nulls(n, pa.int32())] if n or not m else [
+        none(m), none(m), pa.array(np.full(m, sig)), whole(f), pa.array(np.full(m, block, np.int32)),
+    ]
     return pa.RecordBatch.from_arrays(columns, ["a", "b", "sig", "fp", "block"])
 
 
@@ -222,7 +224,10 @@ def classes(fps: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, group:
     """
     heads = landed(fps.groupBy("fp").agg(F.min(id_col).alias("head")), "heads")
     star = stars(links(heads, radius, group))
-    rooted = landed(heads.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    rooted = landed(
+        heads.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")),
+        "roots",
+    )
     smallest = landed(rooted.groupBy("root").agg(F.min("head").alias("component_id")), "smallest")
     return landed(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
 

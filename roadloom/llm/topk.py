@@ -103,7 +103,9 @@ class ImpactIndex:
                 break
         return alive
 
-    def top(self, q: np.ndarray, k: int, own: np.ndarray | None = None, tie: np.ndarray | None = None, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    def top(
+        self, q: np.ndarray, k: int, own: np.ndarray | None = None, tie: np.ndarray | None = None, floor: float = -np.inf,
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of the k best for ``q`` that reach ``floor``, but for the rows marked ``own``; ties by ``tie``."""
         spare = int(own.sum()) if own is not None else 0
         plain = self.small and q.dtype != object and float(np.abs(q).max(initial=0)) * self.most * self.d < 2.0**52
@@ -124,7 +126,9 @@ class ImpactIndex:
             keep = np.asarray(exact >= floor, bool)
             rows, exact = rows[keep], exact[keep]
         tie = rows if tie is None else tie[rows]
-        order = np.lexsort((tie, -exact)) if exact.dtype != object else np.array(sorted(range(len(rows)), key=lambda r: (-exact[r], tie[r])), np.int64)
+        order = np.lexsort((tie, -exact)) if exact.dtype != object else np.array(
+            sorted(range(len(rows)), key=lambda r: (-exact[r], tie[r])), np.int64,
+        )
         return rows[order[:k]], exact[order[:k]]
 
 
@@ -168,7 +172,10 @@ def _answers(index: ImpactIndex, ids: list, uids: np.ndarray, tie: np.ndarray, b
     return pa.table({c: pa.array(v, pa.bool_() if c == "none" else pa.int64()) for c, v in out.items()})
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector: str = "embedding", rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def search(
+    vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector: str = "embedding", rows: int = ROWS,
+    queries: int = QUERIES,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of every row whose id is divisible by ``every``.
 
     Components become floor(``scale`` * x), x as double. A row is no candidate of its own query;
@@ -198,7 +205,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id
             floors = [None] * batch.num_rows
             if sample is not None:
                 if index is None:
-                    x = _dense(sample.column("v").combine_chunks() if isinstance(sample.column("v"), pa.ChunkedArray) else sample.column("v"), width, scale)
+                    x = _dense(
+                        sample.column("v").combine_chunks() if isinstance(sample.column("v"), pa.ChunkedArray) else sample.column("v"),
+                        width, scale,
+                    )
                     index, uids = ImpactIndex(x), sample.column("uid").to_numpy()
                 qs = _dense(batch.column("v"), width, scale)
                 for j, (u, q) in enumerate(zip(batch.column("uid").to_pylist(), qs, strict=True)):
@@ -220,7 +230,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id
         return pa.concat_tables(found) if found else pa.table({c: pa.array([], pa.bool_() if c == "none" else pa.int64()) for c in _HITS})
 
     block = F.pmod(mix, F.lit(blocks)).alias("block")
-    best = all_rows.select("id", "uid", "v", block).groupBy("block").applyInArrow(meet, "quid long, query_id long, vec_id long, none boolean, uid long, score long")
+    best = all_rows.select("id", "uid", "v", block).groupBy("block").applyInArrow(
+        meet, "quid long, query_id long, vec_id long, none boolean, uid long, score long",
+    )
     rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.col("score").desc(), "none", "vec_id", "uid"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

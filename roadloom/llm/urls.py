@@ -99,11 +99,18 @@ def tree(counts: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
         gap = F.col("blocked") - F.col("labelled") * share
         alike = (F.col("labelled") > 0) & (gap * gap <= o.z**2 * F.col("labelled") * share * (1 - share))
         rare = (F.col("fan") > o.fan) & (F.col("n") < o.rare * F.col("all_n"))
-        marked = nodes.join(size, ["host", "up"]).join(pool, ["host", "up", "lean"]).withColumn("rare", rare).withColumn("alike", F.coalesce(alike, F.lit(False)) & ~rare)
+        marked = nodes.join(size, ["host", "up"]).join(pool, ["host", "up", "lean"]).withColumn("rare", rare).withColumn(
+            "alike", F.coalesce(alike, F.lit(False)) & ~rare,
+        )
         several = marked.groupBy("host", "up", "lean").agg(F.count_if("alike").alias("n_alike"))
         merged = (
             marked.where("rare or alike").join(several, ["host", "up", "lean"])
-            .select("host", "up", "child", F.when(F.col("rare"), "*").when(F.col("n_alike") > 1, F.when(F.col("lean"), "*block").otherwise("*allow")).otherwise(F.col("child")).alias("to"))
+            .select(
+                "host", "up", "child",
+                F.when(F.col("rare"), "*").when(
+                    F.col("n_alike") > 1, F.when(F.col("lean"), "*block").otherwise("*allow"),
+                ).otherwise(F.col("child")).alias("to"),
+            )
         )
         swap = F.transform("t", lambda s, i: F.when((i == level - 1) & F.col("to").isNotNull(), F.col("to")).otherwise(s))
         t = t.join(merged, ["host", "up", "child"], "left").withColumn("t", swap).drop("up", "child", "to")
@@ -125,10 +132,16 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, option
     seen = pages.select(F.col(id_col), F.col("url")).withColumns({"host": host, "path": path})
     seen = seen.withColumns({"rule": rule, "ruled": verdict, "raw": pattern(F.col("path"))})
     if labels is None:
-        evidence = seen.select("host", "raw", F.lit(1).alias("n"), F.col("ruled").isNotNull().cast("int").alias("l"), F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("int").alias("b"))
+        evidence = seen.select(
+            "host", "raw", F.lit(1).alias("n"), F.col("ruled").isNotNull().cast("int").alias("l"),
+            F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("int").alias("b"),
+        )
     else:
         lh, lp = parts(F.col("url"))
-        marks = labels.select(lh.alias("host"), pattern(lp).alias("raw"), F.lit(0).alias("n"), F.lit(1).alias("l"), F.coalesce(F.col("blocked").cast("int"), F.lit(0)).alias("b"))
+        marks = labels.select(
+            lh.alias("host"), pattern(lp).alias("raw"), F.lit(0).alias("n"), F.lit(1).alias("l"),
+            F.coalesce(F.col("blocked").cast("int"), F.lit(0)).alias("b"),
+        )
         evidence = seen.select("host", "raw", F.lit(1).alias("n"), F.lit(0).alias("l"), F.lit(0).alias("b")).unionByName(marks)
     counts = evidence.groupBy("host", "raw").agg(F.sum("n").alias("n"), F.sum("l").alias("labelled"), F.sum("b").alias("blocked"))
     grown = tree(landed(counts, "url-counts"), o)
@@ -141,7 +154,10 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, option
     known = grown.select("host", "raw", "template").join(judged, ["host", "template"])
     out = seen.join(known, ["host", "raw"], "left")
     said = F.coalesce("ruled", F.when(F.col("purity") >= o.threshold, "block").otherwise("allow"))
-    return out.select(id_col, "host", "path", "rule", said.alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+    return out.select(
+        id_col, "host", "path", "rule", said.alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"),
+        "purity",
+    )
 
 
 def oracle(options: TreeOptions = TreeOptions(), rules=RULES, levels: int = 8) -> str:
