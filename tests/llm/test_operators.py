@@ -16,7 +16,10 @@ from roadloom.llm import common, components, decontam, gru, lm, pieces, privacy,
 SF = "/root/testdata/sf0.001"
 LONG = "long words go on " * 8000
 #: Null and repeated ids, null, empty and long texts, equal texts; columns named as results.
-ROWS = [(1, "One two three four five six"), (2, "one TWO three four five six"), (2, None), (3, ""), (None, "x y z"), (None, None), (4, LONG), (5, LONG), (6, "mail a.b@c.de now"), (6, "mail a.b@c.de now")]
+ROWS = [
+    (1, "One two three four five six"), (2, "one TWO three four five six"), (2, None), (3, ""), (None, "x y z"), (None, None), (4, LONG),
+    (5, LONG), (6, "mail a.b@c.de now"), (6, "mail a.b@c.de now"),
+]
 EXTRA = "doc_id long, text string, score string, fp string, row string, shard string, ids string, spans string, n_tokens string"
 
 
@@ -66,7 +69,9 @@ def test_simhash(spark, docs, none):
 
 
 def test_simhash_keeps_one_of_unique_ids(spark):
-    df = spark.createDataFrame([(k, f"alpha beta gamma delta {k % 3}") for k in range(9)] + [(None, "other words of its own kind")], "doc_id long, text string")
+    df = spark.createDataFrame(
+        [(k, f"alpha beta gamma delta {k % 3}") for k in range(9)] + [(None, "other words of its own kind")], "doc_id long, text string",
+    )
     assert sorted((r.doc_id is None, r.doc_id) for r in simhash.keep_one(df).collect()) == [(False, 0), (False, 1), (False, 2), (True, None)]
 
 
@@ -85,7 +90,9 @@ def test_components_of_a_chain(spark):
 
 def test_sharding(spark, docs, none):
     r = sharding.assign(docs, shards=3).collect()
-    assert Counter((x.doc_id, x["size"], x.text_crc32) for x in r) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in ROWS)
+    assert Counter((x.doc_id, x["size"], x.text_crc32) for x in r) == Counter((
+        d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()),
+    ) for d, t in ROWS)
     for s in range(3):
         mine = sorted(x.slot for x in r if x.shard == s)
         assert mine == list(range(len(mine)))
@@ -149,7 +156,10 @@ def test_token_files(spark, docs, none):
 
 def test_top_k(spark):
     v = [1.0, -0.5, 0.25]
-    rows = [(0, v), (20, v), (20, v), (1, v), (2, None), (3, [1.0, None, 0.0]), (4, [float("nan")] * 3), (5, [float("inf"), 0.0, 0.0]), (40, []), (6, [0.5]), (None, v)]
+    rows = [
+        (0, v), (20, v), (20, v), (1, v), (2, None), (3, [1.0, None, 0.0]), (4, [float("nan")] * 3), (5, [float("inf"), 0.0, 0.0]),
+        (40, []), (6, [0.5]), (None, v),
+    ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, rank string")
     r = topk.search(df, k=3).collect()
     exact = lambda q, c: sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(q, c))
@@ -169,7 +179,9 @@ def test_top_k(spark):
 def test_pii(spark, docs, none):
     r = privacy.scan(docs).collect()
     assert len(r) == len(ROWS) and sum(x.n_email for x in r) == 2
-    assert {x.spans for x in r} == {"", "email:5:13"} and {x.base_sha256 for x in r} == {hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"email:5:13").hexdigest()}
+    assert {x.spans for x in r} == {"", "email:5:13"} and {x.base_sha256 for x in r} == {
+        hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"email:5:13").hexdigest(),
+    }
     out = privacy.redacted(docs)
     assert out.columns == docs.columns and sum(x.text is None for x in out.collect()) == 2 and privacy.scan(none).count() == 0
     counted = privacy.redacted(spark.createDataFrame([("a.b@c.de", 8)], "text string, n_chars long")).collect()[0]
@@ -178,8 +190,18 @@ def test_pii(spark, docs, none):
 
 def test_decontamination(spark, docs, none):
     item = "the quick brown fox jumps over that lazy dog again and again"
-    bench = spark.createDataFrame([(1, item), (1, item), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (3, None), (4, "short one"), (5, ""), (6, "five words of a kind")], "item_id long, text string")
-    df = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(70, f"so {item.upper()}! yes", "s"), (70, f"so {item}", "s"), (71, "w1 w2 w3 w4 other w6 w7 w8 w9", "s"), (72, "the fox jumps", "s"), (73, "Short, ONE!", "s"), (74, "a short one more", "s"), (75, "here: five words of a kind.", "s"), (76, "five words of any kind", "s")], "doc_id long, text string, score string"))
+    bench = spark.createDataFrame(
+        [(1, item), (1, item), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (3, None), (4, "short one"), (5, ""), (6, "five words of a kind")],
+        "item_id long, text string",
+    )
+    df = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame(
+        [
+            (70, f"so {item.upper()}! yes", "s"), (70, f"so {item}", "s"), (71, "w1 w2 w3 w4 other w6 w7 w8 w9", "s"),
+            (72, "the fox jumps", "s"), (73, "Short, ONE!", "s"), (74, "a short one more", "s"), (75, "here: five words of a kind.", "s"),
+            (76, "five words of any kind", "s"),
+        ],
+        "doc_id long, text string, score string",
+    ))
     r = decontam.leaks(df, bench).collect()
     assert sorted((x.doc_id, x.item_id or -1) for x in r) == [(70, 1), (70, 1), (71, -1), (73, 4), (75, 6)] and all(0.4 <= x.score <= 1 for x in r)
     clean = decontam.keep_clean(df, bench)
@@ -208,6 +230,20 @@ def test_stages_keep_columns_of_any_name(spark):
     assert sorted(r.text or "" for r in privacy.redacted(df).where("doc_id = 6").collect()) == ["mail [EMAIL] now"] * 2
 
 
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(*r, None, None, None) for r in ROWS], documents.schema[:2].add("lang", "string").add("source", "string").add("n_chars", documents.schema["n_chars"].dataType))
+    odd.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = [(1, "One two three four five six"), (2, ""), (4, LONG), (6, "mail [EMAIL] now"), (None, "x y z")]
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(want) and all(r.round_trip for r in out)
+
+
 def test_equal_ids_keep_the_same_row(spark):
     rows = [(7, "alpha beta gamma delta", k) for k in range(20)] + [(7, "alpha  beta gamma delta", 50)]
     kept = {tuple(simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(n)).collect()[0]) for n in (1, 3, 7)}
@@ -222,7 +258,9 @@ def test_quality_by_brute_force(spark):
     held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
     marks = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
     known = sorted(d for d in texts if d in marks and not held(d))
-    model = quality.fit_pairs(np.array([quality.features(texts[d]) for d in known], float), np.array([marks[d] for d in known]), pairs=4000, rounds=20)
+    model = quality.fit_pairs(
+        np.array([quality.features(texts[d]) for d in known], float), np.array([marks[d] for d in known]), pairs=4000, rounds=20,
+    )
     assert set(got) == set(texts)
     for d, t in texts.items():
         want = float(model.score(np.array([quality.features(t)], float))[0])
@@ -275,18 +313,36 @@ def test_pieces(spark, docs, none):
 
 
 def test_urls(spark):
-    rows = [(1, "http://A.Example.NET/fr/1?x#y"), (1, "http://A.Example.NET/fr/1?x#y"), (2, None), (3, "no scheme/x"), (4, "x://"), (5, "http://net"), (6, "http://b.net/"), (7, "http://q.example.net/en/a"), (None, "http://x.org/fr/"), (8, "http://xorg/fr/"), (9, "http://h.com/?a"), (10, "http://EXAMPLE.com/de/x")]
+    rows = [
+        (1, "http://A.Example.NET/fr/1?x#y"), (1, "http://A.Example.NET/fr/1?x#y"), (2, None), (3, "no scheme/x"), (4, "x://"),
+        (5, "http://net"), (6, "http://b.net/"), (7, "http://q.example.net/en/a"), (None, "http://x.org/fr/"), (8, "http://xorg/fr/"),
+        (9, "http://h.com/?a"), (10, "http://EXAMPLE.com/de/x"),
+    ]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, verdict string")
     r = {(x.page_id, x.host, x.path, x.rule, x.verdict) for x in urls.judge(df).collect()}
-    assert (1, "a.example.net", "/fr/1", "net/", "block") in r and (2, "", "", None, "allow") in r and (3, "", "", None, "allow") in r and (4, "", "", None, "allow") in r
-    assert {x[3] for x in r if x[0] == 5} == {None} and (6, "b.net", "/", "net/", "block") in r and (7, "q.example.net", "/en/a", "example.net/en/", "allow") in r
-    assert (None, "x.org", "/fr/", "org/fr/", "allow") in r and {x[3] for x in r if x[0] in (8, 9)} == {None} and (10, "example.com", "/de/x", "example.com/de/", "block") in r
+    assert (
+        1, "a.example.net", "/fr/1", "net/", "block",
+    ) in r and (2, "", "", None, "allow") in r and (3, "", "", None, "allow") in r and (4, "", "", None, "allow") in r
+    assert {x[3] for x in r if x[0] == 5} == {None} and (6, "b.net", "/", "net/", "block") in r and (
+        7, "q.example.net", "/en/a", "example.net/en/", "allow",
+    ) in r
+    assert (None, "x.org", "/fr/", "org/fr/", "allow") in r and {x[3] for x in r if x[0] in (8, 9)} == {None} and (
+        10, "example.com", "/de/x", "example.com/de/", "block",
+    ) in r
     assert urls.judge(df).count() == len(rows) and urls.judge(df.limit(0)).count() == 0
-    marks = spark.createDataFrame([(f"http://h.com/ad/{k}", True) for k in range(9)] + [(f"http://h.com/ok/{k}", False) for k in range(9)], "url string, blocked boolean")
+    marks = spark.createDataFrame(
+        [(f"http://h.com/ad/{k}", True) for k in range(9)] + [(f"http://h.com/ok/{k}", False) for k in range(9)],
+        "url string, blocked boolean",
+    )
     pages = spark.createDataFrame([(1, "http://h.com/ad/77"), (2, "http://h.com/ok/77"), (3, "http://h.com/new/77")], "page_id long, url string")
     assert {x.page_id: x.verdict for x in urls.judge(pages, (), marks).collect()} == {1: "block", 2: "allow", 3: "allow"}
-    deep = [(f"http://d.com/a/b/c/d/ad{'xyz'[k % 3]}{'pqr'[k // 3]}/z", True) for k in range(9)] + [(f"http://d.com/a/b/c/d/ok{'xyz'[k % 3]}{'pqr'[k // 3]}/z", False) for k in range(9)]
-    r = urls.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(deep)], "page_id long, url string"), (), spark.createDataFrame(deep, "url string, blocked boolean")).collect()
+    deep = [(f"http://d.com/a/b/c/d/ad{'xyz'[k % 3]}{'pqr'[k // 3]}/z", True) for k in range(9)] + [(
+        f"http://d.com/a/b/c/d/ok{'xyz'[k % 3]}{'pqr'[k // 3]}/z", False,
+    ) for k in range(9)]
+    r = urls.judge(
+        spark.createDataFrame([(k, u) for k, (u, _) in enumerate(deep)], "page_id long, url string"), (),
+        spark.createDataFrame(deep, "url string, blocked boolean"),
+    ).collect()
     assert {(x.page_id < 9, x.template, x.verdict) for x in r} == {(True, "/a/b/c/d/*block/z", "block"), (False, "/a/b/c/d/*allow/z", "allow")}
 
 
@@ -297,7 +353,10 @@ def test_language_model(spark, docs, none):
     n, v = sum(counts.values()), len(counts)
     for listed in (3, 65_536):
         r = lm.score_documents(docs, listed=listed).collect()
-        want = Counter((d, held(d), len(tok(t)), sum(counts[w] > 0 for w in tok(t)), n, round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(t)), 6)) for d, t in ROWS)
+        want = Counter((
+            d, held(d), len(tok(t)), sum(counts[w] > 0 for w in tok(t)), n,
+            round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(t)), 6),
+        ) for d, t in ROWS)
         assert Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in r) == want
         assert all(np.isfinite(x.score) and x.score < 0 for x in r)
     assert lm.score_documents(none).count() == 0
@@ -341,7 +400,9 @@ def test_model_learns_from_every_document(spark, monkeypatch):
     assert len(shards) == 2  # equal rows are spread
     landed = common.landed(coded, "lm-codes")
     held = spark.sparkContext.broadcast((vocab, vocab.start().flat()))
-    copies = landed.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(2))).select("uid", "codes", "shard").groupBy("shard").applyInArrow(lm._learner(held, 0), lm._PARTS)
+    copies = landed.withColumn(
+        "shard", F.pmod(F.xxhash64("uid"), F.lit(2)),
+    ).select("uid", "codes", "shard").groupBy("shard").applyInArrow(lm._learner(held, 0), lm._PARTS)
     assert copies.where("part = 0").agg(F.sum("weight")).first()[0] == vocab.total  # every token is seen
     model = lm.fit(landed, vocab)
     assert np.isfinite(model.flat()).all() and not np.array_equal(model.flat(), vocab.start().flat())

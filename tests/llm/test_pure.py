@@ -74,10 +74,14 @@ def test_links_keep_components_at_any_group_size():
 
     fs = near(300)
     want = components(fs, [(a, b) for k, a in enumerate(fs) for b in fs[:k] if (a ^ b).bit_count() <= 4])
-    rows = sorted((p << 32 | (f >> first & ((1 << width) - 1) & ~(1 << (p - first))), f) for f in fs for first, width in simhash.SEGMENTS for p in range(first, first + width))
+    rows = sorted((
+        p << 32 | (f >> first & ((1 << width) - 1) & ~(1 << (p - first))), f,
+    ) for f in fs for first, width in simhash.SEGMENTS for p in range(first, first + width))
     sig, f = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64)
     for group, chunk, size in ((8192, 131_072, 999), (20, 64, 37), (7, 16, 5)):
-        batches = [pa.RecordBatch.from_arrays([pa.array(sig[k : k + size]), pa.array(f[k : k + size].view(np.int64))], ["sig", "fp"]) for k in range(0, len(sig), size)]
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array(sig[k : k + size]), pa.array(f[k : k + size].view(np.int64))], ["sig", "fp"],
+        ) for k in range(0, len(sig), size)]
         found, blocks = [], {}
         for b in simhash._verify(iter(batches), 4, group, chunk):
             for r in b.to_pylist():
@@ -148,7 +152,10 @@ def test_words_are_encoded_alone_only_if_the_settings_say_so():
     with open(tokenfiles.default_tokenizer(), encoding="utf-8") as f:
         settings = json.load(f)
     assert tokenfiles.splits_at_spaces(settings)
-    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Strip"}}, {"model": settings["model"] | {"dropout": 0.1}}, {"truncation": {"max_length": 5}}):
+    for change in (
+        {"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Strip"}},
+        {"model": settings["model"] | {"dropout": 0.1}}, {"truncation": {"max_length": 5}},
+    ):
         assert not tokenfiles.splits_at_spaces(settings | change)
 
 
@@ -167,14 +174,19 @@ def slow_base(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     luhn = lambda g: sum(int(z) if i % 2 == 0 else sum(divmod(2 * int(z), 10)) for i, z in enumerate(reversed(g))) % 10 == 0
     out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t,
+    ) if all(int(p) <= 255 for p in m.group().split("."))]
     out += [(m.start(), m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
     out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m.group())) <= 15]
     return sorted(out, key=lambda s: (s[0], privacy.KINDS.index(s[2])))
 
 
 def test_base_spans():
-    texts = ["a@b@c.de", "x@y.z@w.v", "1.2.3.4.5.6.7.8", "+1 (988) 555-2485", "4041894974608795 4041 8949 7460 8795", "0" * 5000 + ".1.1.1", "1" * 20_000, "a" * 20_000 + "@"]
+    texts = [
+        "a@b@c.de", "x@y.z@w.v", "1.2.3.4.5.6.7.8", "+1 (988) 555-2485", "4041894974608795 4041 8949 7460 8795", "0" * 5000 + ".1.1.1",
+        "1" * 20_000, "a" * 20_000 + "@",
+    ]
     texts += ["".join(R.choice("a1.@-+ 5(") for _ in range(R.randint(0, 40))) for _ in range(4000)]
     for t in texts:
         assert privacy.base_spans(t) == (slow_base(t) if len(t) < 1000 else privacy.base_spans(t))
@@ -197,7 +209,10 @@ def test_boosted_spans():
 
 def test_numbers_side_by_side():
     model = privacy.trained()
-    for numbers in (["7536784127813050", "4845168114407329"], ["+1 (826) 555-4081", "190.137.223.204"], ["415-555-2671", "415-555-2672"], ["078-05-1120", "219-09-9999"], ["(826) 555-4081", "(826) 555-4082"]):
+    for numbers in (
+        ["7536784127813050", "4845168114407329"], ["+1 (826) 555-4081", "190.137.223.204"], ["415-555-2671", "415-555-2672"],
+        ["078-05-1120", "219-09-9999"], ["(826) 555-4081", "(826) 555-4082"],
+    ):
         text = "we have " + " ".join(numbers) + " here"
         assert [text[a:b] for a, b, _ in privacy.find(text, model)[1]] == numbers
     chain = "12 345 6789 " * 40
@@ -283,7 +298,10 @@ def test_seeds_of_an_item_copied_everywhere():
     edited = [word() if k in (1, 4, 7, 10) else w for k, w in enumerate(item)]
     mixed = [word() for _ in range(24)]
     docs = [" ".join(item + mixed[:12]) for _ in range(8)]
-    docs += [" ".join(item[12:]), " ".join(edited), " ".join(item[:12]), " ".join(mixed[:12]), " ".join(mixed[12:]), " ".join(word() for _ in range(30))]
+    docs += [
+        " ".join(item[12:]), " ".join(edited), " ".join(item[:12]), " ".join(mixed[:12]), " ".join(mixed[12:]),
+        " ".join(word() for _ in range(30)),
+    ]
     own = decontam.Items.of([(1, " ".join(item)), (2, " ".join(mixed))], decontam.Options())
     seqs = [own.encode(d) for d in docs]
     df = np.zeros(len(own.grams), np.int64)
