@@ -103,20 +103,28 @@ def box_distance2(lat, lon, box: Column) -> Column:
 
 def box_union(a: Column, b: Column) -> Column:
     """The least box that holds both."""
-    return F.struct(*[f(a[c], b[c]).alias(c) for f, c in ((F.least, "min_lat"), (F.least, "min_lon"), (F.greatest, "max_lat"), (F.greatest, "max_lon"))])
+    return F.struct(*[f(a[c], b[c]).alias(c) for f, c in (
+        (F.least, "min_lat"), (F.least, "min_lon"), (F.greatest, "max_lat"), (F.greatest, "max_lon"),
+    )])
 
 
 def box_of(points: Column) -> Column:
     """The box of an array of points, null if it is empty."""
     lats, lons = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["lon"])
-    box = F.struct(F.array_min(lats).alias("min_lat"), F.array_min(lons).alias("min_lon"), F.array_max(lats).alias("max_lat"), F.array_max(lons).alias("max_lon"))
+    box = F.struct(
+        F.array_min(lats).alias("min_lat"), F.array_min(lons).alias("min_lon"), F.array_max(lats).alias("max_lat"),
+        F.array_max(lons).alias("max_lon"),
+    )
     return F.when(F.size(points) > 0, box)
 
 
 def normal_bounds(lat1, lon1, lat2, lon2) -> Column:
     """A box struct from two opposite corners in any order."""
     lat1, lon1, lat2, lon2 = map(num, (lat1, lon1, lat2, lon2))
-    return F.struct(F.least(lat1, lat2).alias("min_lat"), F.least(lon1, lon2).alias("min_lon"), F.greatest(lat1, lat2).alias("max_lat"), F.greatest(lon1, lon2).alias("max_lon"))
+    return F.struct(
+        F.least(lat1, lat2).alias("min_lat"), F.least(lon1, lon2).alias("min_lon"), F.greatest(lat1, lat2).alias("max_lat"),
+        F.greatest(lon1, lon2).alias("max_lon"),
+    )
 
 
 def valid_bounds(box: Column) -> Column:
@@ -152,7 +160,9 @@ def _side(a: Column, b: Column, lat, lon) -> Column:
 
 def _between(a: Column, b: Column, lat, lon) -> Column:
     lat, lon = num(lat), num(lon)
-    return lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])) & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"]))
+    return lat.between(
+        F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]),
+    ) & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"]))
 
 
 def ring_contains(ring: Column, lat, lon) -> Column:

@@ -44,7 +44,10 @@ def box(code: Column) -> Column:
         row = F.when(here, row + F.floor(q / 2.0) * half).otherwise(row)
         col = F.when(here, col + (q % 2) * half).otherwise(col)
         size = F.when(here, half).otherwise(size)
-    out = F.struct((row / LAT_CELLS).alias("min_lat"), (col / LON_CELLS).alias("min_lon"), ((row + size) / LAT_CELLS).alias("max_lat"), ((col + size) / LON_CELLS).alias("max_lon"))
+    out = F.struct(
+        (row / LAT_CELLS).alias("min_lat"), (col / LON_CELLS).alias("min_lon"), ((row + size) / LAT_CELLS).alias("max_lat"),
+        ((col + size) / LON_CELLS).alias("max_lon"),
+    )
     return F.when(valid(code), out)
 
 

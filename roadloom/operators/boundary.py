@@ -28,7 +28,9 @@ def crossing(df: DataFrame, box: str = "bounds") -> DataFrame:
     a_in, b_in = geo.in_box(ends[0], ends[1], b), geo.in_box(ends[2], ends[3], b)
     inside = lambda p: geo.in_box(p["lat"], p["lon"], b)
     any_out = F.exists(shape, lambda p: ~inside(p))
-    crosses = F.exists(geo.pairs(shape), lambda s: geo.segment_meets_box(b, s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"])) | ((n == 1) & inside(F.get(shape, F.lit(0))))
+    crosses = F.exists(geo.pairs(shape), lambda s: geo.segment_meets_box(
+        b, s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"],
+    )) | ((n == 1) & inside(F.get(shape, F.lit(0))))
     line = F.when(a_in, shape).otherwise(F.reverse(shape))
     times = F.when(a_in, cum).otherwise(F.reverse(cum))
     out_at = F.array_position(F.transform(line, lambda p: ~inside(p)), True)  # from 1; 0: none; 1: the inside end is outside
@@ -48,5 +50,7 @@ def crossing(df: DataFrame, box: str = "bounds") -> DataFrame:
         .when(k <= 1, "route_error").when(a_in, "b_outside").otherwise("a_outside")
     )
     crossed: Column = F.col("kind").isin("a_outside", "b_outside")
-    done = work.withColumn("kind", kind).withColumns({"lat": F.when(crossed, lat), "lon": F.when(crossed, lon), "outside_m": F.when(crossed, rest), "outside_s": F.when(crossed, left)})
+    done = work.withColumn("kind", kind).withColumns({
+        "lat": F.when(crossed, lat), "lon": F.when(crossed, lon), "outside_m": F.when(crossed, rest), "outside_s": F.when(crossed, left),
+    })
     return done.drop("__w")

@@ -128,8 +128,12 @@ def edge_flags(tags: Column) -> Column:
     layer = F.when(get("layer").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(get("layer")).try_cast("int"))
     round_ = some(get("junction") == "roundabout")
     bits = (
-        (1, some(get("bridge") != "no")), (2, some(get("tunnel") != "no")), (4, some(get("bridge") == "viaduct") | some(layer >= 1)), (8, round_), (16, some(get("toll") == "yes")),
-        (32, some(get("access") == "private")), (64, some(get("highway") == "service")), (128, some(get("highway") == "track")), (256, some(get("highway") == "living_street")),
+        (1, some(get("bridge") != "no")), (2, some(get("tunnel") != "no")), (
+            4, some(get("bridge") == "viaduct") | some(layer >= 1),
+        ), (8, round_), (16, some(get("toll") == "yes")),
+        (32, some(get("access") == "private")), (64, some(get("highway") == "service")), (128, some(get("highway") == "track")), (
+            256, some(get("highway") == "living_street"),
+        ),
         (512, some(get("sidewalk").isin("yes", "both"))), (1024, some(get("seasonal") == "winter") | some(get("winter_road") == "no")),
         (4096, some(get("oneway") == "yes") | (round_ & get("oneway").isNull())), (8192, some(get("oneway") == "-1")),
     )
@@ -148,7 +152,9 @@ def packed_order(edges: DataFrame, key: str = "edge_key", leaf: int = LEAF) -> D
     leaves = max(1, -(-n // leaf))
     strips = max(1, int(-(-(leaves**0.5) // 1)))
     size = max(leaf, -(-n // strips))
-    centred = edges.withColumn("__x", (F.col("box.min_lon") + F.col("box.max_lon")) * 0.5).withColumn("__y", (F.col("box.min_lat") + F.col("box.max_lat")) * 0.5)
+    centred = edges.withColumn(
+        "__x", (F.col("box.min_lon") + F.col("box.max_lon")) * 0.5,
+    ).withColumn("__y", (F.col("box.min_lat") + F.col("box.max_lat")) * 0.5)
     ranked = numbered(centred, ["__x", key], "__rx").withColumn("strip", F.floor(F.col("__rx") / F.lit(float(size))))
     rank = F.row_number().over(Window.partitionBy("strip").orderBy("__y", key))
     return ranked.withColumn("rank", rank - 1).withColumn("leaf", F.floor(F.col("rank") / float(leaf))).drop("__x", "__y", "__rx")
@@ -207,13 +213,18 @@ def bake(edges: DataFrame, profiles: list[Profile], key: str = "edge_id") -> Dat
     read = StagedReader(F.col("tags"))
     can = {f"can {k}": p.can_pass(read) for k, p in enumerate(profiles)}
     rest = [(p.name, p.speed_kmh(read), p.direction(read)) for p in profiles]
-    staged = edges.select(key, *[made.alias(name) for name, made in read.stage.items()]).select("*", *[made.alias(name) for name, made in can.items()])
+    staged = edges.select(
+        key, *[made.alias(name) for name, made in read.stage.items()],
+    ).select("*", *[made.alias(name) for name, made in can.items()])
 
     def entry(k: int) -> Column:
         name, speed, way = rest[k]
         open_ = F.col(f"`can {k}`")
         speed = F.when(open_, speed).otherwise(0.0).cast("float")
-        return F.struct(F.lit(name).alias("profile"), open_.alias("can_pass"), speed.alias("speed_kmh"), (open_ & (way >= 0)).alias("fwd"), (open_ & (way <= 0)).alias("bwd"))
+        return F.struct(
+            F.lit(name).alias("profile"), open_.alias("can_pass"), speed.alias("speed_kmh"), (open_ & (way >= 0)).alias("fwd"),
+            (open_ & (way <= 0)).alias("bwd"),
+        )
 
     every = staged.select(key, F.explode(F.array(*map(entry, range(len(profiles))))).alias("x"))
     return every.select("x.profile", key, "x.can_pass", "x.speed_kmh", "x.fwd", "x.bwd")
@@ -236,13 +247,17 @@ def statistics(verts: DataFrame, edges: DataFrame) -> DataFrame:
 def arcs(edges: DataFrame) -> DataFrame:
     """(src, dst, edge_id, reversed): each edge forward, and backward unless it is a loop."""
     forward = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "edge_id", F.lit(False).alias("reversed"))
-    back = edges.where("from_id <> to_id").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "edge_id", F.lit(True).alias("reversed"))
+    back = edges.where("from_id <> to_id").select(
+        F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "edge_id", F.lit(True).alias("reversed"),
+    )
     return forward.unionByName(back)
 
 
 def out_degrees(edges: DataFrame, verts: DataFrame) -> DataFrame:
     """(vertex_id, degree, first_out): arcs that leave each vertex, and how many leave all before it."""
-    counts = verts.select("vertex_id").join(arcs(edges).groupBy(F.col("src").alias("vertex_id")).count(), "vertex_id", "left").select("vertex_id", F.coalesce("count", F.lit(0)).alias("degree"))
+    counts = verts.select("vertex_id").join(
+        arcs(edges).groupBy(F.col("src").alias("vertex_id")).count(), "vertex_id", "left",
+    ).select("vertex_id", F.coalesce("count", F.lit(0)).alias("degree"))
     part = counts.withColumn("lot", F.floor(F.col("vertex_id") / 65_536.0))
     lots = part.groupBy("lot").agg(F.sum("degree").alias("s"))
     before = Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 65,536 vertices

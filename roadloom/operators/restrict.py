@@ -51,7 +51,10 @@ def areas_on_segment(shapes: DataFrame, a: Column, b: Column) -> DataFrame:
 def edge_factors(found: DataFrame, areas: DataFrame, profile: Profile) -> DataFrame:
     """(edge_id, blocked, factor): the product of the speed factors of all areas on an edge."""
     d = profile.difficulty(F.col("difficulty_type"))
-    each = found.join(areas, "area_id").select("edge_id", (F.col("kind") == "block").alias("closed"), F.when(F.col("kind") == "block", F.struct(F.lit(1.0).alias("speed_factor"), F.lit(True).alias("can_pass"))).otherwise(d).alias("d"))
+    each = found.join(areas, "area_id").select(
+        "edge_id", (F.col("kind") == "block").alias("closed"),
+        F.when(F.col("kind") == "block", F.struct(F.lit(1.0).alias("speed_factor"), F.lit(True).alias("can_pass"))).otherwise(d).alias("d"),
+    )
     stops = F.col("closed") | ~F.col("d.can_pass") | (F.col("d.speed_factor") <= 0)
     sums = each.groupBy("edge_id").agg(F.bool_or(stops).alias("blocked"), F.product("d.speed_factor").alias("factor"))
     return sums.select("edge_id", "blocked", F.when(F.col("blocked"), 0.0).otherwise(F.col("factor")).alias("factor"))
@@ -128,16 +131,24 @@ class Restrictions:
         if polygon is not None:
             if len(polygon) < 3:
                 raise ValueError("a polygon needs three points")
-            one = self.spark.createDataFrame([(0, [tuple(map(float, p)) for p in polygon], [[tuple(map(float, p)) for p in h] for h in holes])], f"shape_no int, outer {POINTS}, holes array<{POINTS}>")
+            one = self.spark.createDataFrame(
+                [(0, [tuple(map(float, p)) for p in polygon], [[tuple(map(float, p)) for p in h] for h in holes])],
+                f"shape_no int, outer {POINTS}, holes array<{POINTS}>",
+            )
             return one.withColumn("box", geo.box_of(F.col("outer")))
         codes = list(meshes)
         if not codes:
             raise ValueError("no mesh codes")
         rows = self.spark.createDataFrame(list(enumerate(map(int, codes))), "shape_no int, mesh long")
-        bad = [c for c, ok in zip(codes, [r[0] for r in rows.orderBy("shape_no").select(mesh.valid(F.col("mesh"))).collect()], strict=True) if not ok]  # the caller's codes
+        bad = [c for c, ok in zip(
+            codes, [r[0] for r in rows.orderBy("shape_no").select(mesh.valid(F.col("mesh"))).collect()], strict=True,
+        ) if not ok]  # the caller's codes
         if bad:
             raise ValueError(f"not mesh codes: {bad}")
-        return rows.select("shape_no", mesh.box(F.col("mesh")).alias("box"), F.lit(None).cast(POINTS).alias("outer"), F.lit(None).cast(f"array<{POINTS}>").alias("holes"))
+        return rows.select(
+            "shape_no", mesh.box(F.col("mesh")).alias("box"), F.lit(None).cast(POINTS).alias("outer"),
+            F.lit(None).cast(f"array<{POINTS}>").alias("holes"),
+        )
 
     def remove(self, area_id: str) -> None:
         """Removes an area; an unknown id is no error."""

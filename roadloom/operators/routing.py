@@ -91,14 +91,18 @@ class Network:
 
 def timed_edges(edges: DataFrame, baked: DataFrame, profile: str, factors: DataFrame | None = None) -> DataFrame:
     """(edge_id, from_id, to_id, shape, dist_m double, s, can_pass, fwd, bwd): s null where the edge can't be passed."""
-    rows = edges.select("edge_id", "from_id", "to_id", "shape", F.col("dist_m").cast("double").alias("dist_m")).join(baked.where(F.col("profile") == profile), "edge_id")
+    rows = edges.select(
+        "edge_id", "from_id", "to_id", "shape", F.col("dist_m").cast("double").alias("dist_m"),
+    ).join(baked.where(F.col("profile") == profile), "edge_id")
     if factors is None:
         seconds = weighted_seconds(F.col("dist_m"), F.col("speed_kmh"))
     else:
         rows = rows.join(factors, "edge_id", "left")
         seconds = weighted_seconds(F.col("dist_m"), F.col("speed_kmh"), F.col("factor"), F.col("blocked"))
     none = F.array().cast("array<struct<lat:double,lon:double>>")
-    return rows.select("edge_id", "from_id", "to_id", F.coalesce("shape", none).alias("shape"), "dist_m", seconds.alias("s"), "can_pass", "fwd", "bwd")
+    return rows.select(
+        "edge_id", "from_id", "to_id", F.coalesce("shape", none).alias("shape"), "dist_m", seconds.alias("s"), "can_pass", "fwd", "bwd",
+    )
 
 
 def stored(verts: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, factors: DataFrame | None = None) -> str:
@@ -255,7 +259,9 @@ def geometry(g: Network, found: tuple, start: tuple[float, float], end: tuple[fl
 
 ROUTE = T.StructType([
     T.StructField("req_id", T.LongType()), T.StructField("dist_m", T.DoubleType()), T.StructField("dur_s", T.DoubleType()),
-    T.StructField("shape", T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))), T.StructField("cum_s", T.ArrayType(T.DoubleType())), T.StructField("edges", T.ArrayType(T.LongType())),
+    T.StructField(
+        "shape", T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])),
+    ), T.StructField("cum_s", T.ArrayType(T.DoubleType())), T.StructField("edges", T.ArrayType(T.LongType())),
 ])
 
 
@@ -276,7 +282,10 @@ def routes(snapped: DataFrame, folder: str) -> DataFrame:
                 found = search(g, s, r["s_offset"] / 65535.0, t, r["t_offset"] / 65535.0, trees)
                 if found:
                     points, cum = geometry(g, found, (r["s_lat"], r["s_lon"]), (r["t_lat"], r["t_lon"]))
-                    out.append((r["req_id"], found[1], found[0], [{"lat": a, "lon": o} for a, o in points], cum, [int(g.edge_id[e]) for e in found[3]]))
+                    out.append((
+                        r["req_id"], found[1], found[0], [{"lat": a, "lon": o} for a, o in points], cum,
+                        [int(g.edge_id[e]) for e in found[3]],
+                    ))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.float64(), pa.float64(), place, pa.list_(pa.float64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ROUTE.names)
@@ -293,11 +302,20 @@ def snapped_requests(requests: DataFrame, edges: DataFrame, baked: DataFrame, pr
     for p, side in (("s", "from"), ("t", "to")):
         points = requests.select(F.col("req_id").alias("point_id"), F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon"))
         at = spatial.snap(points, edges, baked, profile, radius_m)
-        out = out.join(at.select(F.col("point_id").alias("req_id"), F.col("edge_id").alias(f"{p}_edge"), F.col("offset").alias(f"{p}_offset"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon")), "req_id")
+        out = out.join(
+            at.select(
+                F.col("point_id").alias("req_id"), F.col("edge_id").alias(f"{p}_edge"), F.col("offset").alias(f"{p}_offset"),
+                F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"),
+            ),
+            "req_id",
+        )
     return out
 
 
-def calculate(requests: DataFrame, verts: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, factors: DataFrame | None = None, radius_m: float = 500.0) -> DataFrame:
+def calculate(
+    requests: DataFrame, verts: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, factors: DataFrame | None = None,
+    radius_m: float = 500.0,
+) -> DataFrame:
     """Routes of requests for a profile: snap, search, build. Requests without a route give no row."""
     return routes(snapped_requests(requests, edges, baked, profile, radius_m), stored(verts, edges, baked, profile, factors))
 
@@ -311,8 +329,12 @@ def linear_cumulative(shape, total):
 def weighted_arcs(edges: DataFrame, baked: DataFrame, profile: str, factors: DataFrame | None = None) -> DataFrame:
     """(src, dst, edge_id, seconds, reversed) of the arcs that a profile may take."""
     timed = timed_edges(edges, baked, profile, factors).where("s is not null")
-    forward = timed.where("fwd").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "edge_id", F.col("s").alias("seconds"), F.lit(False).alias("reversed"))
-    back = timed.where("bwd and from_id <> to_id").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "edge_id", F.col("s").alias("seconds"), F.lit(True).alias("reversed"))
+    forward = timed.where("fwd").select(
+        F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "edge_id", F.col("s").alias("seconds"), F.lit(False).alias("reversed"),
+    )
+    back = timed.where("bwd and from_id <> to_id").select(
+        F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "edge_id", F.col("s").alias("seconds"), F.lit(True).alias("reversed"),
+    )
     return forward.unionByName(back)
 
 
@@ -327,7 +349,9 @@ def relax(arcs: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFra
     front = best
     for _ in range(rounds):
         step = front.join(arcs, front["vertex_id"] == arcs["src"]).groupBy("source", F.col("dst").alias("vertex_id")).agg(F.min(front["seconds"] + arcs["seconds"]).alias("new"))
-        front = cut(step.join(best, ["source", "vertex_id"], "left").where("seconds is null or new < seconds").select("source", "vertex_id", F.col("new").alias("seconds")))
+        front = cut(step.join(best, ["source", "vertex_id"], "left").where("seconds is null or new < seconds").select(
+            "source", "vertex_id", F.col("new").alias("seconds"),
+        ))
         if front.isEmpty():
             return best
         best = cut(best.join(front.select("source", "vertex_id"), ["source", "vertex_id"], "left_anti").unionByName(front))
@@ -339,7 +363,10 @@ def _leaving(part: Column) -> Column:
     return F.array(F.struct(F.lit(True).alias("forward"), (1 - part).alias("share")), F.struct(F.lit(False).alias("forward"), part.alias("share")))
 
 
-def routes_by_joins(snapped: DataFrame, verts: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, factors: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
+def routes_by_joins(
+    snapped: DataFrame, verts: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, factors: DataFrame | None = None,
+    rounds: int = 100_000,
+) -> DataFrame:
     """The rows of :func:`routes` without a graph in any one place, for graphs that no worker can hold.
 
     A label is a request, a vertex and the least cost found so far, with the arc that it came by. In each round the
@@ -349,18 +376,37 @@ def routes_by_joins(snapped: DataFrame, verts: DataFrame, edges: DataFrame, bake
     timed = landed(timed_edges(edges, baked, profile, factors), "timed")
     arcs = landed(weighted_arcs(edges, baked, profile, factors), "arcs")
     asked = landed(snapped.withColumns({f"{p}_part": F.col(f"{p}_offset") / 65535.0 for p in "st"}), "asked")
-    side = lambda p: timed.select(F.col("edge_id").alias(f"{p}_edge"), *[F.col(c).alias(f"{p}_{c}") for c in ("from_id", "to_id", "s", "dist_m", "fwd", "bwd")])
-    both = asked.join(side("s").where("s_s is not null and (s_fwd or s_bwd)"), "s_edge").join(side("t").where("t_s is not null and (t_fwd or t_bwd)"), "t_edge")
+    side = lambda p: timed.select(
+        F.col("edge_id").alias(f"{p}_edge"), *[F.col(c).alias(f"{p}_{c}") for c in ("from_id", "to_id", "s", "dist_m", "fwd", "bwd")],
+    )
+    both = asked.join(
+        side("s").where("s_s is not null and (s_fwd or s_bwd)"), "s_edge",
+    ).join(side("t").where("t_s is not null and (t_fwd or t_bwd)"), "t_edge")
     both = landed(both, "ends")
     direct = both.where("s_edge = t_edge and (s_part = t_part or (t_part > s_part and s_fwd) or (t_part < s_part and s_bwd))")
-    direct = direct.select("req_id", (F.abs(F.col("t_part") - F.col("s_part")) * F.col("s_s")).alias("direct_s"), (F.abs(F.col("t_part") - F.col("s_part")) * F.col("s_dist_m")).alias("direct_m"))
+    direct = direct.select(
+        "req_id", (F.abs(F.col("t_part") - F.col("s_part")) * F.col("s_s")).alias("direct_s"),
+        (F.abs(F.col("t_part") - F.col("s_part")) * F.col("s_dist_m")).alias("direct_m"),
+    )
     x = F.col("x")
-    start = both.select("req_id", "s_from_id", "s_to_id", "s_s", "s_dist_m", "s_fwd", "s_bwd", F.explode(_leaving(F.col("s_part"))).alias("x")).where(F.when(x["forward"], F.col("s_fwd")).otherwise(F.col("s_bwd")))
-    start = start.select("req_id", F.when(x["forward"], F.col("s_to_id")).otherwise(F.col("s_from_id")).alias("vertex_id"), F.struct((x["share"] * F.col("s_s")).alias("c"), (x["share"] * F.col("s_dist_m")).alias("m")).alias("l"))
+    start = both.select(
+        "req_id", "s_from_id", "s_to_id", "s_s", "s_dist_m", "s_fwd", "s_bwd", F.explode(_leaving(F.col("s_part"))).alias("x"),
+    ).where(F.when(x["forward"], F.col("s_fwd")).otherwise(F.col("s_bwd")))
+    start = start.select(
+        "req_id", F.when(x["forward"], F.col("s_to_id")).otherwise(F.col("s_from_id")).alias("vertex_id"),
+        F.struct((x["share"] * F.col("s_s")).alias("c"), (x["share"] * F.col("s_dist_m")).alias("m")).alias("l"),
+    )
     none = F.struct(F.lit(None).cast("long").alias("prev"), F.lit(None).cast("long").alias("edge"), F.lit(None).cast("boolean").alias("reversed"))
-    start = start.groupBy("req_id", "vertex_id").agg(F.min("l").alias("l")).select("req_id", "vertex_id", F.col("l.c").alias("c"), F.col("l.m").alias("m"), none.alias("by"))
-    goal = both.select("req_id", "t_from_id", "t_to_id", "t_s", "t_dist_m", "t_fwd", "t_bwd", F.explode(_leaving(1 - F.col("t_part"))).alias("x")).where(F.when(x["forward"], F.col("t_fwd")).otherwise(F.col("t_bwd")))
-    goal = goal.select("req_id", F.when(x["forward"], F.col("t_from_id")).otherwise(F.col("t_to_id")).alias("vertex_id"), (x["share"] * F.col("t_s")).alias("tail"), (x["share"] * F.col("t_dist_m")).alias("tail_m"))
+    start = start.groupBy("req_id", "vertex_id").agg(F.min("l").alias("l")).select(
+        "req_id", "vertex_id", F.col("l.c").alias("c"), F.col("l.m").alias("m"), none.alias("by"),
+    )
+    goal = both.select(
+        "req_id", "t_from_id", "t_to_id", "t_s", "t_dist_m", "t_fwd", "t_bwd", F.explode(_leaving(1 - F.col("t_part"))).alias("x"),
+    ).where(F.when(x["forward"], F.col("t_fwd")).otherwise(F.col("t_bwd")))
+    goal = goal.select(
+        "req_id", F.when(x["forward"], F.col("t_from_id")).otherwise(F.col("t_to_id")).alias("vertex_id"),
+        (x["share"] * F.col("t_s")).alias("tail"), (x["share"] * F.col("t_dist_m")).alias("tail_m"),
+    )
     goal = landed(goal, "goals")
     labels = front = cut(start)
     for _ in range(rounds):
@@ -368,7 +414,13 @@ def routes_by_joins(snapped: DataFrame, verts: DataFrame, edges: DataFrame, bake
         bound = arrived.join(direct, "req_id", "full").select("req_id", F.least("limit", "direct_s").alias("limit"))
         step = front.join(arcs, front["vertex_id"] == arcs["src"]).join(bound, "req_id", "left")
         step = step.where(F.col("limit").isNull() | (F.col("c") + F.col("seconds") < F.col("limit")))
-        step = step.select("req_id", F.col("dst").alias("vertex_id"), F.struct((F.col("c") + F.col("seconds")).alias("c"), F.col("m"), F.struct(F.col("src").alias("prev"), F.col("edge_id").alias("edge"), "reversed").alias("by")).alias("l"))
+        step = step.select(
+            "req_id", F.col("dst").alias("vertex_id"),
+            F.struct(
+                (F.col("c") + F.col("seconds")).alias("c"), F.col("m"),
+                F.struct(F.col("src").alias("prev"), F.col("edge_id").alias("edge"), "reversed").alias("by"),
+            ).alias("l"),
+        )
         step = step.groupBy("req_id", "vertex_id").agg(F.min("l").alias("l"))
         old = labels.select("req_id", "vertex_id", F.col("c").alias("old"))
         front = step.join(old, ["req_id", "vertex_id"], "left").where("old is null or l.c < old")
@@ -378,8 +430,12 @@ def routes_by_joins(snapped: DataFrame, verts: DataFrame, edges: DataFrame, bake
         labels = cut(labels.join(front.select("req_id", "vertex_id"), ["req_id", "vertex_id"], "left_anti").unionByName(front))
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
-    ends = labels.join(goal, ["req_id", "vertex_id"]).groupBy("req_id").agg(F.min(F.struct((F.col("c") + F.col("tail")).alias("dur"), "vertex_id", "tail_m")).alias("a"))
-    chosen = asked.select("req_id", "s_lat", "s_lon", "t_lat", "t_lon").join(ends, "req_id", "left").join(direct, "req_id", "left").where("a is not null or direct_s is not null")
+    ends = labels.join(goal, ["req_id", "vertex_id"]).groupBy("req_id").agg(F.min(F.struct(
+        (F.col("c") + F.col("tail")).alias("dur"), "vertex_id", "tail_m",
+    )).alias("a"))
+    chosen = asked.select(
+        "req_id", "s_lat", "s_lon", "t_lat", "t_lon",
+    ).join(ends, "req_id", "left").join(direct, "req_id", "left").where("a is not null or direct_s is not null")
     straight = F.col("direct_s").isNotNull() & (F.col("a").isNull() | (F.col("direct_s") <= F.col("a.dur")))
     chosen = cut(chosen.withColumn("straight", straight))
     # back from the arrivals: one arc of every route in a round
@@ -392,7 +448,9 @@ def routes_by_joins(snapped: DataFrame, verts: DataFrame, edges: DataFrame, bake
     point = F.struct("lat", "lon")
     if steps is None:
         steps = labels.limit(0).select("req_id", "vertex_id", F.lit(0).alias("step"), "c", "m", "by")
-    nodes = steps.join(verts.select("vertex_id", point.alias("here")), "vertex_id").join(timed.select(F.col("edge_id").alias("e"), "shape", "dist_m"), F.col("by.edge") == F.col("e"), "left")
+    nodes = steps.join(verts.select("vertex_id", point.alias("here")), "vertex_id").join(
+        timed.select(F.col("edge_id").alias("e"), "shape", "dist_m"), F.col("by.edge") == F.col("e"), "left",
+    )
     before = Window.partitionBy("req_id").orderBy(F.col("step").desc())
     nodes = nodes.withColumn("from_c", F.lag("c").over(before)).withColumn("from_p", F.lag("here").over(before))
     inner = F.when(F.col("by.reversed"), F.reverse("shape")).otherwise(F.coalesce("shape", F.array().cast("array<struct<lat:double,lon:double>>")))
@@ -400,10 +458,24 @@ def routes_by_joins(snapped: DataFrame, verts: DataFrame, edges: DataFrame, bake
     nodes = nodes.withColumn("line", line).withColumn("length", geo.polyline_length(F.col("line")))
     so_far = lambda i: geo.polyline_length(F.slice("line", 1, i + 1))
     share = lambda i: F.coalesce(F.try_divide(so_far(i), F.col("length")), F.lit(0.0))
-    timed_points = F.when(F.col("from_p").isNull(), F.array(F.struct(F.col("here.lat").alias("lat"), F.col("here.lon").alias("lon"), F.col("c").alias("t")))).otherwise(
-        F.slice(F.transform("line", lambda p, i: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), F.when(i == F.size("line") - 1, F.col("c")).otherwise(F.col("from_c") + share(i) * (F.col("c") - F.col("from_c"))).alias("t"))), 2, F.size("line"))
+    timed_points = F.when(
+        F.col("from_p").isNull(), F.array(F.struct(F.col("here.lat").alias("lat"), F.col("here.lon").alias("lon"), F.col("c").alias("t"))),
+    ).otherwise(
+        F.slice(
+            F.transform("line", lambda p, i: F.struct(
+                p["lat"].alias("lat"), p["lon"].alias("lon"),
+                F.when(i == F.size("line") - 1, F.col("c")).otherwise(F.col("from_c") + share(i) * (F.col("c") - F.col("from_c"))).alias("t"),
+            )),
+            2, F.size("line"),
+        )
+    )
+    part = nodes.select(
+        "req_id",
+        F.struct(
+            (-F.col("step")).alias("step"), timed_points.alias("p"), F.col("by.edge").alias("edge"),
+            F.coalesce("dist_m", F.lit(0.0)).alias("d"), "m",
+        ).alias("n"),
     )
-    part = nodes.select("req_id", F.struct((-F.col("step")).alias("step"), timed_points.alias("p"), F.col("by.edge").alias("edge"), F.coalesce("dist_m", F.lit(0.0)).alias("d"), "m").alias("n"))
     whole = part.groupBy("req_id").agg(F.array_sort(F.collect_list("n")).alias("n"))  # one route
     out = chosen.join(whole, "req_id", "left")
     ends_of = lambda p: F.struct(F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_lon").alias("lon"))
@@ -412,7 +484,10 @@ def routes_by_joins(snapped: DataFrame, verts: DataFrame, edges: DataFrame, bake
     along = F.get("n", F.lit(0))["m"] + F.aggregate("n", F.lit(0.0), lambda acc, k: acc + k["d"]) + F.col("a.tail_m")
     return out.select(
         "req_id", F.when(F.col("straight"), F.col("direct_m")).otherwise(along).alias("dist_m"), dur.alias("dur_s"),
-        F.concat(F.array(ends_of("s")), F.transform(mid, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))), F.array(ends_of("t"))).alias("shape"),
+        F.concat(
+            F.array(ends_of("s")), F.transform(mid, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))),
+            F.array(ends_of("t")),
+        ).alias("shape"),
         F.concat(F.array(F.lit(0.0)), F.transform(mid, lambda p: p["t"]), F.array(dur)).alias("cum_s"),
         F.coalesce(F.filter(F.transform("n", lambda k: k["edge"]), lambda e: e.isNotNull()), F.array().cast("array<bigint>")).alias("edges"),
     )
@@ -428,6 +503,9 @@ def reach(folder: str, sources: DataFrame) -> DataFrame:
                 tree = Tree(g, source)
                 tree.reach(-1)  # no such vertex: the tree grows to its end
                 ends = sorted(tree.done)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(ends), pa.int64()), pa.array(ends, pa.int64()), pa.array([tree.cost[v] for v in ends], pa.float64())], ["source", "vertex_id", "seconds"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([source] * len(ends), pa.int64()), pa.array(ends, pa.int64()), pa.array([tree.cost[v] for v in ends], pa.float64())],
+                    ["source", "vertex_id", "seconds"],
+                )
 
     return sources.select(F.col("vertex_id").cast("long")).mapInArrow(run, "source long, vertex_id long, seconds double")

@@ -65,7 +65,10 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, s
     for top in sorted({*i_levels, *j_levels}):
         wide = size * float(SCALE) ** top
         first = lambda c, wide=wide: F.greatest(_cell(F.col(left_box)[c], wide), _cell(F.col(right_box)[c], wide))
-        for some, others in ((left.where(F.col("__i") == top), right.where(F.col("__j") <= top)), (left.where(F.col("__i") < top), right.where(F.col("__j") == top))):
+        for some, others in (
+            (left.where(F.col("__i") == top), right.where(F.col("__j") <= top)),
+            (left.where(F.col("__i") < top), right.where(F.col("__j") == top)),
+        ):
             cells = with_cells(some, left_box, wide).join(with_cells(others, right_box, wide), ["cy", "cx"])
             met = cells.where((F.col("cy") == first("min_lat")) & (F.col("cx") == first("min_lon")) & geo.boxes_meet(F.col(left_box), F.col(right_box)))
             out = met if out is None else out.unionByName(met)
@@ -87,15 +90,23 @@ def nearest_edges(points: DataFrame, edges: DataFrame, k: int, size: float = CEL
     total = edges.count()
     k = min(k, total)
     point = points.select(point_id, "lat", "lon")
-    sure = F.when(F.isnan("lat") | F.isnan("lon") | F.col("lat").isNull() | F.col("lon").isNull(), F.raise_error(F.lit("a point without a place")).cast("double")).otherwise(F.col("lat"))
+    sure = F.when(
+        F.isnan("lat") | F.isnan("lon") | F.col("lat").isNull() | F.col("lon").isNull(),
+        F.raise_error(F.lit("a point without a place")).cast("double"),
+    ).otherwise(F.col("lat"))
     left = cut(point.withColumn("lat", sure))
     found = left.select(point_id).limit(0).withColumns({"edge_id": F.lit(0).cast("long"), "d2": F.lit(0.0)})
     if not k:
         return found
     reach, slim = size, edges.select("edge_id", F.col("box").alias("edge_box"))
     while not left.isEmpty():
-        square = F.struct((F.col("lat") - reach).alias("min_lat"), (F.col("lon") - reach).alias("min_lon"), (F.col("lat") + reach).alias("max_lat"), (F.col("lon") + reach).alias("max_lon"))
-        near = box_join(left.withColumn("square", square), slim, "square", "edge_box", max(size, reach), False).withColumn("d2", geo.box_distance2(F.col("lat"), F.col("lon"), F.col("edge_box")))
+        square = F.struct(
+            (F.col("lat") - reach).alias("min_lat"), (F.col("lon") - reach).alias("min_lon"), (F.col("lat") + reach).alias("max_lat"),
+            (F.col("lon") + reach).alias("max_lon"),
+        )
+        near = box_join(
+            left.withColumn("square", square), slim, "square", "edge_box", max(size, reach), False,
+        ).withColumn("d2", geo.box_distance2(F.col("lat"), F.col("lon"), F.col("edge_box")))
         rank = F.row_number().over(Window.partitionBy(point_id).orderBy("d2", "edge_id"))  # keeps k rows a point before the shuffle
         best = near.where(F.col("d2") <= reach * reach).select(point_id, "edge_id", "d2").withColumn("r", rank).where(F.col("r") <= k)
         best = cut(best)
@@ -108,10 +119,15 @@ def nearest_edges(points: DataFrame, edges: DataFrame, k: int, size: float = CEL
 
 def segments(edges: DataFrame, line: str = "line") -> DataFrame:
     """``edges`` with a row for each segment: seg, a, b."""
-    return edges.select("*", F.posexplode(geo.pairs(F.col(line))).alias("seg", "ab")).select("*", F.col("ab.a").alias("a"), F.col("ab.b").alias("b")).drop("ab")
+    return edges.select(
+        "*", F.posexplode(geo.pairs(F.col(line))).alias("seg", "ab"),
+    ).select("*", F.col("ab.a").alias("a"), F.col("ab.b").alias("b")).drop("ab")
 
 
-def snap(points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, radius_m: float = 500.0, point_id: str = "point_id", size: float = CELL) -> DataFrame:
+def snap(
+    points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, radius_m: float = 500.0, point_id: str = "point_id",
+    size: float = CELL,
+) -> DataFrame:
     """(point, edge_id, dist_m, lat, lon, offset): the nearest passable road within a radius of each point.
 
     Points without one give no row, nor does a blank or unknown profile or a radius of zero. Ties go to the
@@ -119,17 +135,26 @@ def snap(points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, ra
     ``edges`` needs line (all points), box and dist_m.
     """
     if not (profile or "").strip() or radius_m <= 0:
-        return points.select(point_id).limit(0).withColumns({"edge_id": F.lit(0).cast("long"), "dist_m": F.lit(0.0), "lat": F.lit(0.0), "lon": F.lit(0.0), "offset": F.lit(0)})
+        return points.select(point_id).limit(0).withColumns({
+            "edge_id": F.lit(0).cast("long"), "dist_m": F.lit(0.0), "lat": F.lit(0.0), "lon": F.lit(0.0), "offset": F.lit(0),
+        })
     open_ = baked.where((F.col("profile") == profile) & F.col("can_pass")).select("edge_id")
     roads = edges.join(open_, "edge_id", "left_semi").select("edge_id", "line", F.col("box").alias("edge_box"))
-    around = points.select(point_id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("around", geo.box_around(F.col("p_lat"), F.col("p_lon"), radius_m))
+    around = points.select(
+        point_id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
+    ).withColumn("around", geo.box_around(F.col("p_lat"), F.col("p_lon"), radius_m))
     near = box_join(around, roads, "around", "edge_box", size).where(F.size("line") >= 2)
     to = lambda s: geo.point_to_segment(F.col("p_lat"), F.col("p_lon"), s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"])
     each = F.transform(geo.pairs(F.col("line")), lambda s, i: F.struct(to(s).alias("at"), i.alias("seg")))
-    order = F.transform(each, lambda x: F.struct(x["at"]["dist_m"].alias("dist_m"), x["seg"].alias("seg"), x["at"]["lat"].alias("lat"), x["at"]["lon"].alias("lon"), x["at"]["t"].alias("t")))
+    order = F.transform(each, lambda x: F.struct(
+        x["at"]["dist_m"].alias("dist_m"), x["seg"].alias("seg"), x["at"]["lat"].alias("lat"), x["at"]["lon"].alias("lon"),
+        x["at"]["t"].alias("t"),
+    ))
     best = near.select(point_id, "edge_id", F.array_min(order).alias("s"))
     nearest = F.min(F.struct(F.col("s.dist_m").alias("dist_m"), "edge_id", "s")).alias("x")  # edge before segment at ties
-    pick = best.groupBy(point_id).agg(nearest).where(F.col("x.dist_m") <= radius_m).select(point_id, F.col("x.edge_id").alias("edge_id"), F.col("x.s").alias("s"))
+    pick = best.groupBy(point_id).agg(nearest).where(F.col("x.dist_m") <= radius_m).select(
+        point_id, F.col("x.edge_id").alias("edge_id"), F.col("x.s").alias("s"),
+    )
     placed = pick.join(edges.select("edge_id", "line"), "edge_id")
     line, s = F.col("line"), F.col("s")
     before = geo.polyline_length(F.slice(line, 1, s["seg"] + 1))
@@ -140,7 +165,10 @@ def snap(points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, ra
     return placed.select(point_id, "edge_id", s["dist_m"].alias("dist_m"), s["lat"].alias("lat"), s["lon"].alias("lon"), offset.alias("offset"))
 
 
-def snap_anywhere(points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, radius_m: float = 500.0, point_id: str = "point_id", size: float = CELL) -> DataFrame:
+def snap_anywhere(
+    points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, radius_m: float = 500.0, point_id: str = "point_id",
+    size: float = CELL,
+) -> DataFrame:
     """:func:`snap` without a radius: it grows for those points that have found nothing, until it holds the globe."""
     edges, left = cut(edges.select("edge_id", "line", "box")), cut(points.select(point_id, "lat", "lon"))
     found = None

@@ -125,7 +125,10 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways with their refs in order, tagged by their order's priority."""
     r = refs(spark, sf_dir).groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("r"))
     kinds = F.when(F.col("way_id") % 9 == 0, F.lit(None)).when(F.col("way_id") % 4 == 0, "primary").otherwise("residential")
-    w = r.select("way_id", F.transform("r", lambda x: x["node_id"]).alias("refs"), kinds.alias("highway"), F.when(F.col("way_id") % 10 == 1, "no").alias("access"), F.when(F.col("way_id") % 14 == 2, "yes").alias("area"))
+    w = r.select(
+        "way_id", F.transform("r", lambda x: x["node_id"]).alias("refs"), kinds.alias("highway"),
+        F.when(F.col("way_id") % 10 == 1, "no").alias("access"), F.when(F.col("way_id") % 14 == 2, "yes").alias("area"),
+    )
     return w.select("way_id", "refs", tags("highway", "access", "area").alias("tags"))
 
 
@@ -145,6 +148,9 @@ def areas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = F.struct("min_lat", "min_lon", "max_lat", "max_lon")
     cell = mesh.box(F.col("code"))
     none = F.lit(None).cast("array<array<struct<lat:double,lon:double>>>")
-    shapes = a.select("area_id", F.lit(0).alias("shape_no"), F.when(F.col("form") == "mesh", cell).otherwise(own).alias("box"), F.when(F.col("form") == "triangle", triangle).when(F.col("form") == "box", square).alias("outer"), none.alias("holes"))
+    shapes = a.select(
+        "area_id", F.lit(0).alias("shape_no"), F.when(F.col("form") == "mesh", cell).otherwise(own).alias("box"),
+        F.when(F.col("form") == "triangle", triangle).when(F.col("form") == "box", square).alias("outer"), none.alias("holes"),
+    )
     shapes = landed(shapes, "shapes")
     return a.select("area_id", "kind", "difficulty_type", "tag"), shapes

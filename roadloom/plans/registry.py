@@ -80,7 +80,10 @@ def g3_point_to_segment(spark, sf_dir):
 @query(f"select vertex_id, {q.in_ring('v.lat', 'v.lon', RING)} as in_ring, {q.in_ring('v.lat', 'v.lon', RING)} and not {q.in_ring('v.lat', 'v.lon', HOLE)} as in_polygon from ({_V}) v")
 def g4_polygon_contains(spark, sf_dir):
     lat, lon = F.col("lat"), F.col("lon")
-    return fx.vertices(spark, sf_dir).select("vertex_id", geo.ring_contains(_ring(RING), lat, lon).alias("in_ring"), geo.polygon_contains(_ring(RING), F.array(_ring(HOLE)), lat, lon).alias("in_polygon"))
+    return fx.vertices(spark, sf_dir).select(
+        "vertex_id", geo.ring_contains(_ring(RING), lat, lon).alias("in_ring"),
+        geo.polygon_contains(_ring(RING), F.array(_ring(HOLE)), lat, lon).alias("in_polygon"),
+    )
 
 
 def _inside(p: str) -> str:
@@ -90,14 +93,19 @@ def _inside(p: str) -> str:
 @query(f"""select edge_id, {_inside('a')} or {_inside('b')} or {q.segments_cross('e.a_lat', 'e.a_lon', 'e.b_lat', 'e.b_lon', RING)}
     or {q.segments_cross('e.a_lat', 'e.a_lon', 'e.b_lat', 'e.b_lon', HOLE)} as meets from {_E} e""")
 def g6_segment_meets_polygon(spark, sf_dir):
-    return fx.edges(spark, sf_dir).select("edge_id", geo.segment_meets_polygon(_ring(RING), F.array(_ring(HOLE)), F.col("from_point"), F.col("to_point")).alias("meets"))
+    return fx.edges(spark, sf_dir).select(
+        "edge_id", geo.segment_meets_polygon(_ring(RING), F.array(_ring(HOLE)), F.col("from_point"), F.col("to_point")).alias("meets"),
+    )
 
 
 @query(f"""select edge_id, {q.seg_box('a_lat', 'a_lon', 'b_lat', 'b_lon', *[f'{x}e0' for x in BOX])} as meets, a_lat between {BOX[0]}e0 and {BOX[2]}e0 and a_lon between {BOX[1]}e0 and {BOX[3]}e0 as starts_in,
     least(a_lat, b_lat) <= {BOX[2]}e0 and greatest(a_lat, b_lat) >= {BOX[0]}e0 and least(a_lon, b_lon) <= {BOX[3]}e0 and greatest(a_lon, b_lon) >= {BOX[1]}e0 as boxes_meet from {_E}""")
 def f6_boxes_and_segments(spark, sf_dir):
     a, b = F.col("from_point"), F.col("to_point")
-    return fx.edges(spark, sf_dir).select("edge_id", geo.segment_meets_box(_box(), a["lat"], a["lon"], b["lat"], b["lon"]).alias("meets"), geo.in_box(a["lat"], a["lon"], _box()).alias("starts_in"), geo.boxes_meet(F.col("box"), _box()).alias("boxes_meet"))
+    return fx.edges(spark, sf_dir).select(
+        "edge_id", geo.segment_meets_box(_box(), a["lat"], a["lon"], b["lat"], b["lon"]).alias("meets"),
+        geo.in_box(a["lat"], a["lon"], _box()).alias("starts_in"), geo.boxes_meet(F.col("box"), _box()).alias("boxes_meet"),
+    )
 
 
 @query(f"""select vertex_id, pow(greatest({BOX[0]}e0 - lat, 0e0, lat - {BOX[2]}e0), 2) + pow(greatest({BOX[1]}e0 - lon, 0e0, lon - {BOX[3]}e0), 2) as d2,
@@ -108,7 +116,10 @@ def g9_boxes(spark, sf_dir):
     own = F.struct(lat.alias("min_lat"), lon.alias("min_lon"), lat.alias("max_lat"), lon.alias("max_lon"))
     u = geo.box_union(own, _box())
     raw = F.struct(lat.alias("min_lat"), lon.alias("min_lon"), F.lit(BOX[2]).alias("max_lat"), F.lit(BOX[3]).alias("max_lon"))
-    return fx.vertices(spark, sf_dir).select("vertex_id", geo.box_distance2(lat, lon, _box()).alias("d2"), u["min_lat"].alias("min_lat"), u["max_lon"].alias("max_lon"), geo.valid_bounds(raw).alias("valid"))
+    return fx.vertices(spark, sf_dir).select(
+        "vertex_id", geo.box_distance2(lat, lon, _box()).alias("d2"), u["min_lat"].alias("min_lat"), u["max_lon"].alias("max_lon"),
+        geo.valid_bounds(raw).alias("valid"),
+    )
 
 
 # Meshes
@@ -135,7 +146,10 @@ def m2_mesh_codes(spark, sf_dir):
     v = fx.vertices(spark, sf_dir)
     codes = F.array(*[mesh.code_of_point(F.col("lat"), F.col("lon"), k) for k in (3, 4, 5, 6)])
     m = v.select("vertex_id", F.explode(codes).alias("mesh")).withColumn("b", mesh.box(F.col("mesh")))
-    return m.select("vertex_id", "mesh", mesh.level(F.col("mesh")).alias("level"), *[F.round(F.col("b")[c], 9).alias(c) for c in ("min_lat", "min_lon", "max_lat")])
+    return m.select(
+        "vertex_id", "mesh", mesh.level(F.col("mesh")).alias("level"),
+        *[F.round(F.col("b")[c], 9).alias(c) for c in ("min_lat", "min_lon", "max_lat")],
+    )
 
 
 _AREA_BOX = f"(select area_id, min_lat, min_lon, max_lat, max_lon from ({_A}))"
@@ -191,7 +205,10 @@ def e2_difficulties(spark, sf_dir):
     return a.select("area_id", F.explode(both).alias("x")).select("x.profile", "area_id", "x.d.speed_factor", "x.d.can_pass")
 
 
-_TEXTS = {"50": 50.0, " 30 mph": 30 * 1.609344, "40 kmh": 40.0, "walk": None, "50mph": None, "": None, "12.5": 12.5, "1e2": 100.0, "50f": None, "70  mph": 70 * 1.609344, "none 50": None}
+_TEXTS = {
+    "50": 50.0, " 30 mph": 30 * 1.609344, "40 kmh": 40.0, "walk": None, "50mph": None, "": None, "12.5": 12.5, "1e2": 100.0, "50f": None,
+    "70  mph": 70 * 1.609344, "none 50": None,
+}
 _LIMITS = {"8": 8.0, "8 t": 8.0, "3.5t": 3.5, "7 T": 7.0, "9 kg": None, "x": None, "1.2.3": None, "": None, "  4 ": 4.0}
 
 
@@ -203,7 +220,11 @@ def _cases(table: dict) -> str:
 def e7_parsed_tags(spark, sf_dir):
     """Speeds, limits and directions parsed from many spellings."""
     pick = lambda texts: F.get(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts)).cast("int"))
-    return fx.table(spark, sf_dir, "part").select("p_partkey", prof.parse_maxspeed(pick(list(_TEXTS))).alias("speed_kmh"), prof.parse_limit(pick(list(_LIMITS)), "t").alias("weight_t"), prof.parse_oneway(pick(["yes", "true", "1", "-1", "reverse", "no"])).alias("oneway"))
+    return fx.table(spark, sf_dir, "part").select(
+        "p_partkey", prof.parse_maxspeed(pick(list(_TEXTS))).alias("speed_kmh"),
+        prof.parse_limit(pick(list(_LIMITS)), "t").alias("weight_t"),
+        prof.parse_oneway(pick(["yes", "true", "1", "-1", "reverse", "no"])).alias("oneway"),
+    )
 
 
 # Extraction
@@ -525,7 +546,10 @@ def w1_cumulative(spark, sf_dir):
     rising = F.forall(F.zip_with(F.slice("cum_s", 1, F.size("cum_s") - 1), F.slice("cum_s", 2, F.size("cum_s")), lambda a, b: a <= b + 1e-9), lambda ok: ok)
     ends = (F.get("cum_s", F.lit(0)) == 0) & (F.abs(F.get("cum_s", F.size("cum_s") - 1) - F.col("dur_s")) < 1e-6) & (F.size("cum_s") == F.size("shape"))
     long = F.abs(geo.polyline_length(F.col("shape")) - F.col("dist_m")) < 1 + 1e-3 * F.col("dist_m")
-    return r.agg(F.count("*").alias("routes"), F.count_if(ends).alias("ends_right"), F.count_if(rising).alias("times_right"), F.count_if(long).alias("lengths_right"))
+    return r.agg(
+        F.count("*").alias("routes"), F.count_if(ends).alias("ends_right"), F.count_if(rising).alias("times_right"),
+        F.count_if(long).alias("lengths_right"),
+    )
 
 
 _LINEAR = "(select way_id, pos, n, n * 7e0 as total from (select way_id, pos, count(*) over (partition by way_id) as n from ({refs})))"
@@ -548,7 +572,10 @@ def n7_crossings(spark, sf_dir):
     """Where those routes leave a box, and what is left of them outside. (Checked by proportion in tests.)"""
     r = routing.calculate(*_route_inputs(spark, sf_dir)).join(fx.requests(spark, sf_dir), "req_id").withColumn("bounds", _box())
     out = boundary.crossing(r)
-    return out.select("req_id", "kind", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("outside_m", 3).alias("outside_m"), F.round("outside_s", 3).alias("outside_s"))
+    return out.select(
+        "req_id", "kind", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("outside_m", 3).alias("outside_m"),
+        F.round("outside_s", 3).alias("outside_s"),
+    )
 
 
 @query(f"""with sides as materialized (select req_id, case when {_inside_sql('from')} and not {_inside_sql('to')} then 1 when {_inside_sql('to')} and not {_inside_sql('from')} then 2 else 3 end as k from ({_ASK})),
@@ -561,7 +588,9 @@ def n7_boundary(spark, sf_dir):
     crossed = F.col("kind").isin("a_outside", "b_outside")
     # a route whose ends lie across the box's edge from each other is never of another kind, unless its snapped start lies outside
     from_in, to_in = geo.in_box(F.col("from_lat"), F.col("from_lon"), F.col("bounds")), geo.in_box(F.col("to_lat"), F.col("to_lon"), F.col("bounds"))
-    side = F.when(crossed, F.col("kind")).when((F.col("kind") == "route_error") & (from_in != to_in), F.when(from_in, "b_outside").otherwise("a_outside")).otherwise("other")
+    side = F.when(crossed, F.col("kind")).when(
+        (F.col("kind") == "route_error") & (from_in != to_in), F.when(from_in, "b_outside").otherwise("a_outside"),
+    ).otherwise("other")
     return out.select("req_id", side.alias("side"))
 
 
@@ -584,7 +613,33 @@ def _micro(feature: F.Column, kind: str) -> F.Column:
 def k4_road_geojson(spark, sf_dir):
     """GeoJSON features of the roads with a vertex in a box, read back."""
     f = documents.road_features(fx.edges(spark, sf_dir), _box())
-    return f.select("edge_id", _micro(F.col("feature"), "LineString").alias("line"), F.get_json_object("feature", "$.geometry.type").alias("kind"), F.get_json_object("feature", "$.properties.id").cast("long").alias("id"))
+    return f.select(
+        "edge_id", _micro(F.col("feature"), "LineString").alias("line"), F.get_json_object("feature", "$.geometry.type").alias("kind"),
+        F.get_json_object("feature", "$.properties.id").cast("long").alias("id"),
+    )
+
+
+_DOWN = "select c_custkey * 2 + 1 as edge_id, c_custkey as from_id, c_custkey + 40 as to_id from {customer}"
+
+
+@query(f"""select edge_id, '[' || {_POINT('a')} || ',' || {_POINT('b')} || ']' as line from (select d.edge_id, a.lat as a_lat, a.lon as a_lon, b.lat as b_lat, b.lon as b_lon
+    from ({fx.duck(_DOWN)}) d join ({_V}) a on a.vertex_id = d.from_id join ({_V}) b on b.vertex_id = d.to_id)""")
+def k5_graph_geojson(spark, sf_dir):
+    """GeoJSON features of a graph's edges, read back; those whose end is no vertex are left out."""
+    edges = fx.derived(spark, sf_dir, _DOWN).withColumn("shape", F.lit(None).cast(restrict.POINTS))
+    f = documents.graph_features(fx.vertices(spark, sf_dir), edges)
+    return f.select("edge_id", _micro(F.col("feature"), "LineString").alias("line"))
+
+
+@query(f"select (select count(*) from ({_V})) as vertices, (select count(*) from {_E}) as edges, 'tables' as source, 'car' as profile, round(min(lon) * 1000000)::bigint as west from ({_V})")
+def k3_metadata(spark, sf_dir):
+    """The metadata of a graph kept as tables, read back."""
+    m = odrg.metadata_row(fx.vertices(spark, sf_dir), fx.edges(spark, sf_dir), ["car", "truck"], "tables", "2026-01-01T00:00:00Z")
+    get = lambda p: F.get_json_object("metadata", p)
+    return m.select(
+        get("$.vertexCount").cast("long").alias("vertices"), get("$.edgeCount").cast("long").alias("edges"), get("$.source").alias("source"), get("$.profiles[0]").alias("profile"),
+        F.round(get("$.bbox[0]").cast("double") * 1000000).cast("long").alias("west"),
+    )
 
 
 @query(f"select count(*) as n, count(*) as right_ends from ({_routes_sql(_CAR)})")
@@ -597,7 +652,9 @@ def k6_route_geojson(spark, sf_dir):
 
 
 _CORNER = lambda y, x: f"'[' || round({x} * 1000000)::bigint || ',' || round({y} * 1000000)::bigint || ']'"
-_SQUARE = " || ',' || ".join(_CORNER(y, x) for y, x in (("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", "max_lon"), ("max_lat", "min_lon"), ("min_lat", "min_lon")))
+_SQUARE = " || ',' || ".join(_CORNER(y, x) for y, x in (
+    ("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", "max_lon"), ("max_lat", "min_lon"), ("min_lat", "min_lon"),
+))
 _TIP = "(min_lon + (max_lon - min_lon) * 0.525e0)"
 _THREE = " || ',' || ".join(_CORNER(y, x) for y, x in (("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", _TIP), ("min_lat", "min_lon")))
 
@@ -620,7 +677,10 @@ def k9_mesh_geojson(spark, sf_dir):
     """GeoJSON features of the third meshes in a box, read back."""
     f = documents.mesh_features(spark, _FEW, 3)
     at = lambda p: F.round(F.get_json_object("feature", f"$.geometry.coordinates{p}").cast("double") * 1000000).cast("long")
-    return f.select(F.get_json_object("feature", "$.properties.mesh").cast("long").alias("mesh"), at("[0][0][1]").alias("south"), at("[0][1][0]").alias("east"))
+    return f.select(
+        F.get_json_object("feature", "$.properties.mesh").cast("long").alias("mesh"), at("[0][0][1]").alias("south"),
+        at("[0][1][0]").alias("east"),
+    )
 
 
 # Sources and sinks: bytes are written from the tables, read back, and compared
@@ -638,7 +698,10 @@ def s10_extract_ways(spark, sf_dir):
     """Ways written as a map extract and read back."""
     folder = trips.extract_files(fx.nodes(spark, sf_dir), fx.ways(spark, sf_dir))
     w = trips.load(spark, folder, "way")
-    return w.select(F.col("id").alias("way_id"), F.concat_ws(",", F.col("refs").cast("array<string>")).alias("refs"), F.element_at("tags", F.lit("highway")).alias("highway"))
+    return w.select(
+        F.col("id").alias("way_id"), F.concat_ws(",", F.col("refs").cast("array<string>")).alias("refs"),
+        F.element_at("tags", F.lit("highway")).alias("highway"),
+    )
 
 
 @query(f"select way_id as id, count(*)::int as members, min(node_id) as first_ref from ({_REFS}) group by way_id")
@@ -698,7 +761,9 @@ def k7_restriction_documents(spark, sf_dir):
     folder = trips.restriction_files(documents.restriction_items(a, s))
     areas, shapes = documents.read_restrictions(spark, folder)
     both = areas.join(shapes, "area_id")
-    return both.groupBy("kind", "difficulty_type", "tag", F.col("outer").isNotNull().alias("has_polygon")).agg(F.count("*").alias("n"), F.round(F.sum("box.min_lat"), 6).alias("south"))
+    return both.groupBy(
+        "kind", "difficulty_type", "tag", F.col("outer").isNotNull().alias("has_polygon"),
+    ).agg(F.count("*").alias("n"), F.round(F.sum("box.min_lat"), 6).alias("south"))
 
 
 @query(f"""select tag, count(*) as areas from ({_A}) where not (kind = 'block' and area_id % 3 = 0) group by tag""")

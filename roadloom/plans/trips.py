@@ -79,9 +79,14 @@ def _node_block(rows: list[tuple], dense: bool) -> bytes:
     """Nodes (id, lat, lon) in units of 100 nanodegrees, as a dense group or one by one."""
     near = lambda x: int(round(x * 1e7))
     if dense:
-        group = _bytes(2, _bytes(1, _steps(r[0] for r in rows)) + _bytes(8, _steps(near(r[1]) for r in rows)) + _bytes(9, _steps(near(r[2]) for r in rows)))
+        group = _bytes(
+            2,
+            _bytes(1, _steps(r[0] for r in rows)) + _bytes(8, _steps(near(r[1]) for r in rows)) + _bytes(9, _steps(near(r[2]) for r in rows)),
+        )
     else:
-        group = b"".join(_bytes(1, _number(1 << 3) + _signed(i) + _number(8 << 3) + _signed(near(a)) + _number(9 << 3) + _signed(near(o))) for i, a, o in rows)
+        group = b"".join(_bytes(
+            1, _number(1 << 3) + _signed(i) + _number(8 << 3) + _signed(near(a)) + _number(9 << 3) + _signed(near(o)),
+        ) for i, a, o in rows)
     return _Strings().table() + _bytes(2, group)
 
 
@@ -90,7 +95,10 @@ def _way_block(rows: list[tuple]) -> bytes:
     strings, ways, relations = _Strings(), [], []
     for i, refs, tags in rows:
         ways.append(_bytes(3, _varint(1, i) + _tagged(strings, dict(tags)) + _bytes(8, _steps(refs))))
-        relations.append(_bytes(4, _varint(1, i) + _bytes(8, b"".join(_number(strings["part"]) for _ in refs)) + _bytes(9, _steps(refs)) + _bytes(10, bytes(len(refs)))))
+        relations.append(_bytes(
+            4,
+            _varint(1, i) + _bytes(8, b"".join(_number(strings["part"]) for _ in refs)) + _bytes(9, _steps(refs)) + _bytes(10, bytes(len(refs))),
+        ))
     return strings.table() + _bytes(2, b"".join(ways)) + _bytes(2, b"".join(relations))
 
 
@@ -177,7 +185,9 @@ def restriction_files(items: DataFrame) -> str:
     """A folder of restriction documents of items (area_id, item), each a JSON text."""
     folder = scratch(items.sparkSession, "restrictions")
     head = b'{"format":"roadloom-restrictions","version":2,"items":['
-    _files(items.repartition(max(1, -(-items.count() // DOCUMENT)), "area_id"), folder, ".json", lambda rows: head + ",".join(r[1] for r in rows).encode() + b"]}")
+    _files(items.repartition(
+        max(1, -(-items.count() // DOCUMENT)), "area_id",
+    ), folder, ".json", lambda rows: head + ",".join(r[1] for r in rows).encode() + b"]}")
     return folder
 
 

@@ -45,7 +45,10 @@ def parse_restrictions(text: str) -> list[dict]:
         if kind == "difficulty" and not str(item.get("difficultyType") or "").strip():
             raise DocumentError(f"item {k}: a difficulty needs a type")
         ring = lambda r: [(float(p["latitude"]), float(p["longitude"])) for p in r]
-        row = {"kind": kind, "type": item.get("difficultyType") if kind == "difficulty" else None, "tag": item.get("tag"), "meshes": None, "outer": None, "holes": []}
+        row = {
+            "kind": kind, "type": item.get("difficultyType") if kind == "difficulty" else None, "tag": item.get("tag"), "meshes": None,
+            "outer": None, "holes": [],
+        }
         if shape == "mesh":
             row["meshes"] = [int(c) for c in item.get("meshCodes") or []]
             if not row["meshes"]:
@@ -77,7 +80,9 @@ def load_restrictions(live: Restrictions, text: str) -> int:
     one = spark.createDataFrame(polygons, f"area_id string, shape_no int, outer {p}, holes array<{p}>").withColumn("box", geo.box_of(F.col("outer")))
     box = mesh.box(F.col("mesh"))
     sure = F.when(box.isNotNull(), box).otherwise(F.raise_error("not a mesh code").cast(box_type()))
-    two = spark.createDataFrame(cells, "area_id string, shape_no int, mesh long").select("area_id", "shape_no", sure.alias("box"), F.lit(None).cast(p).alias("outer"), F.lit(None).cast(f"array<{p}>").alias("holes"))
+    two = spark.createDataFrame(cells, "area_id string, shape_no int, mesh long").select(
+        "area_id", "shape_no", sure.alias("box"), F.lit(None).cast(p).alias("outer"), F.lit(None).cast(f"array<{p}>").alias("holes"),
+    )
     names = ["area_id", "shape_no", "box", "outer", "holes"]
     live.add_tables(spark.createDataFrame(areas, restrict.AREAS), one.select(*names).unionByName(two.select(*names)))
     return len(items)
@@ -103,17 +108,25 @@ def read_restrictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
     found = landed(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kinds), "restrictions")
     areas = found.select("area_id", "kind", "difficulty_type", "tag")
-    polygons = found.where("outer is not null").select("area_id", F.lit(0).alias("shape_no"), geo.box_of(F.col("outer")).alias("box"), "outer", "holes")
+    polygons = found.where("outer is not null").select(
+        "area_id", F.lit(0).alias("shape_no"), geo.box_of(F.col("outer")).alias("box"), "outer", "holes",
+    )
     cells = found.where("meshes is not null").select("area_id", F.posexplode("meshes").alias("shape_no", "mesh"))
     box = mesh.box(F.col("mesh"))
     sure = F.when(box.isNotNull(), box).otherwise(F.raise_error("not a mesh code").cast(box_type()))
     none = F.lit(None)
-    meshes = cells.select("area_id", "shape_no", sure.alias("box"), none.cast(restrict.POINTS).alias("outer"), none.cast(f"array<{restrict.POINTS}>").alias("holes"))
+    meshes = cells.select(
+        "area_id", "shape_no", sure.alias("box"), none.cast(restrict.POINTS).alias("outer"),
+        none.cast(f"array<{restrict.POINTS}>").alias("holes"),
+    )
     return areas, polygons.unionByName(meshes)
 
 
 _RING = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
-_ITEMS = pa.schema([("area_id", pa.string()), ("kind", pa.string()), ("difficulty_type", pa.string()), ("tag", pa.string()), ("meshes", pa.list_(pa.int64())), ("outer", _RING), ("holes", pa.list_(_RING))])
+_ITEMS = pa.schema([
+    ("area_id", pa.string()), ("kind", pa.string()), ("difficulty_type", pa.string()), ("tag", pa.string()),
+    ("meshes", pa.list_(pa.int64())), ("outer", _RING), ("holes", pa.list_(_RING)),
+])
 
 
 def box_type() -> str:
@@ -130,13 +143,17 @@ def restriction_items(areas: DataFrame, shapes: DataFrame, version: int = 2) ->
     ring = lambda r: F.transform(r, lambda p: F.struct(p["lat"].alias("latitude"), p["lon"].alias("longitude")))
     polygon = F.when(F.col("outer").isNotNull(), F.struct(ring(F.col("outer")).alias("outer"), F.transform("holes", ring).alias("holes")))
     s = shapes.select("area_id", "shape_no", F.when(F.col("outer").isNull(), code).alias("code"), polygon.alias("polygon")).groupBy("area_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("shape_no", "code")))).alias("cells"), F.max("polygon").alias("polygon")
+        F.array_sort(F.collect_list(F.when(
+            F.col("code").isNotNull(), F.struct("shape_no", "code"),
+        ))).alias("cells"), F.max("polygon").alias("polygon")
     )
     joined = areas.join(s, "area_id")
     holes = [F.when(F.size("polygon.holes") > 0, F.col("polygon.holes")).alias("holes")] if version > 1 else []
     item = F.struct(
         "kind", F.col("difficulty_type").alias("difficultyType"), F.when(F.col("polygon").isNull(), "mesh").otherwise("polygon").alias("shapeType"),
-        F.when(F.col("polygon").isNull(), F.transform("cells", lambda c: c["code"])).alias("meshCodes"), F.col("polygon.outer").alias("outerBoundary"), *holes, "tag",
+        F.when(
+            F.col("polygon").isNull(), F.transform("cells", lambda c: c["code"]),
+        ).alias("meshCodes"), F.col("polygon.outer").alias("outerBoundary"), *holes, "tag",
     )
     return joined.select("area_id", F.to_json(item).alias("item"))
 
@@ -147,14 +164,22 @@ def save_restrictions(live: Restrictions, version: int = 2, name: str = FORMAT)
     return json.dumps({"format": name, "version": version, "items": items}, ensure_ascii=False)
 
 
-def add_gml(live: Restrictions, features: DataFrame, kind: str, difficulty_type: str | None = None, tag: str | None = None, bounds: Column | None = None) -> None:
+def add_gml(
+    live: Restrictions, features: DataFrame, kind: str, difficulty_type: str | None = None, tag: str | None = None,
+    bounds: Column | None = None,
+) -> None:
     """Adds an area for each feature of :func:`roadloom.sources.gml.read`; with bounds, those with an outer vertex in them."""
     if kind not in ("block", "difficulty") or (kind == "difficulty" and not (difficulty_type or "").strip()):
         raise ValueError("a block, or a difficulty with a type")
     if bounds is not None:
         features = features.where(F.exists("outer", lambda p: geo.in_box(p["lat"], p["lon"], bounds)))
-    rows = features.withColumn("area_id", F.sha2(F.concat_ws("/", "path", "feature_no", F.lit(kind), F.lit(difficulty_type or ""), F.lit(tag or "")), 256))
-    areas = rows.select("area_id", F.lit(kind).alias("kind"), F.lit(difficulty_type).cast("string").alias("difficulty_type"), F.lit(tag).cast("string").alias("tag"))
+    rows = features.withColumn(
+        "area_id", F.sha2(F.concat_ws("/", "path", "feature_no", F.lit(kind), F.lit(difficulty_type or ""), F.lit(tag or "")), 256),
+    )
+    areas = rows.select(
+        "area_id", F.lit(kind).alias("kind"), F.lit(difficulty_type).cast("string").alias("difficulty_type"),
+        F.lit(tag).cast("string").alias("tag"),
+    )
     live.add_tables(areas, rows.select("area_id", F.lit(0).alias("shape_no"), geo.box_of(F.col("outer")).alias("box"), "outer", "holes"))
 
 
@@ -185,6 +210,14 @@ def road_features(edges: DataFrame, bounds: Column | None = None) -> DataFrame:
     return edges.select("edge_id", _feature(_line(F.col("line")), F.col("edge_id").alias("id")).alias("feature"))
 
 
+def graph_features(verts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_id, feature) of a whole graph's edges (edge_id, from_id, to_id, shape); an edge with an end that is no vertex is left out."""
+    end = lambda p: verts.select(F.col("vertex_id").alias(f"{p}_id"), F.struct("lat", "lon").alias(p))
+    whole = edges.join(end("from"), "from_id").join(end("to"), "to_id")
+    line = F.concat(F.array("from"), F.coalesce("shape", F.array().cast(restrict.POINTS)), F.array("to"))
+    return whole.select("edge_id", _feature(_line(line), F.col("edge_id").alias("id")).alias("feature"))
+
+
 def route_features(routes: DataFrame) -> DataFrame:
     """(req_id, feature) of routes."""
     return routes.select("req_id", _feature(_line(F.col("shape")), "req_id", "dist_m", "dur_s").alias("feature"))
@@ -196,7 +229,9 @@ def area_features(areas: DataFrame, shapes: DataFrame) -> DataFrame:
     corner = lambda a, o: F.struct(b[a].alias("lat"), b[o].alias("lon"))
     square = F.array(corner("min_lat", "min_lon"), corner("min_lat", "max_lon"), corner("max_lat", "max_lon"), corner("max_lat", "min_lon"))
     ring = lambda r: F.transform(geo.closed(r), lambda p: F.array(p["lon"], p["lat"]))
-    rings = F.concat(F.array(ring(F.coalesce("outer", square))), F.coalesce(F.transform("holes", ring), F.array().cast("array<array<array<double>>>")))
+    rings = F.concat(
+        F.array(ring(F.coalesce("outer", square))), F.coalesce(F.transform("holes", ring), F.array().cast("array<array<array<double>>>")),
+    )
     g = F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))
     return shapes.join(areas, "area_id").select("area_id", "shape_no", _feature(g, "area_id", "kind", "difficulty_type", "tag").alias("feature"))
 
@@ -208,7 +243,10 @@ def mesh_features(spark: SparkSession, box: tuple[float, float, float, float], l
         raise ValueError(f"more than {MOST_MESHES} cells")
     b = mesh.box(F.col("mesh"))
     corner = lambda a, o: F.array(b[o], b[a])
-    ring = F.array(corner("min_lat", "min_lon"), corner("min_lat", "max_lon"), corner("max_lat", "max_lon"), corner("max_lat", "min_lon"), corner("min_lat", "min_lon"))
+    ring = F.array(
+        corner("min_lat", "min_lon"), corner("min_lat", "max_lon"), corner("max_lat", "max_lon"), corner("max_lat", "min_lon"),
+        corner("min_lat", "min_lon"),
+    )
     g = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     return cells.select("mesh", _feature(g, "mesh").alias("feature"))
 

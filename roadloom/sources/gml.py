@@ -143,7 +143,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b.column(0)[k].as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([ring(r[0]) for r in rows], point),
-                    pa.array([[ring(h) for h in r[1]] for r in rows], pa.list_(point)), pa.array([list(r[2].items()) for r in rows], pa.map_(pa.string(), pa.string())),
+                    pa.array([[ring(h) for h in r[1]] for r in rows], pa.list_(point)), pa.array(
+                        [list(r[2].items()) for r in rows], pa.map_(pa.string(), pa.string()),
+                    ),
                 ], ["path", "feature_no", "outer", "holes", "attrs"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)

@@ -24,7 +24,9 @@ def apply(state: DataFrame, commands: DataFrame) -> DataFrame:
     tags = commands.where("op = 'remove_tag'").groupBy("tag").agg(F.max("seq").alias("tag_gone"))
     clear = commands.where("op = 'clear'").agg(F.max("seq").alias("clear"))
     out = latest.join(gone, "area_id", "left").join(tags, "tag", "left").join(F.broadcast(clear), how="cross")  # clear: one row
-    return out.where("seq > coalesce(gone, -1) and seq > coalesce(tag_gone, -1) and seq > coalesce(clear, -1)").select("area_id", "kind", "difficulty_type", "tag", "box", "seq")
+    return out.where("seq > coalesce(gone, -1) and seq > coalesce(tag_gone, -1) and seq > coalesce(clear, -1)").select(
+        "area_id", "kind", "difficulty_type", "tag", "box", "seq",
+    )
 
 
 def maintain(commands: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None):

@@ -92,8 +92,13 @@ def test_search_against_brute_force(spark):
     for k in range(40):
         a, b = r.randrange(n), r.randrange(n)
         rows.append((k, a, b, [], float(r.randint(50, 900)), r.random() < 0.9, r.random() < 0.7))
-    edges = spark.createDataFrame(rows, f"edge_id long, from_id long, to_id long, shape {restrict.POINTS}, d double, f boolean, b boolean").withColumn("dist_m", F.col("d").cast("float"))
-    baked = edges.select(F.lit("car").alias("profile"), "edge_id", (F.col("f") | F.col("b")).alias("can_pass"), F.lit(36.0).cast("float").alias("speed_kmh"), F.col("f").alias("fwd"), F.col("b").alias("bwd"))
+    edges = spark.createDataFrame(
+        rows, f"edge_id long, from_id long, to_id long, shape {restrict.POINTS}, d double, f boolean, b boolean",
+    ).withColumn("dist_m", F.col("d").cast("float"))
+    baked = edges.select(
+        F.lit("car").alias("profile"), "edge_id", (F.col("f") | F.col("b")).alias("can_pass"), F.lit(36.0).cast("float").alias("speed_kmh"),
+        F.col("f").alias("fwd"), F.col("b").alias("bwd"),
+    )
     g = routing.collect_network(verts, edges, baked, "car")
     arcs = [(a, b, d / 10) for _, a, b, _, d, f, w in rows for a, b, ok in ((a, b, f), (b, a, w)) if ok]
     for _ in range(60):
@@ -123,8 +128,16 @@ def test_search_against_brute_force(spark):
     assert fast == slow
     ends = [(k, r.randrange(40), r.randrange(65536), 35.0, 136.0, r.randrange(40), r.randrange(65536), 35.1, 136.1) for k in range(80)]
     ends += [(80 + k, k, 100, 35.0, 136.0, k, 100 + 99 * (k % 3), 35.1, 136.1) for k in range(20)]
-    snapped = spark.createDataFrame(ends, "req_id long, s_edge long, s_offset int, s_lat double, s_lon double, t_edge long, t_offset int, t_lat double, t_lon double")
-    shaped = edges.withColumn("shape", F.when(F.col("edge_id") % 2 == 0, F.array(*[F.struct(F.lit(35.02 + k / 50).alias("lat"), F.lit(136.03).alias("lon")) for k in range(2)])).otherwise(F.col("shape")))
+    snapped = spark.createDataFrame(
+        ends, "req_id long, s_edge long, s_offset int, s_lat double, s_lon double, t_edge long, t_offset int, t_lat double, t_lon double",
+    )
+    shaped = edges.withColumn(
+        "shape",
+        F.when(
+            F.col("edge_id") % 2 == 0,
+            F.array(*[F.struct(F.lit(35.02 + k / 50).alias("lat"), F.lit(136.03).alias("lon")) for k in range(2)]),
+        ).otherwise(F.col("shape")),
+    )
     folder = routing.stored(verts, shaped, baked, "car")
     a = {x.req_id: x for x in routing.routes(snapped, folder).collect()}
     b = {x.req_id: x for x in routing.routes_by_joins(snapped, verts, shaped, baked, "car").collect()}
@@ -193,14 +206,21 @@ def test_boundary(spark):
     shape = [(35.05, 135.05 + 0.01 * k) for k in range(10)]
 
     def one(a, b, points=shape, box=(34.9, 134.95, 35.2, 135.1)):
-        df = spark.createDataFrame([(*a, *b, points, [90.0 * k for k in range(len(points))])], f"from_lat double, from_lon double, to_lat double, to_lon double, shape {restrict.POINTS}, cum_s array<double>")
-        return boundary.crossing(df.withColumn("bounds", F.struct(*[F.lit(v).alias(n) for v, n in zip(box, ("min_lat", "min_lon", "max_lat", "max_lon"))]))).collect()[0]
+        df = spark.createDataFrame(
+            [(*a, *b, points, [90.0 * k for k in range(len(points))])],
+            f"from_lat double, from_lon double, to_lat double, to_lon double, shape {restrict.POINTS}, cum_s array<double>",
+        )
+        return boundary.crossing(df.withColumn(
+            "bounds", F.struct(*[F.lit(v).alias(n) for v, n in zip(box, ("min_lat", "min_lon", "max_lat", "max_lon"))]),
+        )).collect()[0]
     r = one(shape[0], shape[-1])
     assert r.kind == "b_outside" and r.lon == pytest.approx(135.1) and r.outside_s == pytest.approx(360.0) and r.outside_m == pytest.approx(4 * 910.2, rel=1e-3)
     r = one(shape[-1], shape[0], shape[::-1])
     assert r.kind == "a_outside" and r.outside_s == pytest.approx(360.0)
     assert one(shape[0], shape[2], shape[:3]).kind == "both_inside" and one(shape[0], shape[2]).kind == "route_error"
-    assert one((36.0, 136.0), (37.0, 137.0), [(36.0, 136.0), (37.0, 137.0)]).kind == "both_outside" and one((35.05, 134.0), (35.05, 136.0), [(35.05, 134.0), (35.05, 136.0)]).kind == "route_error"
+    assert one((36.0, 136.0), (37.0, 137.0), [(36.0, 136.0), (37.0, 137.0)]).kind == "both_outside" and one(
+        (35.05, 134.0), (35.05, 136.0), [(35.05, 134.0), (35.05, 136.0)],
+    ).kind == "route_error"
     assert one(shape[0], shape[-1], []).kind == "route_error" and one(shape[0], shape[-1], box=(35.1, 135, 35, 135.1)).kind == "invalid" and one((float("nan"), 1.0), shape[0]).kind == "invalid"
 
 
@@ -221,7 +241,10 @@ def test_profiles(spark):
     assert CAR.has_difficulty("FLOODING") and not CAR.has_difficulty("") and "ice" in CAR.known_difficulties()
     text = '{"name": "x", // note\n "highway": {"primary": {"speedKmh": 30,},}, "accessValueMap": {}, "fallback": {"speedKmh": 5, "access": "no"}, "speedBounds": {"minKmh": 0, "maxKmh": 99}, "difficultyDefault": {"speedFactor": 1}, }'
     assert evaluate(spark, Profile.parse(text), highway="primary") == (True, 30.0, 0)
-    for key, value in (("name", " "), ("highway", {}), ("speedBounds", {"minKmh": 5, "maxKmh": 5}), ("difficultyDefault", {"speedFactor": 2}), ("difficulty", {"a": {"speedFactor": 1}, "A": {"speedFactor": 1}}), ("vehicleLimits", {"maxWeightTon": -1})):
+    for key, value in (
+        ("name", " "), ("highway", {}), ("speedBounds", {"minKmh": 5, "maxKmh": 5}), ("difficultyDefault", {"speedFactor": 2}),
+        ("difficulty", {"a": {"speedFactor": 1}, "A": {"speedFactor": 1}}), ("vehicleLimits", {"maxWeightTon": -1}),
+    ):
         with pytest.raises(InvalidProfile):
             Profile.of(definition("car") | {key: value})
     with pytest.raises(InvalidProfile):
@@ -232,7 +255,9 @@ def test_profiles(spark):
 def test_mesh_golden(spark):
     df = spark.createDataFrame([(53394611,), (53394547,), (53394847,), (533946113,)], "m long").withColumn("b", mesh.box(F.col("m")))
     a, b, c, d = [r.b for r in df.collect()]
-    assert (a.min_lat, a.min_lon) == (pytest.approx(35.675), pytest.approx(139.7625)) and (b.min_lat, b.min_lon) == (pytest.approx(35.7), pytest.approx(139.7125)) and c is None
+    assert (a.min_lat, a.min_lon) == (
+        pytest.approx(35.675), pytest.approx(139.7625),
+    ) and (b.min_lat, b.min_lon) == (pytest.approx(35.7), pytest.approx(139.7125)) and c is None
     assert d.min_lat == pytest.approx(35.675 + 1 / 240) and d.min_lon == pytest.approx(139.7625)
 
 
@@ -265,7 +290,10 @@ def test_snap_edges(spark):
 def test_stream_of_commands(spark):
     schema = "seq long, op string, area_id string, kind string, difficulty_type string, tag string, box struct<min_lat:double,min_lon:double,max_lat:double,max_lon:double>"
     box = (1.0, 1.0, 2.0, 2.0)
-    rows = [(1, "add", "a", "block", None, "x", box), (2, "add", "b", "block", None, "y", box), (3, "remove", "a", None, None, None, None), (4, "add", "c", "block", None, "x", box), (5, "add", "a", "block", None, "z", box), (6, "remove_tag", None, None, None, "x", None)]
+    rows = [
+        (1, "add", "a", "block", None, "x", box), (2, "add", "b", "block", None, "y", box), (3, "remove", "a", None, None, None, None),
+        (4, "add", "c", "block", None, "x", box), (5, "add", "a", "block", None, "z", box), (6, "remove_tag", None, None, None, "x", None),
+    ]
     out = stream.apply(spark.createDataFrame([], stream.STATE), spark.createDataFrame(rows, schema))
     assert sorted(r.area_id for r in out.collect()) == ["a", "b"]
     after = stream.apply(out, spark.createDataFrame([(7, "clear", None, None, None, None, None), (8, "add", "d", "block", None, None, box)], schema))

@@ -47,12 +47,18 @@ def deltas(values):
 
 
 STRINGS = raw(1, b"".join(raw(1, s.encode()) for s in ("", "highway", "primary", "residential", "oneway", "yes", "stop")))
-IDS, LATS, LONS = [1, 2, 3, 4, 9], [350000000, 350010000, 350020000, 350010000, 380000000], [1366000000, 1366010000, 1366020000, 1366030000, 1300000000]
+IDS, LATS, LONS = [1, 2, 3, 4, 9], [350000000, 350010000, 350020000, 350010000, 380000000], [
+    1366000000, 1366010000, 1366020000, 1366030000, 1300000000,
+]
 DENSE = raw(2, raw(1, deltas(IDS)) + raw(8, deltas(LATS)) + raw(9, deltas(LONS)) + raw(10, bytes([6, 5, 0, 0, 0, 0, 0])))
-WAYS = b"".join(raw(3, val(1, i) + raw(2, bytes(k)) + raw(3, bytes(v)) + raw(8, deltas(r))) for i, k, v, r in ((10, [1, 4], [2, 5], [1, 2, 3]), (11, [1], [3], [4, 2]), (12, [], [], [1, 4]), (13, [1], [3], [9, 9])))
+WAYS = b"".join(raw(3, val(1, i) + raw(2, bytes(k)) + raw(3, bytes(v)) + raw(8, deltas(r))) for i, k, v, r in (
+    (10, [1, 4], [2, 5], [1, 2, 3]), (11, [1], [3], [4, 2]), (12, [], [], [1, 4]), (13, [1], [3], [9, 9]),
+))
 REL = raw(4, val(1, 20) + raw(8, bytes([5, 5])) + raw(9, zz(10) + zz(-8)) + raw(10, bytes([1, 0])))
 HEAD = raw(1, val(1, 0) + b"") + raw(4, b"OsmSchema-V0.6") + raw(4, b"DenseNodes")
-FILE = blob("OSMHeader", HEAD, "raw") + blob("OSMData", STRINGS + raw(2, DENSE)) + blob("Other", b"x", "raw") + blob("OSMData", STRINGS + raw(2, WAYS) + raw(2, REL))
+FILE = blob("OSMHeader", HEAD, "raw") + blob("OSMData", STRINGS + raw(2, DENSE)) + blob("Other", b"x", "raw") + blob(
+    "OSMData", STRINGS + raw(2, WAYS) + raw(2, REL),
+)
 
 
 @pytest.fixture()
@@ -177,7 +183,11 @@ def test_restriction_documents(spark):
     assert documents.load_restrictions(again, text) == 2 and again.shapes.count() == 3
     assert again.shapes.where("size(holes) = 1").count() == 1
     assert "holes" not in documents.save_restrictions(live, version=1)
-    for bad in ("{", "{}", '{"format":"a-restrictions","version":3}', '{"format":"a-restrictions","version":1,"items":[{"kind":"block","shapeType":"polygon"}]}', '{"format":"a-restrictions","version":1,"items":[{"kind":"difficulty","shapeType":"mesh","meshCodes":[1]}]}'):
+    for bad in (
+        "{", "{}", '{"format":"a-restrictions","version":3}',
+        '{"format":"a-restrictions","version":1,"items":[{"kind":"block","shapeType":"polygon"}]}',
+        '{"format":"a-restrictions","version":1,"items":[{"kind":"difficulty","shapeType":"mesh","meshCodes":[1]}]}',
+    ):
         with pytest.raises(documents.DocumentError):
             documents.load_restrictions(again, bad)
     assert again.list_all().count() == 2
