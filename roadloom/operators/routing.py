@@ -292,7 +292,10 @@ def routes(snapped: DataFrame, folder: str) -> DataFrame:
 
     wanted = ["req_id", *(f"{p}_{c}" for p in "st" for c in ("edge", "offset", "lat", "lon"))]
     # dealt by range, so that requests of one source edge are neighbours and yet may span tasks
-    dealt = snapped.select(*wanted).repartitionByRange("s_edge", "t_edge", "req_id").sortWithinPartitions("s_edge", "t_edge", "req_id")
+    # and by number, since small rows that take long to search aren't to be put together
+    spark = snapped.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = snapped.select(*wanted).repartitionByRange(parts, "s_edge", "t_edge", "req_id").sortWithinPartitions("s_edge", "t_edge", "req_id")
     return dealt.mapInArrow(run, ROUTE)
 
 

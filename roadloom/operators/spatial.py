@@ -124,6 +124,16 @@ def segments(edges: DataFrame, line: str = "line") -> DataFrame:
     ).select("*", F.col("ab.a").alias("a"), F.col("ab.b").alias("b")).drop("ab")
 
 
+def _nearest_within(points: DataFrame, roads: DataFrame, radius_m: float, point_id: str, size: float) -> DataFrame:
+    """(point, edge_id, s): of each point (p_lat, p_lon) the nearest place on the segments ``roads`` within a radius; equal ones by edge, then segment."""
+    around = points.withColumn("around", geo.box_around(F.col("p_lat"), F.col("p_lon"), radius_m))
+    near = box_join(around, roads, "around", "seg_box", size)
+    at = geo.point_to_segment(F.col("p_lat"), F.col("p_lon"), F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    near = near.select(point_id, "edge_id", "seg", at.alias("at")).where(F.col("at.dist_m") <= radius_m)
+    order = F.struct(F.col("at.dist_m").alias("dist_m"), "edge_id", "seg", F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), F.col("at.t").alias("t"))
+    return near.groupBy(point_id).agg(F.min(order).alias("s")).select(point_id, "s.edge_id", "s")
+
+
 def snap(
     points: DataFrame, edges: DataFrame, baked: DataFrame, profile: str, radius_m: float = 500.0, point_id: str = "point_id",
     size: float = CELL,
@@ -139,22 +149,18 @@ def snap(
             "edge_id": F.lit(0).cast("long"), "dist_m": F.lit(0.0), "lat": F.lit(0.0), "lon": F.lit(0.0), "offset": F.lit(0),
         })
     open_ = baked.where((F.col("profile") == profile) & F.col("can_pass")).select("edge_id")
-    roads = edges.join(open_, "edge_id", "left_semi").select("edge_id", "line", F.col("box").alias("edge_box"))
-    around = points.select(
-        point_id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
-    ).withColumn("around", geo.box_around(F.col("p_lat"), F.col("p_lon"), radius_m))
-    near = box_join(around, roads, "around", "edge_box", size).where(F.size("line") >= 2)
-    to = lambda s: geo.point_to_segment(F.col("p_lat"), F.col("p_lon"), s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"])
-    each = F.transform(geo.pairs(F.col("line")), lambda s, i: F.struct(to(s).alias("at"), i.alias("seg")))
-    order = F.transform(each, lambda x: F.struct(
-        x["at"]["dist_m"].alias("dist_m"), x["seg"].alias("seg"), x["at"]["lat"].alias("lat"), x["at"]["lon"].alias("lon"),
-        x["at"]["t"].alias("t"),
-    ))
-    best = near.select(point_id, "edge_id", F.array_min(order).alias("s"))
-    nearest = F.min(F.struct(F.col("s.dist_m").alias("dist_m"), "edge_id", "s")).alias("x")  # edge before segment at ties
-    pick = best.groupBy(point_id).agg(nearest).where(F.col("x.dist_m") <= radius_m).select(
-        point_id, F.col("x.edge_id").alias("edge_id"), F.col("x.s").alias("s"),
+    roads = segments(edges.join(open_, "edge_id", "left_semi").select("edge_id", "line"))  # a row a segment keeps distances in generated code
+    side = lambda f, c: f(F.col("a")[c], F.col("b")[c])
+    box = F.struct(
+        side(F.least, "lat").alias("min_lat"), side(F.least, "lon").alias("min_lon"),
+        side(F.greatest, "lat").alias("max_lat"), side(F.greatest, "lon").alias("max_lon"),
     )
+    roads = landed(roads.select("edge_id", "seg", "a", "b", box.alias("seg_box")), "segments")
+    asked = landed(points.select(point_id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "points")
+    # what is found within an eighth of the radius is the nearest; only the other points look further
+    first = landed(_nearest_within(asked, roads, radius_m / 8, point_id, max(size / 4, radius_m / METERS_PER_DEGREE / 4)), "near")
+    rest = asked.join(first.select(point_id), point_id, "left_anti")
+    pick = first.unionByName(_nearest_within(rest, roads, radius_m, point_id, size))
     placed = pick.join(edges.select("edge_id", "line"), "edge_id")
     line, s = F.col("line"), F.col("s")
     before = geo.polyline_length(F.slice(line, 1, s["seg"] + 1))
