@@ -146,7 +146,7 @@ def areas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     triangle = F.array(point(south, west), point(south, east), point(north, west + (east - west) * 0.525))
     square = F.array(point(south, west), point(south, east), point(north, east), point(north, west))
     own = F.struct("min_lat", "min_lon", "max_lat", "max_lon")
-    cell = mesh.box(F.col("code"))
+    cell = mesh.box(F.col("code"), 6)  # rows north of 66°40' have codes that need their level
     none = F.lit(None).cast("array<array<struct<lat:double,lon:double>>>")
     shapes = a.select(
         "area_id", F.lit(0).alias("shape_no"), F.when(F.col("form") == "mesh", cell).otherwise(own).alias("box"),

@@ -47,12 +47,16 @@ def parse_restrictions(text: str) -> list[dict]:
         ring = lambda r: [(float(p["latitude"]), float(p["longitude"])) for p in r]
         row = {
             "kind": kind, "type": item.get("difficultyType") if kind == "difficulty" else None, "tag": item.get("tag"), "meshes": None,
-            "outer": None, "holes": [],
+            "levels": None, "outer": None, "holes": [],
         }
         if shape == "mesh":
             row["meshes"] = [int(c) for c in item.get("meshCodes") or []]
             if not row["meshes"]:
                 raise DocumentError(f"item {k}: no mesh codes")
+            if item.get("meshLevels") is not None:
+                row["levels"] = [int(n) for n in item["meshLevels"]]
+                if len(row["levels"]) != len(row["meshes"]):
+                    raise DocumentError(f"item {k}: as many mesh levels as codes are needed")
         elif shape == "polygon":
             row["outer"], row["holes"] = ring(item.get("outerBoundary") or []), [ring(h) for h in item.get("holes") or []]
             if len(row["outer"]) < 3:
@@ -73,15 +77,13 @@ def load_restrictions(live: Restrictions, text: str) -> int:
         key = uuid.uuid4().hex
         areas.append((key, item["kind"], item["type"], item["tag"]))
         if item["meshes"]:
-            cells += [(key, k, c) for k, c in enumerate(item["meshes"])]
+            cells += [(key, k, c, n) for k, (c, n) in enumerate(zip(item["meshes"], item["levels"] or [None] * len(item["meshes"]), strict=True))]
         else:
             polygons.append((key, 0, item["outer"], item["holes"]))
     p = restrict.POINTS
     one = spark.createDataFrame(polygons, f"area_id string, shape_no int, outer {p}, holes array<{p}>").withColumn("box", geo.box_of(F.col("outer")))
-    box = mesh.box(F.col("mesh"))
-    sure = F.when(box.isNotNull(), box).otherwise(F.raise_error("not a mesh code").cast(box_type()))
-    two = spark.createDataFrame(cells, "area_id string, shape_no int, mesh long").select(
-        "area_id", "shape_no", sure.alias("box"), F.lit(None).cast(p).alias("outer"), F.lit(None).cast(f"array<{p}>").alias("holes"),
+    two = spark.createDataFrame(cells, "area_id string, shape_no int, mesh long, level int").select(
+        "area_id", "shape_no", _sure_box().alias("box"), F.lit(None).cast(p).alias("outer"), F.lit(None).cast(f"array<{p}>").alias("holes"),
     )
     names = ["area_id", "shape_no", "box", "outer", "holes"]
     live.add_tables(spark.createDataFrame(areas, restrict.AREAS), one.select(*names).unionByName(two.select(*names)))
@@ -90,7 +92,7 @@ def load_restrictions(live: Restrictions, text: str) -> int:
 
 def read_restrictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(areas, shapes) of one or many restriction documents, a document a row, read on executors; a wrong item is an error."""
-    kinds = f"area_id string, kind string, difficulty_type string, tag string, meshes array<long>, outer {restrict.POINTS}, holes array<{restrict.POINTS}>"
+    kinds = f"area_id string, kind string, difficulty_type string, tag string, meshes array<long>, levels array<int>, outer {restrict.POINTS}, holes array<{restrict.POINTS}>"
     ring = lambda r: [{"lat": a, "lon": o} for a, o in r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def read_restrictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
                 rows = [
                     {
                         "area_id": hashlib.sha256(f"{name}/{k}".encode()).hexdigest(), "kind": i["kind"], "difficulty_type": i["type"], "tag": i["tag"],
-                        "meshes": i["meshes"], "outer": ring(i["outer"]) if i["outer"] else None, "holes": [ring(h) for h in i["holes"]],
+                        "meshes": i["meshes"], "levels": i["levels"], "outer": ring(i["outer"]) if i["outer"] else None, "holes": [ring(h) for h in i["holes"]],
                     }
                     for k, i in enumerate(items)
                 ]
@@ -111,12 +113,11 @@ def read_restrictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     polygons = found.where("outer is not null").select(
         "area_id", F.lit(0).alias("shape_no"), geo.box_of(F.col("outer")).alias("box"), "outer", "holes",
     )
-    cells = found.where("meshes is not null").select("area_id", F.posexplode("meshes").alias("shape_no", "mesh"))
-    box = mesh.box(F.col("mesh"))
-    sure = F.when(box.isNotNull(), box).otherwise(F.raise_error("not a mesh code").cast(box_type()))
+    cells = found.where("meshes is not null").select("area_id", "levels", F.posexplode("meshes").alias("shape_no", "mesh"))
+    cells = cells.withColumn("level", F.get("levels", F.col("shape_no")))
     none = F.lit(None)
     meshes = cells.select(
-        "area_id", "shape_no", sure.alias("box"), none.cast(restrict.POINTS).alias("outer"),
+        "area_id", "shape_no", _sure_box().alias("box"), none.cast(restrict.POINTS).alias("outer"),
         none.cast(f"array<{restrict.POINTS}>").alias("holes"),
     )
     return areas, polygons.unionByName(meshes)
@@ -125,7 +126,7 @@ def read_restrictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 _RING = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
 _ITEMS = pa.schema([
     ("area_id", pa.string()), ("kind", pa.string()), ("difficulty_type", pa.string()), ("tag", pa.string()),
-    ("meshes", pa.list_(pa.int64())), ("outer", _RING), ("holes", pa.list_(_RING)),
+    ("meshes", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("outer", _RING), ("holes", pa.list_(_RING)),
 ])
 
 
@@ -134,17 +135,27 @@ def box_type() -> str:
     return "struct<min_lat:double,min_lon:double,max_lat:double,max_lon:double>"
 
 
+def _sure_box() -> Column:
+    """The box of the columns mesh and level (null: the code's own); a wrong code is an error."""
+    box = F.when(F.col("level").isNull(), mesh.box(F.col("mesh"))).otherwise(mesh.box(F.col("mesh"), F.col("level")))
+    return F.when(box.isNotNull(), box).otherwise(F.raise_error("not a mesh code").cast(box_type()))
+
+
 def restriction_items(areas: DataFrame, shapes: DataFrame, version: int = 2) -> DataFrame:
-    """(area_id, item): each area as a JSON item; version 1 drops holes. Mesh areas need the code's centre only."""
+    """(area_id, item): each area as a JSON item; version 1 drops holes. Mesh areas need the code's centre only.
+
+    An area with a cell whose code alone doesn't name it, as beyond 66°40' north, states the levels of its codes (meshLevels).
+    """
     mid = lambda low, high: (F.col("box")[low] + F.col("box")[high]) / 2
     height = F.col("box.max_lat") - F.col("box.min_lat")
     at = lambda k: mesh.code_of_point(mid("min_lat", "max_lat"), mid("min_lon", "max_lon"), k)
-    code = F.when(height > 0.75 / 120, at(3)).when(height > 0.375 / 120, at(4)).when(height > 0.1875 / 120, at(5)).otherwise(at(6))
+    level = F.when(height > 0.75 / 120, 3).when(height > 0.375 / 120, 4).when(height > 0.1875 / 120, 5).otherwise(6)
+    code = F.when(level == 3, at(3)).when(level == 4, at(4)).when(level == 5, at(5)).otherwise(at(6))
     ring = lambda r: F.transform(r, lambda p: F.struct(p["lat"].alias("latitude"), p["lon"].alias("longitude")))
     polygon = F.when(F.col("outer").isNotNull(), F.struct(ring(F.col("outer")).alias("outer"), F.transform("holes", ring).alias("holes")))
-    s = shapes.select("area_id", "shape_no", F.when(F.col("outer").isNull(), code).alias("code"), polygon.alias("polygon")).groupBy("area_id").agg(
+    s = shapes.select("area_id", "shape_no", F.when(F.col("outer").isNull(), code).alias("code"), level.alias("level"), polygon.alias("polygon")).groupBy("area_id").agg(
         F.array_sort(F.collect_list(F.when(
-            F.col("code").isNotNull(), F.struct("shape_no", "code"),
+            F.col("code").isNotNull(), F.struct("shape_no", "code", "level"),
         ))).alias("cells"), F.max("polygon").alias("polygon")
     )
     joined = areas.join(s, "area_id")
@@ -153,7 +164,9 @@ def restriction_items(areas: DataFrame, shapes: DataFrame, version: int = 2) ->
         "kind", F.col("difficulty_type").alias("difficultyType"), F.when(F.col("polygon").isNull(), "mesh").otherwise("polygon").alias("shapeType"),
         F.when(
             F.col("polygon").isNull(), F.transform("cells", lambda c: c["code"]),
-        ).alias("meshCodes"), F.col("polygon.outer").alias("outerBoundary"), *holes, "tag",
+        ).alias("meshCodes"), F.when(
+            F.exists("cells", lambda c: ~mesh.standard(c["code"], c["level"])), F.transform("cells", lambda c: c["level"]),
+        ).alias("meshLevels"), F.col("polygon.outer").alias("outerBoundary"), *holes, "tag",
     )
     return joined.select("area_id", F.to_json(item).alias("item"))
 
@@ -241,7 +254,7 @@ def mesh_features(spark: SparkSession, box: tuple[float, float, float, float], l
     cells = mesh.cells(spark.range(1).select(geo.normal_bounds(*box).alias("b")), "b", level).select("mesh")
     if cells.limit(MOST_MESHES + 1).count() > MOST_MESHES:
         raise ValueError(f"more than {MOST_MESHES} cells")
-    b = mesh.box(F.col("mesh"))
+    b = mesh.box(F.col("mesh"), level)
     corner = lambda a, o: F.array(b[o], b[a])
     ring = F.array(
         corner("min_lat", "min_lon"), corner("min_lat", "max_lon"), corner("max_lat", "max_lon"), corner("max_lat", "min_lon"),
