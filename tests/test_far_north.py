@@ -25,7 +25,10 @@ def north(tmp_path_factory):
     return str(folder), c
 
 
-@pytest.mark.parametrize("name", ["k7_restriction_documents"])
+@pytest.mark.parametrize("name", [
+    "k7_restriction_documents",
+    "s21_gml_features",
+])
 def test_query_equals_sql_in_the_far_north(spark, north, name):
     folder, c = north
     df = registry.QUERIES[name](spark, folder)
