@@ -29,6 +29,7 @@ def north(tmp_path_factory):
     "k7_restriction_documents",
     "s21_gml_features",
     "a6_edge_factors",
+    "j5_detached_factors",
 ])
 def test_query_equals_sql_in_the_far_north(spark, north, name):
     folder, c = north
