@@ -30,6 +30,7 @@ def north(tmp_path_factory):
     "s21_gml_features",
     "a6_edge_factors",
     "j5_detached_factors",
+    "k8_area_geojson",
 ])
 def test_query_equals_sql_in_the_far_north(spark, north, name):
     folder, c = north
