@@ -32,6 +32,7 @@ def north(tmp_path_factory):
     "j5_detached_factors",
     "k8_area_geojson",
     "m2_mesh_codes",
+    "j4_area_edges",
 ])
 def test_query_equals_sql_in_the_far_north(spark, north, name):
     folder, c = north
