@@ -33,6 +33,7 @@ def north(tmp_path_factory):
     "k8_area_geojson",
     "m2_mesh_codes",
     "j4_area_edges",
+    "m5_meshes_in_bounds",
 ])
 def test_query_equals_sql_in_the_far_north(spark, north, name):
     folder, c = north
