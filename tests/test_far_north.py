@@ -34,6 +34,7 @@ def north(tmp_path_factory):
     "m2_mesh_codes",
     "j4_area_edges",
     "m5_meshes_in_bounds",
+    "r3_after_removals",
 ])
 def test_query_equals_sql_in_the_far_north(spark, north, name):
     folder, c = north
