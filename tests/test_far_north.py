@@ -35,6 +35,7 @@ def north(tmp_path_factory):
     "j4_area_edges",
     "m5_meshes_in_bounds",
     "r3_after_removals",
+    "r9_difficulties_by_edge",
 ])
 def test_query_equals_sql_in_the_far_north(spark, north, name):
     folder, c = north
