@@ -40,7 +40,11 @@ def box_around(lat, lon, radius) -> Column:
 
 
 def point_to_segment(lat, lon, a_lat, a_lon, b_lat, b_lon) -> Column:
-    """The struct (dist_m, lat, lon, t) of the nearest point of a segment, on a plane scaled at the segment's middle."""
+    """The struct (dist_m, lat, lon, t) of the nearest point of a segment, on a plane scaled at the segment's middle.
+
+    Degrees are subtracted before they are scaled: a point due north of a vertex is then equally far from all the segments
+    that end there, to the last bit, and a tie remains one.
+    """
     lat, lon, a_lat, a_lon, b_lat, b_lon = map(num, (lat, lon, a_lat, a_lon, b_lat, b_lon))
     ky = math.radians(1.0) * EARTH_RADIUS_M
     kx = F.lit(ky) * F.cos(F.radians((a_lat + b_lat) / 2.0))
@@ -48,7 +52,7 @@ def point_to_segment(lat, lon, a_lat, a_lon, b_lat, b_lon) -> Column:
     px, py = (lon - a_lon) * kx, (lat - a_lat) * ky
     square = bx * bx + by * by
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * bx + py * by, square), F.lit(0.0))))
-    dx, dy = px - t * bx, py - t * by
+    dx, dy = ((lon - a_lon) - t * (b_lon - a_lon)) * kx, ((lat - a_lat) - t * (b_lat - a_lat)) * ky
     dist = F.when(square <= 0, haversine(lat, lon, a_lat, a_lon)).otherwise(F.sqrt(dx * dx + dy * dy))
     return F.struct(dist.alias("dist_m"), (a_lat + t * (b_lat - a_lat)).alias("lat"), (a_lon + t * (b_lon - a_lon)).alias("lon"), t.alias("t"))
 

@@ -322,3 +322,13 @@ def test_every_event_is_an_area(spark):
     found = registry.QUERIES["j4_area_edges"](spark, sf)
     rows = lambda df: sorted((r.area_id, r.edge_id) for r in df.select("area_id", "edge_id").collect())
     assert rows(found) == rows(pairs)
+
+
+def test_a_point_due_north_of_a_vertex_is_equally_far_from_its_edges(spark):
+    place = lambda v: (35.05 + v // 40 * 0.002 + v * 37 % 97 * 0.000005, 136.6 + v % 40 * 0.002 + v * 53 % 89 * 0.000005)
+    for k, one, other in ((26_997, 1215, 1292), (110_318, 413, 490), (168_042, 1954, 1956)):
+        point = (35.05 + k * 7919 % 7400 * 0.00001, 136.6 + k * 104_729 % 7800 * 0.00001)
+        ends = [(e // 2, e // 2 + (40 if e % 2 else 1)) for e in (one, other)]
+        df = spark.createDataFrame([(*point, *place(a), *place(b)) for a, b in ends], "y double, x double, ay double, ax double, by double, bx double")
+        d = [r.d for r in df.select(geo.point_to_segment(*[F.col(c) for c in df.columns])["dist_m"].alias("d")).collect()]
+        assert d[0] == d[1]  # so the smaller edge is the nearest, as in the SQL
