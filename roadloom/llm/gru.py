@@ -22,15 +22,24 @@ NAMES = ("emb", "wx", "bx", "u", "wc", "bc", "wo", "bo")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """The logistic function of ``x``, in its place."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
 
 
-def _lowered(x: np.ndarray) -> np.ndarray:
-    """``x``, with each row lowered by its largest value where exponentials of ``x`` might leave the range of floats."""
-    top = x.max(1, keepdims=True) if x.size and (x.max() > 40 or x.max(1).min() < -40) else None
-    if top is not None:
-        x -= top
-    return x
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``x``, its exponentials and each row's sum of them; rows are lowered by their largest values where exponentials might leave the range of floats."""
+    ones = np.ones(x.shape[1], x.dtype)
+    if not x.size or x.max() <= 40:
+        e = np.exp(x)
+        total = e @ ones
+        if not x.size or total.min() > 1e-17:
+            return x, e, total
+    x = x - x.max(1, keepdims=True)
+    e = np.exp(x)
+    return x, e, e @ ones
 
 
 @dataclass
@@ -73,36 +82,42 @@ class Gru:
     ) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability (natural) of each row's class, and word where that class has words; with ``grads``, adds gradients and returns that of ``h``."""
         p = self.p
-        x = _lowered(h @ p["wc"] + p["bc"])
-        e = np.exp(x)
-        total = e.sum(1)
+        h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)  # biases are the weights of a column of ones
+        x, e, total = _exponentials(h @ np.concatenate([p["wc"], p["bc"][None]]))
         rows = np.arange(len(h))
         logp = (x[rows, klass] - np.log(total)).astype(np.float64)
         dh = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, klass] -= 1
-            e *= scale
-            grads["wc"] += h.T @ e
-            grads["bc"] += e.sum(0)
+            e *= (scale / total)[:, None]
+            e[rows, klass] -= scale
+            slope = h.T @ e
+            grads["wc"] += slope[:HIDDEN]
+            grads["bc"] += slope[HIDDEN]
             dh = e @ p["wc"].T
         order = np.argsort(klass.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
         cuts = np.concatenate([[0], np.cumsum(np.bincount(klass, minlength=CLASSES + 2))[:CLASSES]])
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            hc, word = h[at], target[at] - c * WIDTH
-            y = _lowered(hc @ p["wo"][c] + p["bo"][c])
-            f = np.exp(y)
-            s = f.sum(1)
-            k = np.arange(len(at))
-            logp[at] += y[k, word] - np.log(s)
-            if grads is not None:
-                f /= s[:, None]
-                f[k, word] -= 1
-                f *= scale
-                grads["wo"][c] += hc.T @ f
-                grads["bo"][c] += f.sum(0)
-                dh[at] += f @ p["wo"][c].T
+        order = order[: cuts[-1]]  # rows of words of the model, class by class
+        if not len(order):
+            return logp, dh
+        spans = [(c, int(cuts[c]), int(cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+        hs, word = h.take(order, 0), target.take(order) - klass.take(order) * WIDTH
+        weights = np.concatenate([p["wo"], p["bo"][:, None]], 1)
+        y = np.empty((len(order), WIDTH), np.result_type(h, weights))
+        for c, a, b in spans:
+            np.matmul(hs[a:b], weights[c], y[a:b])
+        y, f, total = _exponentials(y)
+        rows = rows[: len(order)]
+        logp[order] += y[rows, word] - np.log(total)
+        if grads is not None:
+            f *= (scale / total)[:, None]
+            f[rows, word] -= scale
+            back, slope = np.empty((len(order), HIDDEN), y.dtype), np.zeros(weights.shape, y.dtype)
+            for c, a, b in spans:
+                np.matmul(hs[a:b].T, f[a:b], slope[c])
+                np.matmul(f[a:b], p["wo"][c].T, back[a:b])
+            grads["wo"] += slope[:, :HIDDEN]
+            grads["bo"] += slope[:, HIDDEN]
+            dh[order] += back
         return logp, dh
 
 
@@ -110,27 +125,49 @@ def _lengths_down(lengths: np.ndarray) -> np.ndarray:
     return np.argsort(-lengths, kind="stable")
 
 
+def _to_gates(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What turns embeddings, a column an input with a one below, into what they add to the gates."""
+    return np.concatenate([p["wx"], p["bx"][None]]).T.copy()
+
+
+def _embedded(emb: np.ndarray) -> np.ndarray:
+    """Embeddings, a column an input with a one below."""
+    return np.concatenate([emb, np.ones((len(emb), 1), emb.dtype)], 1).T.copy()
+
+
+def _step(gates: np.ndarray, u: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One token of documents side by side, a column each, so that all arithmetic runs along them: ``gates`` are the inputs' and are used up.
+
+    Gives the old state, what it adds to the candidate, both gates, the candidate and the new state.
+    """
+    own = u @ old
+    zr = gates[: 2 * HIDDEN]
+    zr += own[: 2 * HIDDEN]
+    _sigmoid(zr)
+    z, r, c, own = zr[:HIDDEN], zr[HIDDEN:], gates[2 * HIDDEN :], own[2 * HIDDEN :]
+    c += r * own
+    np.tanh(c, c)
+    new = old - c
+    new *= z
+    new += c
+    return old, own, z, r, c, new
+
+
 def score(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log-probability of each document's classes and model words; documents follow each other in the arrays."""
     p, order = model.p, _lengths_down(lengths)
-    table = p["emb"] @ p["wx"] + p["bx"]
+    emb, wx, u = _embedded(p["emb"]), _to_gates(p), p["u"].T.copy()
     starts, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    out, h, longest, t = np.zeros(len(lengths)), np.zeros((len(lengths), HIDDEN), np.float32), int(size.max(initial=0)), 0
+    out, h, longest, t = np.zeros(len(lengths)), np.zeros((HIDDEN, len(lengths)), np.float32), int(size.max(initial=0)), 0
     live = np.searchsorted(-size, -np.arange(longest), "left")  # documents longer than t
-    hz = 2 * HIDDEN
     while t < longest:
         states, places, who = [], [], []
         room = 0
         for t in range(t, min(longest, t + SCORE_WINDOW)):  # noqa: B020
             n = int(live[t])
             at = starts[:n] + t
-            gx, gh = table[inputs[at]], h[:n] @ p["u"]
-            zr = _sigmoid(gx[:, :hz] + gh[:, :hz])
-            new = np.tanh(gx[:, hz:] + zr[:, HIDDEN:] * gh[:, hz:])
-            z = zr[:, :HIDDEN]
-            new += z * (h[:n] - new)
-            h = new if n == len(h) else np.concatenate([new, h[n:]])
-            states.append(new)
+            h = _step(wx @ emb.take(inputs.take(at), 1), u, h[:, :n])[-1]
+            states.append(h)
             places.append(at)
             who.append(np.arange(n))
             room += n
@@ -138,7 +175,7 @@ def score(model: Gru, inputs: np.ndarray, targets: np.ndarray, classes: np.ndarr
                 break
         t += 1
         places, who = np.concatenate(places), np.concatenate(who)
-        logp, _ = model.output(np.concatenate(states), targets[places], classes[places])
+        logp, _ = model.output(np.concatenate(states, 1).T, targets.take(places), classes.take(places))
         out += np.bincount(who, logp, len(out))
     result = np.zeros(len(lengths))
     result[order] = out
@@ -169,58 +206,62 @@ def train(
     order, starts = _lengths_down(lengths), np.cumsum(lengths) - lengths
     groups = [order[k : k + LANES] for k in range(0, len(order), LANES)]
     np.random.default_rng(seed).shuffle(groups)
-    hz, seen = 2 * HIDDEN, 0
+    seen = 0
     dense = [k for k in NAMES if k != "emb"]
     grads = {k: np.zeros_like(p[k]) for k in dense}
     for group in groups:
         size, first = lengths[group], starts[group]
         longest = int(size.max())
         live = np.searchsorted(-size, -np.arange(longest), "left")  # documents longer than t
-        h = np.zeros((len(group), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(group)), np.float32)
         for begin in range(0, longest, WINDOW):
-            kept, carried, u = [], h, p["u"]
+            kept, wx, u = [], _to_gates(p), p["u"].T.copy()
             at = [first[: int(live[t])] + t for t in range(begin, min(longest, begin + WINDOW))]
-            words = np.concatenate([inputs[a] for a in at])
-            used, place, (order_, starts_) = _grouped(words)
-            table = p["emb"][used] @ p["wx"] + p["bx"]
-            gates = table[place]
-            done = 0
+            places = np.concatenate(at)
+            used, place, (order_, starts_) = _grouped(inputs.take(places))
+            emb = p["emb"].take(used, 0)
+            read, done = _embedded(emb).take(place, 1), 0
             for a in at:
                 n = len(a)
-                gx, old = gates[done : done + n], carried[:n]
-                gh = old @ u
-                zr = _sigmoid(gx[:, :hz] + gh[:, :hz])
-                z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                c = np.tanh(gx[:, hz:] + r * gh[:, hz:])
-                carried = c + z * (old - c)
-                kept.append((old, gh[:, hz:], z, r, c, carried))
+                kept.append(_step(wx @ read[:, done : done + n], u, h[:, :n]))
+                h = kept[-1][-1]
                 done += n
-            places = np.concatenate(at)
             seen += done
             for g in grads.values():
                 g[...] = 0
-            _, dh_all = model.output(np.concatenate([k[5] for k in kept]), targets[places], classes[places], grads, 1 / done)
-            d_gates, d_state = np.empty((done, 3 * HIDDEN), np.float32), np.empty((done, 3 * HIDDEN), np.float32)
-            carry, end = np.zeros((0, HIDDEN), np.float32), done
-            for old, hn, z, r, c, _ in reversed(kept):
-                n = len(old)
-                dh = dh_all[end - n : end]
-                dh[: len(carry)] += carry
-                dc = dh * (1 - z) * (1 - c * c)
-                g, s = d_gates[end - n : end], d_state[end - n : end]
-                g[:, :HIDDEN] = dh * (old - c) * z * (1 - z)
-                g[:, HIDDEN:hz] = dc * hn * r * (1 - r)
-                g[:, hz:] = dc
-                s[:, :hz] = g[:, :hz]
-                s[:, hz:] = dc * r
-                carry = dh * z + s @ u.T
+            _, dh_all = model.output(np.concatenate([k[-1] for k in kept], 1).T, targets.take(places), classes.take(places), grads, 1 / done)
+            dh_all = np.ascontiguousarray(dh_all.T)
+            d_gates, d_state = np.empty((3, HIDDEN, done), np.float32), np.empty((HIDDEN, done), np.float32)
+            carry, end = np.zeros((HIDDEN, 0), np.float32), done
+            for old, own, z, r, c, new in reversed(kept):
+                n = new.shape[1]
+                step = slice(end - n, end)
+                dh, g = dh_all[:, step], np.empty((3, HIDDEN, n), np.float32)
+                dh[:, : carry.shape[1]] += carry
+                keep = dh * z
+                dc = dh - keep
+                dc *= 1 - c * c
+                d_gates[2, :, step] = dc
+                np.subtract(old, c, g[0])
+                g[0] *= keep
+                g[0] *= 1 - z
+                dr = dc * r
+                np.multiply(dr, own, g[1])
+                g[1] *= 1 - r
+                g[2] = dr
+                d_gates[:2, :, step], d_state[:, step] = g[:2], dr
+                carry = p["u"] @ g.reshape(3 * HIDDEN, n)
+                carry += keep
                 end -= n
-            grads["u"] += np.concatenate([k[0] for k in kept]).T @ d_state
-            by_word = np.add.reduceat(d_gates[order_], starts_, axis=0)  # in the order of ``used``
-            grads["wx"] += p["emb"][used].T @ by_word
-            grads["bx"] += by_word.sum(0)
-            d_emb = by_word @ p["wx"].T
-            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()) + float(np.vdot(d_emb, d_emb)))
+            olds = np.concatenate([k[0] for k in kept], 1)
+            grads["u"][:, : 2 * HIDDEN] += olds @ d_gates[:2].reshape(2 * HIDDEN, done).T
+            grads["u"][:, 2 * HIDDEN :] += olds @ d_state.T
+            d_gates = d_gates.reshape(3 * HIDDEN, done)
+            slope = read @ d_gates.T
+            grads["wx"] += slope[:EMBED]
+            grads["bx"] += slope[EMBED]
+            d_emb = np.add.reduceat((p["wx"] @ d_gates).take(order_, 1), starts_, axis=1).T  # in the order of ``used``
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()) + float((d_emb * d_emb).sum()))
             cut = min(1.0, 1.0 / (norm + 1e-9))
             for k in dense:
                 g = grads[k]
@@ -228,7 +269,8 @@ def train(
                 past[k] += g * g
                 p[k] -= rate * g / np.sqrt(past[k])
             d_emb *= cut
-            past["emb"][used] += d_emb * d_emb
-            p["emb"][used] -= rate * d_emb / np.sqrt(past["emb"][used])
-            h = carried
+            stepped = past["emb"].take(used, 0)
+            stepped += d_emb * d_emb
+            past["emb"][used] = stepped
+            p["emb"][used] = emb - rate * d_emb / np.sqrt(stepped)
     return model, seen

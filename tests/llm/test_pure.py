@@ -292,6 +292,25 @@ def test_gradients():
         assert dh[i, j] == pytest.approx(slope, rel=1e-3, abs=1e-6)
 
 
+def test_steps_run_along_documents(monkeypatch):
+    """Each step has a column a document, so that arithmetic isn't done over a document's few numbers at a time; the state is that of the formulas."""
+    rng = np.random.default_rng(4)
+    m = gru.Gru.start(np.ones(200), 5, 5)
+    p, size, step, shapes = m.p, gru.HIDDEN, gru._step, []
+    monkeypatch.setattr(gru, "_step", lambda *a: shapes.append(a[2].shape) or step(*a))
+    ids, lengths = rng.integers(0, 200, 60), np.array([30, 20, 10])
+    gru.score(m, ids, ids, ids // gru.WIDTH, lengths)
+    assert shapes == [(size, int((lengths > t).sum())) for t in range(30)]
+    trained, seen = gru.train(m, ids, ids, ids // gru.WIDTH, lengths)
+    assert shapes[30:] == shapes[:30] and seen == 60 and all(np.isfinite(x).all() for x in trained.p.values())
+    old, sig = rng.normal(size=(7, size)), lambda x: 1 / (1 + np.exp(-x))
+    gx, gh = p["emb"][:7] @ p["wx"] + p["bx"], old @ p["u"]
+    z, r = np.split(sig(gx + gh)[:, : 2 * size], 2, axis=1)
+    c = np.tanh(gx[:, 2 * size :] + r * gh[:, 2 * size :])
+    new = step(gru._to_gates(p) @ gru._embedded(p["emb"][:7]), p["u"].T, old.T)[-1]
+    assert new.T == pytest.approx(z * old + (1 - z) * c, rel=1e-4, abs=1e-5)
+
+
 def test_seeds_of_an_item_copied_everywhere():
     word = lambda: "".join(R.choice("abcdefghij") for _ in range(7))
     item = [word() for _ in range(24)]
