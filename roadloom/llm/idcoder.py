@@ -38,6 +38,8 @@ SLOT_BITS, HIT, MISS, LIMIT = 7, PARTS * 15 // 16 - (1 << 13), 1 << 12, 1 << 29
 #: Steps after which a block deals its shares anew.
 REFRESH = 64
 
+#: What weights of order 2 (upper half) and order 1 move to: if neither, order 1 or order 2 is the one that is right.
+_GOALS = np.array([(MISS << 32) + MISS, (MISS << 32) + HIT, (HIT << 32) + MISS], np.int64)
 _M1, _M2, _M3 = np.uint32(2_654_435_761), np.uint32(2_246_822_519), np.uint32(3_266_489_917)
 _SHIFT = np.uint32(32 - SLOT_BITS)
 
@@ -153,18 +155,23 @@ class _Model:
         self.t1, self.t2 = self.table1.take(s1), self.table2.take(s2)
         self.c1, self.c2 = self.t1 & 3, self.t2 & 3
         self.state = self.states + ((self.c2 << 3) + (self.c1 << 1) + ((self.t1 ^ self.t2) < 4))
-        w = self.weights.take(self.state)
+        w = self.w = self.weights.take(self.state)
         self.a, self.b = w >> 32, w & 0xFFFFFFFF
         self.zero = PARTS - self.a - self.b  # order 0's part
 
-    def update(self, tagged: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, same1: np.ndarray, miss: np.ndarray, band: np.ndarray) -> None:
-        """Learns the ids (``tagged``: times 4); ``hit1`` only where order 2 missed, ``same1`` wherever order 1 was right."""
-        a = self.a + ((hit2 * (HIT - MISS) + MISS - self.a) >> 5)
-        b = self.b + ((hit1 * (HIT - MISS) + MISS - self.b) >> 5)
-        self.weights[self.state] = (a << 32) + b
+    def update(self, tagged: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, same1: np.ndarray, miss: np.ndarray, banded: np.ndarray) -> None:
+        """Learns the ids (``tagged``: times 4) and their places among all lanes' bands; ``hit1`` only where order 2 missed, ``same1`` wherever order 1 was right."""
+        goal = _GOALS.take((hit2.view(np.uint8) << 1) + hit1.view(np.uint8))
+        step, old = goal.view(np.int32), self.w.view(np.int32)  # both weights side by side
+        step -= old
+        step >>= 5
+        step += old
+        self.weights[self.state] = goal
         self.table2[self.s2] = tagged + np.minimum(self.c2 + 1, 3) * hit2
         self.table1[self.s1] = tagged + np.minimum(self.c1 + 1, 3) * same1
-        self.counts[self.bands + band] += miss
+        seen = self.counts.take(banded)
+        seen += miss
+        self.counts[banded] = seen
 
 
 def _lanes(n: int, block: int) -> np.ndarray:
@@ -227,8 +234,8 @@ def code(ids: np.ndarray, bands: Bands, block: int = BLOCK) -> list[bytes]:
         hit1 = same1 & ~hit2
         miss = ~(hit2 | same1)
         of = of_id.take(x if dense else np.searchsorted(sorted_ids, x))
-        band = of >> 40
-        dealt = model.dealt.take(model.bands + band)
+        banded = model.bands + (of >> 40)
+        dealt = model.dealt.take(banded)
         width = dealt & 0xFFFF
         begin = (dealt >> 16) + width * ((of >> 20) & 0xFFFFF)
         zero = model.zero
@@ -248,7 +255,7 @@ def code(ids: np.ndarray, bands: Bands, block: int = BLOCK) -> list[bytes]:
             counts[k] = n + 1
             low[k] = (some & (BOTTOM - 1)) << WORD
             rng[k] <<= WORD
-        model.update(tagged, hit2, hit1, same1, miss, band)
+        model.update(tagged, hit2, hit1, same1, miss, banded)
     if live < lanes:
         low = np.concatenate([low, low_last])
     return _payloads(words, counts, low)
@@ -289,11 +296,12 @@ def decode_blocks(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands:
         v = np.minimum(_divided(code_, r), PARTS - 1)
         hit2, miss = v < a, v >= both
         hit1 = ~(hit2 | miss)
-        u = _divided((np.maximum(v - both, 0) + 1 << ZERO_BITS) - 1, zero)
+        u = (((np.maximum(v - both, 0) + 1 << ZERO_BITS) - 1) / zero).astype(np.int64)  # below 2**50, by less than 2**24: floats are exact enough
         band = model.band_at.take(model.tables + (u >> (ZERO_BITS - SHARE_BITS)))
-        dealt = model.dealt.take(model.bands + band)
+        banded = model.bands + band
+        dealt = model.dealt.take(banded)
         width, begin = dealt & 0xFFFF, dealt >> 16
-        place = place_at.take((band << BAND_BITS) + _divided(u - begin, width))
+        place = place_at.take((band << BAND_BITS) + ((u - begin) / width).astype(np.int64))
         of = packed.take(place)
         begin += width * (of >> 20)
         first = (begin * zero) >> ZERO_BITS
@@ -309,7 +317,7 @@ def decode_blocks(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands:
             at[k] += 3
             rng[k] <<= WORD
         same1 = (model.t1 ^ tagged) < 4
-        model.update(tagged, hit2, hit1, same1, miss, band)
+        model.update(tagged, hit2, hit1, same1, miss, banded)
         out[t + 2, :live] = (tagged >> 2).view(np.uint32)
     flat = out[2:].T.reshape(-1).astype(np.int64)
     return flat if (sizes == sizes[0]).all() else np.concatenate([flat[: (lanes - 1) * block], out[2 : 2 + sizes[-1], -1].astype(np.int64)])

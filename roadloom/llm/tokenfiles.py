@@ -46,8 +46,8 @@ _SPLITTERS = [
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _PLAIN = re.compile(f"[!-~{_LATIN}]+")
 _ALL_PLAIN = re.compile(f"[!-~\n{_LATIN}]*")
-#: The splitter's pieces of a lower-case word of those letters. Fixed pattern.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\sa-z0-9{_LATIN}]+")
+#: The splitter's pieces of lower-case words of those letters, and the end of each line. Fixed pattern.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\sa-z0-9{_LATIN}]+|\n")
 
 
 def _byte_letters() -> list[str]:
@@ -71,14 +71,19 @@ def splits_at_spaces(settings: dict) -> bool:
     )
 
 
+#: What stands for no ids: nothing, and the end of a word among pieces.
+_NOTHING = {"": b"", "\n": b""}
+
+
 class _Pieces(dict):
     """Ids of pieces as bytes, by the library's model; emptied when full, so that its size is bounded."""
 
     def __init__(self, tokenizer) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__({"": b""})
-        self.spelling, self.suffix = dict(enumerate(_byte_letters())), tokenizer.model.end_of_word_suffix
+        super().__init__(_NOTHING)
+        self.spelling = {b: c for b, c in enumerate(_byte_letters()) if b != 32}  # a space parts pieces
+        self.suffix = tokenizer.model.end_of_word_suffix
         self.model = Tokenizer(tokenizer.model)  # the same merges on pieces that are split and spelt already
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         names = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
@@ -87,21 +92,23 @@ class _Pieces(dict):
     def learn(self, *pieces: list[str]) -> None:
         """Remembers the ids of all of ``pieces``."""
         known = self.__contains__
-        new = list({p for some in pieces for p in filterfalse(known, some)})
+        new = list(set(chain.from_iterable(filterfalse(known, some) for some in pieces)))
         if len(self) + len(new) > CACHE:
             self.clear()
-            self[""] = b""
-            new = list({p for some in pieces for p in filterfalse(known, some)})
-        spell = self.spelling
-        spelt = [p if p.isascii() else p.encode().decode("latin-1").translate(spell) for p in new]
-        lists = [" ".join(spelt[at : at + 2000]) for at in range(0, len(spelt), 2000)]
+            self.update(_NOTHING)
+            new = list(set(chain.from_iterable(filterfalse(known, some) for some in pieces)))
+        plain, other = list(filter(str.isascii, new)), list(filterfalse(str.isascii, new))
+        new = plain + other
+        lists = [" ".join(plain[at : at + 2000]) for at in range(0, len(plain), 2000)]
+        spelt = (" ".join(other[at : at + 2000]) for at in range(0, len(other), 2000))
+        lists += [t.encode().decode("latin-1").translate(self.spelling) for t in spelt]
         found = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(lists, add_special_tokens=False)]
         ids = np.concatenate(found) if found else np.zeros(0, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(new) or (len(ids) and ends[-1] != len(ids)):
             raise ValueError("a piece's last id doesn't tell its end")
         raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        self.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        self.update(zip(new, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
 
 class Encoder:
@@ -119,8 +126,8 @@ class Encoder:
         """The ids of each text, little-endian unsigned 32-bit, as the library gives them."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each of many distinct words."""
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each of many distinct words begin, and how many each has."""
         joined, odd, every = "\n".join(words), [], words
         if not _ALL_PLAIN.fullmatch(joined) or "<|" in joined:  # other letters, or what may be an added token
             odd = [k for k, w in enumerate(words) if not _PLAIN.fullmatch(w) or "<|" in w]
@@ -129,19 +136,25 @@ class Encoder:
                 every[k] = ""
             joined = "\n".join(every)
         low = joined.lower().split("\n")
-        mixed = [k for k, w in enumerate(low) if not w.isalpha()]
-        parts = [_PIECES.findall(low[k]) for k in mixed]
-        for k in mixed:
+        mixed = np.flatnonzero(~np.fromiter(map(str.isalpha, low), bool, len(low)))
+        of_mixed = [low[k] for k in mixed.tolist()]
+        for k in mixed.tolist():
             low[k] = ""
+        parts = _PIECES.findall("".join([w + "\n" for w in of_mixed]))
         pieces = self.pieces
-        pieces.learn(low, list(chain.from_iterable(parts)))
-        get = pieces.__getitem__
-        out = list(map(get, low))
-        for k, p in zip(mixed, parts, strict=True):
-            out[k] = b"".join(map(get, p))
-        for k, ids in zip(odd, self.whole([words[k] for k in odd]), strict=True):
-            out[k] = ids
-        return out
+        pieces.learn(low, parts)
+        get, whole = pieces.__getitem__, self.whole([words[k] for k in odd])
+        raw = [*map(get, low), *map(get, parts), *whole]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        first = np.cumsum(sizes) - sizes
+        n = len(low)
+        at, size = first[:n], sizes[:n]
+        if len(mixed):  # a word's pieces follow each other, up to one without ids
+            ends = n + np.flatnonzero(sizes[n : n + len(parts)] == 0)
+            begins = np.append(n, ends[:-1] + 1)
+            at[mixed], size[mixed] = first[begins], first[ends] - first[begins]
+        at[odd], size[odd] = first[n + len(parts) :], sizes[n + len(parts) :]
+        return np.frombuffer(b"".join(raw), "<u4"), at, size
 
     @without_gc
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,13 +166,11 @@ class Encoder:
         marked = pc.any(pc.match_substring(texts, "<|")).as_py()  # added tokens are told by their case
         flat, offsets = split_words(texts, lower=not marked)
         coded = flat.dictionary_encode()
-        raw = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()) if len(flat) else []
-        raw.append(mark)
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
-        first = np.cumsum(sizes) - sizes
-        pool, n = np.frombuffer(b"".join(raw), "<u4"), len(texts)
+        pool, first, sizes = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist() if len(flat) else [])
+        pool, first, sizes = np.append(pool, np.uint32(end)), np.append(first, len(pool)), np.append(sizes, 1)
+        n = len(texts)
         ends = offsets[1:] + np.arange(n)
-        entry = np.full(len(flat) + n, len(raw) - 1, np.int32)  # of each word, and of each text's end, its place in ``raw``
+        entry = np.full(len(flat) + n, len(sizes) - 1, np.int32)  # of each word, and of each text's end, its place in ``sizes``
         is_word = np.ones(len(entry), bool)
         is_word[ends] = False
         entry[is_word] = coded.indices.to_numpy()

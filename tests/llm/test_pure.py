@@ -148,6 +148,24 @@ def test_words_encode_like_whole_texts():
     enc.by_word = True
 
 
+def test_all_pieces_of_a_batch_are_split_at_once(monkeypatch):
+    """The splitter runs over all words with marks or digits together, and each word gets the ids of its own pieces."""
+    enc, calls, pieces = tokenfiles.encoder(tokenfiles.default_tokenizer()), [], tokenfiles._PIECES
+
+    class Splitter:
+        def findall(self, text):
+            calls.append(text)
+            return pieces.findall(text)
+
+    monkeypatch.setattr(tokenfiles, "_PIECES", Splitter())
+    texts = ["I'll a.b é-É2 x" * 3, "", "'s''s 12 plain \u20ac1 \u011f\u011f!", "plain <|x|> 7" + "ab,c " * 9]
+    ids, sizes = enc.encode(pa.array(texts), 2)
+    whole = enc.whole(texts)
+    assert len(calls) == 1
+    assert ids.tobytes() == b"".join(w + (2).to_bytes(4, "little") for w in whole) and sizes.tolist() == [len(w) // 4 + 1 for w in whole]
+    assert enc.encode(pa.array([], pa.string()), 2)[0].size == 0
+
+
 def test_words_are_encoded_alone_only_if_the_settings_say_so():
     with open(tokenfiles.default_tokenizer(), encoding="utf-8") as f:
         settings = json.load(f)
